@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from graphmill.llm import chat
 from graphmill.llm.common import map_rows
 from graphmill.llm.exact_dedup import exact_dedup
+from graphmill.llm.simhash import simhash_dedup
 from graphmill.llm.warc import archived_pages
 
 
@@ -24,6 +25,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 #: A conversation whose texts are control strings of the template.
 PROBE = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -52,6 +58,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_simhash_dedup": op6_simhash_dedup,
     "op8_chat_format": op8_chat_format,
     "op10_warc": op10_warc,
 }
