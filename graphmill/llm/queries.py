@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from graphmill.llm import chat
 from graphmill.llm.common import map_rows
 from graphmill.llm.exact_dedup import exact_dedup
+from graphmill.llm.packing import pack
 from graphmill.llm.simhash import simhash_dedup
 from graphmill.llm.warc import archived_pages
 
@@ -20,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """The path of a public tokenizer's file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -52,6 +60,10 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_rows(shown, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long", read_back)
 
 
+def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(table(spark, sf_dir, "pages"))
 
@@ -60,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op8_chat_format": op8_chat_format,
+    "op9_pack": op9_pack,
     "op10_warc": op10_warc,
 }
 
