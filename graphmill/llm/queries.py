@@ -13,6 +13,7 @@ from graphmill.llm import chat
 from graphmill.llm.common import map_rows
 from graphmill.llm.exact_dedup import exact_dedup
 from graphmill.llm.packing import pack
+from graphmill.llm.pii import KINDS, find_pii
 from graphmill.llm.simhash import simhash_dedup
 from graphmill.llm.warc import archived_pages
 
@@ -38,6 +39,14 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
 #: A conversation whose texts are control strings of the template.
 PROBE = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -71,6 +80,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash_dedup": op6_simhash_dedup,
+    "op7_pii": op7_pii,
     "op8_chat_format": op8_chat_format,
     "op9_pack": op9_pack,
     "op10_warc": op10_warc,
