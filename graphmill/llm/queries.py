@@ -13,6 +13,7 @@ from graphmill.llm import chat
 from graphmill.llm.common import map_rows
 from graphmill.llm.exact_dedup import exact_dedup
 from graphmill.llm.langid import identify
+from graphmill.llm.ngram_lm import score_texts
 from graphmill.llm.packing import pack
 from graphmill.llm.pii import KINDS, find_pii
 from graphmill.llm.simhash import simhash_dedup
@@ -34,6 +35,10 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -84,6 +89,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
+    "op4_lm_score": op4_lm_score,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_pii": op7_pii,
