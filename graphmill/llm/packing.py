@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import cache as once
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,14 +23,25 @@ from graphmill.llm.common import Scratch, binary_slices, map_rows, text_bytes
 WINDOW, CHUNK, END = 2048, 1 << 21, 1
 #: A source with less credit than this waits for the next round, unless its document ends sooner.
 LEAST = 32
-#: Words that a Python worker remembers, and their longest.
-WORDS, LONGEST = 300_000, 64
+#: Words, and pieces, that a Python worker remembers, and their longest.
+WORDS, LONGEST = 1_000_000, 48
+#: The tokenizer's split, words whose lower case and NFC are plain, and how byte-level BPE shows bytes.
+SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+PLAIN = re.compile(r"[\x21-\x7e\u00a1-\u024f]*")
+VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+HIDDEN = [b for b in range(256) if b not in VISIBLE]
+SHOWN = {b: 256 + i for i, b in enumerate(HIDDEN)}
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class WordEncoder:
-    """Ids of whole texts, for tokenizers that never join anything across ASCII white space: such words are encoded by
-    the library once and remembered. `encode` gives little-endian ids of `self.kind`."""
+    """Ids of whole texts, for word_bpe_49k.json and tokenizers built like it: NFC, white space, lower case, then a
+    split that never joins anything across ASCII white space, then BPE by piece. `encode` gives little-endian ids of
+    `self.kind`.
+
+    Words are remembered. A new word of letters and marks below U+0250, which are NFC already and whose lower case
+    needs no context, goes piece by piece to the library's BPE model; any other word goes to the library as it is.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -36,23 +51,38 @@ class WordEncoder:
         self.library.no_padding()
         self.library.no_truncation()
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[bytes, bytes] = {}
+        self.words, self.pieces = Memory(self.word), Memory(self.piece)
+
+    def piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(SHOWN)
+        return array(self.kind.char, [t.id for t in self.library.model.tokenize(shown)]).tobytes()
+
+    def word(self, word: bytes) -> bytes:
+        if word.isalpha() and word.isascii():
+            return self.pieces[word.decode().lower()]
+        text = word.decode()
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self.pieces.__getitem__, SPLIT.findall(text.lower())))
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def encode(self, data: bytes) -> bytes:
-        words = data.split()
-        missing = list(set(words).difference(self.known))
-        if len(self.known) + len(missing) > WORDS:
-            self.known.clear()
-            missing = list(set(words))
-        for at in range(0, len(missing), 50_000):
-            part = missing[at : at + 50_000]
-            for word, got in zip(part, self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = np.array(got.ids, self.kind).tobytes()
-        ids = b"".join(map(self.known.__getitem__, words))
-        for word in missing:
-            if len(word) > LONGEST:
-                del self.known[word]
-        return ids
+        return b"".join(map(self.words.__getitem__, data.split()))
+
+
+class Memory(dict):
+    """Values of `make` by key, forgotten all at once when there are too many; long keys are never kept."""
+
+    def __init__(self, make: Callable, limit: int = WORDS):
+        super().__init__()
+        self.make, self.limit = make, limit
+
+    def __missing__(self, key: Any) -> bytes:
+        value = self.make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = value
+        return value
 
 
 @once
