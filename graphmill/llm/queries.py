@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import chat
+from graphmill.llm import bpe, chat
 from graphmill.llm.common import map_rows
+from graphmill.llm.embed_dedup import similar_vectors
 from graphmill.llm.exact_dedup import exact_dedup
 from graphmill.llm.langid import identify
 from graphmill.llm.ngram_lm import score_texts
@@ -35,6 +36,26 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op2_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer("byte_bpe_50k.json")
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        code = bpe.codec(path)
+        sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+        for batch in batches:
+            found = []
+            for text in batch.column("text"):
+                ids = code.encode(text.as_py() or "")
+                found.append((len(ids), sha(",".join(map(code.decimal.__getitem__, ids))), sha(code.decode(ids))))
+            yield {"doc_id": batch.column("doc_id")} | dict(zip(("n_tokens", "ids_sha256", "decoded_sha256"), map(list, zip(*found)) if found else ([], [], []), strict=True))
+
+    return map_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", digests)
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
@@ -90,6 +111,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
+    "op2_embed_dedup": op2_embed_dedup,
+    "op3_bpe": op3_bpe,
     "op4_lm_score": op4_lm_score,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash_dedup": op6_simhash_dedup,
@@ -100,6 +123,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_embed_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        u AS (
+            SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v
+            WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+        r AS (SELECT vec_id AS id, vec_id AS seen FROM v UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.seen),
+        c AS (SELECT id, min(seen) AS component_id FROM r GROUP BY id),
+        d AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+        SELECT v.vec_id, coalesce(d.n_links, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+        FROM v JOIN c ON c.id = v.vec_id LEFT JOIN d ON d.a = v.vec_id""",
     "op5_exact_dedup": """
         WITH n AS (
             SELECT doc_id, length(coalesce(text, '')) AS points,
