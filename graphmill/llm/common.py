@@ -55,6 +55,28 @@ def if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BY
     return F.broadcast(df) if rows * row_bytes <= limit else df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores after them as make them no column of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(df: DataFrame, keys: list[Column], gone: DataFrame, how: str = "left_anti") -> DataFrame:
+    """df less the rows whose keys, nulls included, are a row of gone, a written table; or, with left_semi, only them."""
+    names = fresh(df, *(f"gone_{i}" for i in range(len(keys))))
+    match = None
+    for key, name in zip(keys, names, strict=True):
+        same = key.eqNullSafe(F.col(name))
+        match = same if match is None else match & same
+    return df.join(if_small(gone.toDF(*names), gone.count(), 24 * len(keys) + 32), match, how)
+
+
 def text_bytes(text: Column) -> Column:
     """The text's UTF-8 bytes; null counts as empty."""
     return F.coalesce(text.cast("binary"), F.lit(b""))

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.common import map_rows
+from graphmill.llm.common import fresh, map_rows
 
 #: Bytes of a window; filter widths and filters of each.
 WINDOW, WIDTHS, FILTERS = 512, (2, 3, 4), 8
@@ -170,13 +170,13 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Byte
     return train([w for k in names for w in kept[k]], np.repeat(np.arange(len(names)), [len(kept[k]) for k in names]), names)
 
 
-def predict(docs: DataFrame, net: ByteConv | None, text: Column, keep: list[Column]) -> DataFrame:
-    """The columns `keep` of docs with lang_pred and score of each whole text, all windows of which are read."""
+def predict(docs: DataFrame, net: ByteConv | None, text: Column, keep: list[Column], lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
+    """The columns `keep` of docs, then the language and score of each whole text, all windows of which are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         reader = Reader(net) if net else None
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
+            texts = batch.column(batch.num_columns - 1).to_pylist()
             lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
             asked = [i for i, t in enumerate(texts) if reader and t and LETTER.search(t)]
             while asked and reader:
@@ -189,12 +189,12 @@ def predict(docs: DataFrame, net: ByteConv | None, text: Column, keep: list[Colu
                 for i, b in zip(part, best.tolist(), strict=True):
                     lang[i] = reader.net.names[b]
                 score[part] = odds
-            yield {c: batch.column(c) for c in names} | {"lang_pred": lang, "score": score}
+            yield dict(zip(names, batch.columns[:-1], strict=True)) | {lang_name: lang, score_name: score}
 
-    rows = docs.select(*keep, text.cast("string").alias("_text"))
+    rows = docs.select(*keep, text.cast("string").alias(fresh(docs.select(*keep), "text")[0]))
     names = rows.columns[:-1]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return map_rows(rows, f"{schema}, lang_pred string, score double", run)
+    return map_rows(rows, f"{schema}, `{lang_name}` string, `{score_name}` double", run)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5) -> DataFrame:
