@@ -125,7 +125,7 @@ def cosine(vector: Column, query: list[float]) -> Column:
     v = F.transform(vector, lambda x: x.cast("double"))
     dot = F.aggregate(F.zip_with(v, q, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return dot / (norm * F.lit(sum(float(x) ** 2 for x in query) ** 0.5))
+    return F.try_divide(dot, norm * F.lit(sum(float(x) ** 2 for x in query) ** 0.5))
 
 
 def vector_top(vectors: DataFrame, query: list[float], limit: int, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:

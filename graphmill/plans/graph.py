@@ -145,10 +145,13 @@ class PropertyGraph:
         put_edges = latest(log.where("op = 'upsert_edge'").select("edge.*", "seq").unionByName(old_edges))
         gone = log.where("op = 'delete_node'").select(F.col("key").alias("id"), F.col("seq").alias("at"))
         files = log.where("op = 'delete_file_nodes'").select(F.col("key").alias("file_path"), F.col("seq").alias("at"))
-        # A file's deletion hits the nodes that are in it at that moment: versions put before it and not replaced yet.
+        # A file's deletion hits the nodes that are in it at that moment: versions that it ends, and nothing before it.
         until = F.lead("seq").over(Window.partitionBy("id").orderBy("seq"))
-        by_file = put_nodes.select("id", "file_path", "seq", F.coalesce(until, F.lit(1 << 62)).alias("until")).join(files, "file_path")
-        gone = gone.unionByName(by_file.where("at > seq and at < until").select("id", "at")).groupBy("id").agg(F.max("at").alias("at"))
+        versions = put_nodes.select("id", "file_path", "seq", F.coalesce(until, F.lit(1 << 62)).alias("until"))
+        by_file = versions.join(files, "file_path").where("at > seq and at < until").groupBy("id", "seq").agg(F.min("at").alias("at"))
+        sooner = by_file.join(gone.withColumnRenamed("at", "other"), "id").where("other > seq and other < at").select("id", "seq")
+        by_file = by_file.join(sooner, ["id", "seq"], "left_anti")
+        gone = gone.unionByName(by_file.select("id", "at")).groupBy("id").agg(F.max("at").alias("at"))
         nodes = latest(put_nodes).join(gone, "id", "left").where(F.col("at").isNull() | (F.col("at") < F.col("seq"))).drop("seq", "at")
 
         ends = put_edges.join(gone.select(F.col("id").alias("source"), F.col("at").alias("s")), "source", "left").join(gone.select(F.col("id").alias("target"), F.col("at").alias("t")), "target", "left")
@@ -183,4 +186,4 @@ def load(spark: SparkSession, root: str) -> PropertyGraph:
     if row["version"] != schema.VERSION:
         raise ValueError(f"snapshot of version {row['version']}; this code reads {schema.VERSION}")
     at = f"{root}/{row['snapshot']}"
-    return PropertyGraph.of(spark.read.parquet(f"{at}/nodes"), spark.read.parquet(f"{at}/edges"))
+    return PropertyGraph.of(spark.read.schema(schema.NODES).parquet(f"{at}/nodes"), spark.read.schema(schema.EDGES).parquet(f"{at}/edges"))
