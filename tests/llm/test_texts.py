@@ -1,0 +1,346 @@
+"""Language ID, BPE, language-model scores, personal data, chats, packing and WARC."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+from collections import Counter
+from math import log10
+
+import numpy as np
+import pytest
+import public_tokenizers
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from graphmill.llm import bpe, chat, langid, ngram_lm, packing, pii, warc
+from graphmill.llm.common import Scratch
+from graphmill.llm.queries import QUERIES
+from tests.llm.conftest import LONG, SMALL, TEXTS
+
+BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+odd_text = st.text(st.one_of(st.sampled_from(list("aeEéÉσΣİßﬁ'’ \n\t\x1c\x85\xa0́123²½<|>endoftext.!?-_中🙂ŉ​")), st.characters(exclude_categories=["Cs"])), max_size=60)
+
+
+def crc(i):
+    return zlib.crc32(str(i).encode()) if i is not None else 1
+
+
+# Language ID
+
+
+def test_langid_learns(sample):
+    rows = langid.identify(sample).join(sample.select("doc_id", "lang"), "doc_id").collect()
+    assert len(rows) == 200 and all(r["held_out"] == (crc(r["doc_id"]) % 5 == 0) for r in rows)
+    held = [r for r in rows if r["held_out"]]
+    assert np.mean([r["lang"] == r["lang_pred"] for r in held]) > 0.9 and all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_langid_edges(docs, no_docs):
+    rows = langid.identify(docs).collect()
+    assert len(rows) == len(TEXTS) and rows[0].asDict().keys() == {"doc_id", "held_out", "lang_pred", "score"}
+    by_id = {r["doc_id"]: r for r in rows}
+    assert all(by_id[i]["lang_pred"] == "und" and by_id[i]["score"] == 0 for i in (3, 4, 5, 9))
+    assert all(by_id[i]["lang_pred"] in {"en", "fr", "zz"} for i in (1, 6, 7, 10, 11, None))
+    assert langid.identify(no_docs).count() == 0
+    blind = langid.identify(docs.withColumn("lang", docs["lang"].substr(9, 1)).selectExpr("doc_id", "text", "nullif(lang, '') as lang"))
+    assert {r["lang_pred"] for r in blind.collect()} == {"und"}
+
+
+def test_windows_are_read_as_defined():
+    draw = np.random.default_rng(0)
+    net = langid.ByteConv(["a", "b"], [draw.normal(size=(w, 256, langid.FILTERS)).astype(np.float32) for w in langid.WIDTHS], draw.normal(size=24).astype(np.float32), draw.normal(size=(24, 2)).astype(np.float32), np.zeros(2, np.float32))
+    texts = [bytes(draw.integers(0, 256, n).astype(np.uint8)) for n in (1, 3, 511, 512, 513, 40_000, 2)]
+    best, odds = langid.Reader(net).read(texts)
+    for k, t in enumerate(texts):
+        x = np.concatenate([langid.FOLD[np.frombuffer(t, np.uint8)], np.zeros(3, np.uint8)])
+        total = np.zeros(2)
+        for at in range(0, len(t), langid.WINDOW):
+            span = range(at, min(at + langid.WINDOW, len(t)))
+            top = np.concatenate([np.max([sum(kern[j][x[i + j]] for j in range(w)) for i in span], axis=0) for w, kern in zip(langid.WIDTHS, net.kernels, strict=True)])
+            total += langid.softmax((np.maximum(top + net.bias, 0) @ net.out)[None])[0] * len(span)
+        assert best[k] == total.argmax() and odds[k] == pytest.approx(total.max() / len(t), abs=1e-4)
+
+
+# BPE
+
+
+@pytest.fixture(scope="module")
+def byte_library():
+    return Tokenizer.from_file(BYTE)
+
+
+@settings(max_examples=300, deadline=None)
+@given(odd_text)
+def test_bpe_is_exact(text):
+    library = Tokenizer.from_file(BYTE) if not hasattr(test_bpe_is_exact, "lib") else test_bpe_is_exact.lib
+    test_bpe_is_exact.lib = library
+    code = bpe.codec(BYTE)
+    ids = code.encode(text)
+    assert ids == library.encode(text, add_special_tokens=False).ids
+    assert code.decode(ids) == library.decode(ids, skip_special_tokens=False) == text
+
+
+def test_bpe_long_words(byte_library):
+    code = bpe.codec(BYTE)
+    for text in ("a" * 5000, "=" * 777, "ab" * 999 + " " * 100, "the" * 500):
+        assert code.encode(text) == byte_library.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_operator(spark, docs, no_docs, byte_library):
+    ids = bpe.encode(docs, BYTE)
+    rows = sorted((str(r["doc_id"]), r["ids"]) for r in ids.collect())
+    assert rows == sorted((str(i), byte_library.encode(t or "", add_special_tokens=False).ids) for i, t, *_ in TEXTS)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in bpe.decode(ids, BYTE).collect()) == sorted((str(i), t or "") for i, t, *_ in TEXTS)
+    assert bpe.encode(no_docs, BYTE).count() == 0
+    odd = bpe.decode(spark.createDataFrame([(1, None), (2, [220, 128])], "doc_id long, ids array<int>"), BYTE).collect()
+    assert {r["doc_id"]: r["text"] for r in odd} == {1: "", 2: byte_library.decode([220, 128])}
+
+
+def test_bpe_query(spark, sample, byte_library):
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = {}
+    for r in sample.select("doc_id", "text").collect():
+        ids = byte_library.encode(r["text"], add_special_tokens=False).ids
+        want[r["doc_id"]] = (len(ids), sha(",".join(map(str, ids))), sha(byte_library.decode(ids, skip_special_tokens=False)))
+    assert {r[0]: tuple(r[1:]) for r in QUERIES["op3_bpe"](spark, SMALL).collect()} == want
+
+
+# Language model
+
+
+def check_scores(rows, texts):
+    counts = Counter()
+    for i, t in texts:
+        if crc(i) % 10:
+            counts.update([*(t or "").encode().lower().split(), None])
+    total, distinct = sum(counts.values()), len(counts)
+    assert len(rows) == len(texts)
+    by_id = {r["doc_id"]: r for r in rows}
+    for i, t in texts:
+        words, r = [*(t or "").encode().lower().split(), None], by_id[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i is not None and crc(i) % 10 == 0, len(words), sum(counts[w] > 0 for w in words), total)
+        assert r["base_score"] == pytest.approx(sum(log10((counts[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in words), rel=1e-9)
+        assert r["score"] < 0
+
+
+def test_lm_query(spark, sample):
+    rows = QUERIES["op4_lm_score"](spark, SMALL).collect()
+    check_scores(rows, [(r["doc_id"], r["text"]) for r in sample.collect()])
+    held = [r for r in rows if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_lm_edges(docs, no_docs, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "KEPT", 0.01)
+    monkeypatch.setattr(ngram_lm, "VOCABULARY", 0.02)
+    rows = ngram_lm.score_texts(docs).collect()
+    assert rows[0].asDict().keys() == {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"}
+    check_scores(rows, [(i, t) for i, t, *_ in TEXTS])
+    assert ngram_lm.score_texts(no_docs).count() == 0
+    untrained = ngram_lm.score_texts(docs.where("doc_id = 11"), folds=1).first()
+    assert untrained["train_tokens"] == 0 and untrained["base_score"] == pytest.approx(0, abs=1e-9)
+
+
+def test_automaton_is_a_distribution(spark, sample):
+    model, _ = ngram_lm.fit(Scratch(spark, "test"), sample.selectExpr("cast(text as binary) as data"))
+    net = ngram_lm.compile_automaton(model)
+    assert [len(c) for c, _ in model.grams] == [len(set(c.tolist())) for c, _ in model.grams] and len(net.fail) > 100
+    rest = 1 - sum(10**x for x in model.log_unigram(model.counts[: model.width - 1]))
+    for state in random.Random(0).sample(range(len(net.fail)), 25):
+        total = 10 ** net.down[state] * rest
+        for w in range(model.width - 1):
+            at, cost = state, 0.0
+            while at * net.width + w not in net.arcs:
+                cost, at = cost + net.weight[at], net.fail[at]
+            total += 10 ** (cost + net.arcs[at * net.width + w][1])
+        assert total == pytest.approx(1, abs=1e-6)
+
+
+# Personal data
+
+
+def base_by_pattern(text):
+    found = [("email", *m.span()) for m in pii.EMAIL.finditer(text)]
+    found += [("ip", *m.span()) for m in pii.IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    found += [("card", *m.span()) for m in pii.CARD.finditer(text) if 12 <= len(pii.digits(m[0])) <= 19 and pii.luhn(pii.digits(m[0]))]
+    found += [("phone", *m.span()) for m in pii.PHONE.finditer(text) if 9 <= len(pii.digits(m[0])) <= 15]
+    return sorted(found, key=lambda s: (s[1], pii.KINDS.index(s[0])))
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet="0123456789 .-+()@abZ%_\né", max_size=60))
+def test_base_patterns(text):
+    assert pii.base_spans(text) == base_by_pattern(text)
+
+
+def test_crf_on_unseen_sentences():
+    crf, table = pii.trained(), pii.labelled_table(3, seed=1234)
+    got = crf.decode([w for w, _ in table])
+    assert np.mean([a == y for a, (_, y) in zip(got, table, strict=True)]) > 0.97
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("please call (974) 555-3436 now", [("phone", "(974) 555-3436")]), ("write to john.doe [at] mail [dot] example [dot] com today", [("email", "john.doe [at] mail [dot] example [dot] com")]),
+    ("in 2024 about 1,234 items at 12:30 on 2024-05-06 were 3.5.1 or 99.9", []), ('token = "4d44c79e8bf7c55759c4958dd6" and more', []), ("at the end of the dot and at that", []),
+])
+def test_added_spans(text, want):
+    base, added = pii.find_spans(pii.trained(), text)
+    assert base == [] and [(k, text[a:b]) for k, a, b in added] == want
+
+
+def test_runs_hold_every_sign():
+    draw = random.Random(3)
+    for _ in range(200):
+        words = [draw.choice(["a", "bb", "4", "x@y", "[at]", "dot"]) for _ in range(draw.randrange(30))]
+        text = " ".join(words)
+        shown = {m.start() for run in pii.windows(text) for m in run}
+        starts = [m.start() for m in pii.WORD.finditer(text)]
+        near = {starts[j] for i, w in enumerate(words) if pii.SIGN.search(w) for j in range(max(0, i - 2), min(len(words), i + 3))}
+        assert near <= shown
+
+
+def test_pii_query_and_edges(spark, sample, docs, no_docs):
+    texts = {r["doc_id"]: r["text"] for r in sample.collect()}
+    for r in QUERIES["op7_pii"](spark, SMALL).collect():
+        base = base_by_pattern(texts[r["doc_id"]])
+        said = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert r["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in base) for k in pii.KINDS]
+        assert set(said.split(",")) <= set(r["spans"].split(","))
+    rows = pii.find_pii(docs).collect()
+    assert len(rows) == len(TEXTS) and [s["kind"] for r in rows if r["doc_id"] == 14 for s in r["spans"]] == ["email", "phone", "ip", "card"]
+    assert pii.find_pii(no_docs).count() == 0
+    shown = docs.where("doc_id = 14").select(pii.masked(docs["text"]).alias("t")).first()["t"]
+    assert shown == "Write to [EMAIL] or [PHONE] from [IP] with [CARD] now"
+
+
+# Chats
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "<s>"]), st.text(alphabet="</s>[]INTb\\ \n", max_size=25)), max_size=6))
+def test_chat_round_trip(turns):
+    whole, rewritten, spans = chat.locate(chat.inst_template, turns)
+    assert rewritten is None and chat.parse_inst(whole) == turns
+    assert [chat.unescape(whole[a:b]) for *_, a, b in spans] == [t for _, t in turns]
+    assert "".join(whole[s[1] : s[2]] for s in spans) == whole
+
+
+def test_long_chats_are_located_alike():
+    turns = [(("user", "assistant")[i % 2], f"text {i} </s>") for i in range(90)]
+    assert chat.locate(chat.inst_template, turns) == chat.locate(chat.inst_template, turns, context=1000)
+    system_first = lambda ts: "SYS" + chat.inst_template([t for t in ts if t[0] == "system"]) + chat.inst_template([t for t in ts if t[0] != "system"])
+    numbered = lambda ts: "".join(f"{i}:{t}\n" for i, (_, t) in enumerate(ts))
+    assert chat.locate(numbered, turns)[1] is None
+    assert chat.locate(numbered, turns)[2][89][3] == len(numbered(turns[:89])) + 3
+    assert chat.locate(system_first, [*turns, ("system", "late")])[1] == 90
+    assert chat.locate(lambda ts: f"{len(ts)}|" + chat.inst_template(ts), turns)[1] == 0 or chat.locate(lambda ts: f"{len(ts)}|" + chat.inst_template(ts), turns)[1] == 1
+
+
+def test_chat_edges(spark):
+    rows = [(1, 2, "assistant", None), (1, 1, "user", "hi </s>"), (2, 1, None, ""), (2, 1, None, ""), (None, None, "user", "x"), (3, 1, "system", "s" * 100_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as formatted", "2 as spans", "3 as id")
+    got = {r["conv_id"]: chat.parse_inst(r["formatted"]) for r in chat.format_chats(df).collect()}
+    assert got == {1: [("user", "hi </s>"), ("assistant", "")], 2: [("", ""), ("", "")], None: [("user", "x")], 3: [("system", "s" * 100_000)]}
+    assert chat.format_chats(df.limit(0)).count() == 0
+
+
+# Packing
+
+
+@settings(max_examples=200, deadline=None)
+@given(odd_text)
+def test_word_encoder_is_exact(text):
+    code = packing.encoder(WORD)
+    assert np.frombuffer(code.encode(text.encode()), code.kind).tolist() == code.library.encode(text, add_special_tokens=False).ids
+
+
+def check_pieces(rows, texts):
+    library = Tokenizer.from_file(WORD)
+    want = sorted((str(i), tuple(library.encode(t or "", add_special_tokens=False).ids + [1])) for i, t in texts)
+    by_doc: dict = {}
+    for r in rows:
+        by_doc.setdefault((str(r["doc_id"]), r["doc_tokens"]), []).append(r)
+    for (name, ids), n in Counter(want).items():
+        parts = sorted(by_doc[name, len(ids)], key=lambda r: r["start"])
+        assert sum(p["length"] for p in parts) == n * len(ids)
+        raw = np.array(ids, "<u4")
+        assert all(p["ids_crc32"] == zlib.crc32(raw[p["start"] : p["start"] + p["length"]].tobytes()) for p in parts)
+    sequences: dict = {}
+    for r in rows:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at and length > 0
+            at += length
+        assert at == 2048 or at & (at - 1) == 0 and at < 2048
+
+
+def test_pack_query(spark, sample):
+    check_pieces(QUERIES["op9_pack"](spark, SMALL).collect(), [(r["doc_id"], r["text"]) for r in sample.collect()])
+
+
+def test_pack_edges(docs, no_docs):
+    check_pieces(packing.pack(docs, WORD).collect(), [(i, t) for i, t, *_ in TEXTS])
+    assert packing.pack(no_docs, WORD).count() == 0
+    check_pieces(packing.pack(docs.drop("source"), WORD, targets={"a": 1.0}).collect(), [(i, t) for i, t, *_ in TEXTS])
+
+
+def test_mixture_follows_targets():
+    draw = random.Random(0)
+    lengths = [[draw.randrange(1, 900) for _ in range(n)] for n in (300, 200, 100)]
+    total = [sum(x) for x in lengths]
+    target = [t / sum(total) for t in total]
+    served = [Counter() for _ in range(3)]
+    at, seen = 0, Counter()
+    for s, doc, start, n in packing.serve(lengths, target, [0.0, 0.0, 0.0]):
+        assert start == seen[s, doc]
+        seen[s, doc] += n
+        served[s][at // 2048] += n
+        at += n
+    assert all(seen[s, d] == n for s in range(3) for d, n in enumerate(lengths[s]))
+    middle = range(2, at // 2048 - 5)
+    assert all(abs(served[s][w] - 2048 * target[s]) < 300 for s in range(3) for w in middle)
+
+
+def test_carries(spark):
+    rows = spark.createDataFrame([(0, "a", 60), (0, "b", 40), (1, "a", 10), (1, "b", 90), (2, "b", 5)], "chunk long, source string, tokens long")
+    goal = spark.createDataFrame([("a", 0.5), ("b", 0.5)], "name string, target double")
+    got = {(r["chunk"], r["source"]): r["carry"] for r in packing.carries(rows, goal).collect()}
+    assert got == {(0, "a"): 0, (0, "b"): 0, (1, "a"): -10, (1, "b"): 10, (2, "b"): -30}
+
+
+# WARC
+
+
+def test_chain_rejects_magic_in_payloads():
+    def record(body):
+        return warc.MAGIC + b"WARC-Type: response\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+
+    inner = record(b"fake")
+    content = record(b"one") + record(b"x" + inner + inner) + record(b"") + record(warc.MAGIC + b"Content-Length: 1\r\n\r\n")
+    got = [content[body : end - 4] for _, end, _, body in warc.chain(content)]
+    assert got == [b"one", b"x" + inner + inner, b"", warc.MAGIC + b"Content-Length: 1\r\n\r\n"]
+    assert [x[0] for x in warc.chain(content[:-6])] == [x[0] for x in warc.chain(content)][:-1]
+    assert warc.chain(b"") == [] and warc.chain(b"junk" + content) == []
+
+
+def test_warc_edges(spark):
+    magic = (warc.MAGIC + b"WARC-Type: response\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n").decode() * 3
+    html = [(5, "p" * 99), (6, "p" * 99), (7, "é" * 50), (3, "é" * 50), (9, "é" * 50), (8, None), (1, ""), (2, magic), (4, magic), (None, "q" * 200), (4, magic), (10, LONG)]
+    df = spark.createDataFrame([(i, f"http://x/{i}\n", h) for i, h in html], "page_id long, url string, html string").selectExpr("*", "1 as id", "2 as digest", "3 as bytes", "'a' as refers_to").repartition(2)
+    got = sorted((str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.archived_pages(df).collect())
+    want = []
+    for i, h in html:
+        raw = (h or "").encode()
+        first = min(j for j, o in html if o == h and j is not None) if i is not None else None
+        again = i is not None and len(raw) >= 100 and i != first
+        want.append((str(i), len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", first if again else None))
+    assert got == sorted(want)
+    assert warc.archived_pages(df.limit(0)).count() == 0
+    rows = df.where("page_id = 10").selectExpr("page_id", "html")
+    assert warc.archived_pages(rows).first()["payload_bytes"] == len(LONG)
