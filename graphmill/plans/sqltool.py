@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame
 
+from graphmill.operators import traverse
+from graphmill.plans import planner
 from graphmill.plans.graph import PropertyGraph
 
 # Words that the strict text check rejects anywhere in a statement.
@@ -23,6 +26,30 @@ def register(graph: PropertyGraph, communities: DataFrame | None = None, process
             df.createOrReplaceTempView(name)
 
 
+#: search('words'), neighbors('id', depth) and impact('id', depth) as tables in a FROM clause.
+CALL = re.compile(r"\b(search|neighbors|impact)\(\s*'((?:[^']|'')*)'(?:\s*,\s*(\d+))?\s*\)", re.IGNORECASE)
+
+
+def expand_calls(graph: PropertyGraph, statement: str) -> str:
+    """The statement with each table function replaced by a temporary view of its rows: (id, score) for search,
+    (id, name, kind, file_path, distance) for neighbors, and impact_score besides for impact."""
+
+    def view(m: re.Match) -> str:
+        name, said, number = m[1].lower(), m[2].replace("''", "'"), int(m[3]) if m[3] else None
+        columns = ["id", "name", "kind", "file_path", "distance"]
+        if name == "search":
+            df = planner.search_text(graph, said, number or 50)
+        elif name == "neighbors":
+            df = traverse.neighbors(graph, said, depth=number or 1).select(columns)
+        else:
+            df = traverse.impact(graph, said, number or 5).select(*columns, "impact_score")
+        at = f"{name}_{uuid.uuid4().hex[:8]}"
+        df.createOrReplaceTempView(at)
+        return at
+
+    return CALL.sub(view, statement)
+
+
 def run_sql(graph: PropertyGraph, statement: str, limit: int = 100, compat: bool = False, communities: DataFrame | None = None, processes: DataFrame | None = None) -> DataFrame:
     """A query's rows, `limit` at most unless the query limits itself. The parsed plan decides what is a query, so
     common table expressions and columns named like commands are fine; compat applies the text checks instead."""
@@ -35,6 +62,7 @@ def run_sql(graph: PropertyGraph, statement: str, limit: int = 100, compat: bool
         found = graph.nodes.sparkSession.sql(statement)
         return found if "LIMIT" in upper else found.limit(limit)
     spark = graph.nodes.sparkSession
+    statement = expand_calls(graph, statement)
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
     names = [plan.getClass().getSimpleName(), *re.findall(r"^\W*'?(\w+)", plan.treeString(), re.MULTILINE)]
     if any(re.search(r"Command|Insert|Update|Delete|Merge|^Create|^Drop|^Alter|^Set|^Show|^Describe|^Cache|^Refresh|^Repair|^Truncate", n) for n in names):

@@ -86,6 +86,24 @@ def test_sql(context):
             run_sql(g, bad)
     with pytest.raises(UnsafeQuery):
         run_sql(g, "SELECT 1 AS updated_at", compat=True)
+    assert [r["id"] for r in run_sql(g, "SELECT n.id FROM search('gam') s JOIN nodes n ON n.id = s.id").collect()] == ["gamma"]
+    assert [r["id"] for r in run_sql(g, "SELECT id FROM neighbors('alpha', 2) ORDER BY id").collect()] == ["beta", "gamma"]
+    assert [r["id"] for r in run_sql(g, "SELECT id FROM impact('gamma') WHERE distance = 2").collect()] == ["alpha"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from graphmill.__main__ import main
+
+    (tmp_path / "a.py").write_text("def run_all():\n    step()\n\ndef step():\n    pass\n")
+    assert main(["analyze", str(tmp_path)]) == 0
+    assert json.loads(capsys.readouterr().out)["files"] == 1
+    assert main(["impact", "step", "--root", str(tmp_path)]) == 0
+    assert "run_all" in capsys.readouterr().out
+    assert main(["stats", str(tmp_path)]) == 0
+    assert json.loads(capsys.readouterr().out)["nodes"] == 3
+    assert main(["sql", "SELECT count(*) AS n FROM edges", "--root", str(tmp_path)]) == 0
+    assert main(["context", "nothing", "--root", str(tmp_path)]) == 1
+    assert ".graphmill/" in (tmp_path / ".gitignore").read_text()
 
 
 def test_driver_entry(spark):
