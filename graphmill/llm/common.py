@@ -95,10 +95,19 @@ def map_rows(df: DataFrame, schema: str, rows: Callable[[Iterator[pa.RecordBatch
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in rows(batches):
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) and c.type == f.type else pa.array(c, f.type) for c, f in zip((columns[f.name] for f in into), into, strict=True)], schema=into)
+        # Workers are reused, and what the pool holds on to counts against the executor.
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
 
+def pieces_of(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def binary_slices(column: pa.Array) -> Iterator[bytes]:
     """The values of a binary column, one at a time; null counts as empty."""
     for x in column:

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.common import fresh, map_rows
+from graphmill.llm.common import fresh, map_rows, pieces_of
 
 #: Bytes of a window; filter widths and filters of each.
 WINDOW, WIDTHS, FILTERS = 512, (2, 3, 4), 8
@@ -175,7 +175,7 @@ def predict(docs: DataFrame, net: ByteConv | None, text: Column, keep: list[Colu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         reader = Reader(net) if net else None
-        for batch in batches:
+        for batch in pieces_of(batches):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
             asked = [i for i, t in enumerate(texts) if reader and t and LETTER.search(t)]

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from functools import cache as once
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -298,23 +297,22 @@ def masked(text: Column) -> Column:
     """The text with each span, or each run of overlapping spans, replaced by its first kind in brackets."""
     crf = trained()
 
-    @F.pandas_udf("string")  # type: ignore[call-overload]
-    def mask(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> str | None:
-            if not t:
-                return t
-            base, added = find_spans(crf, t)
-            out, at, end = [], 0, -1
-            for kind, a, b in sorted(base + added, key=lambda s: (s[1], KINDS.index(s[0]))):
-                if a < end:
-                    end = max(end, b)
-                    continue
-                if end >= 0:
-                    at = end
-                out += [t[at:a], f"[{kind.upper()}]"]
-                end = b
-            return "".join([*out, t[max(end, 0) :]]) if out else t
-
-        return texts.map(one)
+    def one(t: str) -> str:
+        base, added = find_spans(crf, t)
+        out, at, end = [], 0, -1
+        for kind, a, b in sorted(base + added, key=lambda s: (s[1], KINDS.index(s[0]))):
+            if a < end:
+                end = max(end, b)
+                continue
+            if end >= 0:
+                at = end
+            out += [t[at:a], f"[{kind.upper()}]"]
+            end = b
+        return "".join([*out, t[max(end, 0) :]]) if out else t
+
+    @F.arrow_udf("string")
+    def mask(texts: pa.Array) -> pa.Array:
+        parts = [pa.array([one(x) if x else x for x in texts.slice(at, 512).to_pylist()], pa.string()) for at in range(0, len(texts), 512)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return mask(text)
