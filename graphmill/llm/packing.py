@@ -24,7 +24,7 @@ WINDOW, CHUNK, END = 2048, 1 << 21, 1
 #: A source with less credit than this waits for the next round, unless its document ends sooner.
 LEAST = 32
 #: Words, and pieces, that a Python worker remembers, and their longest.
-WORDS, LONGEST = 1_000_000, 48
+WORDS, LONGEST = 600_000, 48
 #: The tokenizer's split, words whose lower case and NFC are plain, and how byte-level BPE shows bytes.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 PLAIN = re.compile(r"[\x21-\x7e\u00a1-\u024f]*")
@@ -51,7 +51,7 @@ class WordEncoder:
         self.library.no_padding()
         self.library.no_truncation()
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.words, self.pieces = Memory(self.word), Memory(self.piece)
+        self.words, self.pieces = Memory(self.word), Memory(self.piece, 2 * WORDS // 3)
 
     def piece(self, piece: str) -> bytes:
         shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(SHOWN)
@@ -62,9 +62,19 @@ class WordEncoder:
             return self.pieces[word.decode().lower()]
         text = word.decode()
         if PLAIN.fullmatch(text) and "<|" not in text:
-            return b"".join(map(self.pieces.__getitem__, SPLIT.findall(text.lower())))
+            text = text.lower()
+            if text.isalpha():
+                return self.pieces[text]
+            head, tail = text[:-1], text[-1]
+            if head.isalpha() and tail in ".,":
+                return self.pieces[head] + self.pieces[tail]
+            return b"".join(map(self.pieces.__getitem__, SPLIT.findall(text)))
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def forget(self) -> None:
+        self.words.clear()
+        self.pieces.clear()
+
     def encode(self, data: bytes) -> bytes:
         return b"".join(map(self.words.__getitem__, data.split()))
 
@@ -199,13 +209,15 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     owed = scratch.write(carries(tokens, scratch.write(goal, "targets")), "carries")
 
     def fill(group: pa.Table, carry: pa.Table) -> pa.Table:
-        kind = encoder(path).kind
+        if encoder.cache_info().currsize:
+            encoder(path).forget()
+        sizes, ids, names = group.column("tokens").to_pylist(), group.column("ids"), group.column("id").to_pylist()
+        kind = np.dtype(f"<u{len(ids[0].as_py()) // sizes[0]}") if sizes else np.dtype("<u4")
         debt = {s: (t, c) for s, t, c in zip(*(carry.column(n).to_pylist() for n in ("source", "target", "carry")), strict=True)}
         order = group.append_column("row", pa.array(np.arange(len(group)))).select(["source", "id", "tokens", "row"]).sort_by([("source", "ascending"), ("id", "ascending"), ("tokens", "ascending")])
         queues: dict[str | None, list[int]] = {}
         for s, row in zip(order.column("source").to_pylist(), order.column("row").to_pylist(), strict=True):
             queues.setdefault(s, []).append(row)
-        sizes, ids, names = group.column("tokens").to_pylist(), group.column("ids"), group.column("id").to_pylist()
         rows = list(queues.values())
         shares = [debt.get(s, (0.0, 0.0)) for s in queues]
         pieces = list(serve([[sizes[r] for r in q] for q in rows], [t for t, _ in shares], [c for _, c in shares]))
