@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A side is broadcast only if its counted rows times its row width stay below this; beyond it the join shuffles.
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES, ROW_BYTES = 8 << 20, 48
 #: ASCII white space, the separators of words in every operator here.
 BLANKS = "[\\x20\\x09-\\x0D]+"
 
@@ -51,8 +51,9 @@ class Scratch:
 
 
 def if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df marked for broadcast if its counted size is within the limit, else as it is (a shuffled join)."""
-    return F.broadcast(df) if rows * row_bytes <= limit else df
+    """df marked for broadcast if its counted size is within the limit, else as it is (a shuffled join). A row takes
+    ROW_BYTES in a hash table besides its own."""
+    return F.broadcast(df) if rows * (row_bytes + ROW_BYTES) <= limit else df
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

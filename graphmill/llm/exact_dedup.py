@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.common import BLANKS, BROADCAST_BYTES, Scratch, if_small
+from graphmill.llm.common import BLANKS, BROADCAST_BYTES, ROW_BYTES, Scratch, if_small
 
 #: Normalised code points that the second level hashes.
 PREFIX = 64
@@ -38,7 +38,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     inside = sig.join(if_small(lengths, lengths.count(), 16), "len", "left_semi")
     cells = scratch.write(inside.groupBy("len", "prefix").agg(F.count("*").alias("n")).where(shared).select("len", "prefix"), "cells")
 
-    if cells.count() * 24 <= BROADCAST_BYTES:
+    if cells.count() * (24 + ROW_BYTES) <= BROADCAST_BYTES:
         flagged = rows.join(F.broadcast(cells.withColumn("hit", F.lit(True))), ["len", "prefix"], "left")
     else:
         flagged = rows.withColumn("hit", F.lit(True))
