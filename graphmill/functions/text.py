@@ -11,6 +11,8 @@ from functools import cache, partial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphmill.sources.scratch import materialize
+
 # BM25 and rank-fusion constants, characters and words that queries lose.
 K1, B, RRF_K, LEAST_IDF = 1.2, 0.75, 60, 1e-6
 QUERY_MARKS, QUERY_WORDS = r'{}()[]^~*:"/\+-', ("AND", "OR", "NOT", "NEAR")
@@ -87,7 +89,7 @@ def occurrences(words: Column, phrase: tuple[str, ...], prefix: bool) -> Column:
 def bm25(docs: DataFrame, match: Match | None, id_col: str, text_cols: list[str], where: Column | None = None) -> DataFrame:
     """(id, score) of the docs that have all phrases, over the tokens of all text columns together.
 
-    One scan counts each doc's length and phrases; nothing but these numbers goes on. N, document frequencies and the
+    One scan counts each doc's length and phrases, and writes these numbers; texts are not read again. N, document frequencies and the
     mean length are of all docs; `where` filters results alone. Of phrases in over half of the docs the idf is
     LEAST_IDF.
     """
@@ -96,6 +98,7 @@ def bm25(docs: DataFrame, match: Match | None, id_col: str, text_cols: list[str]
     words = F.flatten(F.array(*(tokens(F.col(c)) for c in text_cols))) if len(text_cols) > 1 else tokens(F.col(text_cols[0]))
     rows = docs.select(F.col(id_col).alias("id"), (where if where is not None else F.lit(True)).alias("shown"), words.alias("words"))
     rows = rows.select("id", "shown", F.size("words").alias("len"), *(occurrences(F.col("words"), p, match.prefix).alias(f"tf{i}") for i, p in enumerate(match.phrases)))
+    rows = materialize(rows, "counts")
     n = range(len(match.phrases))
     stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in n))
     hits = rows.where(F.col("shown"))

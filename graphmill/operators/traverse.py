@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +37,9 @@ def expand(edges: DataFrame, seeds: DataFrame, direction: str = "out", kinds: It
     the shared folder; frontiers are broadcast while their counted size allows. until stops at the level that has this
     id. within keeps the walk to ids of that table.
     """
-    steps = adjacency(edges, direction, kinds)
+    # Every level reads the edges again; they are kept for as long as this runs, and recomputed if an executor is lost.
+    steps = adjacency(edges, direction, kinds).select("at", "next", *(["edge_id"] if paths else []))
+    steps = steps.persist(StorageLevel.MEMORY_AND_DISK) if depth > 1 else steps
     level = seeds.select("id").distinct().select("id", F.lit(0).alias("distance"), *([F.array().cast("array<string>").alias("path")] if paths else []))
     level = materialize(level, "level")
     seen, size = level, level.count()
@@ -52,6 +55,8 @@ def expand(edges: DataFrame, seeds: DataFrame, direction: str = "out", kinds: It
         level = materialize(level, "level")
         size = level.count()
         seen = seen.unionByName(level)
+    if depth > 1:
+        steps.unpersist()
     return seen
 
 

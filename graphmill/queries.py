@@ -445,7 +445,7 @@ def bm25_query(asked: str, limit: int | None = None, where: Any = None) -> Query
 
 
 query("bm25_prefix", bm25_sql(["len(list_filter(w, lambda x: starts_with(x, 'thing')))"]))(bm25_query("thing*"))
-query("bm25_and", bm25_sql([one("erthe"), one("of")]))(bm25_query("erthe AND of"))
+query("bm25_and", bm25_sql([one("thing"), one("of")]))(bm25_query("thing AND of"))
 query("bm25_phrase", bm25_sql(["len(list_filter(range(1, len(w)), lambda i: w[i] = 'in' AND w[i + 1] = 'the'))", one("an")]))(
     lambda spark, d: text.bm25(docs(spark, d), text.Match((("in", "the"), ("an",))), "doc_id", ["text"]).select("id", seven("score").alias("score"))
 )
