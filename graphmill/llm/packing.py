@@ -43,7 +43,7 @@ class WordEncoder:
     needs no context, goes piece by piece to the library's BPE model; any other word goes to the library as it is.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -51,7 +51,7 @@ class WordEncoder:
         self.library.no_padding()
         self.library.no_truncation()
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.words, self.pieces = Memory(self.word), Memory(self.piece, 2 * WORDS // 3)
+        self.words, self.pieces = Memory(self.word, words), Memory(self.piece, 2 * words // 3)
 
     def piece(self, piece: str) -> bytes:
         shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(SHOWN)
@@ -96,16 +96,16 @@ class Memory(dict):
 
 
 @once
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def encoder(path: str, words: int = WORDS) -> WordEncoder:
+    return WordEncoder(path, words)
 
 
-def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chunk: int = CHUNK) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chunk: int = CHUNK, words: int = WORDS) -> DataFrame:
     """(chunk, id, source, tokens, ids): the ids of each text and END, little-endian. Chunks are runs of rows of a
     task, of about `chunk` tokens, so none depends on how keys or sources are spread."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        code = encoder(path)
+        code = encoder(path, words)
         end, width = np.array([END], code.kind).tobytes(), code.kind.itemsize
         at, held = TaskContext.get().partitionId() << 16, 0  # type: ignore[union-attr]
         for batch in batches:
@@ -188,19 +188,20 @@ def sequences(pieces: list[tuple[int, int, int, int]], window: int = WINDOW) ->
                 size = window if sequence < full else (sizes[sequence - full] if sequence - full < len(sizes) else 0)
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", targets: dict[str, float] | None = None) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", targets: dict[str, float] | None = None, words: int = WORDS) -> DataFrame:
     """The pieces of all documents, see PIECES; each id of a document, its end included, is in exactly one.
 
     targets: the wanted share of tokens by source; without it, shares are those that the sources have. Windows follow
     the targets as long as the sources of a chunk last; what a chunk over- or underserves is in the next one's carry,
-    known from sums by chunk and source. Sequence ids hold the chunk and a number in it, so chunks are packed apart.
+    known from sums by chunk and source. words: how many words a worker remembers; more take memory and save time.
+    Sequence ids hold the chunk and a number in it, so chunks are packed apart.
 
     Null texts are empty and give the single id END; null sources are a source; a source without a target is served
     when no other is left. Equal and repeated ids are separate documents. An empty table gives no rows. Other columns
     are ignored.
     """
     scratch = Scratch(docs.sparkSession, "pack")
-    tokens = scratch.write(tokenize(docs, path, id_col, text_col, source_col), "tokens")
+    tokens = scratch.write(tokenize(docs, path, id_col, text_col, source_col, words=words), "tokens")
     if targets is None:
         share = tokens.groupBy("source").agg(F.sum("tokens").alias("n"))
         goal = share.crossJoin(share.agg(F.sum("n").alias("all"))).select(F.col("source").alias("name"), (F.col("n") / F.col("all")).alias("target"))
@@ -210,7 +211,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     def fill(group: pa.Table, carry: pa.Table) -> pa.Table:
         if encoder.cache_info().currsize:
-            encoder(path).forget()
+            encoder(path, words).forget()
         sizes, ids, names = group.column("tokens").to_pylist(), group.column("ids"), group.column("id").to_pylist()
         kind = np.dtype(f"<u{len(ids[0].as_py()) // sizes[0]}") if sizes else np.dtype("<u4")
         debt = {s: (t, c) for s, t, c in zip(*(carry.column(n).to_pylist() for n in ("source", "target", "carry")), strict=True)}
