@@ -1,14 +1,21 @@
-"""Language-model scores from a weighted backoff automaton over smoothed n-grams, with exact corpus counts."""
+"""Language-model scores by weighted backoff over all n-grams of the corpus, and a bounded automaton of frequent ones.
+
+score_texts keeps every n-gram, whatever its count: the automaton's arcs and backoff weights are dealt by hash to
+buckets, and each chunk of texts asks the buckets for those that its traversal meets. fit and compile_automaton build
+the same kind of automaton in one process, from n-grams of a share of KEPT."""
 
 from __future__ import annotations
 
-from collections import Counter
+import struct
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,14 +23,19 @@ from pyspark.sql import functions as F
 from graphmill.llm.common import Scratch, binary_slices, map_rows, text_bytes
 from graphmill.llm.langid import held_out
 
-#: Longest n-grams; share of all training tokens from which a word can stand in n-grams, and from which an n-gram is
-#: kept and a word's count is sent to every task. At most 1 / share items have such a share, in any corpus.
+#: Longest n-grams; for the automaton of one process, the share of all training tokens from which a word can stand in
+#: n-grams, and from which an n-gram is kept. At most 1 / share items have such a share, in any corpus.
 ORDER, VOCABULARY, KEPT = 3, 1e-4, 2e-6
 #: Taken off every kept n-gram's count; added to every unigram's.
 DISCOUNT, ADDED = 0.5, 0.1
-#: Words of a Python worker's count table, tokens counted as n-grams at a time, and text bytes and rare words of a
-#: scoring chunk.
-TABLE, GRAMS, CHUNK, RARE = 400_000, 2_000_000, 32 << 20, 300_000
+#: Words of a Python worker's count table, tokens counted as n-grams at a time, and text bytes of a scoring chunk and,
+#: on average, of a bucket of n-grams.
+TABLE, GRAMS, CHUNK, BUCKET = 400_000, 1_500_000, 9 << 20, 16 << 20
+#: Histories of this share in a sample of about SAMPLE texts, of LEAD bytes each, have their n-grams dealt one by one.
+HOT, SAMPLE, LEAD = 1e-4, 4000, 1 << 14
+#: Hashes of the empty history and of the end and the start of a text; local ids of the latter.
+ROOT, MARKS, SEED = 0x9E3779B97F4A7C15, (0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7), 4
+START = 1
 END = 0
 
 
@@ -218,14 +230,148 @@ def fit(scratch: Scratch, docs: DataFrame, order: int = ORDER) -> tuple[Model, D
     return model, counts
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers from 0 as their count, their width in bytes, and the bytes, compressed, the lowest of each first."""
+    wide = np.ascontiguousarray(x, "<u8")
+    width = max(1, -(-int(wide.max(initial=0)).bit_length() // 8))
+    planes = wide.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return struct.pack("<QB", len(x), width) + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n, width = struct.unpack_from("<QB", data)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(pa.decompress(data[9:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return out.reshape(-1).view("<u8")
+
+
+def joined(blobs: list[bytes], kind: type = np.int64) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(unpacked(x).astype(kind) for x in blobs)])
+
+
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hashes of histories a followed by words b."""
+    x = a * np.uint64(0x2545F4914F6CDD1D) + b
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+@dataclass
+class Level:
+    """A chunk's distinct n-grams of one order, sorted by history. first: index of the history among `known`, the hashes
+    of histories; word, key: hashes of the last word and of all; which: the n-gram at each token, -1 for none."""
+
+    first: np.ndarray
+    known: np.ndarray
+    word: np.ndarray
+    key: np.ndarray
+    which: np.ndarray
+
+    def dealt(self, hot: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The n-grams' order by bucket, their buckets in it, and where in it runs of one bucket and history begin. A
+        history's n-grams share a bucket, except a hot one's."""
+        history = self.known[self.first]
+        bucket = (np.where(np.isin(history, hot), self.key, history) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((history, bucket))
+        bucket, first = bucket[order], self.first[order]
+        return order, bucket, np.flatnonzero(np.r_[True, (np.diff(bucket) != 0) | (np.diff(first) != 0)][: len(order)])
+
+
+def levels(tokens: np.ndarray, hashes: np.ndarray, order: int) -> Iterator[Level]:
+    """By order, from 1, of texts of local ids that each begin with START and end with END."""
+    at = np.flatnonzero(tokens != START)
+    word, before = tokens[at].astype(np.int64), tokens[at - 1].astype(np.int64)
+    of, known, key = np.zeros(len(at), np.int64), np.array([ROOT], np.uint64), hashes
+    for k in range(1, order + 1):
+        if k == 2:
+            of, known = before, hashes
+        elif k > 2:
+            of, known = np.where(before != START, np.r_[-1, which[:-1]], -1), key  # noqa: F821
+        ok = of >= 0
+        distinct, found = np.unique(of[ok] * len(hashes) + word[ok], return_inverse=True)
+        which = np.full(len(at), -1, np.int64)
+        which[ok] = found
+        first, last = np.divmod(distinct, len(hashes))
+        key = mixed(known[first], hashes[last])
+        yield Level(first, known, hashes[last], key, which)
+
+
+def chunks_of(rows: DataFrame) -> DataFrame:
+    """Rows of (id, held, data) in chunks of bounded size, each a row of local word ids, the words' hashes, and by text
+    the id, held and the number of tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        chunk = TaskContext.get().partitionId() << 24  # type: ignore[union-attr]
+
+        def blank() -> tuple[defaultdict, list, list, list, list]:
+            local: defaultdict[bytes | int, int] = defaultdict()
+            local.default_factory = local.__len__
+            return local, [], [], [], []
+
+        def closed() -> dict:
+            hashes = np.array([*MARKS, *(xxhash.xxh64_intdigest(w, SEED) for w in list(local)[2:])], "<u8")
+            trained = sum(n for n, h in zip(lengths, held, strict=True) if not h)
+            row = {"chunk": chunk, "id": ids, "held": held, "length": lengths, "tokens": packed(np.concatenate(tokens)), "hashes": hashes.tobytes(), "trained": trained}
+            return {k: [v] for k, v in row.items()}
+
+        local, ids, held, lengths, tokens = blank()
+        size = count = 0
+        for batch in batches:
+            for doc_id, out, data in zip(batch.column("id").to_pylist(), batch.column("held").to_pylist(), binary_slices(batch.column("data")), strict=True):
+                if not local:
+                    local[END], local[START]
+                words = words_of(data)
+                tokens.append(np.array([START, *map(local.__getitem__, words), END], "<i4"))
+                ids.append(doc_id)
+                held.append(out)
+                lengths.append(len(words) + 1)
+                size, count = size + len(data), count + len(words) + 1
+                if size > CHUNK or count > GRAMS:
+                    yield closed()
+                    local, ids, held, lengths, tokens = blank()
+                    size, count, chunk = 0, 0, chunk + 1
+        if ids:
+            yield closed()
+
+    return map_rows(rows, "chunk long, id array<long>, held array<boolean>, length array<int>, tokens binary, hashes binary, trained long", run)
+
+
+def opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return unpacked(row["tokens"]).astype(np.int32), np.frombuffer(row["hashes"], "<u8"), np.array(row["held"], bool), np.array(row["length"], np.int64)
+
+
+def hot_histories(rows: DataFrame, texts: int, order: int) -> np.ndarray:
+    """Hashes of histories that a sample shows to be frequent. They decide where n-grams are counted, not which."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                tokens, hashes, _, lengths = opened(row)
+                yield {"history": np.array([ROOT], np.uint64).view(np.int64), "n": [int(lengths.sum())]}
+                for k, level in enumerate(levels(tokens, hashes, order - 1), 1):
+                    n = np.bincount(level.which[level.which >= 0], minlength=len(level.key))
+                    yield {"history": (level.word if k == 1 else level.key)[n > 1].view(np.int64), "n": n[n > 1]}
+                yield {"history": hashes[START : START + 1].view(np.int64), "n": [len(lengths)]}
+
+    part = rows.where(F.pmod(F.xxhash64("id", "data"), F.lit(max(1, texts // SAMPLE))) == 0).withColumn("data", F.substring("data", 1, LEAD))
+    seen = map_rows(chunks_of(part), "history long, n long", run).groupBy("history").agg(F.sum("n").alias("n"))
+    total = F.max(F.when(F.col("history") == int(np.array([ROOT], np.uint64).view(np.int64)[0]), F.col("n")))
+    frequent = seen.orderBy(F.desc("n")).limit(int(order / HOT))
+    least = HOT * (seen.agg(total).first()[0] or 0) if texts else 0
+    return np.array(sorted({int(np.int64(r["history"]).view(np.uint64)) for r in frequent.where(F.col("n") >= least).collect()} | {ROOT}), np.uint64)
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, order: int = ORDER) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs; learned from rows
     whose crc32(id as text) mod folds is not 0.
 
-    Word counts cover all training rows and all words. Words with a share of KEPT, at most 1 / KEPT of them, go to
-    every task with the n-grams, which are as bounded. Other words are numbered within chunks of rows; each chunk's
-    distinct words are joined with the counts and go back to the chunk, so neither texts nor single occurrences are
-    shuffled, and no key has more rows than there are chunks.
+    All words and all n-grams of training rows count, single ones too. A chunk of rows sends its distinct n-grams, with
+    how often its training rows have each, to buckets by the hash of the history; a bucket adds up and answers each
+    chunk with the counts and with how many words follow a history. So neither texts nor single occurrences are
+    shuffled. Histories that a sample shows to be frequent have their n-grams dealt one by one and what follows them
+    added up at the end. Chunks and buckets are of bounded size on average, at any size of the corpus. N-grams are told
+    apart by 64-bit hashes: of 5e9 distinct ones, a pair or so is expected to share one.
 
     Null and empty texts are the end alone. Null ids count as training rows. Repeated rows count and are scored as
     often as they occur. Without training rows every token has the same probability. An empty table gives an empty
@@ -233,62 +379,98 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     scratch = Scratch(docs.sparkSession, "lm")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out(id_col, folds).alias("held"), text_bytes(F.col(text_col)).alias("data"))
-    model, counts = fit(scratch, rows.where(~F.col("held")).select("data"), order)
-    net = compile_automaton(model)
-
-    def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        uni, inner = model.log_unigram(model.counts), model.width - 1
-        chunk, rare, size = TaskContext.get().partitionId() << 20, {}, 0  # type: ignore[union-attr]
-        blank = lambda: {k: [] for k in ("chunk", "id", "held", "tokens", "known", "base", "score", "rare", "words")}
-        out, waiting = blank(), 0
-
-        def closed() -> dict:
-            words = list(rare)
-            return {k: [None] for k in out} | {"chunk": [chunk], "words": [words]}
+    texts, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()
+    buckets, hot = 1 + size // BUCKET, hot_histories(rows, texts, order)
+    chunks = scratch.write(chunks_of(rows), "chunks")
+    total = chunks.agg(F.coalesce(F.sum("trained"), F.lit(0))).first()[0]
 
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            for doc_id, held, data in zip(batch.column("id").to_pylist(), batch.column("held").to_pylist(), binary_slices(batch.column("data")), strict=True):
-                words = words_of(data)
-                ids = model.look_up(words)
-                near = ids >= 0
-                listed = [rare.setdefault(words[i], len(rare)) for i in np.flatnonzero(~near).tolist()]
-                inside = near & (ids < inner)
-                outer = float(uni[ids[near & ~inside]].sum())
-                base = float(uni[ids[inside]].sum()) + outer
-                value = net.score(np.where(inside, ids, -1).tolist()) + outer
-                for k, v in zip(out, (chunk, doc_id, held, len(ids), int((model.counts[ids[near]] > 0).sum()), base, value, np.array(listed, "<i4").tobytes(), None), strict=True):
-                    out[k].append(v)
-                size += len(data)
-                waiting += 100 + 4 * len(listed)
-                if waiting > 4 << 20:
-                    yield out
-                    out, waiting = blank(), 0
-                if size > CHUNK or len(rare) > RARE:
-                    yield closed()
-                    yield out
-                    out, waiting = blank(), 0
-                    chunk, rare, size = chunk + 1, {}, 0
-        yield closed()
-        yield out
-
-    scored = scratch.write(map_rows(rows, "chunk long, id long, held boolean, tokens long, known long, base double, score double, rare binary, words array<binary>", traverse), "scored")
-    asked = scored.where(F.col("words").isNotNull()).select("chunk", F.posexplode("words").alias("at", "word"))
-    answers = asked.join(counts, "word").select(F.col("chunk").alias("of"), "at", "n")
-    texts = scored.where(F.col("words").isNull()).drop("words")
-
-    def finish(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        lists = docs.column("rare").to_pylist()
-        flat = np.frombuffer(b"".join(lists), "<i4")
-        seen = np.zeros(int(flat.max()) + 1 if len(flat) else 0, np.int64)
-        seen[answers.column("at").to_numpy()] = answers.column("n").to_numpy()
-        owner = np.repeat(np.arange(len(lists)), [len(x) // 4 for x in lists])
-        more = np.bincount(owner, model.log_unigram(seen)[flat], len(lists))
-        known = np.bincount(owner, seen[flat] > 0, len(lists)).astype(np.int64)
-        column = lambda c: docs.column(c).to_numpy()
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                tokens, hashes, held, lengths = opened(row)
+                train = np.repeat(~held, lengths)
+                for k, level in enumerate(levels(tokens, hashes, order), 1):
+                    n = np.bincount(level.which[train & (level.which >= 0)], minlength=len(level.key))
+                    by, bucket, runs = level.dealt(hot, buckets)
+                    n, word, history, long = n[by], level.word[by], level.known[level.first[by[runs]]], np.diff(np.r_[runs, len(by)])
+                    named = np.unique(bucket)
+                    cuts, starts = np.searchsorted(bucket, np.r_[named, buckets]), np.searchsorted(bucket[runs], np.r_[named, buckets])
+                    for j, b in enumerate(named.tolist()):
+                        part, run = slice(cuts[j], cuts[j + 1]), slice(starts[j], starts[j + 1])
+                        sent = {"chunk": row["chunk"], "k": k, "bucket": b, "history": packed(np.diff(history[run], prepend=np.uint64(0))), "long": packed(long[run]), "n": packed(n[part])}
+                        words, at_word = np.unique(word[part], return_inverse=True)
+                        sent |= {"words": packed(np.diff(words, prepend=np.uint64(0))), "word": packed(at_word)}
+                        yield {c: [v] for c, v in sent.items()}
+
+    def count(group: pa.Table) -> pa.Table:
+        k, bucket = group.column("k")[0].as_py(), group.column("bucket")[0].as_py()
+        column = lambda c: group.column(c).to_pylist()
+        undone = lambda blob: np.cumsum(unpacked(blob), dtype=np.uint64)
+        parts = [undone(x) for x in column("history")]
+        runs, history = [len(x) for x in parts], np.concatenate(parts)
+        parts = [undone(x)[unpacked(y).astype(np.int64)] for x, y in zip(column("words"), column("word"), strict=True)]
+        grams, word = [len(x) for x in parts], np.concatenate(parts)
+        del parts
+        distinct, of = np.unique(history, return_inverse=True)
+        of_each = np.repeat(of, joined(column("long")))
+        keys, at, found = np.unique(mixed(distinct[of_each], word), return_index=True, return_inverse=True)
+        sums = np.bincount(found, joined(column("n")), len(keys)).astype(np.int64)
+        follow = np.bincount(of_each[at][sums > 0], minlength=len(distinct))
+        wide = np.flatnonzero(np.isin(distinct, hot))
+        cut = lambda x, parts: [packed(y) for y in np.split(x, np.cumsum(parts)[:-1])]
+        m, w = group.num_rows, len(wide)
+        return pa.table({
+            "chunk": pa.array(group.column("chunk").to_pylist() + [None] * w, pa.int64()), "k": pa.array([k] * (m + w), pa.int32()), "bucket": pa.array([bucket] * (m + w), pa.int32()),
+            "sums": pa.array(cut(sums[found], grams) + [None] * w, pa.binary()), "follow": pa.array(cut(follow[of], runs) + [None] * w, pa.binary()),
+            "history": pa.array([None] * m + distinct[wide].view(np.int64).tolist(), pa.int64()), "wide": pa.array([None] * m + follow[wide].tolist(), pa.int64()),
+        })
+
+    asked = map_rows(chunks, "chunk long, k int, bucket int, history binary, long binary, n binary, words binary, word binary", ask)
+    schema = "chunk long, k int, bucket int, sums binary, follow binary, history long, wide long"
+    answers = scratch.write(asked.groupBy("k", "bucket").applyInArrow(count, schema), "answers")
+    # Words and longer histories hash apart, so one table holds those of all orders.
+    summed = answers.where(F.col("chunk").isNull()).groupBy("history").agg(F.sum("wide").alias("n")).collect()
+    wide = dict(zip(hot.tolist(), [0] * len(hot), strict=True)) | {int(np.int64(r["history"]).view(np.uint64)): r["n"] for r in summed}
+    after, known_words = np.array([wide[h] for h in hot.tolist()], np.int64), wide[ROOT]
+
+    def finish(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        row = chunk.to_pylist()[0]
+        tokens, hashes, held, lengths = opened(row)
+        told = answers.sort_by("bucket")
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        counts = by_word = prob = base = known = np.zeros(0)
+        for k, level in enumerate(levels(tokens, hashes, order), 1):
+            mine = told.filter(pa.compute.equal(told.column("k"), k))
+            column = lambda c: mine.column(c).to_pylist()  # noqa: B023, E731
+            by, _, runs = level.dealt(hot, buckets)
+            below, counts = counts, np.zeros(len(by), np.int64)
+            counts[by] = joined(column("sums"))
+            ok = level.which >= 0
+            at = level.which[ok]
+            if k == 1:
+                prob = ((counts + ADDED) / (total + ADDED * (known_words + 1)))[at]
+                base, known = np.log10(prob), counts[at] > 0
+                by_word = np.zeros(len(hashes), np.int64)
+                by_word[tokens[tokens != START]] = counts[at]
+                by_word[START] = by_word[END]
+                continue
+            history = level.known[level.first]
+            follow = np.zeros(len(by), np.int64)
+            follow[by] = np.repeat(joined(column("follow")), np.diff(np.r_[runs, len(by)]))
+            place = np.minimum(np.searchsorted(hot, history), len(hot) - 1)
+            follow = np.where(hot[place] == history, after[place], follow)
+            # Interpolated absolute discounting; a history that training rows don't have leaves all to the shorter one.
+            seen = (by_word if k == 2 else below)[level.first]
+            own = np.maximum(counts - DISCOUNT, 0) / np.maximum(seen, 1)
+            rest = np.where(seen > 0, DISCOUNT * follow / np.maximum(seen, 1), 1)
+            prob[ok] = own[at] + rest[at] * prob[ok]
+        add = lambda x: np.bincount(owner, x, len(lengths))
         return pa.table({
-            "id": docs.column("id"), "held_out": docs.column("held"), "n_tokens": docs.column("tokens"), "n_known": column("known") + known,
-            "train_tokens": np.full(len(lists), model.total, np.int64), "base_score": column("base") + more, "score": column("score") + more,
+            "id": pa.array(row["id"], pa.int64()), "held_out": held, "n_tokens": lengths, "n_known": add(known).astype(np.int64),
+            "train_tokens": np.full(len(lengths), total, np.int64), "base_score": add(base), "score": add(np.log10(prob)),
         })
 
     schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(finish, schema).withColumnRenamed("id", id_col)
+    told = answers.where(F.col("chunk").isNotNull()).drop("history", "wide").withColumnRenamed("chunk", "of")
+    return chunks.groupBy("chunk").cogroup(told.groupBy("of")).applyInArrow(finish, schema).withColumnRenamed("id", id_col)

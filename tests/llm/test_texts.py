@@ -159,6 +159,48 @@ def test_automaton_is_a_distribution(spark, sample):
         assert total == pytest.approx(1, abs=1e-6)
 
 
+def brute_scores(texts, order=3):
+    """log10 probabilities by interpolated absolute discounting over all n-grams, one token at a time."""
+    counts, follow = Counter(), Counter()
+    for i, t in texts:
+        if crc(i) % 10:
+            line = ["<s>", *(t or "").encode().lower().split(), None]
+            for at in range(1, len(line)):
+                for k in range(min(order - 1, at) + 1):
+                    follow[tuple(line[at - k : at])] += not counts[tuple(line[at - k : at + 1])]
+                    counts[tuple(line[at - k : at + 1])] += 1
+    total = sum(n for g, n in counts.items() if len(g) == 1)
+    counts[("<s>",)] = counts[(None,)]
+
+    def prob(h, w):
+        if not h:
+            return (counts[(w,)] + 0.1) / (total + 0.1 * (follow[()] + 1))
+        if not counts[h]:
+            return prob(h[1:], w)
+        return max(counts[(*h, w)] - 0.5, 0) / counts[h] + 0.5 * follow[h] / counts[h] * prob(h[1:], w)
+
+    out = {}
+    for i, t in texts:
+        line = ["<s>", *(t or "").encode().lower().split(), None]
+        out[i] = sum(log10(prob(tuple(line[max(0, at - order + 1) : at]), line[at])) for at in range(1, len(line)))
+    return out
+
+
+def test_lm_keeps_every_ngram(spark, sample, monkeypatch):
+    # Rare words that stand together in few texts; few tokens a chunk, many buckets, and some histories dealt one by one.
+    monkeypatch.setattr(ngram_lm, "GRAMS", 5000)
+    monkeypatch.setattr(ngram_lm, "BUCKET", 20_000)
+    monkeypatch.setattr(ngram_lm, "HOT", 0.005)
+    rare = [(10_000 + i, f"qx{i % 7} zv{i % 7} kj{i % 7} wq{i % 7}") for i in range(14)]
+    texts = [(r["doc_id"], r["text"]) for r in sample.collect()] + rare
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    for order in (3, 4):
+        rows = ngram_lm.score_texts(df, order=order).collect()
+        check_scores(rows, texts)
+        want = brute_scores(texts, order)
+        assert all(r["score"] == pytest.approx(want[r["doc_id"]], rel=1e-9) for r in rows)
+
+
 # Personal data
 
 
