@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache as once
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,6 +91,20 @@ def arrow_schema(schema: str | T.StructType) -> pa.Schema:
     return to_arrow_schema(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
 
+@once
+def system_library() -> ctypes.CDLL:
+    return ctypes.CDLL(None)
+
+
+def settle() -> None:
+    """Gives freed memory back to the system: workers are reused, and what their allocators hold on to counts against the
+    executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(system_library(), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_rows(df: DataFrame, schema: str, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]]) -> DataFrame:
     """mapInArrow whose function yields columns as a dict of lists or arrays, in the order and types of the DDL schema."""
     into = arrow_schema(schema)
@@ -96,8 +112,7 @@ def map_rows(df: DataFrame, schema: str, rows: Callable[[Iterator[pa.RecordBatch
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in rows(batches):
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) and c.type == f.type else pa.array(c, f.type) for c, f in zip((columns[f.name] for f in into), into, strict=True)], schema=into)
-        # Workers are reused, and what the pool holds on to counts against the executor.
-        pa.default_memory_pool().release_unused()
+        settle()
 
     return df.mapInArrow(run, schema)
 

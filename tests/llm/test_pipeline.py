@@ -10,7 +10,7 @@ import corpus_pipeline as pipeline
 from graphmill.llm import near_dedup
 from graphmill.llm.common import BLANKS, Scratch
 from tests.llm.conftest import SMALL, TEXTS
-from tests.llm.test_copies import brute_fingerprint, norm, roots
+from tests.llm.test_copies import norm, roots
 from tests.llm.test_texts import check_pieces
 
 
@@ -56,9 +56,9 @@ def brute_kept(texts):
     return sorted(i for i in sets if root[i] == i)
 
 
-@pytest.mark.parametrize("all_pairs", [32, 2])
-def test_near_copies_down_to_four_fifths(spark, sample, monkeypatch, all_pairs):
-    monkeypatch.setattr(near_dedup, "ALL_PAIRS", all_pairs)
+@pytest.mark.parametrize("shingles", [1 << 20, 900])
+def test_near_copies_down_to_four_fifths(spark, sample, monkeypatch, shingles):
+    monkeypatch.setattr(near_dedup, "SHINGLES", shingles)
     draw = random.Random(3)
     texts = [(r["doc_id"], r["text"]) for r in sample.collect()]
     for k in range(12):
@@ -69,10 +69,8 @@ def test_near_copies_down_to_four_fifths(spark, sample, monkeypatch, all_pairs):
     texts += [(20_000, "one two"), (20_001, "One  two"), (20_002, "one two three four five"), (20_003, "")]
     df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
     kept = sorted(r["doc_id"] for r in run_stage(spark, df, "simhash_dedup").collect())
-    want = brute_kept(texts)
-    assert 145 not in kept and 177 not in kept and set(want) <= set(kept)
-    # Where all cells go by leaders, a chain can come apart; where none does, nothing is missed.
-    assert kept == want if all_pairs == 32 else len(kept) - len(want) <= 0.02 * len(texts)
+    # With small limits, cells are dealt anew and by pairs of blocks; nothing is missed either way.
+    assert 145 not in kept and 177 not in kept and kept == brute_kept(texts)
 
 
 def test_whole_pipeline(spark, sample):
@@ -83,9 +81,7 @@ def test_whole_pipeline(spark, sample):
         if any(c.isalpha() for c in r["text"]):
             groups.setdefault(norm(r["text"]), []).append((-len(r["text"]), r["doc_id"], r["text"]))
     kept = {min(g)[1]: min(g)[2] for g in groups.values()}
-    prints = {i: brute_fingerprint(t) for i, t in kept.items()}
-    root = roots(prints, [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 2])
-    kept = {i: t for i, t in kept.items() if root[i] == i}
+    kept = {i: kept[i] for i in brute_kept(kept.items())}
     from graphmill.llm import pii
 
     def mask(text):
