@@ -20,8 +20,8 @@ from graphmill.llm.packing import HIDDEN, Memory
 SPACE = r"\t-\r \x85\xa0  -     　"
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 NEVER = 1 << 62
-#: Words and pairs that a Python worker remembers.
-WORDS, PAIRS = 600_000, 1_000_000
+#: Bytes of words, and pairs, that a Python worker remembers.
+WORDS, PAIRS = 120 << 20, 1_000_000
 
 
 class Codec:

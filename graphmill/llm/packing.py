@@ -8,6 +8,7 @@ import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from functools import cache as once
+from sys import getsizeof
 from typing import Any
 
 import numpy as np
@@ -17,14 +18,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphmill.llm.common import Scratch, binary_slices, map_rows, text_bytes
+from graphmill.llm.common import Scratch, binary_slices, map_rows, settle, text_bytes
 
-#: Tokens of a sequence; tokens after which a chunk of documents is closed; id that ends a document.
+#: Tokens of a sequence; tokens that a chunk of documents holds on average; id that ends a document.
 WINDOW, CHUNK, END = 2048, 1 << 21, 1
-#: A source with less credit than this waits for the next round, unless its document ends sooner.
-LEAST = 32
-#: Words, and pieces, that a Python worker remembers, and their longest.
-WORDS, LONGEST = 600_000, 48
+#: A source with less credit than this waits for the next round, unless its document ends sooner; the share of its part
+#: of a round that a source may catch up or give back.
+LEAST, SWAY = 32, 0.1
+#: Bytes of words that a Python worker remembers, a third more being for their pieces; what an entry takes besides its key
+#: and value; the longest word that is kept.
+WORDS, ENTRY, LONGEST = 150 << 20, 180, 48
+#: Chunks whose sums are added up together before running sums go over all of them.
+BATCH = 1024
 #: The tokenizer's split, words whose lower case and NFC are plain, and how byte-level BPE shows bytes.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 PLAIN = re.compile(r"[\x21-\x7e\u00a1-\u024f]*")
@@ -51,7 +56,7 @@ class WordEncoder:
         self.library.no_padding()
         self.library.no_truncation()
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.words, self.pieces = Memory(self.word, words), Memory(self.piece, 2 * words // 3)
+        self.words, self.pieces = Memory(self.word, words), Memory(self.piece, words // 3)
 
     def piece(self, piece: str) -> bytes:
         shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(SHOWN)
@@ -80,61 +85,70 @@ class WordEncoder:
 
 
 class Memory(dict):
-    """Values of `make` by key, forgotten all at once when there are too many; long keys are never kept."""
+    """Values of `make` by key, all forgotten when they take more than `limit` bytes; long keys are never kept."""
 
     def __init__(self, make: Callable, limit: int = WORDS):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.held = make, limit, 0
 
-    def __missing__(self, key: Any) -> bytes:
+    def __missing__(self, key: Any) -> Any:
         value = self.make(key)
         if len(key) <= LONGEST:
-            if len(self) >= self.limit:
+            if self.held >= self.limit:
                 self.clear()
             self[key] = value
+            self.held += ENTRY + len(key) + getsizeof(value)
         return value
 
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
 
 @once
 def encoder(path: str, words: int = WORDS) -> WordEncoder:
     return WordEncoder(path, words)
 
 
-def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chunk: int = CHUNK, words: int = WORDS) -> DataFrame:
-    """(chunk, id, source, tokens, ids): the ids of each text and END, little-endian. Chunks are runs of rows of a
-    task, of about `chunk` tokens, so none depends on how keys or sources are spread."""
+def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", words: int = WORDS) -> DataFrame:
+    """(row, id, source, tokens, ids): the ids of each text and END, little-endian; row tells all rows apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         code = encoder(path, words)
         end, width = np.array([END], code.kind).tobytes(), code.kind.itemsize
-        at, held = TaskContext.get().partitionId() << 16, 0  # type: ignore[union-attr]
+        at = TaskContext.get().partitionId() << 36  # type: ignore[union-attr]
         for batch in batches:
-            size, begun = 0, 0
-            ids, chunks = [], []
+            size, begun, ids = 0, 0, []
             for row, data in enumerate(binary_slices(batch.column("data"))):
                 ids.append(code.encode(data) + end)
-                chunks.append(at)
-                held += len(ids[-1]) // width
                 size += len(ids[-1])
-                if held >= chunk:
-                    at, held = at + 1, 0
                 if size > 8 << 20 or row + 1 == batch.num_rows:
                     part = batch.slice(begun, row + 1 - begun)
-                    yield {"chunk": chunks, "id": part.column("id"), "source": part.column("source"), "tokens": [len(x) // width for x in ids], "ids": ids}
-                    ids, chunks, size, begun = [], [], 0, row + 1
+                    yield {"row": np.arange(at, at + len(ids)), "id": part.column("id"), "source": part.column("source"), "tokens": [len(x) // width for x in ids], "ids": ids}
+                    at, ids, size, begun = at + len(ids), [], 0, row + 1
+        code.forget()
 
     source = F.col(source_col).cast("string") if source_col in docs.columns else F.lit(None).cast("string")
-    return map_rows(docs.select(F.col(id_col).cast("long").alias("id"), source.alias("source"), text_bytes(F.col(text_col)).alias("data")), "chunk long, id long, source string, tokens long, ids binary", run)
+    return map_rows(docs.select(F.col(id_col).cast("long").alias("id"), source.alias("source"), text_bytes(F.col(text_col)).alias("data")), "row long, id long, source string, tokens long, ids binary", run)
+
+
+def running(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """df (chunk, keys, value) with the sum of value over all earlier chunks of the same keys. Chunks are added up in
+    batches first, so that no task sorts them all."""
+    earlier = lambda v, w: F.coalesce(F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    df = df.withColumn("batch", F.floor(F.col("chunk") / BATCH))
+    sums = df.groupBy(*keys, "batch").agg(F.sum(value).alias("s"))
+    sums = sums.select(*keys, "batch", earlier("s", Window.partitionBy(*keys).orderBy("batch")).alias("s"))
+    inside = df.withColumn("inside", earlier(value, Window.partitionBy(*keys, "batch").orderBy("chunk")))
+    return inside.join(sums, [*keys, "batch"]).withColumn(out, F.col("inside") + F.col("s")).drop("inside", "s", "batch")
 
 
 def carries(tokens: DataFrame, targets: DataFrame) -> DataFrame:
     """(chunk, source, target, carry): what each source of a chunk is owed from all earlier chunks, in tokens: its
     target share of what they hold, less what they hold of it. Sums by chunk and source stand for the rows."""
-    held = tokens.groupBy("chunk", "source").agg(F.sum("tokens").alias("n"))
-    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    earlier = held.groupBy("chunk").agg(F.sum("n").alias("n")).select("chunk", before(Window.orderBy("chunk")).alias("total"))
-    served = held.select("chunk", "source", before(Window.partitionBy("source").orderBy("chunk")).alias("served"))
-    owed = served.join(earlier, "chunk").join(targets, served["source"].eqNullSafe(targets["name"]), "left")
+    held = tokens.groupBy("chunk", "source").agg(F.sum("tokens").alias("n")).withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")))
+    earlier = running(held.groupBy("chunk").agg(F.sum("n").alias("n")), [], "n", "total").select("chunk", "total")
+    owed = running(held, ["key"], "n", "served").join(earlier, "chunk").join(targets, F.col("source").eqNullSafe(F.col("name")), "left")
     share = F.coalesce("target", F.lit(0.0))
     return owed.select("chunk", "source", share.alias("target"), (share * F.col("total") - F.col("served")).cast("double").alias("carry"))
 
@@ -144,14 +158,18 @@ def serve(lengths: list[list[int]], target: list[float], carry: list[float], win
 
     lengths: of each source's queued documents. In each round every source that has documents left gets its share of a
     window as credit, shares being taken among such sources, and spends what credit it has; credit and debt go on to
-    the next round and window.
+    the next round and window. The carry from earlier chunks is paid off in parts of at most SWAY of a round's credit,
+    so that it sways no window far from the targets.
     """
-    credit, head, done = list(carry), [0] * len(lengths), [0] * len(lengths)
+    credit, owed, head, done = [0.0] * len(lengths), list(carry), [0] * len(lengths), [0] * len(lengths)
     active, room = [s for s in range(len(lengths)) if lengths[s]], window
     while active:
         whole = sum(target[s] for s in active)
         for s in active:
-            credit[s] += window * (target[s] / whole if whole else 1 / len(active))
+            quantum = window * (target[s] / whole if whole else 1 / len(active))
+            paid = min(max(owed[s], -SWAY * quantum), SWAY * quantum)
+            owed[s] -= paid
+            credit[s] += quantum + paid
             while head[s] < len(lengths[s]):
                 left = lengths[s][head[s]] - done[s]
                 take = min(left, int(credit[s]))
@@ -188,20 +206,23 @@ def sequences(pieces: list[tuple[int, int, int, int]], window: int = WINDOW) ->
                 size = window if sequence < full else (sizes[sequence - full] if sequence - full < len(sizes) else 0)
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", targets: dict[str, float] | None = None, words: int = WORDS) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", targets: dict[str, float] | None = None, words: int = WORDS, chunk: int = CHUNK) -> DataFrame:
     """The pieces of all documents, see PIECES; each id of a document, its end included, is in exactly one.
 
-    targets: the wanted share of tokens by source; without it, shares are those that the sources have. Windows follow
-    the targets as long as the sources of a chunk last; what a chunk over- or underserves is in the next one's carry,
-    known from sums by chunk and source. words: how many words a worker remembers; more take memory and save time.
-    Sequence ids hold the chunk and a number in it, so chunks are packed apart.
+    targets: the wanted share of tokens by source; without it, shares are those that the sources have. Documents are
+    dealt by a hash of their place to chunks of `chunk` tokens on average, so that each holds its part of every source,
+    however the table is laid out. Windows follow the targets as long as the sources of a chunk last; what a chunk over-
+    or underserves is in the next one's carry, known from sums by chunk and source. words: bytes of words that a worker
+    remembers; more save time. Sequence ids hold the chunk and a number in it, so chunks are packed apart.
 
     Null texts are empty and give the single id END; null sources are a source; a source without a target is served
     when no other is left. Equal and repeated ids are separate documents. An empty table gives no rows. Other columns
     are ignored.
     """
     scratch = Scratch(docs.sparkSession, "pack")
-    tokens = scratch.write(tokenize(docs, path, id_col, text_col, source_col, words=words), "tokens")
+    tokens = scratch.write(tokenize(docs, path, id_col, text_col, source_col, words), "tokens")
+    total = tokens.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    tokens = tokens.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(1 + total // chunk)))
     if targets is None:
         share = tokens.groupBy("source").agg(F.sum("tokens").alias("n"))
         goal = share.crossJoin(share.agg(F.sum("n").alias("all"))).select(F.col("source").alias("name"), (F.col("n") / F.col("all")).alias("target"))
@@ -210,14 +231,12 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     owed = scratch.write(carries(tokens, scratch.write(goal, "targets")), "carries")
 
     def fill(group: pa.Table, carry: pa.Table) -> pa.Table:
-        if encoder.cache_info().currsize:
-            encoder(path, words).forget()
         sizes, ids, names = group.column("tokens").to_pylist(), group.column("ids"), group.column("id").to_pylist()
         kind = np.dtype(f"<u{len(ids[0].as_py()) // sizes[0]}") if sizes else np.dtype("<u4")
         debt = {s: (t, c) for s, t, c in zip(*(carry.column(n).to_pylist() for n in ("source", "target", "carry")), strict=True)}
-        order = group.append_column("row", pa.array(np.arange(len(group)))).select(["source", "id", "tokens", "row"]).sort_by([("source", "ascending"), ("id", "ascending"), ("tokens", "ascending")])
+        order = group.append_column("at", pa.array(np.arange(len(group)))).select(["source", "id", "tokens", "at"]).sort_by([("source", "ascending"), ("id", "ascending"), ("tokens", "ascending")])
         queues: dict[str | None, list[int]] = {}
-        for s, row in zip(order.column("source").to_pylist(), order.column("row").to_pylist(), strict=True):
+        for s, row in zip(order.column("source").to_pylist(), order.column("at").to_pylist(), strict=True):
             queues.setdefault(s, []).append(row)
         rows = list(queues.values())
         shares = [debt.get(s, (0.0, 0.0)) for s in queues]
@@ -233,6 +252,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 out[k].append(v)
             if start + length == sizes[r]:
                 del wide[r]
+        settle()
         return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
     return tokens.groupBy("chunk").cogroup(owed.groupBy("chunk")).applyInArrow(fill, PIECES).withColumnRenamed("doc_id", id_col)

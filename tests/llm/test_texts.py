@@ -349,6 +349,39 @@ def test_mixture_follows_targets():
     assert all(abs(served[s][w] - 2048 * target[s]) < 300 for s in range(3) for w in middle)
 
 
+@pytest.mark.parametrize("owed", [0.0, 3e5, -3e5])
+def test_carries_sway_no_window_far(owed):
+    lengths, served, at = [[700] * 300, [90] * 2333], [Counter(), Counter()], 0
+    for s, _, _, n in packing.serve(lengths, [0.5, 0.5], [owed, -owed]):
+        served[s][at // 2048] += n
+        at += n
+    assert all(abs(served[s][w] - 1024) < 0.15 * 2048 for s in (0, 1) for w in range(1, at // 2048 * 4 // 5))
+
+
+def test_tables_laid_out_by_source_are_mixed(spark):
+    rows = [(i, f"w{i % 7} " * (50 + i % 90), "abc"[i // 1000]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(3)
+    of = {i: s for i, _, s in rows}
+    pieces = packing.pack(df, WORD, chunk=1 << 17).collect()
+    windows: dict = {}
+    for r in pieces:
+        windows.setdefault(r["sequence_id"], Counter())[of[r["doc_id"]]] += r["length"]
+    chunks: dict = {}
+    for k, w in windows.items():
+        chunks.setdefault(k >> 26, []).append((k, w))
+    assert len(chunks) >= 2
+    for part in chunks.values():
+        early = [w for _, w in sorted(part, key=lambda x: x[0])][1 : len(part) * 3 // 4]
+        assert early and all(abs(w[s] - 2048 / 3) < 0.15 * 2048 for w in early for s in "abc")
+
+
+def test_memory_is_bounded_in_bytes():
+    words = packing.Memory(lambda k: b"x" * 100, 10_000)
+    for i in range(1000):
+        assert words[b"k%d" % i] == b"x" * 100
+    assert len(words) < 50 and words.held <= 10_400 and words[b"y" * 99] and b"y" * 99 not in words
+
+
 def test_carries(spark):
     rows = spark.createDataFrame([(0, "a", 60), (0, "b", 40), (1, "a", 10), (1, "b", 90), (2, "b", 5)], "chunk long, source string, tokens long")
     goal = spark.createDataFrame([("a", 0.5), ("b", 0.5)], "name string, target double")
