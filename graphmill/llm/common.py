@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from functools import cache as once
@@ -52,6 +53,12 @@ class Scratch:
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def forget_finished(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of finished steps, which otherwise stay until the driver's heap fills."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df marked for broadcast if its counted size is within the limit, else as it is (a shuffled join). A row takes
     ROW_BYTES in a hash table besides its own."""

@@ -1,16 +1,15 @@
-"""Language-model scores by weighted backoff over all n-grams of the corpus, and a bounded automaton of frequent ones.
+"""Language-model scores by a weighted backoff automaton over the n-grams of the corpus.
 
-score_texts keeps every n-gram, whatever its count: the automaton's arcs and backoff weights are dealt by hash to
-buckets, and each chunk of texts asks the buckets for those that its traversal meets. fit and compile_automaton build
-the same kind of automaton in one process, from n-grams of a share of KEPT."""
+States are histories, arcs the n-grams that occur KEPT times or more, and a failure arc leads from each history to the
+one without its first word. The automaton is dealt by hash to buckets; each chunk of texts asks the buckets for the arcs
+and failure weights that its traversal meets, and then traverses all its texts at once."""
 
 from __future__ import annotations
 
 import struct
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from math import log10
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,17 +19,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.common import Scratch, binary_slices, map_rows, text_bytes
+from graphmill.llm.common import Scratch, arrow_schema, binary_slices, forget_finished, map_rows, settle, text_bytes
 from graphmill.llm.langid import held_out
 
-#: Longest n-grams; for the automaton of one process, the share of all training tokens from which a word can stand in
-#: n-grams, and from which an n-gram is kept. At most 1 / share items have such a share, in any corpus.
-ORDER, VOCABULARY, KEPT = 3, 1e-4, 2e-6
+#: Longest n-grams, and how often training rows must have one that has several words.
+ORDER, KEPT = 3, 2
 #: Taken off every kept n-gram's count; added to every unigram's.
 DISCOUNT, ADDED = 0.5, 0.1
-#: Words of a Python worker's count table, tokens counted as n-grams at a time, and text bytes of a scoring chunk and,
-#: on average, of a bucket of n-grams.
-TABLE, GRAMS, CHUNK, BUCKET = 400_000, 1_500_000, 9 << 20, 16 << 20
+#: Tokens and text bytes of a scoring chunk and, on average, text bytes of a bucket of n-grams.
+GRAMS, CHUNK, BUCKET = 1_500_000, 9 << 20, 16 << 20
 #: Histories of this share in a sample of about SAMPLE texts, of LEAD bytes each, have their n-grams dealt one by one.
 HOT, SAMPLE, LEAD = 1e-4, 4000, 1 << 14
 #: Hashes of the empty history and of the end and the start of a text; local ids of the latter.
@@ -44,192 +41,6 @@ def words_of(data: bytes) -> list[bytes]:
     return data.lower().split()
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word binary, n) of docs' column data, pre-aggregated by task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        table: Counter[bytes] = Counter()
-        for batch in batches:
-            for data in binary_slices(batch.column("data")):
-                table.update(words_of(data))
-                if len(table) > TABLE:
-                    yield {"word": list(table), "n": list(table.values())}
-                    table = Counter()
-        yield {"word": list(table), "n": list(table.values())}
-
-    return map_rows(docs, "word binary, n long", run).groupBy("word").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class Model:
-    """ids: of words whose counts every task has, most frequent first; the first `width` - 2 of them stand in n-grams.
-    Id END is the end, id width - 1 the start. counts: by id. grams: codes and counts by order, from 2."""
-
-    ids: dict[bytes, int]
-    counts: np.ndarray
-    width: int
-    total: int
-    distinct: int
-    texts: int
-    grams: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
-
-    def log_unigram(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + ADDED) / (self.total + ADDED * (self.distinct + 1)))
-
-    def look_up(self, words: list[bytes]) -> np.ndarray:
-        """Ids, the end's included; -1 for words without one."""
-        get = self.ids.get
-        return np.array([get(w, -1) for w in words] + [END], np.int64)
-
-    def codes(self, tokens: np.ndarray) -> np.ndarray:
-        """Codes of the n-grams of the next order whose parts are kept, at their positions, else -1."""
-        w = self.width
-        if not self.grams:
-            a, b = tokens[:-1], tokens[1:]
-            return np.where((a >= 0) & (a != END) & (b >= 0) & (b < w - 1), a * w + b, -1)
-        shorter = Model(self.ids, self.counts, w, self.total, self.distinct, self.texts, self.grams[:-1]).codes(tokens)
-        known = self.grams[-1][0]
-        kept = np.isin(shorter, known)
-        return np.where(kept[:-1] & kept[1:], shorter[:-1] * w + tokens[len(tokens) - len(shorter) + 1 :], -1)
-
-
-def count_grams(docs: DataFrame, model: Model) -> DataFrame:
-    """(code, n) of the n-grams one order above model's, among words of its vocabulary whose both parts are kept. A
-    longer n-gram is never more frequent than its parts, so none that would be kept is missed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        parts: list[np.ndarray] = []
-        held = 0
-
-        def counted() -> dict:
-            tokens = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            tokens = np.where(tokens < model.width, tokens, -1)
-            codes = model.codes(tokens) if len(tokens) > len(model.grams) + 1 else np.zeros(0, np.int64)
-            codes, n = np.unique(codes[codes >= 0], return_counts=True)
-            return {"code": codes, "n": n}
-
-        for batch in batches:
-            for data in binary_slices(batch.column("data")):
-                # Ids past the vocabulary go out here, before the start's own id comes in.
-                ids = model.look_up(words_of(data))
-                parts += [np.array([model.width - 1]), np.where(ids < model.width - 1, ids, -1)]
-                held += len(ids) + 1
-                if held > GRAMS:
-                    yield counted()
-                    parts, held = [], 0
-        yield counted()
-
-    return map_rows(docs, "code long, n long", run).groupBy("code").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class Automaton:
-    """States are kept histories. arcs[state * width + word] = (next state, log10 probability); where there is none,
-    the failure arc to fail[state] costs weight[state]. State 0, the empty history, has an arc for every word of the
-    vocabulary. down[state] is what failing to state 0 costs."""
-
-    width: int
-    arcs: dict[int, tuple[int, float]]
-    fail: list[int]
-    weight: list[float]
-    down: list[float]
-    start: int
-
-    def score(self, words: list[int]) -> float:
-        """One traversal from left to right. A negative word has no arcs; its own unigram probability isn't added."""
-        arcs, fail, weight, down, width = self.arcs, self.fail, self.weight, self.down, self.width
-        state, total = self.start, 0.0
-        for w in words:
-            if w < 0:
-                total += down[state]
-                state = 0
-                continue
-            arc = arcs.get(state * width + w)
-            while arc is None:
-                total += weight[state]
-                state = fail[state]
-                arc = arcs.get(state * width + w)
-            state = arc[0]
-            total += arc[1]
-        return total
-
-
-def compile_automaton(model: Model) -> Automaton:
-    """Interpolated absolute discounting: P(w | h) = (c(hw) - D) / c(h) + rest(h) P(w | h'), with rest(h) what the
-    discounts and dropped n-grams of h leave. So the probabilities of a history add up to 1."""
-    w = model.width
-    uni = model.log_unigram(model.counts[: w - 1])
-    state: dict[tuple[int, ...], int] = {(): 0}
-    holds: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-    seen: dict[tuple[int, ...], int] = {(i,): int(c) for i, c in enumerate(model.counts[: w - 1])} | {(w - 1,): model.texts}
-    for order, (codes, counts) in enumerate(model.grams, 2):
-        for code, n in zip(codes.tolist(), counts.tolist(), strict=True):
-            gram = []
-            for _ in range(order):
-                code, last = divmod(code, w)
-                gram.append(last)
-            key = tuple(reversed(gram))
-            seen[key] = n
-            holds.setdefault(key[:-1], []).append((key[-1], n))
-    for h in sorted(holds, key=lambda h: (len(h), h)):
-        state[h] = len(state)
-
-    def longest(h: tuple[int, ...]) -> int:
-        while h not in state:
-            h = h[1:]
-        return state[h]
-
-    prob: dict[tuple[int, ...], float] = {(i,): 10 ** float(p) for i, p in enumerate(uni)}
-    arcs = {i: (longest((i,)) if i != END else 0, float(p)) for i, p in enumerate(uni)}
-    fail, rest = [0] * len(state), [1.0] * len(state)
-    for h, s in state.items():
-        if not h:
-            continue
-        fail[s] = longest(h[1:])
-        rest[s] = 1 - sum(n - DISCOUNT for _, n in holds[h]) / seen[h]
-
-    def of(h: tuple[int, ...], word: int) -> float:
-        """P(word | h), h a history with or without a state."""
-        scale = 1.0
-        while (*h, word) not in prob:
-            scale *= rest[state[h]] if h in state else 1
-            h = h[1:]
-        return scale * prob[(*h, word)]
-
-    for h, s in state.items():
-        if h:
-            for word, n in holds[h]:
-                prob[(*h, word)] = p = (n - DISCOUNT) / seen[h] + rest[s] * of(h[1:], word)
-                arcs[s * w + word] = (longest((*h, word)) if word != END else 0, log10(p))
-    weight = [log10(max(r, 1e-12)) for r in rest]
-    down = [0.0] * len(state)
-    for s in range(1, len(state)):
-        down[s] = weight[s] + down[fail[s]]
-    return Automaton(w, arcs, fail, weight, down, longest((w - 1,)))
-
-
-def fit(scratch: Scratch, docs: DataFrame, order: int = ORDER) -> tuple[Model, DataFrame]:
-    """The model, and the table (word, n) of all words, of docs' column data."""
-    counts = scratch.write(count_words(docs), "counts")
-    texts = docs.count()
-    row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    total, distinct = row[0] + texts, row[1] + bool(texts)
-    known = sorted(((r["n"], bytes(r["word"])) for r in counts.where(F.col("n") >= KEPT * total).collect()), key=lambda x: (-x[0], x[1]))
-    width = 2 + sum(n >= VOCABULARY * total for n, _ in known)
-    # Id width - 1 stands for the start, so words past the vocabulary come after it.
-    ids = {word: i + (i >= width - 1) for i, (_, word) in enumerate(known, 1)}
-    table = np.zeros(len(known) + 2, np.int64)
-    table[END] = texts
-    for n, word in known:
-        table[ids[word]] = n
-    model = Model(ids, table, width, total, distinct, texts)
-    for _ in range(2, order + 1):
-        found = count_grams(docs, model).where(F.col("n") >= KEPT * total).collect()
-        pairs = np.array(sorted((r["code"], r["n"]) for r in found), np.int64).reshape(-1, 2)
-        model.grams.append((pairs[:, 0], pairs[:, 1]))
-    return model, counts
-
-
 def packed(x: np.ndarray) -> bytes:
     """Numbers from 0 as their count, their width in bytes, and the bytes, compressed, the lowest of each first."""
     wide = np.ascontiguousarray(x, "<u8")
@@ -259,42 +70,67 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Level:
-    """A chunk's distinct n-grams of one order, sorted by history. first: index of the history among `known`, the hashes
-    of histories; word, key: hashes of the last word and of all; which: the n-gram at each token, -1 for none."""
+    """A chunk's distinct n-grams of one order, sorted by history. known: hashes of histories, all of the order below;
+    first: index of the history; word, key: hashes of the last word and of all; which: the n-gram at each token, -1 for
+    none; past: the history at each token, -1 where it is too short or can't have a kept n-gram."""
 
-    first: np.ndarray
     known: np.ndarray
+    first: np.ndarray
     word: np.ndarray
     key: np.ndarray
     which: np.ndarray
-
-    def dealt(self, hot: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The n-grams' order by bucket, their buckets in it, and where in it runs of one bucket and history begin. A
-        history's n-grams share a bucket, except a hot one's."""
-        history = self.known[self.first]
-        bucket = (np.where(np.isin(history, hot), self.key, history) % np.uint64(buckets)).astype(np.int64)
+    past: np.ndarray
+
+    def dealt(self, hot: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The n-grams' order by bucket, and their buckets in it; buckets, histories and lengths of the runs of n-grams of
+        one bucket and history. A history's n-grams share a bucket, except a hot one's; other histories that a token has
+        stand for an empty run at least."""
+        count = np.bincount(self.first, minlength=len(self.known))
+        asked = np.unique(self.past[self.past >= 0])
+        alone = asked[(count[asked] == 0) & ~np.isin(self.known[asked], hot)]
+        whose = np.concatenate([self.first, alone])
+        history = self.known[whose]
+        spread = np.isin(self.known, hot)[self.first]
+        bucket = history % np.uint64(buckets)
+        bucket[: len(self.first)] = np.where(spread, self.key % np.uint64(buckets), bucket[: len(self.first)])
         order = np.lexsort((history, bucket))
-        bucket, first = bucket[order], self.first[order]
-        return order, bucket, np.flatnonzero(np.r_[True, (np.diff(bucket) != 0) | (np.diff(first) != 0)][: len(order)])
+        bucket, whose = bucket[order].astype(np.int64), whose[order]
+        real = order < len(self.first)
+        begin = np.flatnonzero(np.r_[True, (np.diff(bucket) != 0) | (np.diff(whose) != 0)][: len(order)])
+        return order[real], bucket[real], bucket[begin], whose[begin], np.add.reduceat(real.astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64)
 
 
-def levels(tokens: np.ndarray, hashes: np.ndarray, order: int) -> Iterator[Level]:
-    """By order, from 1, of texts of local ids that each begin with START and end with END."""
+def levels(tokens: np.ndarray, hashes: np.ndarray, order: int, kept: dict[int, np.ndarray]) -> Iterator[Level]:
+    """By order, from 1, of texts of local ids that each begin with START and end with END. kept: which n-grams of two
+    words or more are kept, by order, put there before the next order is asked for; an n-gram with a part that isn't kept
+    is left out, as it can't be more frequent than its parts."""
     at = np.flatnonzero(tokens != START)
     word, before = tokens[at].astype(np.int64), tokens[at - 1].astype(np.int64)
-    of, known, key = np.zeros(len(at), np.int64), np.array([ROOT], np.uint64), hashes
+    past, known, key = np.zeros(len(at), np.int64), np.array([ROOT], np.uint64), hashes
+    which = past
     for k in range(1, order + 1):
         if k == 2:
-            of, known = before, hashes
+            past, known = before, hashes
         elif k > 2:
-            of, known = np.where(before != START, np.r_[-1, which[:-1]], -1), key  # noqa: F821
-        ok = of >= 0
-        distinct, found = np.unique(of[ok] * len(hashes) + word[ok], return_inverse=True)
-        which = np.full(len(at), -1, np.int64)
-        which[ok] = found
+            known, shorter = key, which
+            past = np.where(before != START, np.r_[-1, which[:-1]], -1)
+            if k - 1 in kept:
+                good = np.r_[kept[k - 1], False]
+                past = np.where(good[past], past, -1)
+                shorter = np.where(good[which], which, -1)
+            ok = (past >= 0) & (shorter >= 0)
+        if k == 1:
+            present = np.bincount(word, minlength=len(hashes)) > 0
+            distinct, which = np.flatnonzero(present), (np.cumsum(present) - 1)[word]
+        else:
+            if k == 2:
+                ok = np.ones(len(at), bool)
+            distinct, found = np.unique(past[ok] * len(hashes) + word[ok], return_inverse=True)
+            which = np.full(len(at), -1, np.int64)
+            which[ok] = found
         first, last = np.divmod(distinct, len(hashes))
         key = mixed(known[first], hashes[last])
-        yield Level(first, known, hashes[last], key, which)
+        yield Level(known, first, hashes[last], key, which, past)
 
 
 def chunks_of(rows: DataFrame) -> DataFrame:
@@ -349,7 +185,7 @@ def hot_histories(rows: DataFrame, texts: int, order: int) -> np.ndarray:
             for row in batch.to_pylist():
                 tokens, hashes, _, lengths = opened(row)
                 yield {"history": np.array([ROOT], np.uint64).view(np.int64), "n": [int(lengths.sum())]}
-                for k, level in enumerate(levels(tokens, hashes, order - 1), 1):
+                for k, level in enumerate(levels(tokens, hashes, order - 1, {}), 1):
                     n = np.bincount(level.which[level.which >= 0], minlength=len(level.key))
                     yield {"history": (level.word if k == 1 else level.key)[n > 1].view(np.int64), "n": n[n > 1]}
                 yield {"history": hashes[START : START + 1].view(np.int64), "n": [len(lengths)]}
@@ -366,43 +202,79 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs; learned from rows
     whose crc32(id as text) mod folds is not 0.
 
-    All words and all n-grams of training rows count, single ones too. A chunk of rows sends its distinct n-grams, with
-    how often its training rows have each, to buckets by the hash of the history; a bucket adds up and answers each
-    chunk with the counts and with how many words follow a history. So neither texts nor single occurrences are
-    shuffled. Histories that a sample shows to be frequent have their n-grams dealt one by one and what follows them
-    added up at the end. Chunks and buckets are of bounded size on average, at any size of the corpus. N-grams are told
-    apart by 64-bit hashes: of 5e9 distinct ones, a pair or so is expected to share one.
+    All words count, and all n-grams of up to `order` (2 or more) words that training rows have KEPT times or more, at any
+    size of the corpus. A chunk of rows sends its distinct n-grams, with how often its training rows have each, to buckets
+    by the hash of the history; a bucket adds up and answers each chunk with the counts and with how many kept n-grams
+    follow a history, and how often. Words and pairs go first; longer n-grams are sent only if both their parts are kept,
+    an order at a time. So neither texts nor single occurrences are shuffled. Histories that a sample shows to be frequent
+    have their n-grams dealt one by one and what follows them added up at the end. Chunks and buckets are of bounded size
+    on average. N-grams are told apart by 64-bit hashes: of 5e9 distinct ones, a pair or so is expected to share one.
+
+    The kept n-grams are arcs, P(w | h) = (c(hw) - DISCOUNT) / c(h) + rest(h) P(w | h'), and the failure arc of h costs
+    rest(h), what the discounts and dropped n-grams leave; so the probabilities of a history add up to 1. A traversal is in
+    the state of the longest history that has a kept n-gram, and fails to shorter ones until one has an arc.
 
     Null and empty texts are the end alone. Null ids count as training rows. Repeated rows count and are scored as
     often as they occur. Without training rows every token has the same probability. An empty table gives an empty
     result. Other columns are ignored.
     """
-    scratch = Scratch(docs.sparkSession, "lm")
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lm")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out(id_col, folds).alias("held"), text_bytes(F.col(text_col)).alias("data"))
     texts, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()
     buckets, hot = 1 + size // BUCKET, hot_histories(rows, texts, order)
     chunks = scratch.write(chunks_of(rows), "chunks")
     total = chunks.agg(F.coalesce(F.sum("trained"), F.lit(0))).first()[0]
 
+    def message(row: dict, k: int, level: Level, train: np.ndarray) -> Iterator[dict]:
+        n = np.bincount(level.which[train & (level.which >= 0)], minlength=len(level.key))
+        by, bucket, run_bucket, run, long = level.dealt(hot, buckets)
+        n, word, history = n[by], level.word[by], level.known[run]
+        named = np.unique(run_bucket)
+        cuts, starts = np.searchsorted(bucket, np.r_[named, buckets]), np.searchsorted(run_bucket, np.r_[named, buckets])
+        for j, b in enumerate(named.tolist()):
+            part, runs = slice(cuts[j], cuts[j + 1]), slice(starts[j], starts[j + 1])
+            words, at_word = np.unique(word[part], return_inverse=True)
+            yield {
+                "chunk": row["chunk"], "k": k, "bucket": b, "history": packed(np.diff(history[runs], prepend=np.uint64(0))), "long": packed(long[runs]), "n": packed(n[part]),
+                "words": packed(np.diff(words, prepend=np.uint64(0))), "word": packed(at_word),
+            }
+
+    asking = "chunk long, k int, bucket int, history binary, long binary, n binary, words binary, word binary"
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 tokens, hashes, held, lengths = opened(row)
                 train = np.repeat(~held, lengths)
-                for k, level in enumerate(levels(tokens, hashes, order), 1):
-                    n = np.bincount(level.which[train & (level.which >= 0)], minlength=len(level.key))
-                    by, bucket, runs = level.dealt(hot, buckets)
-                    n, word, history, long = n[by], level.word[by], level.known[level.first[by[runs]]], np.diff(np.r_[runs, len(by)])
-                    named = np.unique(bucket)
-                    cuts, starts = np.searchsorted(bucket, np.r_[named, buckets]), np.searchsorted(bucket[runs], np.r_[named, buckets])
-                    for j, b in enumerate(named.tolist()):
-                        part, run = slice(cuts[j], cuts[j + 1]), slice(starts[j], starts[j + 1])
-                        sent = {"chunk": row["chunk"], "k": k, "bucket": b, "history": packed(np.diff(history[run], prepend=np.uint64(0))), "long": packed(long[run]), "n": packed(n[part])}
-                        words, at_word = np.unique(word[part], return_inverse=True)
-                        sent |= {"words": packed(np.diff(words, prepend=np.uint64(0))), "word": packed(at_word)}
+                for k, level in enumerate(levels(tokens, hashes, 2, {}), 1):
+                    for sent in message(row, k, level, train):
                         yield {c: [v] for c, v in sent.items()}
 
+    def told_counts(told: pa.Table, k: int, level: Level) -> tuple[np.ndarray, np.ndarray, pa.Table]:
+        """Counts of the level's n-grams, the histories of the runs, and the answers."""
+        mine = told.filter(pa.compute.equal(told.column("k"), k))
+        by, _, _, run, _ = level.dealt(hot, buckets)
+        counts = np.zeros(len(level.key), np.int64)
+        counts[by] = joined(mine.column("sums").to_pylist())
+        return counts, run, mine
+
+    def ask_more(k: int):
+        def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+            row, told, kept = chunk.to_pylist()[0], answers.sort_by("bucket"), {}
+            tokens, hashes, held, lengths = opened(row)
+            sent: list[dict] = []
+            for j, level in enumerate(levels(tokens, hashes, k, kept), 1):
+                if j == k:
+                    sent = list(message(row, k, level, np.repeat(~held, lengths)))
+                elif j > 1:
+                    kept[j] = told_counts(told, j, level)[0] >= KEPT
+            settle()
+            return pa.Table.from_pylist(sent, schema=into)
+
+        into = arrow_schema(asking)
+        return run
+
     def count(group: pa.Table) -> pa.Table:
         k, bucket = group.column("k")[0].as_py(), group.column("bucket")[0].as_py()
         column = lambda c: group.column(c).to_pylist()
@@ -414,63 +286,74 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         del parts
         distinct, of = np.unique(history, return_inverse=True)
         of_each = np.repeat(of, joined(column("long")))
-        keys, at, found = np.unique(mixed(distinct[of_each], word), return_index=True, return_inverse=True)
-        sums = np.bincount(found, joined(column("n")), len(keys)).astype(np.int64)
-        follow = np.bincount(of_each[at][sums > 0], minlength=len(distinct))
+        _, at, found = np.unique(mixed(distinct[of_each], word), return_index=True, return_inverse=True)
+        sums = np.bincount(found, joined(column("n")), len(at)).astype(np.int64)
+        sums = np.where(sums >= (KEPT if k > 1 else 1), sums, 0)
+        follow = np.bincount(of_each[at], sums > 0, len(distinct)).astype(np.int64)
+        mass = np.bincount(of_each[at], sums, len(distinct)).astype(np.int64)
         wide = np.flatnonzero(np.isin(distinct, hot))
         cut = lambda x, parts: [packed(y) for y in np.split(x, np.cumsum(parts)[:-1])]
         m, w = group.num_rows, len(wide)
-        return pa.table({
+        out = pa.table({
             "chunk": pa.array(group.column("chunk").to_pylist() + [None] * w, pa.int64()), "k": pa.array([k] * (m + w), pa.int32()), "bucket": pa.array([bucket] * (m + w), pa.int32()),
-            "sums": pa.array(cut(sums[found], grams) + [None] * w, pa.binary()), "follow": pa.array(cut(follow[of], runs) + [None] * w, pa.binary()),
-            "history": pa.array([None] * m + distinct[wide].view(np.int64).tolist(), pa.int64()), "wide": pa.array([None] * m + follow[wide].tolist(), pa.int64()),
+            "sums": pa.array(cut(sums[found], grams) + [None] * w, pa.binary()), "follow": pa.array(cut(follow[of], runs) + [None] * w, pa.binary()), "mass": pa.array(cut(mass[of], runs) + [None] * w, pa.binary()),
+            "history": pa.array([None] * m + distinct[wide].view(np.int64).tolist(), pa.int64()), "wide": pa.array([None] * m + follow[wide].tolist(), pa.int64()), "heavy": pa.array([None] * m + mass[wide].tolist(), pa.int64()),
         })
-
-    asked = map_rows(chunks, "chunk long, k int, bucket int, history binary, long binary, n binary, words binary, word binary", ask)
-    schema = "chunk long, k int, bucket int, sums binary, follow binary, history long, wide long"
-    answers = scratch.write(asked.groupBy("k", "bucket").applyInArrow(count, schema), "answers")
+        settle()
+        return out
+
+    answered = "chunk long, k int, bucket int, sums binary, follow binary, mass binary, history long, wide long, heavy long"
+    tell = lambda asked, name: scratch.write(asked.groupBy("k", "bucket").applyInArrow(count, answered), name)
+    answers = tell(map_rows(chunks, asking, ask), "answers-2")
+    for k in range(3, order + 1):
+        forget_finished(spark)
+        told = answers.where(F.col("chunk").isNotNull()).select(F.col("chunk").alias("of"), "k", "bucket", "sums")
+        asked = chunks.groupBy("chunk").cogroup(told.groupBy("of")).applyInArrow(ask_more(k), asking)
+        answers = answers.unionByName(tell(asked, f"answers-{k}"))
+    forget_finished(spark)
     # Words and longer histories hash apart, so one table holds those of all orders.
-    summed = answers.where(F.col("chunk").isNull()).groupBy("history").agg(F.sum("wide").alias("n")).collect()
-    wide = dict(zip(hot.tolist(), [0] * len(hot), strict=True)) | {int(np.int64(r["history"]).view(np.uint64)): r["n"] for r in summed}
-    after, known_words = np.array([wide[h] for h in hot.tolist()], np.int64), wide[ROOT]
+    summed = answers.where(F.col("chunk").isNull()).groupBy("history").agg(F.sum("wide").alias("n"), F.sum("heavy").alias("m")).collect()
+    wide = {int(np.int64(r["history"]).view(np.uint64)): (r["n"], r["m"]) for r in summed}
+    after, heavy = (np.array([wide.get(h, (0, 0))[j] for h in hot.tolist()], np.int64) for j in (0, 1))
+    known_words = wide.get(ROOT, (0, 0))[0]
 
     def finish(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         row = chunk.to_pylist()[0]
         tokens, hashes, held, lengths = opened(row)
-        told = answers.sort_by("bucket")
+        told, kept = answers.sort_by("bucket"), {}
         owner = np.repeat(np.arange(len(lengths)), lengths)
         counts = by_word = prob = base = known = np.zeros(0)
-        for k, level in enumerate(levels(tokens, hashes, order), 1):
-            mine = told.filter(pa.compute.equal(told.column("k"), k))
-            column = lambda c: mine.column(c).to_pylist()  # noqa: B023, E731
-            by, _, runs = level.dealt(hot, buckets)
-            below, counts = counts, np.zeros(len(by), np.int64)
-            counts[by] = joined(column("sums"))
-            ok = level.which >= 0
-            at = level.which[ok]
+        for k, level in enumerate(levels(tokens, hashes, order, kept), 1):
+            below = counts
+            counts, run, mine = told_counts(told, k, level)
             if k == 1:
-                prob = ((counts + ADDED) / (total + ADDED * (known_words + 1)))[at]
-                base, known = np.log10(prob), counts[at] > 0
+                prob = ((counts + ADDED) / (total + ADDED * (known_words + 1)))[level.which]
+                base, known = np.log10(prob), counts[level.which] > 0
                 by_word = np.zeros(len(hashes), np.int64)
-                by_word[tokens[tokens != START]] = counts[at]
+                by_word[tokens[tokens != START]] = counts[level.which]
                 by_word[START] = by_word[END]
                 continue
-            history = level.known[level.first]
-            follow = np.zeros(len(by), np.int64)
-            follow[by] = np.repeat(joined(column("follow")), np.diff(np.r_[runs, len(by)]))
-            place = np.minimum(np.searchsorted(hot, history), len(hot) - 1)
-            follow = np.where(hot[place] == history, after[place], follow)
-            # Interpolated absolute discounting; a history that training rows don't have leaves all to the shorter one.
-            seen = (by_word if k == 2 else below)[level.first]
-            own = np.maximum(counts - DISCOUNT, 0) / np.maximum(seen, 1)
-            rest = np.where(seen > 0, DISCOUNT * follow / np.maximum(seen, 1), 1)
-            prob[ok] = own[at] + rest[at] * prob[ok]
+            kept[k] = counts >= KEPT
+            follow, mass = np.zeros(len(level.known), np.int64), np.zeros(len(level.known), np.int64)
+            follow[run], mass[run] = joined(mine.column("follow").to_pylist()), joined(mine.column("mass").to_pylist())
+            place = np.minimum(np.searchsorted(hot, level.known), len(hot) - 1)
+            spread = hot[place] == level.known
+            follow, mass = np.where(spread, after[place], follow), np.where(spread, heavy[place], mass)
+            # A history that training rows don't have, or not followed by a kept n-gram, leaves all to the shorter one.
+            seen = np.maximum(by_word if k == 2 else below, 1)
+            rest = 1 - (mass - DISCOUNT * follow) / seen
+            at = level.past >= 0
+            state, arc = level.past[at], level.which[at]
+            own = np.where(arc >= 0, np.maximum(np.r_[counts, 0][arc] - DISCOUNT, 0) / seen[state], 0)
+            prob[at] = own + rest[state] * prob[at]
         add = lambda x: np.bincount(owner, x, len(lengths))
-        return pa.table({
+        out = pa.table({
             "id": pa.array(row["id"], pa.int64()), "held_out": held, "n_tokens": lengths, "n_known": add(known).astype(np.int64),
             "train_tokens": np.full(len(lengths), total, np.int64), "base_score": add(base), "score": add(np.log10(prob)),
         })
+        settle()
+        return out
 
     schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    told = answers.where(F.col("chunk").isNotNull()).drop("history", "wide").withColumnRenamed("chunk", "of")
+    told = answers.where(F.col("chunk").isNotNull()).drop("history", "wide", "heavy").withColumnRenamed("chunk", "of")
     return chunks.groupBy("chunk").cogroup(told.groupBy("of")).applyInArrow(finish, schema).withColumnRenamed("id", id_col)

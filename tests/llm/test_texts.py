@@ -16,7 +16,6 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from graphmill.llm import bpe, chat, langid, ngram_lm, packing, pii, warc
-from graphmill.llm.common import Scratch
 from graphmill.llm.queries import QUERIES
 from tests.llm.conftest import LONG, SMALL, TEXTS
 
@@ -133,9 +132,7 @@ def test_lm_query(spark, sample):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_lm_edges(docs, no_docs, monkeypatch):
-    monkeypatch.setattr(ngram_lm, "KEPT", 0.01)
-    monkeypatch.setattr(ngram_lm, "VOCABULARY", 0.02)
+def test_lm_edges(docs, no_docs):
     rows = ngram_lm.score_texts(docs).collect()
     assert rows[0].asDict().keys() == {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"}
     check_scores(rows, [(i, t) for i, t, *_ in TEXTS])
@@ -144,61 +141,68 @@ def test_lm_edges(docs, no_docs, monkeypatch):
     assert untrained["train_tokens"] == 0 and untrained["base_score"] == pytest.approx(0, abs=1e-9)
 
 
-def test_automaton_is_a_distribution(spark, sample):
-    model, _ = ngram_lm.fit(Scratch(spark, "test"), sample.selectExpr("cast(text as binary) as data"))
-    net = ngram_lm.compile_automaton(model)
-    assert [len(c) for c, _ in model.grams] == [len(set(c.tolist())) for c, _ in model.grams] and len(net.fail) > 100
-    rest = 1 - sum(10**x for x in model.log_unigram(model.counts[: model.width - 1]))
-    for state in random.Random(0).sample(range(len(net.fail)), 25):
-        total = 10 ** net.down[state] * rest
-        for w in range(model.width - 1):
-            at, cost = state, 0.0
-            while at * net.width + w not in net.arcs:
-                cost, at = cost + net.weight[at], net.fail[at]
-            total += 10 ** (cost + net.arcs[at * net.width + w][1])
-        assert total == pytest.approx(1, abs=1e-6)
-
-
-def brute_scores(texts, order=3):
-    """log10 probabilities by interpolated absolute discounting over all n-grams, one token at a time."""
-    counts, follow = Counter(), Counter()
+def brute_model(texts, order=3, least=2):
+    """The probability of a word after a history, by interpolated absolute discounting over the n-grams of two words or
+    more that occur `least` times, one dictionary look-up at a time."""
+    counts = Counter()
     for i, t in texts:
         if crc(i) % 10:
             line = ["<s>", *(t or "").encode().lower().split(), None]
             for at in range(1, len(line)):
-                for k in range(min(order - 1, at) + 1):
-                    follow[tuple(line[at - k : at])] += not counts[tuple(line[at - k : at + 1])]
-                    counts[tuple(line[at - k : at + 1])] += 1
-    total = sum(n for g, n in counts.items() if len(g) == 1)
+                counts.update(tuple(line[at - k : at + 1]) for k in range(min(order - 1, at) + 1))
+    total, distinct = sum(n for g, n in counts.items() if len(g) == 1), sum(len(g) == 1 for g in counts)
     counts[("<s>",)] = counts[(None,)]
+    after = {}
+    for g, n in counts.items():
+        if len(g) > 1 and n >= least:
+            after.setdefault(g[:-1], []).append(n)
 
     def prob(h, w):
         if not h:
-            return (counts[(w,)] + 0.1) / (total + 0.1 * (follow[()] + 1))
-        if not counts[h]:
+            return (counts[(w,)] + 0.1) / (total + 0.1 * (distinct + 1))
+        if h not in after:
             return prob(h[1:], w)
-        return max(counts[(*h, w)] - 0.5, 0) / counts[h] + 0.5 * follow[h] / counts[h] * prob(h[1:], w)
+        rest = 1 - sum(n - 0.5 for n in after[h]) / counts[h]
+        return (counts[(*h, w)] - 0.5 if counts[(*h, w)] >= least else 0) / counts[h] + rest * prob(h[1:], w)
+
+    return prob, after, {g[0] for g in counts if len(g) == 1} - {"<s>"}
 
-    out = {}
+
+def brute_scores(texts, order=3):
+    prob, out = brute_model(texts, order)[0], {}
     for i, t in texts:
         line = ["<s>", *(t or "").encode().lower().split(), None]
         out[i] = sum(log10(prob(tuple(line[max(0, at - order + 1) : at]), line[at])) for at in range(1, len(line)))
     return out
 
 
-def test_lm_keeps_every_ngram(spark, sample, monkeypatch):
+def test_brute_model_is_a_distribution(sample):
+    prob, after, words = brute_model([(r["doc_id"], r["text"]) for r in sample.limit(60).collect()])
+    for h in random.Random(0).sample(sorted(after, key=str), 20):
+        assert sum(prob(h, w) for w in words) + prob(h, "new") == pytest.approx(1, abs=1e-9)
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lm_against_brute_force(spark, sample, monkeypatch, order):
     # Rare words that stand together in few texts; few tokens a chunk, many buckets, and some histories dealt one by one.
     monkeypatch.setattr(ngram_lm, "GRAMS", 5000)
     monkeypatch.setattr(ngram_lm, "BUCKET", 20_000)
     monkeypatch.setattr(ngram_lm, "HOT", 0.005)
     rare = [(10_000 + i, f"qx{i % 7} zv{i % 7} kj{i % 7} wq{i % 7}") for i in range(14)]
     texts = [(r["doc_id"], r["text"]) for r in sample.collect()] + rare
-    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
-    for order in (3, 4):
-        rows = ngram_lm.score_texts(df, order=order).collect()
-        check_scores(rows, texts)
-        want = brute_scores(texts, order)
-        assert all(r["score"] == pytest.approx(want[r["doc_id"]], rel=1e-9) for r in rows)
+    rows = ngram_lm.score_texts(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), order=order).collect()
+    check_scores(rows, texts)
+    want = brute_scores(texts, order)
+    assert all(r["score"] == pytest.approx(want[r["doc_id"]], rel=1e-9) for r in rows)
+
+
+def test_lm_tells_repeated_texts(spark):
+    draw = random.Random(1)
+    texts = [(i, " ".join(f"w{int(draw.paretovariate(0.6)) % 3000}" for _ in range(120))) for i in range(400)]
+    texts += [(1000 + i, t) for i, t in texts[:100]]
+    per_word = {r["doc_id"]: r["score"] / r["n_tokens"] for r in ngram_lm.score_texts(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    twice = [per_word[i] for i in range(100) if crc(i) % 10 and crc(1000 + i) % 10]
+    assert min(twice) > max(per_word[i] for i in range(100, 400))
 
 
 # Personal data
