@@ -9,15 +9,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.common import Scratch, if_small
+from graphmill.llm.common import Scratch, if_small, settle
 from graphmill.llm.components import connected_components, spanning
 
 #: Neighbours of a node in upper layers, twice as many in the lowest; beam that construction uses, and that searches
-#: begin with; beam nodes that are expanded together; queries of a block, and of these those that audits ask.
-DEGREE, BUILD, BEAM, WIDE, BLOCK, AUDIT = 12, 40, 32, 4, 16384, 1024
-#: Share of an audit's true links that a search must have found, else all beams are doubled.
-RECALL = 0.999
-#: What single precision may take off a cosine; candidates get this much slack and are then verified in double.
+#: begin with; beam nodes that are expanded together; queries that audits ask.
+DEGREE, BUILD, BEAM, WIDE, AUDIT = 12, 40, 32, 4, 1024
+#: Bytes of vectors that a shard holds, and a block of queries, on average.
+SHARD = 16 << 20
+#: Share of its true links that a search must have found for an audited query on average, else all beams are doubled; the
+#: beam from which queries that fill it with links are compared with the whole shard.
+RECALL, DENSE = 0.999, 128
+#: What single precision may take off a cosine or add to it; candidates this close to the threshold are verified in double.
 SLACK = 1e-4
 
 
@@ -116,8 +119,9 @@ class Hnsw:
             own = np.argpartition(-inside, k - 1, axis=1)[:, :k]
             ids, sims = own + at, np.take_along_axis(inside, own, 1)
             if at:
-                found = beam_search(points[:at], layer.graph[:at], asking, self.enter(asking, at), BUILD)
-                ids, sims = np.concatenate([ids, found[0]], axis=1), np.concatenate([sims, found[1]], axis=1)
+                step = max(32, min(1024, (1 << 24) // at))
+                parts = [beam_search(points[:at], layer.graph[:at], q, self.enter(q, at), BUILD) for q in (asking[i : i + step] for i in range(0, size, step))]
+                ids, sims = (np.concatenate([x, np.concatenate(y)], axis=1) for x, y in zip((ids, sims), zip(*parts, strict=True), strict=True))
             order = np.argsort(-sims, axis=1, kind="stable")[:, :BUILD]
             ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
             ids = np.where(sims > -2, ids, -1).astype(np.int32)
@@ -170,38 +174,107 @@ class Hnsw:
         return np.where(ids >= 0, lowest.members[np.maximum(ids, 0)], -1), sims
 
 
-def unit(x: np.ndarray) -> np.ndarray:
-    return (x / np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))[:, None]).astype(np.float32)
-
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows in double precision, each times the power of two that makes its largest component 1 or so: no square can
+    overflow or vanish then, and cosines are what they were."""
+    wide = x.astype(np.float64)
+    return np.ldexp(wide, -np.frexp(np.abs(wide).max(axis=1, initial=0))[1][:, None])
 
-def pairs_within(index: Hnsw, asking: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, point) pairs whose single-precision similarity reaches the threshold less SLACK.
 
-    Where such points fill a query's beam, its beam is widened. Audits compare AUDIT queries with all points; while
-    they miss a share of the true pairs above 1 - RECALL, every beam is doubled, up to the whole shard.
-    """
-    least, n = threshold - SLACK, len(index.points)
-    audit = np.unique(np.linspace(0, len(asking) - 1, min(AUDIT, len(asking))).astype(int))
-    true = np.zeros(0, np.int64)
-    for i in range(0, len(audit), 256):
-        q, p = np.nonzero(asking[audit[i : i + 256]] @ index.points.T >= least)
-        true = np.concatenate([true, audit[i + q] * n + p])
-    beam = BEAM
-    while True:
-        found, open_, width = [np.zeros(0, np.int64)], np.arange(len(asking)), beam
-        while len(open_):
-            ids, sims = index.search(asking[open_], width)
-            hit = (sims >= least) & (ids >= 0)
-            full = hit.all(axis=1) & (ids.shape[1] < n)
-            q, c = np.nonzero(hit & ~full[:, None])
-            found.append(open_[q] * n + ids[q, c])
-            open_, width = open_[full], 4 * width
-        pairs = np.unique(np.concatenate(found))
-        missed = len(true) - np.isin(true, pairs).sum()
-        if missed <= (1 - RECALL) * len(true) or beam >= n:
-            pairs = np.union1d(pairs, true)
-            return pairs // n, pairs % n
-        beam *= 2
+def unit(x: np.ndarray) -> np.ndarray:
+    wide = scaled(x)
+    return (wide / np.sqrt((wide**2).sum(axis=1))[:, None]).astype(np.float32)
+
+
+class Links:
+    """What queries link with in a shard: weights added up, and labels that join queries and points, but no pairs. own: each
+    query's place in the shard, -1 for none."""
+
+    def __init__(self, index: Hnsw, raw: np.ndarray, weight: np.ndarray, asking: np.ndarray, own: np.ndarray, threshold: float):
+        self.index, self.raw, self.weight, self.own, self.threshold = index, raw, weight.astype(np.float64), own, threshold
+        self.exact, self.asking = asking, unit(asking)
+        self.links = np.zeros(len(asking))
+        self.labels = np.arange(len(asking) + len(raw))
+
+    def linked(self, q: np.ndarray, p: np.ndarray, sims: np.ndarray) -> np.ndarray:
+        """Which pairs reach the threshold, by single precision where that is clear, else in double."""
+        ok = (sims >= self.threshold) & (p != self.own[q])
+        close = np.flatnonzero((np.abs(sims - self.threshold) < SLACK) & (p != self.own[q]))
+        for i in range(0, len(close), 1 << 15):
+            some = close[i : i + (1 << 15)]
+            a, b = scaled(self.exact[q[some]]), scaled(self.raw[p[some]])
+            dot = np.einsum("ij,ij->i", a, b)
+            ok[some] = dot / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b))) >= self.threshold
+        return ok
+
+    def join(self, q: np.ndarray, p: np.ndarray) -> None:
+        p = p + len(self.asking)
+        apart = self.labels[q] != self.labels[p]
+        if apart.any():
+            self.labels = spanning(len(self.labels), q[apart], p[apart], self.labels)
+
+    def add(self, q: np.ndarray, p: np.ndarray, sims: np.ndarray) -> None:
+        ok = self.linked(q, p, sims)
+        q, p = q[ok], p[ok]
+        self.links += np.bincount(q, self.weight[p], len(self.links))
+        self.join(q, p)
+
+    def add_whole(self, queries: np.ndarray) -> None:
+        """Compares queries with all points, by blocks of a matrix product that is dropped again."""
+        points, n = self.index.points, len(self.asking)
+        for i in range(0, len(queries), 256):
+            some = queries[i : i + 256]
+            sims = self.asking[some] @ points.T
+            hit = sims >= self.threshold
+            row, p = np.nonzero(np.abs(sims - self.threshold) < SLACK)
+            hit[row, p] = self.linked(some[row], p, sims[row, p])
+            inside = np.flatnonzero(self.own[some] >= 0)
+            hit[inside, self.own[some[inside]]] = False
+            self.links[some] = hit @ self.weight
+            row, p = np.nonzero(hit & (self.labels[some][:, None] != self.labels[n:][None, :]))
+            for at in range(0, len(row), 1 << 20):
+                self.join(some[row[at : at + (1 << 20)]], p[at : at + (1 << 20)])
+
+    def search(self) -> float:
+        """Finds all links, and returns the recall of the graph alone. Where points within reach fill a query's beam, it is
+        widened, and from DENSE on the query is compared with all points: it is in a crowd. Audits compare AUDIT
+        queries with all points; while a query misses a share of its links above 1 - RECALL on average, every beam is
+        doubled, up to the whole shard."""
+        least, n = self.threshold - SLACK, len(self.index.points)
+        audit = np.unique(np.linspace(0, len(self.asking) - 1, min(AUDIT, len(self.asking))).astype(int))
+        beam, crowd = BEAM, np.zeros(len(self.asking), bool)
+        while True:
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            open_, width = np.flatnonzero(~crowd), beam
+            while len(open_):
+                ids, sims = self.index.search(self.asking[open_], width)
+                hit = (sims >= least) & (ids >= 0)
+                full = hit.all(axis=1) & (ids.shape[1] < n)
+                q, c = np.nonzero(hit & ~full[:, None])
+                found.append((open_[q], ids[q, c].astype(np.int64), sims[q, c]))
+                open_, width = open_[full], 4 * width
+                if width > max(DENSE, beam):
+                    crowd[open_] = True
+                    break
+            q, p, sims = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.float32))
+            got, true = np.zeros(len(audit)), np.zeros(len(audit))
+            asked = audit[~crowd[audit]]
+            place = np.searchsorted(audit, q)
+            of = (place < len(audit)) & (audit[np.minimum(place, len(audit) - 1)] == q) if len(audit) else np.zeros(0, bool)
+            got += np.bincount(place[of], minlength=len(audit))
+            for i in range(0, len(asked), 256):
+                true[np.searchsorted(audit, asked[i : i + 256])] = np.count_nonzero(self.asking[asked[i : i + 256]] @ self.index.points.T >= least, axis=1)
+            some = true > 0
+            recall = float((np.minimum(got[some], true[some]) / true[some]).mean()) if some.any() else 1.0
+            if recall >= RECALL or beam >= n:
+                break
+            beam *= 2
+        missed = np.zeros(len(self.asking), bool)
+        missed[audit[got < true]] = True
+        keep = ~missed[q]
+        self.add(q[keep], p[keep], sims[keep])
+        self.add_whole(np.flatnonzero(crowd | missed))
+        return recall
 
 
 def usable(vector: Column) -> Column:
@@ -210,43 +283,47 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, shards: int | None = None) -> DataFrame:
+def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, shard_bytes: int = SHARD) -> DataFrame:
     """(id, n_links, component_id, kept) for every row: how many other rows have a cosine of at least `threshold`, the
     smallest id that links reach, and whether that is the row's own.
 
-    Equal vectors become one weighted node first. Nodes are dealt to `shards` (as many as the cluster has cores) by a
-    hash; each shard's graph is built once and written, and blocks of BLOCK nodes ask every shard, so a task holds a
-    shard and a block. Pairs are verified in double precision and leave a task as counts and a spanning forest, never
-    as pairs. Vectors of different lengths never link.
+    Equal vectors become one weighted node first. Nodes are dealt by a hash to shards of `shard_bytes` of vectors; each
+    shard's graph is built once and written, and blocks of as many nodes ask every shard (more and smaller blocks while
+    there are fewer tasks than cores), so a task holds a shard and a block. Links in question are verified in double
+    precision and leave a task as counts and a spanning forest, never as pairs. The nodes of a crowd, whose links fill
+    wide beams, are compared with a whole shard by matrix products. Vectors of different lengths never link.
 
     Vectors that are not usable, and rows without an id, link with nothing and are their own component. Rows that
     repeat an id are one item: it has the links of all its rows, which count as rows. An empty table gives an empty
     result. Other columns are ignored.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "hnsw")
-    shards = shards or spark.sparkContext.defaultParallelism
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).withColumn("ok", F.col("id").isNotNull() & usable(F.col("v")))
     nodes = rows.where("ok").groupBy("v").agg(F.min("id").alias("node"), F.count("*").alias("weight"))
     nodes = scratch.write(nodes.withColumns({"dim": F.size("v"), "part": F.xxhash64("v")}), "nodes")
-    blocks = -(-max(1, nodes.count()) // BLOCK)
     kind = np.float64 if "double" in nodes.schema["v"].dataType.simpleString() else np.float32
+    total, cells = nodes.agg(F.count("*"), F.coalesce(F.sum("dim"), F.lit(0))).first()
+    shards = -(-max(1, cells * 4) // shard_bytes)
+    blocks = max(shards, -(-spark.sparkContext.defaultParallelism // shards))
 
     def matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
         return column.combine_chunks().flatten().to_numpy().reshape(-1, dim)
 
     def build(group: pa.Table) -> pa.Table:
         dim = group.column("dim")[0].as_py()
-        group = group.sort_by("node")
+        group = group.sort_by("part")
         raw = matrix(group.column("v"), dim)
         index = Hnsw.build(unit(raw))
-        return pa.table({
+        out = pa.table({
             "dim": pa.array([dim], pa.int32()), "shard": pa.array([group.column("shard")[0].as_py()], pa.int32()), "raw": [raw.tobytes()],
-            "node": [group.column("node").to_numpy().tobytes()], "weight": [group.column("weight").to_numpy().tobytes()],
+            "node": [group.column("node").to_numpy().tobytes()], "part": [group.column("part").to_numpy().tobytes()], "weight": [group.column("weight").to_numpy().tobytes()],
             "members": [[x.members.astype("<i4").tobytes() for x in index.layers]], "graphs": [[x.graph.tobytes() for x in index.layers]],
         })
+        settle()
+        return out
 
     dealt = nodes.withColumn("shard", F.pmod("part", F.lit(shards)).cast("int"))
-    schema = "dim int, shard int, raw binary, node binary, weight binary, members array<binary>, graphs array<binary>"
+    schema = "dim int, shard int, raw binary, node binary, part binary, weight binary, members array<binary>, graphs array<binary>"
     indices = scratch.write(dealt.groupBy("dim", "shard").applyInArrow(build, schema), "indices")
 
     def ask(block: pa.Table, stored: pa.Table) -> pa.Table:
@@ -257,19 +334,12 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             raw = np.frombuffer(cell["raw"], kind).reshape(-1, dim)
             members = [np.frombuffer(x, "<i4") for x in cell["members"]]
             index = Hnsw(unit(raw), [Layer(m, np.frombuffer(g, np.int32).reshape(len(m), -1)) for m, g in zip(members, cell["graphs"], strict=True)])
-            node, weight = np.frombuffer(cell["node"], np.int64), np.frombuffer(cell["weight"], np.int64)
-            mine, own = block.column("node").to_numpy(), matrix(block.column("v"), dim)
-            q, p = pairs_within(index, unit(own), threshold)
-            same = np.zeros(len(q), bool)
-            exact = np.zeros(len(q))
-            for i in range(0, len(q), 1 << 16):
-                a, b = own[q[i : i + (1 << 16)]].astype(np.float64), raw[p[i : i + (1 << 16)]].astype(np.float64)
-                exact[i : i + (1 << 16)] = np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
-                same[i : i + (1 << 16)] = (mine[q[i : i + (1 << 16)]] == node[p[i : i + (1 << 16)]]) & (a == b).all(axis=1)
-            keep = (exact >= threshold) & ~same
-            q, p = q[keep], p[keep]
-            links = np.bincount(q, weight[p], len(mine)).astype(np.int64)
-            labels = spanning(len(mine) + len(node), q, p + len(mine))
+            node, weight, part = (np.frombuffer(cell[c], np.int64) for c in ("node", "weight", "part"))
+            mine, asked = block.column("node").to_numpy(), block.column("part").to_numpy()
+            place = np.minimum(np.searchsorted(part, asked), len(part) - 1)
+            found = Links(index, raw, weight, matrix(block.column("v"), dim), np.where(part[place] == asked, place, -1), threshold)
+            found.search()
+            links, labels = found.links.astype(np.int64), found.labels
             names = np.concatenate([mine, node])
             moved = np.flatnonzero(labels != np.arange(len(labels)))
             linked = np.flatnonzero(links)
@@ -277,10 +347,11 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 "node": np.concatenate([mine[linked], names[moved]]), "links": np.concatenate([links[linked], np.zeros(len(moved), np.int64)]),
                 "other": np.concatenate([mine[linked], names[labels[moved]]]),
             }
+        settle()
         return pa.table(out)
 
     block = F.pmod(F.xxhash64("part"), F.lit(blocks)).cast("int").alias("block")
-    asking = nodes.select("node", "v", F.col("dim").alias("d"), block, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"))
+    asking = nodes.select("node", "part", "v", F.col("dim").alias("d"), block, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"))
     stored = indices.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = asking.groupBy("d", "s", "block").cogroup(stored.groupBy("dim", "shard", "b")).applyInArrow(ask, "node long, links long, other long")
     asked = scratch.write(asked, "asked")
@@ -293,8 +364,11 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     heavy = nodes.groupBy("node").agg(F.sum(F.col("weight") - 1).alias("copies")).where("copies > 0")
     info = scratch.write(named.join(found, "node", "full").join(heavy, "node", "full").select("node", "least", (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(0))).alias("n_links")), "info")
     copies = scratch.write(nodes.where("weight > 1").select("v", "node"), "copies")
-    placed = rows.withColumn("v", F.when(F.col("ok"), F.col("v"))).join(if_small(copies, copies.count(), 1024), "v", "left")
-    placed = placed.select("id", F.when(F.col("ok"), F.coalesce("node", "id")).alias("node"), F.col("id").alias("own"))
+    width = copies.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.count("*")).first()
+    # Rows that can't link take no part in the joins, so they meet on no key.
+    placed = rows.where("ok").join(if_small(copies, width[1], 8 * width[0] + 32), "v", "left").select("id", F.coalesce("node", "id").alias("node"))
     out = placed.join(if_small(info, info.count(), 48), "node", "left")
-    component = F.coalesce("least", "node", "own")
+    alone = rows.where(~F.col("ok")).select("id", F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("least"), F.lit(0).cast("long").alias("n_links"))
+    out = out.select("id", "node", "least", "n_links").unionByName(alone)
+    component = F.coalesce("least", "node", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

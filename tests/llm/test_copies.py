@@ -139,13 +139,13 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     draw = np.random.default_rng(0)
     base = draw.normal(size=(700, 24))
     near = base[draw.integers(0, 20, 500)] + draw.normal(scale=0.06, size=(500, 24))
-    crowd = base[30] + draw.normal(scale=0.01, size=(150, 24))
+    crowd = base[30] + draw.normal(scale=0.01, size=(400, 24))
     vectors = np.concatenate([base, near, crowd]).astype(np.float32)
     ids = draw.permutation(len(vectors)).tolist()
     df = spark.createDataFrame(list(zip(ids, vectors.tolist(), strict=True)), "vec_id long, embedding array<float>").repartition(3)
     degree, want = links_by_force(ids, vectors)
-    monkeypatch.setattr(embed_dedup, "BLOCK", 400)
-    rows = {r["vec_id"]: r for r in embed_dedup.similar_vectors(df, shards=3).collect()}
+    monkeypatch.setattr(embed_dedup, "AUDIT", 50)
+    rows = {r["vec_id"]: r for r in embed_dedup.similar_vectors(df, shard_bytes=50_000).collect()}
     got = np.array([rows[i]["n_links"] for i in ids])
     assert (got <= degree).all() and got.sum() >= 0.99 * degree.sum()
     assert np.mean([rows[i]["component_id"] == want[i] for i in ids]) > 0.99
@@ -155,12 +155,31 @@ def test_vectors_against_brute_force(spark, monkeypatch):
 def test_vector_edges(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [None, 1.0]), (8, [1.0, 0.0]), (None, [1.0, 0.0]), (9, [1.0, 0.0, 0.0]), (10, [0.0, 1.0]), (11, []), (8, [1.0, 0.0]), (12, [1e-30, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as node", "'x' as v", "2 as id", "3 as label")
-    got = sorted((str(r["vec_id"]), r["n_links"], r["component_id"], r["kept"]) for r in embed_dedup.similar_vectors(df, shards=2).collect())
+    got = sorted((str(r["vec_id"]), r["n_links"], r["component_id"], r["kept"]) for r in embed_dedup.similar_vectors(df, shard_bytes=50).collect())
     alone = [(str(i), 0, i, True) for i in (3, 4, 5, 6, 7, 9, 10, 11)]
     assert got == sorted([("1", 4, 1, True), ("2", 4, 1, False), ("8", 4, 1, False), ("8", 4, 1, False), ("12", 4, 1, False), ("None", 0, None, True), *alone])
     assert embed_dedup.similar_vectors(df.limit(0)).count() == 0
 
 
+def test_graph_alone_and_crowds():
+    draw = np.random.default_rng(2)
+    base = draw.normal(size=(6000, 32))
+    near = base[draw.integers(0, 2000, 3000)] + draw.normal(scale=0.1, size=(3000, 32))
+    crowd = base[7] + draw.normal(scale=0.2, size=(2500, 32))
+    x = np.concatenate([base, near, crowd]).astype(np.float32)
+    index = embed_dedup.Hnsw.build(embed_dedup.unit(x))
+    found = embed_dedup.Links(index, x, np.ones(len(x), np.int64), x, np.arange(len(x)), 0.95)
+    assert found.search() > 0.99
+    degree, want = links_by_force(range(len(x)), x)
+    assert (found.links <= degree).all() and (found.links == degree).mean() > 0.998 and (found.links[8500:] == degree[8500:]).all()
+
+
+def test_huge_and_tiny_doubles(spark):
+    rows = [(1, [1e300, 2e300]), (2, [1e-300, 2e-300]), (3, [1.0, 2.0]), (4, [-1e300, 2e300])]
+    got = sorted(tuple(r) for r in embed_dedup.similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True)]
+
+
 def test_copy_queries_on_whole_tables(spark, sample):
     rows = {r["doc_id"]: r for r in QUERIES["op6_simhash_dedup"](spark, SMALL).collect()}
     texts = {r["doc_id"]: r["text"] for r in sample.select("doc_id", "text").collect()}
