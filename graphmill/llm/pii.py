@@ -27,7 +27,14 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SIGN = re.compile(r"[0-9@]|[\[({<](?:at|dot)[\])}>]", re.IGNORECASE)
 DIGIT = re.compile(r"[0-9]")
 REACH = 2
-LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
+#: A secret without the name before it and the quotes around it.
+BARE = re.compile(r"([^\s=:\"'`]+)[\"'`)\]},;.]*\Z")
+#: Characters of a shape that is kept whole; cells, words times labels, that are decoded at a time.
+LONG, CELLS = 64, 1 << 18
+#: Found by the CRF alone, after the others in order: passwords, tokens and keys.
+SECRET = "secret"
+ORDERED = (*KINDS, SECRET)
+LABELS = ("O", *(f"{p}-{k}" for k in ORDERED for p in "BI"))
 
 Span = tuple[str, int, int]
 
@@ -69,29 +76,36 @@ def base_spans(text: str) -> list[Span]:
 
 
 def shape(word: str) -> str:
-    """Digits as 9, letters as a or A, runs over three shortened; @ and brackets around at and dot stay."""
+    """Digits as 9, letters as a or A, runs over three shortened; @ and brackets around at and dot stay. A long shape is
+    its beginning, all its characters, and its end."""
     if m := re.fullmatch(r"[\[({<](at|dot)[\])}>]", word, re.IGNORECASE):
         return f"[{m[1].lower()}]"
-    s = re.sub(r"[a-zß-ÿ]", "a", re.sub(r"[A-ZÀ-Þ]", "A", re.sub(r"[0-9]", "9", word[:64].rstrip(".,;:!?") or word[:64])))
-    return re.sub(r"(.)\1{3,}", r"\1\1\1\1", s)
+    s = re.sub(r"[a-zß-ÿ]", "a", re.sub(r"[A-ZÀ-Þ]", "A", re.sub(r"[0-9]", "9", word.rstrip(".,;:!?") or word)))
+    s = re.sub(r"(.)\1{3,}", r"\1\1\1\1", s)
+    return s if len(s) <= LONG else f"{s[: LONG // 3]}~{''.join(sorted(set(s)))}~{s[-LONG // 3 :]}"
 
 
-def features(words: list[str]) -> list[list[str]]:
-    shapes = ["^", *map(shape, words), "$"]
+def features(words: list[str], begin: int = 0, end: int | None = None) -> list[list[str]]:
+    """The features of words[begin:end]."""
+    end = len(words) if end is None else min(end, len(words))
+    shapes = [shape(words[begin - 1]) if begin else "^", *map(shape, words[begin:end]), shape(words[end]) if end < len(words) else "$"]
     out = []
-    for i, word in enumerate(words, 1):
+    for i, word in enumerate(words[begin:end], 1):
         n = len(digits(word))
-        out.append(["bias", f"s={shapes[i]}", f"p={shapes[i - 1]}", f"n={shapes[i + 1]}", f"ps={shapes[i - 1]}|{shapes[i]}", f"sn={shapes[i]}|{shapes[i + 1]}", f"d={min(n, 20)}", "c=" + re.sub(r"(.)\1+", r"\1", shapes[i]), f"m={''.join(sorted(set(re.sub('[0-9A-Za-z]', '', word))))[:6]}", f"w={word.lower()}" if len(word) < 6 and not n else "w=-"])
+        turns = len(re.findall(r"[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])", word))
+        out.append(["bias", f"l={min(len(word) // 4, 10)}", f"t={min(turns, 6)}", f"lt={len(word) > 13}{turns > 2}{word.isupper()}", f"s={shapes[i]}", f"p={shapes[i - 1]}", f"n={shapes[i + 1]}", f"ps={shapes[i - 1]}|{shapes[i]}", f"sn={shapes[i]}|{shapes[i + 1]}", f"d={min(n, 20)}", "c=" + re.sub(r"(.)\1+", r"\1", shapes[i]), f"m={''.join(sorted(set(re.sub('[0-9A-Za-z]', '', word))))[:6]}", f"w={word.lower()}" if len(word) < 6 and not n else "w=-"])
     return out
 
 
-#: The labelled table: a pattern of words, of which those between {kind and } are that kind. 9 is any digit.
+#: The labelled table: a pattern of words, of which those between {kind and } are that kind. 9 is any digit, § any digit of
+#: base 16, ¤ any capital or digit, and what follows § or ¤ in a number of times is drawn as often.
 LABELLED = (
     "call {phone (999) 999-9999 } or write", "phone {phone 999-999-9999 } today", "the {phone 999.999.9999 } and", "tel {phone (99) 9999 9999 } is", "fax: {phone 999 999 9999 } until",
     "ring {phone (999)999-9999 } at once", "is {phone 999-9999-9999 } here", "mail {email aaaa [at] aaaaa [dot] com } now", "to {email aa.aaaa (at) aaaa.com } or", "write {email aaaa [at] aaaa [dot] aa [dot] org } if",
     "of {email aaaaa <at> aaaaaa.net } and", "host {ip 99[.]999[.]9[.]99 } was", "from {ip 999[.]99[.]99[.]999 } came", "the {ip 9[.]99[.]999[.]9 } is", "card {card 9999.9999.9999.9999 } in",
     "pay {card 9999_9999_9999_9999 } of", "with {card 9999/9999/9999/9999 } an", "in 9999 the aaaa", "on 9999-99-99 it was", "at 99:99 of that", "about 9,999 aaaa of", "version 9.9.9 of the", "pages 999-999 of", "for 99.99 in all",
-    'token = "99aa99a9aa9aa999aa9a" from', 'key = "aa99a99aaaa99999a9a9aa9" with', "the 999 aaaa and 99 more", "the (99) of them", "the aaaa [9] and [99] of", "in 99/99/9999 and after", "a 9999999999999999 in the", "at 99.999.99.999 of", "a9a9-99aa-99aa-9999 in",
+    'token = {secret "§40" } from', 'key = {secret "§32" } with', "password={secret_ §18 } of", "is {secret AKIA¤16 } and", "the {secret AKIA¤16 } in", "secret: {secret §24 } that", "key {secret sk-§32 } was", "aaaa {secret AKIA¤16 } aaaa", "password={secret_ §12 } the",
+    "of §6 in the", "the ¤5 and more", "AA9999 was the", "aaaa9 and aaaa99 of", "AAAA-9999 in a", "aaaaaaaaaaaaaaaaaaaaaa99 of the", "99aaaa and 99AA of", "the 999 aaaa and 99 more", "the (99) of them", "the aaaa [9] and [99] of", "in 99/99/9999 and after", "a 9999999999999999 in the", "at 99.999.99.999 of", "a9a9-99aa-99aa-9999 in",
     "id 9999999 was a", "the 9999999999 of it", "number 999999999999 is", "aaaa@aaaa and more", "https://aaaa.com/9999/99 in the", "chapter 9 of 99 and", "sum 999,999,999.99 for", "9999 9999 and 9999 of", "the aaaa (aaaa) of", "+9 (999) 999-9999 the",
 )
 
@@ -102,16 +116,18 @@ def labelled_table(copies: int = 16, seed: int = 7) -> list[tuple[list[str], lis
     draw, out = np.random.default_rng(seed), []
     letter = lambda: chr(97 + draw.integers(26))
     fill = lambda: "".join(letter() for _ in range(draw.integers(2, 8)))
+    drawn = lambda m: "".join(draw.choice(list("0123456789abcdef" if m[1] == "§" else "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), int(m[2])))
     for sentence in LABELLED * copies:
         words, labels, kind, begun = [], [], None, False
+        sentence = re.sub(r"(\S+=)\{secret_ (\S+)", r"{secret \1\2", sentence)
         for part in sentence.split():
-            if part[0] == "{" and part[1:] in KINDS:
+            if part[0] == "{" and part[1:] in ORDERED:
                 kind, begun = part[1:], False
             elif part == "}":
                 kind = None
             else:
                 plain = re.fullmatch(r"[a-z]+:?|\[(at|dot)\]|\((at|dot)\)|<at>|com", part) and not re.fullmatch(r"a+", part)
-                words.append(part if plain else re.sub(r"9", lambda _: str(draw.integers(10)), re.sub(r"a+", lambda m: "".join(letter() for _ in range(len(m[0]) if DIGIT.search(part) else draw.integers(3, 9))), part)))
+                words.append(part if plain else re.sub(r"([§¤])([0-9]+)", drawn, part) if "§" in part or "¤" in part else re.sub(r"9", lambda _: str(draw.integers(10)), re.sub(r"a+", lambda m: "".join(letter() for _ in range(len(m[0]) if DIGIT.search(part) else draw.integers(3, 9))), part)))
                 labels.append(LABELS.index(f"{'I' if begun else 'B'}-{kind}") if kind else 0)
                 begun = True
         words = [fill() if not y and w.isalpha() and draw.random() < 0.5 else w for w, y in zip(words, labels, strict=True)]
@@ -131,29 +147,51 @@ class Crf:
     emit: np.ndarray  # features x labels
     move: np.ndarray  # label to label
 
-    def scores(self, sentences: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Emission scores, padded to the longest sentence, and lengths."""
-        lengths = np.array([len(s) for s in sentences])
-        out = np.zeros((len(sentences), int(lengths.max()), len(LABELS)))
+    def scores(self, sentences: list[list[list[str]]]) -> np.ndarray:
+        """Emission scores of features, padded to the longest sentence."""
+        out = np.zeros((len(sentences), max(map(len, sentences)), len(LABELS)))
         for i, s in enumerate(sentences):
-            for j, names in enumerate(features(s)):
+            for j, names in enumerate(s):
                 out[i, j] = self.emit[[k for n in names if (k := self.names.get(n)) is not None]].sum(axis=0)
-        return out, lengths
+        return out
 
     def decode(self, sentences: list[list[str]]) -> list[list[int]]:
-        """Viterbi over a batch of sentences at once."""
-        score, lengths = self.scores(sentences)
-        best, back = score[:, 0], np.zeros(score.shape, int)
-        paths = np.arange(len(LABELS))
-        for t in range(1, score.shape[1]):
-            through = best[:, :, None] + self.move[None]
-            came = through.argmax(axis=1)
-            inside = (t < lengths)[:, None]
-            best = np.where(inside, through.max(axis=1) + score[:, t], best)
-            back[:, t] = np.where(inside, came, paths)
+        """The best labels of each sentence. Sentences of like length are decoded together, so that padding is less than
+        what they hold, and within CELLS."""
+        order = sorted(range(len(sentences)), key=lambda i: len(sentences[i]))
+        out: list[list[int]] = [[] for _ in sentences]
+        while order:
+            n, shortest = 1, len(sentences[order[0]])
+            while n < len(order) and (size := len(sentences[order[n]])) <= 2 * shortest + 8 and (n + 1) * size * len(LABELS) <= CELLS:
+                n += 1
+            part, order = order[:n], order[n:]
+            for i, labels in zip(part, self.viterbi([sentences[i] for i in part]), strict=True):
+                out[i] = labels
+        return out
+
+    def viterbi(self, sentences: list[list[str]]) -> list[list[int]]:
+        """Viterbi over a batch of sentences at once, a block of words at a time: the state at a block's end carries over,
+        and only a byte a cell stays for the way back."""
+        lengths = np.array([len(s) for s in sentences])
+        steps = int(lengths.max(initial=0))
+        if not steps:
+            return [[] for _ in sentences]
+        back = np.zeros((len(sentences), steps, len(LABELS)), np.uint8)
+        paths, best = np.arange(len(LABELS), dtype=np.uint8), np.zeros((len(sentences), len(LABELS)))
+        block = max(1, CELLS // (len(sentences) * len(LABELS)))
+        for begin in range(0, steps, block):
+            score = self.scores([features(s, begin, begin + block) if begin < len(s) else [] for s in sentences])
+            for t in range(begin, min(begin + score.shape[1], steps)):
+                if not t:
+                    best = score[:, 0].copy()
+                    continue
+                through = best[:, :, None] + self.move[None]
+                inside = (t < lengths)[:, None]
+                back[:, t] = np.where(inside, through.argmax(axis=1), paths)
+                best = np.where(inside, through.max(axis=1) + score[:, t - begin], best)
         at = best.argmax(axis=1)
-        out = np.zeros(score.shape[:2], int)
-        for t in range(score.shape[1] - 1, -1, -1):
+        out = np.zeros((len(sentences), steps), np.uint8)
+        for t in range(steps - 1, -1, -1):
             out[:, t] = at
             at = back[np.arange(len(at)), t, at]
         return [row[:n].tolist() for row, n in zip(out, lengths, strict=True)]
@@ -203,46 +241,44 @@ def trained(rounds: int = 100, rate: float = 0.2, decay: float = 1e-4) -> Crf:
 
 
 def plausible(kind: str, said: str) -> bool:
-    """Whether a decoded span, its disguise undone, passes its kind's own test."""
-    plain = re.sub(r"\s*[\[({<]at[\])}>]\s*", "@", re.sub(r"\s*[\[({<](?:dot|\.)[\])}>]\s*", ".", said, flags=re.IGNORECASE), flags=re.IGNORECASE)
+    """Whether a decoded span passes its kind's check digits and ranges; how it is written is the CRF's to judge."""
     number = digits(said)
-    if kind == "email":
-        return bool(EMAIL.fullmatch(plain))
     if kind == "ip":
-        return bool(IP.fullmatch(plain)) and all(len(p) < 4 and int(p) <= 255 for p in plain.split("."))
+        parts = re.findall(r"[0-9]+", said)
+        return len(parts) == 4 and all(len(p) < 4 and int(p) <= 255 for p in parts)
     if kind == "card":
         return 12 <= len(number) <= 19 and luhn(number)
-    return bool(re.fullmatch(r"(?:\([0-9]{2,4}\)|[0-9]{2,4})([\x20.-]?)[0-9]{3,4}[\x20.-][0-9]{4}", said)) and 9 <= len(number) <= 15
+    if kind == SECRET:
+        return len(said) >= 12 and bool(number) and len(number) < len(said)
+    return 9 <= len(number) <= 15 if kind == "phone" else True
 
 
-def windows(text: str) -> Iterator[list[re.Match]]:
-    """Runs of words within REACH of a word that has a SIGN; none if no word has."""
-    run: list[re.Match] = []
-    last: list[re.Match] = []
+def windows(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Runs of words, by begin and end, within REACH of a word that has a SIGN; none if no word has."""
+    run: list[tuple[int, int]] = []
+    last: list[tuple[int, int]] = []
     follow = -1
     for m in WORD.finditer(text):
         if SIGN.search(m[0]):
-            run += [*last, m]
+            run += [*last, m.span()]
             last, follow = [], REACH
         elif run and follow > 0:
-            run.append(m)
+            run.append(m.span())
             follow -= 1
         else:
-            if run:
-                last = [*last, m]
-                if len(last) > REACH:
-                    yield run
-                    run, last = [], last[-REACH:]
-            else:
-                last = [*last, m][-REACH:]
+            last = [*last, m.span()]
+            if run and len(last) > REACH:
+                yield run
+                run = []
+            last = last[-REACH:] if not run else last
     if run:
         yield run
 
 
-def crf_spans(crf: Crf, runs: list[list[re.Match]]) -> list[Span]:
-    """What the CRF finds in the runs of one text, trimmed of punctuation at its end."""
+def crf_spans(crf: Crf, text: str, runs: list[list[tuple[int, int]]]) -> list[Span]:
+    """What the CRF finds in the runs of a text, trimmed of punctuation at its end."""
     found: list[Span] = []
-    for run, labels in zip(runs, crf.decode([[m[0] for m in run] for run in runs]), strict=True):
+    for run, labels in zip(runs, crf.decode([[text[a:b] for a, b in run] for run in runs]), strict=True):
         i = 0
         while i < len(run):
             if labels[i]:
@@ -250,9 +286,11 @@ def crf_spans(crf: Crf, runs: list[list[re.Match]]) -> list[Span]:
                 j = i + 1
                 while j < len(run) and LABELS[labels[j]] == f"I-{kind}":
                     j += 1
-                start = run[i].start()
-                said = run[0].string[start : run[j - 1].end()].rstrip(".,;:!?")
-                if plausible(kind, said):
+                start = run[i][0]
+                said = text[start : run[j - 1][1]].rstrip(".,;:!?")
+                if kind == SECRET and (m := BARE.search(said)):
+                    start, said = start + m.start(1), m[1]
+                if said and plausible(kind, said):
                     found.append((kind, start, start + len(said)))
                 i = j
             else:
@@ -266,17 +304,19 @@ def find_spans(crf: Crf, text: str) -> tuple[list[Span], list[Span]]:
         return [], []
     base = base_spans(text)
     runs = [r for r in windows(text)]
-    added = [s for s in crf_spans(crf, runs) if all(s[2] <= b[1] or b[2] <= s[1] for b in base)] if runs else []
-    return base, added
+    taken = np.array(sorted(b[1:] for b in base)).reshape(-1, 2)
+    ends = np.maximum.accumulate(taken[:, 1]) if len(taken) else taken[:, 1]
+    free = lambda s: not (n := int(np.searchsorted(taken[:, 0], s[2]))) or ends[n - 1] <= s[1]
+    return base, [s for s in crf_spans(crf, text, runs) if free(s)] if runs else []
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans array<struct<kind, start, end, base>>) for every row of docs, spans in code points by start, then
-    kind as in KINDS; base tells pattern matches from what the CRF adds.
+    kind as in ORDERED; base tells pattern matches from what the CRF adds, secrets among it.
 
     Whole texts are searched. The CRF decodes every word within two words of one that has a digit, an @ or a
     bracketed at or dot; no other word can belong to what it was trained on. What it adds must pass its kind's check
-    and must not overlap a pattern match. Null and empty texts have no spans. Repeated rows and null ids give rows of
+    digits and ranges and must not overlap a pattern match. Null and empty texts have no spans. Repeated rows and null ids give rows of
     their own. An empty table gives an empty result. Other columns are ignored.
     """
     crf = trained()
@@ -286,7 +326,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             out = []
             for cell in batch.column("text"):
                 base, added = find_spans(crf, cell.as_py() or "")
-                both = sorted([(s, True) for s in base] + [(s, False) for s in added], key=lambda x: (x[0][1], KINDS.index(x[0][0])))
+                both = sorted([(s, True) for s in base] + [(s, False) for s in added], key=lambda x: (x[0][1], ORDERED.index(x[0][0])))
                 out.append([{"kind": k, "start": a, "end": b, "base": own} for (k, a, b), own in both])
             yield {"id": batch.column("id"), "spans": out}
 
@@ -300,7 +340,7 @@ def masked(text: Column) -> Column:
     def one(t: str) -> str:
         base, added = find_spans(crf, t)
         out, at, end = [], 0, -1
-        for kind, a, b in sorted(base + added, key=lambda s: (s[1], KINDS.index(s[0]))):
+        for kind, a, b in sorted(base + added, key=lambda s: (s[1], ORDERED.index(s[0]))):
             if a < end:
                 end = max(end, b)
                 continue

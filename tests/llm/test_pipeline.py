@@ -87,7 +87,7 @@ def test_whole_pipeline(spark, sample):
     def mask(text):
         base, added = pii.find_spans(pii.trained(), text)
         out, end, at = "", 0, -1
-        for kind, a, b in sorted(base + added, key=lambda s: (s[1], pii.KINDS.index(s[0]))):
+        for kind, a, b in sorted(base + added, key=lambda s: (s[1], pii.ORDERED.index(s[0]))):
             if a < at:
                 at = end = max(at, b)
                 continue
