@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import random
 import zlib
@@ -425,20 +426,75 @@ def test_carries(spark):
 # WARC
 
 
-def test_chain_rejects_magic_in_payloads():
-    def record(body):
-        return warc.MAGIC + b"WARC-Type: response\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+def record(body, version=b"1.1", said=None):
+    return b"WARC/%s\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:x%d>\r\nContent-Length: %d\r\n\r\n" % (version, len(body), len(body) if said is None else said) + body + b"\r\n\r\n"
 
-    inner = record(b"fake")
-    content = record(b"one") + record(b"x" + inner + inner) + record(b"") + record(warc.MAGIC + b"Content-Length: 1\r\n\r\n")
-    got = [content[body : end - 4] for _, end, _, body in warc.chain(content)]
-    assert got == [b"one", b"x" + inner + inner, b"", warc.MAGIC + b"Content-Length: 1\r\n\r\n"]
-    assert [x[0] for x in warc.chain(content[:-6])] == [x[0] for x in warc.chain(content)][:-1]
-    assert warc.chain(b"") == [] and warc.chain(b"junk" + content) == []
+
+def archive(folder, name, content):
+    path = folder / name
+    path.write_bytes(gzip.compress(content) if name.endswith(".gz") else content)
+    return str(path)
+
+
+def payloads(spark, path, **more):
+    rows = warc.read_warc(spark, path, **more).collect()
+    return [bytes(r["payload"]) for r in sorted(rows, key=lambda r: (r["file"], r["offset"]["block"], r["offset"]["n"]))]
+
+
+BODIES = [b"one", b"x" + record(b"fake") * 2, b"", warc.MAGIC.encode() + b"1\r\nContent-Length: 1\r\n\r\n", b"\xff\xfe\x00" * 50, b"WARC/1.", record(b"end")]
+
+
+@pytest.mark.parametrize("version", [b"1.0", b"1.1"])
+def test_magic_in_payloads_is_rejected(spark, tmp_path, version):
+    content = b"".join(record(x, version) for x in BODIES)
+    for name in ("a.warc", "b.warc.gz"):
+        assert payloads(spark, archive(tmp_path, name, content)) == BODIES
+    assert payloads(spark, archive(tmp_path, "c.warc.gz", b""), strict=True) == []
+    members = tmp_path / "d.warc.gz"
+    members.write_bytes(b"".join(gzip.compress(record(x, version)) for x in BODIES))
+    assert payloads(spark, str(members)) == BODIES
+    assert payloads(spark, archive(tmp_path, "e.warc", b"\r\n" + content)) == BODIES
+
+
+def test_archives_are_read_in_splits(spark, tmp_path):
+    draw = random.Random(4)
+    bodies = [draw.choice(BODIES) * draw.randrange(1, 40) for _ in range(300)]
+    path = archive(tmp_path, "a.warc", b"".join(map(record, bodies)))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert warc.candidates(spark, path).rdd.getNumPartitions() > 5
+        assert payloads(spark, path) == bodies
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("broken", ["length", "longer", "cut", "junk", "tail"])
+def test_broken_archives_are_told(spark, tmp_path, broken):
+    parts = [record(b"p%d" % i * 20) for i in range(10)]
+    if broken in ("length", "longer"):
+        parts[3] = record(b"p" * 20, said=17 if broken == "length" else 23)
+    content = b"".join(parts)
+    content = {"cut": content[:-30], "junk": b"junk" + content, "tail": content + b"tail"}.get(broken, content)
+    path = archive(tmp_path, "a.warc", content)
+    with pytest.raises(ValueError, match="broken archives: .*a.warc at byte"):
+        warc.read_warc(spark, path)
+    good = {"cut": 9, "junk": 0, "tail": 9}.get(broken, 3)
+    assert payloads(spark, path, strict=False) == [b"p%d" % i * 20 for i in range(good)]
+
+
+def test_archives_rotate_by_bytes(spark, tmp_path):
+    rows = [(i, f"{i} " + "x" * (5000 if i % 50 == 3 else 20)) for i in range(400)]
+    df = spark.createDataFrame(rows, "page_id long, html string").coalesce(2)
+    warc.write_warc(df, str(tmp_path / "out"), archive_bytes=8000)
+    sizes = [f.stat().st_size for f in (tmp_path / "out").rglob("part-*")]
+    assert len(sizes) > 10 and max(sizes) <= 8000 and sorted(payloads(spark, str(tmp_path / "out"))) == sorted(h.encode() for _, h in rows)
 
 
 def test_warc_edges(spark):
-    magic = (warc.MAGIC + b"WARC-Type: response\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n").decode() * 3
+    magic = record(b"abcde").decode() * 3
     html = [(5, "p" * 99), (6, "p" * 99), (7, "é" * 50), (3, "é" * 50), (9, "é" * 50), (8, None), (1, ""), (2, magic), (4, magic), (None, "q" * 200), (4, magic), (10, LONG)]
     df = spark.createDataFrame([(i, f"http://x/{i}\n", h) for i, h in html], "page_id long, url string, html string").selectExpr("*", "1 as id", "2 as digest", "3 as bytes", "'a' as refers_to").repartition(2)
     got = sorted((str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.archived_pages(df).collect())
