@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from graphmill.llm.common import map_rows
 
 Turn = tuple[str, str]
-#: Turns before a turn that a prefix is rendered with; longer prefixes are checked at doubling lengths.
+#: Turns before a turn that a prefix of an append-only template is rendered with.
 CONTEXT = 16
 SPAN = "role string, start long, end long, text_start long, text_end long"
 FORMATTED = f"conv_id long, formatted string, rewritten_at long, spans array<struct<{SPAN.replace(' string', ': string').replace(' long', ': long')}>>"
@@ -53,15 +53,16 @@ def common(a: str, b: str) -> int:
     return low
 
 
-def locate(render: Callable[[list[Turn]], str], turns: list[Turn], context: int = CONTEXT) -> tuple[str, int | None, list[tuple]]:
+def locate(render: Callable[[list[Turn]], str], turns: list[Turn], append_only: bool = False) -> tuple[str, int | None, list[tuple]]:
     """The rendered conversation; the first turn (from 0) whose rendering rewrites what stood before, or None; and
     (role, start, end, text start, text end) of each turn, empty if history is rewritten.
 
-    render is a black box. Prefixes of successive length are rendered and compared; what a turn adds is its span. Two
-    renderings with different one-character texts in the turn's place tell where its text begins and ends. Beyond
-    `context` turns a prefix is rendered without its oldest turns, so that the work stays in proportion to the turns;
-    the parts must then add up to the whole rendering, and whole prefixes of doubling length must begin it. Where they
-    don't, all whole prefixes are compared.
+    render is a black box. Prefixes of each length are rendered whole and compared; what a turn adds is its span. Two
+    renderings with different one-character texts in the turn's place tell where its text begins and ends. That takes
+    the square of a conversation's length. A template that is declared append_only, one that only ever adds turns to what
+    it has rendered, is rendered without turns older than CONTEXT, in proportion to the length; it is checked all the
+    same: the parts must add up to the whole, and whole prefixes of doubling length must begin it, or else all prefixes are
+    compared.
     """
     whole = render(turns)
 
@@ -82,9 +83,9 @@ def locate(render: Callable[[list[Turn]], str], turns: list[Turn], context: int
             at = end
         return None, out, "".join(parts)
 
-    if len(turns) > context:
-        rewritten, out, joined = spans(context)
-        sizes = [context << i for i in range(len(turns).bit_length()) if context << i < len(turns)]
+    if append_only and len(turns) > CONTEXT:
+        rewritten, out, joined = spans(CONTEXT)
+        sizes = [CONTEXT << i for i in range(len(turns).bit_length()) if CONTEXT << i < len(turns)]
         if rewritten is None and joined == whole and all(whole.startswith(render(turns[:n])) for n in sizes):
             return whole, None, out
     rewritten, out, joined = spans(len(turns))
@@ -99,8 +100,9 @@ def conversations_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int |
         yield conv_id, [(role or "", text or "") for _, role, text in group]
 
 
-def format_chats(turns: DataFrame, render: Callable[[list[Turn]], str] = inst_template) -> DataFrame:
+def format_chats(turns: DataFrame, render: Callable[[list[Turn]], str] = inst_template, append_only: bool = False) -> DataFrame:
     """A row per conv_id: the conversation rendered by `render`, and its turns' spans in code points, see FORMATTED.
+    append_only: a promise about `render`, see locate.
 
     Turns are dealt by conversation, sorted on disk and streamed; a task holds one conversation at a time, which is
     the least that rendering it as one text needs. Turns are taken by turn, then role, then text; repeated rows are
@@ -112,7 +114,7 @@ def format_chats(turns: DataFrame, render: Callable[[list[Turn]], str] = inst_te
         out: dict[str, list] = {k: [] for k in ("conv_id", "formatted", "rewritten_at", "spans")}
         size = 0
         for conv_id, group in conversations_of(batches):
-            whole, rewritten, spans = locate(render, group)
+            whole, rewritten, spans = locate(render, group, append_only)
             for k, v in zip(out, (conv_id, whole, rewritten, [dict(zip(("role", "start", "end", "text_start", "text_end"), s, strict=True)) for s in spans]), strict=True):
                 out[k].append(v)
             size += len(whole)

@@ -11,12 +11,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.common import fresh, map_rows, pieces_of
+from graphmill.llm.common import fresh, if_small, map_rows, pieces_of
 
 #: Bytes of a window; filter widths and filters of each.
 WINDOW, WIDTHS, FILTERS = 512, (2, 3, 4), 8
-#: Labelled rows that training draws for each language, at most; languages that it learns, the most frequent first.
-PER_LANGUAGE, LANGUAGES = 600, 512
+#: Labelled texts that training draws for each language, and of all languages together, at most; one of each at least.
+PER_LANGUAGE, WINDOWS = 600, 300_000
 #: Positions that are convolved at a time, so that the activations stay in the processor's cache.
 BLOCK = 1 << 14
 UNDETERMINED = "und"
@@ -146,27 +146,25 @@ def held_out(id_col: str, folds: int) -> Column:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> ByteConv | None:
-    """A network for the languages of docs, from one window each of a bounded sample: PER_LANGUAGE rows of each of the
-    LANGUAGES most frequent ones, drawn by a hash of the text. None if no row is labelled."""
-    labelled = docs.where(F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0))
-    counts = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()}
+    """A network for all languages of docs, from one window each of a bounded sample: of every language as many distinct
+    texts, up to PER_LANGUAGE, as come first by a hash. None if no row is labelled."""
+    labelled = docs.where(F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    place = F.pmod(F.xxhash64("text", F.lit(2)), F.lit(1 << 40))
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct(place).alias("n")).collect()}
     if not counts:
         return None
-    names = sorted(counts)
-    share = F.element_at(F.create_map(*(x for k in names for x in (F.lit(k), F.lit(min(1.0, 1.2 * PER_LANGUAGE / counts[k]))))), F.col(lang_col))
-    order = F.xxhash64(text_col).alias("h")
-    data = F.col(text_col).cast("binary")
-    spare = F.greatest(F.octet_length(text_col) - WINDOW, F.lit(0))
-    begin = F.pmod(F.xxhash64(text_col, F.lit(1)), spare + 1).cast("int") + 1
-    drawn = labelled.where(F.pmod(F.xxhash64(text_col, F.lit(2)), F.lit(1 << 30)) < share * (1 << 30))
-    rows = drawn.select(F.col(lang_col).alias("lang"), order, F.substring(data, begin, F.lit(WINDOW)).alias("window")).limit(2 * PER_LANGUAGE * len(names)).collect()
-    kept: dict[str, list[bytes]] = {k: [] for k in names}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["h"], bytes(r["window"]))):
-        if len(kept[r["lang"]]) < PER_LANGUAGE:
+    each = max(1, min(PER_LANGUAGE, WINDOWS // len(counts)))
+    # Enough for `each` texts, estimates and chance allowed for; the rest never leaves its task.
+    shares = [(k, int((1 << 40) * min(1.0, (1.3 * each + 30) / n))) for k, n in counts.items()]
+    bounds = if_small(docs.sparkSession.createDataFrame(shares, "lang string, bound long"), len(shares), 40)
+    data, spare = F.col("text").cast("binary"), F.greatest(F.octet_length("text") - WINDOW, F.lit(0))
+    begin = F.pmod(F.xxhash64("text", F.lit(1)), spare + 1).cast("int") + 1
+    drawn = labelled.join(bounds, "lang").where(place < F.col("bound")).select("lang", place.alias("h"), F.substring(data, begin, F.lit(WINDOW)).alias("window"))
+    kept: dict[str, list[bytes]] = {k: [] for k in sorted(counts)}
+    for r in sorted(drawn.distinct().collect(), key=lambda r: (r["lang"], r["h"], bytes(r["window"]))):
+        if len(kept[r["lang"]]) < each:
             kept[r["lang"]].append(bytes(r["window"]))
-    names = [k for k in names if kept[k]]
-    if not names:
-        return None
+    names = [k for k in kept if kept[k]]
     return train([w for k in names for w in kept[k]], np.repeat(np.arange(len(names)), [len(kept[k]) for k in names]), names)
 
 

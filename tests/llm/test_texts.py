@@ -50,6 +50,19 @@ def test_langid_edges(docs, no_docs):
     assert {r["lang_pred"] for r in blind.collect()} == {"und"}
 
 
+def test_floods_and_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "WINDOWS", 1500)
+    seen = {}
+    monkeypatch.setattr(langid, "train", lambda windows, labels, names: seen.update(n=np.bincount(labels, minlength=len(names)), names=names, windows=windows))
+    rows = [(i, "the same text", "en") for i in range(3000)] + [(3000 + i, f"text number {i}", "en") for i in range(900)] + [(9000 + i, f"lang {i} a", f"l{i:04d}") for i in range(600)]
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    assert len(seen["names"]) == 601 and seen["n"].min() >= 1 and seen["n"].sum() <= 1500
+    monkeypatch.setattr(langid, "WINDOWS", 300_000)
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    english = seen["windows"][: seen["n"][0]]
+    assert seen["names"][0] == "en" and seen["n"][0] == 300_000 // 601 and len(set(english)) == len(english) and seen["n"][1:].tolist() == [1] * 600
+
+
 def test_windows_are_read_as_defined():
     draw = np.random.default_rng(0)
     net = langid.ByteConv(["a", "b"], [draw.normal(size=(w, 256, langid.FILTERS)).astype(np.float32) for w in langid.WIDTHS], draw.normal(size=24).astype(np.float32), draw.normal(size=(24, 2)).astype(np.float32), np.zeros(2, np.float32))
@@ -307,12 +320,15 @@ def test_chat_round_trip(turns):
 
 def test_long_chats_are_located_alike():
     turns = [(("user", "assistant")[i % 2], f"text {i} </s>") for i in range(90)]
-    assert chat.locate(chat.inst_template, turns) == chat.locate(chat.inst_template, turns, context=1000)
+    assert chat.locate(chat.inst_template, turns) == chat.locate(chat.inst_template, turns, append_only=True)
     system_first = lambda ts: "SYS" + chat.inst_template([t for t in ts if t[0] == "system"]) + chat.inst_template([t for t in ts if t[0] != "system"])
     numbered = lambda ts: "".join(f"{i}:{t}\n" for i, (_, t) in enumerate(ts))
-    assert chat.locate(numbered, turns)[1] is None
-    assert chat.locate(numbered, turns)[2][89][3] == len(numbered(turns[:89])) + 3
-    assert chat.locate(system_first, [*turns, ("system", "late")])[1] == 90
+    for promised in (False, True):
+        assert chat.locate(numbered, turns, promised)[1] is None
+        assert chat.locate(numbered, turns, promised)[2][89][3] == len(numbered(turns[:89])) + 3
+        assert chat.locate(system_first, [*turns, ("system", "late")], promised)[1] == 90
+    odd_header = lambda ts: ("odd" if len(ts) % 2 and len(ts) > 40 else "") + chat.inst_template(ts)
+    assert chat.locate(odd_header, turns)[1] == 40
     assert chat.locate(lambda ts: f"{len(ts)}|" + chat.inst_template(ts), turns)[1] == 0 or chat.locate(lambda ts: f"{len(ts)}|" + chat.inst_template(ts), turns)[1] == 1
 
 
