@@ -17,8 +17,9 @@ from graphmill.llm.common import Scratch, binary_slices, if_small, map_rows, tex
 from graphmill.llm.components import connected_components, spanning
 
 SEED = 42
-#: Distinct fingerprints that a shard holds, and that the shards' tree is fitted on at most.
-SHARD, SAMPLE = 8192, 8192
+#: Distinct fingerprints that a shard holds; of a sample for each shard, and of the whole sample at most, which the shards'
+#: tree is fitted on. Beyond SHARD * SAMPLE / EACH fingerprints, 5e8, shards grow.
+SHARD, EACH, SAMPLE = 8192, 16, 1 << 20
 #: Stored fingerprints at which a local tree stops splitting; bytes that words are cut in at a time.
 LEAF, BLOCK = 32, 4 << 20
 BLANK = re.compile(rb"[\x20\x09-\x0d]")
@@ -169,7 +170,7 @@ class Linker:
 def hamming_links(scratch: Scratch, fps: DataFrame, reach: int = 2) -> DataFrame:
     """(a, b) links among the distinct longs fp of fps that join exactly what pairs within `reach` bits join.
 
-    A vantage-point tree, fitted on a bounded sample of SAMPLE rows, has a leaf for about SHARD fingerprints. Each is
+    A vantage-point tree, fitted on a bounded sample of at most SAMPLE rows, has a leaf for about SHARD fingerprints. Each is
     stored in its own leaf and asks in those later leaves that its ball overlaps; a shard then runs both through a
     local tree and emits a spanning forest, so at most one link a row, never all pairs of a group. For random
     fingerprints each level sends about 0.4 of the queries both ways, so copies grow as a power of about 0.5 of the
@@ -177,7 +178,8 @@ def hamming_links(scratch: Scratch, fps: DataFrame, reach: int = 2) -> DataFrame
     """
     rows = fps.count()
     depth = max(0, ceil(log2(max(1, rows) / SHARD)))
-    sample = np.array([r[0] for r in fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE if depth else 0).collect()], np.int64).view(np.uint64)
+    depth = min(depth, int(log2(SAMPLE // EACH)))
+    sample = np.array([r[0] for r in fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(min(SAMPLE, EACH << depth) if depth else 0).collect()], np.int64).view(np.uint64)
     leaves: list[Node] = []
     tree = grow(sample, depth, leaves)
 
