@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from functools import cache as once
@@ -54,9 +55,12 @@ class Scratch:
 
 
 def forget_finished(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of finished steps, which otherwise stay until the driver's heap fills."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark's cleaner remove the shuffle files of finished steps, which otherwise stay until the driver's heap fills.
+    A plan is collected a round after what refers to it, and the cleaner works beside the driver."""
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -89,12 +89,13 @@ class Level:
         asked = np.unique(self.past[self.past >= 0])
         alone = asked[(count[asked] == 0) & ~np.isin(self.known[asked], hot)]
         whose = np.concatenate([self.first, alone])
-        history = self.known[whose]
-        spread = np.isin(self.known, hot)[self.first]
-        bucket = history % np.uint64(buckets)
-        bucket[: len(self.first)] = np.where(spread, self.key % np.uint64(buckets), bucket[: len(self.first)])
-        order = np.lexsort((history, bucket))
-        bucket, whose = bucket[order].astype(np.int64), whose[order]
+        bucket = (self.known % np.uint64(buckets)).astype(np.int64)[whose]
+        spread = np.flatnonzero(np.isin(self.known, hot)[self.first])
+        bucket[spread] = (self.key[spread] % np.uint64(buckets)).astype(np.int64)
+        rank = np.empty(len(self.known), np.int64)
+        rank[np.argsort(self.known)] = np.arange(len(self.known))
+        order = np.argsort(bucket * len(self.known) + rank[whose], kind="stable")
+        bucket, whose = bucket[order], whose[order]
         real = order < len(self.first)
         begin = np.flatnonzero(np.r_[True, (np.diff(bucket) != 0) | (np.diff(whose) != 0)][: len(order)])
         return order[real], bucket[real], bucket[begin], whose[begin], np.add.reduceat(real.astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64)
