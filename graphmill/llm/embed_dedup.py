@@ -18,8 +18,9 @@ DEGREE, BUILD, BEAM, WIDE, AUDIT = 12, 40, 32, 4, 1024
 #: Bytes of vectors that a shard holds, and a block of queries, on average.
 SHARD = 16 << 20
 #: Share of its true links that a search must have found for an audited query on average, else all beams are doubled; the
-#: beam from which queries that fill it with links are compared with the whole shard.
-RECALL, DENSE = 0.999, 128
+#: beam from which queries that fill it with links are compared with the whole shard; the share of a shard from which a
+#: beam takes longer than that.
+RECALL, DENSE, WHOLE = 0.999, 128, 1 / 128
 #: What single precision may take off a cosine or add to it; candidates this close to the threshold are verified in double.
 SLACK = 1e-4
 
@@ -119,7 +120,7 @@ class Hnsw:
             own = np.argpartition(-inside, k - 1, axis=1)[:, :k]
             ids, sims = own + at, np.take_along_axis(inside, own, 1)
             if at:
-                step = max(32, min(1024, (1 << 24) // at))
+                step = max(32, min(1024, (1 << 26) // at))
                 parts = [beam_search(points[:at], layer.graph[:at], q, self.enter(q, at), BUILD) for q in (asking[i : i + step] for i in range(0, size, step))]
                 ids, sims = (np.concatenate([x, np.concatenate(y)], axis=1) for x, y in zip((ids, sims), zip(*parts, strict=True), strict=True))
             order = np.argsort(-sims, axis=1, kind="stable")[:, :BUILD]
@@ -167,7 +168,7 @@ class Hnsw:
         """(ids, similarities), best first."""
         beam = min(beam, len(self.points))
         lowest = self.layers[-1]
-        step = max(32, min(1024, (1 << 24) // len(self.points)))
+        step = max(32, min(1024, (1 << 26) // len(self.points)))
         points = self.points[lowest.members]
         parts = [beam_search(points, lowest.graph, q, self.enter(q), beam) for q in (asking[i : i + step] for i in range(0, len(asking), step))]
         ids, sims = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -239,7 +240,7 @@ class Links:
         """Finds all links, and returns the recall of the graph alone. Where points within reach fill a query's beam, it is
         widened, and from DENSE on the query is compared with all points: it is in a crowd. Audits compare AUDIT
         queries with all points; while a query misses a share of its links above 1 - RECALL on average, every beam is
-        doubled, up to the whole shard."""
+        doubled, and at a share of WHOLE of the shard, it is the whole shard."""
         least, n = self.threshold - SLACK, len(self.index.points)
         audit = np.unique(np.linspace(0, len(self.asking) - 1, min(AUDIT, len(self.asking))).astype(int))
         beam, crowd = BEAM, np.zeros(len(self.asking), bool)
@@ -269,6 +270,9 @@ class Links:
             if recall >= RECALL or beam >= n:
                 break
             beam *= 2
+            if beam >= WHOLE * n:
+                self.add_whole(np.arange(len(self.asking)))
+                return recall
         missed = np.zeros(len(self.asking), bool)
         missed[audit[got < true]] = True
         keep = ~missed[q]
