@@ -27,7 +27,7 @@ WINDOW, CHUNK, END = 2048, 1 << 21, 1
 LEAST, SWAY = 32, 0.1
 #: Bytes of words that a Python worker remembers, a third more being for their pieces; what an entry takes besides its key
 #: and value; the longest word that is kept.
-WORDS, ENTRY, LONGEST = 150 << 20, 180, 48
+WORDS, ENTRY, LONGEST = 240 << 20, 180, 48
 #: Chunks whose sums are added up together before running sums go over all of them.
 BATCH = 1024
 #: The tokenizer's split, words whose lower case and NFC are plain, and how byte-level BPE shows bytes.
