@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, replace
+from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +38,14 @@ def latest(rows: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
     return rows.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
+def last_of_each(rows: DataFrame, into: T.StructType) -> DataFrame:
+    """rows conformed, of those that share an id the last: by a column seq if there is one, else by the rows' order."""
+    order = F.col("seq") if "seq" in rows.columns else F.monotonically_increasing_id()
+    rows = conform(rows.withColumn("_order", order), T.StructType([*into.fields, T.StructField("_order", T.LongType())]))
+    last = rows.groupBy("id").agg(F.max_by(F.struct(*into.names), "_order").alias("row"))
+    return conform(last.select("row.*"), into)
+
+
 @dataclass(frozen=True)
 class PropertyGraph:
     """Immutable: every mutation gives a new graph whose tables are planned, not run."""
@@ -103,8 +114,9 @@ class PropertyGraph:
     # Mutations
 
     def upsert_nodes(self, new: DataFrame, cascade_edges: bool = False) -> PropertyGraph:
-        """Whole rows are replaced. cascade_edges also drops all edges of nodes that were there before."""
-        new = conform(new, schema.NODES)
+        """Whole rows are replaced; of new rows with the same id the last counts, see last_of_each. cascade_edges also
+        drops all edges of nodes that were there before."""
+        new = last_of_each(new, schema.NODES)
         keys = new.select("id")
         edges = self.edges
         if cascade_edges:
@@ -112,7 +124,7 @@ class PropertyGraph:
         return PropertyGraph(self.nodes.join(keys, "id", "left_anti").unionByName(new), edges)
 
     def upsert_edges(self, new: DataFrame) -> PropertyGraph:
-        new = conform(new, schema.EDGES)
+        new = last_of_each(new, schema.EDGES)
         return replace(self, edges=self.edges.join(new.select("id"), "id", "left_anti").unionByName(new))
 
     def delete_nodes(self, ids: DataFrame) -> PropertyGraph:
@@ -169,21 +181,72 @@ class PropertyGraph:
         return replace(self, nodes=conform(self.nodes.drop(*names).join(values, "id", "left"), schema.NODES))
 
 
-def save(graph: PropertyGraph, root: str, tables: dict[str, DataFrame] | None = None) -> str:
-    """Writes a snapshot below root, then points root/current at it; readers see the old or the new one, never a mix."""
+def pointers(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema("seq long, snapshot string, version int").json(f"{root}/current")
+
+
+def current(spark: SparkSession, root: str) -> Any:
+    """The pointer that was written last, by number; None if there is none."""
+    try:
+        return pointers(spark, root).orderBy(F.desc("seq"), F.desc("snapshot")).first()
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return None
+
+
+def save(graph: PropertyGraph, root: str, tables: dict[str, DataFrame] | None = None, keep: int = 3) -> str:
+    """Writes a snapshot below root, then points root/current at it by the next number; readers see the old or the new
+    one, never a mix. tables are written along. The last `keep` snapshots stay, for readers that have begun."""
     spark, name = graph.nodes.sparkSession, uuid.uuid4().hex[:12]
     for label, df in {"nodes": graph.nodes, "edges": graph.edges, **(tables or {})}.items():
         out = df.write.option("compression", "zstd")
         (out.partitionBy("kind") if label == "edges" else out).parquet(f"{root}/{name}/{label}")
-    row = spark.createDataFrame([(name, schema.VERSION)], "snapshot string, version int").coalesce(1)
+    last = current(spark, root)
+    row = spark.createDataFrame([(last["seq"] + 1 if last else 0, name, schema.VERSION)], "seq long, snapshot string, version int").coalesce(1)
     row.write.mode("append").json(f"{root}/current")
+    delete_old(spark, root, keep)
     return f"{root}/{name}"
 
 
+def delete_old(spark: SparkSession, root: str, keep: int) -> None:
+    """Deletes all snapshots but the last `keep`, and their pointers."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    rows = pointers(spark, root).select("seq", "snapshot", F.col("_metadata.file_path").alias("file")).orderBy(F.desc("seq"), F.desc("snapshot")).offset(keep).collect()
+    for row in rows:
+        for path in (f"{root}/{row['snapshot']}", row["file"]):
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
+#: How to bring a snapshot's tables from a version to the next: label to its change.
+MIGRATIONS: dict[int, Callable[[dict[str, DataFrame]], dict[str, DataFrame]]] = {}
+
+
+def tables_of(spark: SparkSession, root: str, *more: str) -> dict[str, DataFrame]:
+    """The current snapshot's nodes and edges and, where it has them, tables of the labels `more`, brought up to this
+    version by MIGRATIONS."""
+    row = current(spark, root)
+    if row is None:
+        raise FileNotFoundError(f"no snapshot below {root}")
+    steps = range(row["version"], schema.VERSION)
+    if row["version"] > schema.VERSION or any(v not in MIGRATIONS for v in steps):
+        raise ValueError(f"snapshot of version {row['version']}; this code reads {schema.VERSION}")
+    at, known = f"{root}/{row['snapshot']}", {"nodes": schema.NODES, "edges": schema.EDGES, "communities": schema.COMMUNITIES, "processes": schema.PROCESSES}
+    out: dict[str, DataFrame] = {}
+    for label in ("nodes", "edges", *more):
+        try:
+            reader = spark.read.schema(known[label]) if label in known and not steps else spark.read
+            out[label] = reader.parquet(f"{at}/{label}")
+        except AnalysisException as missing:
+            if label in ("nodes", "edges") or "PATH_NOT_FOUND" not in str(missing):
+                raise
+    for v in steps:
+        out = MIGRATIONS[v](out)
+    return out
+
+
 def load(spark: SparkSession, root: str) -> PropertyGraph:
     """The snapshot that was pointed at last."""
-    row = spark.read.schema("snapshot string, version int").json(f"{root}/current").select("*", "_metadata.file_modification_time").orderBy(F.desc("file_modification_time")).first()
-    if row["version"] != schema.VERSION:
-        raise ValueError(f"snapshot of version {row['version']}; this code reads {schema.VERSION}")
-    at = f"{root}/{row['snapshot']}"
-    return PropertyGraph.of(spark.read.schema(schema.NODES).parquet(f"{at}/nodes"), spark.read.schema(schema.EDGES).parquet(f"{at}/edges"))
+    found = tables_of(spark, root)
+    return PropertyGraph.of(found["nodes"], found["edges"])

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from graphmill.operators import traverse
 from graphmill.plans import planner
@@ -14,60 +16,187 @@ from graphmill.plans.graph import PropertyGraph
 # Words that the strict text check rejects anywhere in a statement.
 UNSAFE = ("INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "ATTACH", "DETACH", "REINDEX", "ANALYZE", "VACUUM", "PRAGMA")
 
+#: What a query's parsed plan may consist of, and the functions that it may call. Nothing here reads files, settings or
+#: classes of the JVM, or has an effect.
+PLANS = frozenset(
+    "Project Filter Aggregate Join LateralJoin UnresolvedRelation SubqueryAlias Sort GlobalLimit LocalLimit Offset Distinct Union Intersect Except UnresolvedWith "
+    "UnresolvedSubqueryColumnAliases UnresolvedHaving WithWindowDefinition UnresolvedInlineTable OneRowRelation Generate Pivot Unpivot UnresolvedTableValuedFunction".split()
+)
+FUNCTIONS = frozenset(
+    "abs ceil ceiling floor round bround sqrt cbrt exp ln log log10 log2 power pow mod pmod sign signum greatest least rand degrees radians sin cos tan asin acos atan atan2 pi width_bucket conv bin hex unhex "
+    "count sum avg mean min max min_by max_by any_value first last count_if bool_and bool_or every some stddev stddev_pop stddev_samp variance var_pop var_samp corr covar_pop covar_samp median mode percentile "
+    "percentile_approx approx_count_distinct collect_list collect_set array_agg listagg string_agg grouping grouping_id row_number rank dense_rank percent_rank cume_dist ntile lag lead first_value last_value nth_value "
+    "length char_length character_length octet_length lower upper lcase ucase trim ltrim rtrim btrim substr substring substring_index left right instr locate position replace translate concat concat_ws repeat reverse "
+    "lpad rpad initcap ascii chr char split split_part regexp_extract regexp_extract_all regexp_replace regexp_like regexp_count regexp regexp_instr rlike like ilike startswith endswith contains format_string printf format_number "
+    "levenshtein soundex base64 unbase64 md5 sha1 sha sha2 crc32 xxhash64 hash coalesce ifnull nvl nvl2 nullif if iff case when isnull isnotnull isnan cast try_cast typeof try_divide try_add "
+    "date to_date to_timestamp timestamp date_format date_trunc trunc date_add date_sub datediff add_months months_between year month day dayofmonth dayofweek dayofyear weekofyear quarter hour minute second extract "
+    "date_part unix_timestamp unix_micros unix_millis unix_seconds from_unixtime make_date current_date current_timestamp now last_day next_day "
+    "array map struct named_struct size cardinality array_contains array_distinct array_join array_position array_sort sort_array array_union array_intersect array_except array_max array_min array_remove flatten slice "
+    "sequence element_at get explode explode_outer posexplode posexplode_outer inline stack transform filter exists forall aggregate reduce zip_with map_keys map_values map_entries arrays_zip "
+    "get_json_object json_tuple from_json to_json json_array_length json_object_keys schema_of_json not and or in between range".split()
+)
+
 
 class UnsafeQuery(ValueError):
-    """Raised for anything but a query."""
+    """Raised for anything but a query of the graph's tables."""
 
 
-def register(graph: PropertyGraph, communities: DataFrame | None = None, processes: DataFrame | None = None) -> None:
-    """The tables as temporary views nodes, edges, communities and processes."""
-    for name, df in (("nodes", graph.nodes), ("edges", graph.edges), ("communities", communities), ("processes", processes)):
-        if df is not None:
-            df.createOrReplaceTempView(name)
+def seq(items: Any) -> list[Any]:
+    return [items.apply(i) for i in range(items.size())]
 
 
-#: search('words'), neighbors('id', depth) and impact('id', depth) as tables in a FROM clause.
-CALL = re.compile(r"\b(search|neighbors|impact)\(\s*'((?:[^']|'')*)'(?:\s*,\s*(\d+))?\s*\)", re.IGNORECASE)
+def walk(node: Any) -> Iterator[Any]:
+    """A parsed plan's nodes and expressions, those of subqueries and common tables included."""
+    yield node
+    below = seq(node.children())
+    for part in ("expressions", "innerChildren"):
+        if hasattr(node.getClass(), "getName") and any(m.getName() == part for m in node.getClass().getMethods()):
+            below += seq(getattr(node, part)())
+    if node.getClass().getSimpleName() in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"):
+        below.append(node.plan())
+    for x in below:
+        yield from walk(x)
 
 
-def expand_calls(graph: PropertyGraph, statement: str) -> str:
-    """The statement with each table function replaced by a temporary view of its rows: (id, score) for search,
-    (id, name, kind, file_path, distance) for neighbors, and impact_score besides for impact."""
+def check_plan(spark: SparkSession, statement: str, tables: set[str]) -> str:
+    """Raises unless the statement is a query of `tables`, by their plain names, and its own common tables, with nothing
+    but FUNCTIONS. Gives the name of the plan's root."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
+    nodes = list(walk(plan))
+    kinds = [n.getClass().getSimpleName() for n in nodes]
+    own = {r._1().lower() for n, k in zip(nodes, kinds, strict=True) if k == "UnresolvedWith" for r in seq(n.cteRelations())}
+    logical = plan.getClass().getClassLoader().loadClass("org.apache.spark.sql.catalyst.plans.logical.LogicalPlan")
+    for n, kind in zip(nodes, kinds, strict=True):
+        if logical.isInstance(n) and kind not in PLANS:
+            raise UnsafeQuery(f"only queries are allowed, not {kind}")
+        if kind == "UnresolvedRelation":
+            parts = seq(n.multipartIdentifier())
+            if len(parts) != 1 or parts[0].lower() not in tables | own:
+                raise UnsafeQuery(f"unknown table {'.'.join(parts)}; there are {', '.join(sorted(t for t in tables if '_' not in t))}")
+        if kind in ("UnresolvedFunction", "UnresolvedTableValuedFunction", "UnresolvedGenerator"):
+            parts = seq(n.nameParts() if kind == "UnresolvedFunction" else n.name()) if kind != "UnresolvedGenerator" else [n.name().funcName()]
+            if len(parts) != 1 or parts[0].lower() not in FUNCTIONS:
+                raise UnsafeQuery(f"function {'.'.join(parts)} is not allowed")
+    return kinds[0]
 
-    def view(m: re.Match) -> str:
-        name, said, number = m[1].lower(), m[2].replace("''", "'"), int(m[3]) if m[3] else None
-        columns = ["id", "name", "kind", "file_path", "distance"]
-        if name == "search":
-            df = planner.search_text(graph, said, number or 50)
-        elif name == "neighbors":
-            df = traverse.neighbors(graph, said, depth=number or 1).select(columns)
-        else:
-            df = traverse.impact(graph, said, number or 5).select(*columns, "impact_score")
-        at = f"{name}_{uuid.uuid4().hex[:8]}"
-        df.createOrReplaceTempView(at)
-        return at
 
-    return CALL.sub(view, statement)
+#: search('words'), neighbors('id', depth) and impact('id', depth) as tables in a FROM clause.
+CALL = re.compile(r"\b(search|neighbors|impact)\(\s*'((?:[^']|'')*)'(?:\s*,\s*(\d+))?\s*\)", re.IGNORECASE)
 
 
-def run_sql(graph: PropertyGraph, statement: str, limit: int = 100, compat: bool = False, communities: DataFrame | None = None, processes: DataFrame | None = None) -> DataFrame:
-    """A query's rows, `limit` at most unless the query limits itself. The parsed plan decides what is a query, so
-    common table expressions and columns named like commands are fine; compat applies the text checks instead."""
+def call(graph: PropertyGraph, m: re.Match) -> DataFrame:
+    """The rows of a table function: (id, score) for search, (id, name, kind, file_path, distance) for neighbors, and
+    impact_score besides for impact."""
+    name, said, number = m[1].lower(), m[2].replace("''", "'"), int(m[3]) if m[3] else None
+    columns = ["id", "name", "kind", "file_path", "distance"]
+    if name == "search":
+        return planner.search_text(graph, said, number or 50)
+    if name == "neighbors":
+        return traverse.neighbors(graph, said, depth=number or 1).select(columns)
+    return traverse.impact(graph, said, number or 5).select(*columns, "impact_score")
+
+
+def glob(pattern: str, text: str) -> str:
+    """A condition for a literal glob pattern."""
+    if not re.fullmatch(r"'(?:[^']|'')*'", pattern):
+        raise UnsafeQuery("glob needs a literal pattern")
+    parts = re.findall(r"\[[^\]]*\]|.", pattern[1:-1].replace("''", "'"), re.DOTALL)
+    said = "".join({"*": ".*", "?": "."}.get(p, p.replace("[^", "[^") if len(p) > 1 else re.escape(p)) for p in parts)
+    return f"({text} RLIKE r'(?s)\\A{said}\\z')" if "'" not in said else f"({text} = '')"
+
+
+def time_format(said: str, when: str = "now()") -> str:
+    if not re.fullmatch(r"'[^']*'", said):
+        raise UnsafeQuery("strftime needs a literal format")
+    # The same parts in both notations.
+    parts = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%f": "ss.SSS", "%j": "DDD"}
+    if said == "'%s'":
+        return f"CAST(unix_timestamp(CAST({when} AS timestamp)) AS string)"
+    text = "".join(parts.get(p, re.sub(r"([A-Za-z]+)", r"''\1''", p)) for p in re.findall(r"%.|[^%]+", said[1:-1]))
+    return f"date_format(CAST({when} AS timestamp), '{text}')"
+
+
+def group_concat(what: str, by: str = "','") -> str:
+    distinct = re.match(r"distinct\s+(.*)", what, re.IGNORECASE | re.DOTALL)
+    return f"array_join(array_sort(collect_set(CAST({distinct[1]} AS string))), {by})" if distinct else f"array_join(collect_list(CAST({what} AS string)), {by})"
+
+
+#: Functions of the embedded dialect that this engine calls otherwise.
+DIALECT: dict[str, Callable[..., str]] = {
+    "group_concat": group_concat,
+    "total": lambda x: f"coalesce(sum(CAST({x} AS double)), 0.0D)",
+    "json_extract": lambda j, p: f"get_json_object({j}, {p})",
+    "glob": glob,
+    "iif": lambda c, a, b="NULL": f"if({c}, {a}, {b})",
+    "julianday": lambda t="now()": f"(unix_micros(CAST({t} AS timestamp)) / 86400000000.0D + 2440587.5D)",
+    "unixepoch": lambda t="now()": f"unix_timestamp(CAST({t} AS timestamp))",
+    "strftime": time_format,
+    "datetime": lambda t="now()": f"date_format(CAST({t} AS timestamp), 'yyyy-MM-dd HH:mm:ss')",
+    "min": lambda *x: f"least({', '.join(x)})" if len(x) > 1 else f"min({x[0]})",
+    "max": lambda *x: f"greatest({', '.join(x)})" if len(x) > 1 else f"max({x[0]})",
+}
+TOKEN = re.compile(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|/\*.*?\*/|[A-Za-z_]\w*|.", re.DOTALL)
+
+
+def translated(statement: str) -> str:
+    """The statement with calls of DIALECT's functions written as this engine has them."""
+    tokens, at = TOKEN.findall(statement), 0
+
+    def until(end: str | None) -> tuple[str, list[str]]:
+        nonlocal at
+        out, args = "", []
+        while at < len(tokens):
+            t = tokens[at]
+            at += 1
+            if t == end:
+                return out, [*args, out.strip()]
+            if end and t == ",":
+                args.append(out.strip())
+                out = ""
+            elif t.lower() in DIALECT and at < len(tokens) and tokens[at] == "(":
+                at += 1
+                inner = until(")")[1]
+                out += DIALECT[t.lower()](*inner)
+            elif t == "(":
+                out += "(" + ", ".join(until(")")[1]) + ")"
+            else:
+                out += t
+        return out, args
+
+    return until(None)[0]
+
+
+def run_sql(graph: PropertyGraph, statement: str, limit: int | None = 100, compat: bool = False, communities: DataFrame | None = None, processes: DataFrame | None = None) -> DataFrame:
+    """A query's rows, `limit` at most unless the query limits itself or limit is None.
+
+    The parsed plan decides what is a query: PLANS over the tables nodes, edges, communities and processes, calling
+    FUNCTIONS; so common table expressions and columns named like commands are fine. Calls of DIALECT are translated.
+    compat applies the text checks besides. The tables are views of this statement alone, so graphs don't mix and no view
+    stays.
+    """
     statement = statement.strip().rstrip(";").strip()
     if compat:
         upper = statement.upper()
         if not upper.startswith("SELECT") or any(w in upper for w in UNSAFE):
             raise UnsafeQuery("only SELECT statements are allowed")
-        register(graph, communities, processes)
-        found = graph.nodes.sparkSession.sql(statement)
-        return found if "LIMIT" in upper else found.limit(limit)
-    spark = graph.nodes.sparkSession
-    statement = expand_calls(graph, statement)
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
-    names = [plan.getClass().getSimpleName(), *re.findall(r"^\W*'?(\w+)", plan.treeString(), re.MULTILINE)]
-    if any(re.search(r"Command|Insert|Update|Delete|Merge|^Create|^Drop|^Alter|^Set|^Show|^Describe|^Cache|^Refresh|^Repair|^Truncate", n) for n in names):
-        raise UnsafeQuery("only queries are allowed")
-    register(graph, communities, processes)
-    root = names[1] if names[0] in ("UnresolvedWith",) and len(names) > 1 else names[0]
-    found = spark.sql(statement)
-    return found if root in ("GlobalLimit", "LocalLimit") or re.search(r"\blimit\s+\d+(\s+offset\s+\d+)?\s*$", statement, re.IGNORECASE) else found.limit(limit)
+    spark, mark = graph.nodes.sparkSession, uuid.uuid4().hex[:12]
+    tables = {name: df for name, df in (("nodes", graph.nodes), ("edges", graph.edges), ("communities", communities), ("processes", processes)) if df is not None}
+
+    def named(m: re.Match) -> str:
+        tables[name := f"{m[1].lower()}_{len(tables)}_{mark}"] = call(graph, m)
+        return name
+
+    statement = translated(CALL.sub(named, statement))
+    root = check_plan(spark, statement, set(tables))
+    views = {name: f"{name}_{mark}_view" for name in tables}
+    try:
+        for name, view in views.items():
+            tables[name].createOrReplaceTempView(view)
+        # Tables are names of the statement's own, around whatever it says; a view is gone once the query is analysed.
+        heads = ", ".join(f"{name} AS (SELECT * FROM {view})" for name, view in views.items())
+        found = spark.sql(f"WITH {heads} ({statement}\n)")
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)
+    limited = root in ("GlobalLimit", "LocalLimit") or re.search(r"\blimit\s+\d+(\s+offset\s+\d+)?\s*$", statement, re.IGNORECASE)
+    return found if limit is None or limited else found.limit(limit)

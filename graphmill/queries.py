@@ -646,7 +646,7 @@ SQL_WINDOW = "WITH d AS (SELECT source, count(*) AS degree FROM edges WHERE kind
 
 @query("sql_tool_window", graph_sql("SELECT source, degree, CAST(place AS INTEGER) AS place FROM (SELECT source, count(*) AS degree, rank() OVER (ORDER BY count(*) DESC) AS place FROM edges WHERE kind = 'calls' GROUP BY source) WHERE place <= 10"))
 def sql_tool_window(spark: SparkSession, d: str) -> DataFrame:
-    return run_sql(star_graph(spark, d), SQL_WINDOW, 10**9)
+    return run_sql(star_graph(spark, d), SQL_WINDOW, None)
 
 
 SQL_EXISTS = "SELECT n.id FROM nodes n WHERE n.kind = 'class' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.source = n.id AND e.kind = 'calls')"
@@ -654,7 +654,7 @@ SQL_EXISTS = "SELECT n.id FROM nodes n WHERE n.kind = 'class' AND NOT EXISTS (SE
 
 @query("sql_tool_exists", graph_sql(SQL_EXISTS))
 def sql_tool_exists(spark: SparkSession, d: str) -> DataFrame:
-    return run_sql(star_graph(spark, d), SQL_EXISTS, 10**9)
+    return run_sql(star_graph(spark, d), SQL_EXISTS, None)
 
 
 SQL_SETS = "(SELECT source AS id FROM edges WHERE kind = 'calls' INTERSECT SELECT target FROM edges WHERE kind = 'calls') UNION (SELECT id FROM nodes WHERE kind = 'module' EXCEPT SELECT source FROM edges)"
@@ -662,7 +662,7 @@ SQL_SETS = "(SELECT source AS id FROM edges WHERE kind = 'calls' INTERSECT SELEC
 
 @query("sql_tool_sets", graph_sql(f"SELECT * FROM ({SQL_SETS})"))
 def sql_tool_sets(spark: SparkSession, d: str) -> DataFrame:
-    return run_sql(star_graph(spark, d), SQL_SETS, 10**9)
+    return run_sql(star_graph(spark, d), SQL_SETS, None)
 
 
 SQL_JOINS = "SELECT a.kind AS k, coalesce(b.kind, '-') AS via, count(*) AS n, count(DISTINCT c.id) AS ends FROM nodes a LEFT JOIN edges b ON b.source = a.id FULL JOIN nodes c ON c.id = b.target GROUP BY a.kind, coalesce(b.kind, '-')"
@@ -670,7 +670,7 @@ SQL_JOINS = "SELECT a.kind AS k, coalesce(b.kind, '-') AS via, count(*) AS n, co
 
 @query("sql_tool_joins", graph_sql(SQL_JOINS))
 def sql_tool_joins(spark: SparkSession, d: str) -> DataFrame:
-    return run_sql(star_graph(spark, d), SQL_JOINS, 10**9)
+    return run_sql(star_graph(spark, d), SQL_JOINS, None)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

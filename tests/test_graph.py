@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import os
 import random
 from itertools import product
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphmill import schema
 from graphmill.operators import communities as com
 from graphmill.operators import processes as proc
 from graphmill.operators import traverse
 from graphmill.operators.pagerank import pagerank
-from graphmill.plans.graph import PropertyGraph, load, save
+from graphmill.plans import graph as store
+from graphmill.plans.graph import PropertyGraph, load, save, tables_of
 
 
 def graph(spark, edges, nodes=None, kind="calls", **columns):
@@ -98,6 +101,36 @@ def test_snapshots(spark, tmp_path):
     save(g.delete_nodes(g.node("a")), str(tmp_path))
     after = load(spark, str(tmp_path))
     assert ids(after.nodes) == ["b"] and after.edges.count() == 0
+    for name in "pqrs":
+        save(graph(spark, [(name, "z")]), str(tmp_path), {"communities": spark.createDataFrame([(1, name, 2, 0.5)], schema.COMMUNITIES)})
+    # The number decides, whatever the files' times are; what is old is gone.
+    for f in (tmp_path / "current").glob("*.json"):
+        os.utime(f, (0, 0))
+    assert ids(load(spark, str(tmp_path)).nodes) == ["s", "z"]
+    found = tables_of(spark, str(tmp_path), "communities", "processes")
+    assert set(found) == {"nodes", "edges", "communities"} and found["communities"].first()["label"] == "s"
+    assert len([p for p in tmp_path.iterdir() if p.name != "current"]) == 3
+    with pytest.raises(FileNotFoundError):
+        load(spark, str(tmp_path / "nowhere"))
+
+
+def test_older_snapshots_are_migrated(spark, tmp_path, monkeypatch):
+    save(graph(spark, [("a", "b")]), str(tmp_path))
+    monkeypatch.setattr(schema, "VERSION", schema.VERSION + 1)
+    with pytest.raises(ValueError, match="version"):
+        load(spark, str(tmp_path))
+    monkeypatch.setitem(store.MIGRATIONS, schema.VERSION - 1, lambda t: {**t, "nodes": t["nodes"].withColumn("name", F.upper("name"))})
+    assert {r["name"] for r in load(spark, str(tmp_path)).nodes.collect()} == {"A", "B"}
+
+
+def test_last_write_wins_within_a_batch(spark):
+    g = graph(spark, [("a", "b")])
+    rows = [("a", "class", "one", "/x", 2), ("a", "class", "two", "/x", 3), ("c", "class", "c", "/x", 1), ("a", "class", "zero", "/x", 1)]
+    new = spark.createDataFrame(rows, "id string, kind string, name string, file_path string, seq int")
+    assert {(r["id"], r["name"]) for r in g.upsert_nodes(new).nodes.collect()} == {("a", "two"), ("b", "b"), ("c", "c")}
+    assert {(r["id"], r["name"]) for r in g.upsert_nodes(new.drop("seq").coalesce(1)).nodes.collect()} == {("a", "zero"), ("b", "b"), ("c", "c")}
+    edge = spark.createDataFrame([("e", "a", "b", "calls", 1.0), ("e", "a", "b", "uses", 0.5)], "id string, source string, target string, kind string, confidence double").coalesce(1)
+    assert [(r["id"], r["kind"]) for r in g.upsert_edges(edge).edges.where("id = 'e'").collect()] == [("e", "uses")]
 
 
 def test_neighbors(spark):
@@ -209,6 +242,6 @@ def test_processes(spark):
     for strategy, want in (("bfs", ["handleClick", "b", "d", "c"]), ("dfs", ["handleClick", "b", "c", "d"]), ("hybrid", ["handleClick", "b", "c", "d"])):
         found = {r["entry_point"]: r for r in proc.detect_processes(g, strategy=strategy).collect()}
         assert set(found) == {"handleClick", "initApp"}
-        assert found["handleClick"]["steps"] == want and found["handleClick"]["kind"] == "api_route" and found["initApp"]["kind"] == "lifecycle"
+        assert found["handleClick"]["steps"] == want and found["handleClick"]["kind"] == "api_route" and found["handleClick"]["name"] == "handleClick" and found["initApp"]["kind"] == "lifecycle"
     short = {r["entry_point"]: r["steps"] for r in proc.detect_processes(g, max_steps=2, strategy="bfs").collect()}
     assert short["handleClick"] == ["handleClick", "b"]

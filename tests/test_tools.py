@@ -110,3 +110,38 @@ def test_driver_entry(spark):
     assert set(driver.oracle_sql()) <= set(driver.queries())
     rows = driver.entry(spark)
     assert rows.columns == ["id", "name", "file_path", "distance", "impact_score"] and rows.count() > 0
+
+
+@pytest.mark.parametrize("statement", [
+    "SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT java_method('java.lang.System', 'getProperty', 'user.home')", "SELECT try_reflect('java.lang.System', 'exit', 1)",
+    "SELECT count(*) FROM text.`/etc/passwd`", "SELECT * FROM parquet.`/tmp/x`", "SELECT * FROM default.nodes", "SELECT * FROM secrets", "SELECT input_file_name() FROM nodes", "SELECT id FROM nodes WHERE id = (SELECT reflect('a', 'b'))",
+    "WITH x AS (SELECT version() AS v) SELECT * FROM x", "SELECT transform(array(1), x -> java_method('a', 'b', x))", "SET spark.x = 1", "SHOW TABLES", "DESCRIBE nodes", "INSERT INTO nodes SELECT * FROM nodes",
+    "SELECT TRANSFORM(id) USING 'cat' FROM nodes", "SELECT 1) UNION (SELECT reflect('a', 'b')", "SELECT * FROM read_files('/etc')", "EXPLAIN SELECT 1", "CACHE TABLE x AS SELECT 1", "SELECT id FROM nodes ORDER BY (SELECT reflect('a', 'b'))",
+    "SELECT raise_error('x')", "SELECT * FROM nodes JOIN LATERAL (SELECT reflect('a', 'b'))", "SELECT current_user()",
+])
+def test_sql_reads_nothing_but_the_graph(context, statement):
+    from pyspark.errors import ParseException
+
+    with pytest.raises((UnsafeQuery, ParseException)):
+        run_sql(context.graph, statement)
+
+
+def test_sql_leaves_no_views_and_keeps_graphs_apart(spark, context):
+    g = context.graph
+    other = PropertyGraph.of(g.nodes.where("id = 'alpha'"), g.edges.limit(0))
+    before = {t.name for t in spark.catalog.listTables()}
+    first, second = run_sql(g, "SELECT count(*) AS n FROM nodes"), run_sql(other, "SELECT count(*) AS n FROM nodes")
+    assert (first.first()["n"], second.first()["n"]) == (4, 1)
+    assert run_sql(g, "SELECT s.id FROM search('gam') s -- a remark", None).count() == 1
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert run_sql(g, "WITH RECURSIVE_ AS (SELECT id FROM nodes), y AS (SELECT * FROM RECURSIVE_) SELECT count(*) AS n FROM y WHERE id IN (SELECT target FROM edges)").first()["n"] == 2
+
+
+@pytest.mark.parametrize(("statement", "want"), [
+    ("SELECT group_concat(id, ';') AS x FROM (SELECT id FROM nodes ORDER BY id)", "alpha;beta;beta2;gamma"), ("SELECT group_concat(DISTINCT kind) AS x FROM nodes", "class,function"), ("SELECT total(line) AS x FROM edges WHERE id = 'none'", 0.0),
+    ("SELECT json_extract('{\"a\": {\"b\": 5}}', '$.a.b') AS x", "5"), ("SELECT count(*) AS x FROM nodes WHERE glob('be*', id)", 2), ("SELECT count(*) AS x FROM nodes WHERE glob('[a-b]?*[^a]', name)", 0), ("SELECT iif(1 < 2, 'y', 'n') AS x", "y"), ("SELECT max(3, min(9, 7), 5) AS x", 7),
+    ("SELECT strftime('%Y-%m-%dT%H', '2024-03-05 06:07:08') AS x", "2024-03-05T06"), ("SELECT julianday('2000-01-01 12:00:00') AS x", 2451545.0), ("SELECT 'min(1, 2)' AS x", "min(1, 2)"), ("SELECT max(line) AS x FROM edges", 2), ("SELECT unixepoch('1970-01-02') AS x", 86400),
+])
+def test_sql_dialect(spark, context, statement, want):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert run_sql(context.graph, statement).first()["x"] == want
