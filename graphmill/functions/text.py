@@ -8,7 +8,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache, partial
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphmill.sources.scratch import materialize
@@ -89,13 +89,13 @@ def occurrences(words: Column, phrase: tuple[str, ...], prefix: bool) -> Column:
 def bm25(docs: DataFrame, match: Match | None, id_col: str, text_cols: list[str], where: Column | None = None) -> DataFrame:
     """(id, score) of the docs that have all phrases, over the tokens of all text columns together.
 
-    One scan counts each doc's length and phrases, and writes these numbers; texts are not read again. N, document frequencies and the
+    The form for texts without a TextIndex: one scan counts each doc's length and phrases, and writes these numbers. N, document frequencies and the
     mean length are of all docs; `where` filters results alone. Of phrases in over half of the docs the idf is
     LEAST_IDF.
     """
     if match is None:
         return docs.limit(0).select(F.col(id_col).alias("id"), F.lit(0.0).alias("score"))
-    words = F.flatten(F.array(*(tokens(F.col(c)) for c in text_cols))) if len(text_cols) > 1 else tokens(F.col(text_cols[0]))
+    words = words_of(text_cols)
     rows = docs.select(F.col(id_col).alias("id"), (where if where is not None else F.lit(True)).alias("shown"), words.alias("words"))
     rows = rows.select("id", "shown", F.size("words").alias("len"), *(occurrences(F.col("words"), p, match.prefix).alias(f"tf{i}") for i, p in enumerate(match.phrases)))
     rows = materialize(rows, "counts")
@@ -104,8 +104,13 @@ def bm25(docs: DataFrame, match: Match | None, id_col: str, text_cols: list[str]
     hits = rows.where(F.col("shown"))
     for i in n:
         hits = hits.where(F.col(f"tf{i}") > 0)
+    return scored(hits, stats, len(match.phrases))
+
+
+def scored(hits: DataFrame, stats: DataFrame, phrases: int) -> DataFrame:
+    """(id, score) of hits (id, len, tf0, tf1, ...) by one row of stats (n, mean, df0, df1, ...)."""
     score = F.lit(0.0)
-    for i in n:
+    for i in range(phrases):
         idf = F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
         idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
         tf = F.col(f"tf{i}").cast("double")
@@ -113,14 +118,84 @@ def bm25(docs: DataFrame, match: Match | None, id_col: str, text_cols: list[str]
     return hits.crossJoin(F.broadcast(stats)).select("id", score.alias("score"))
 
 
-def top(scored: DataFrame, limit: int) -> DataFrame:
-    return scored.orderBy(F.desc("score"), "id").limit(limit)
+def top(rows: DataFrame, limit: int) -> DataFrame:
+    return rows.orderBy(F.desc("score"), "id").limit(limit)
+
 
+def words_of(text_cols: list[str]) -> Column:
+    """The tokens of all text columns, one column after the other."""
+    return F.flatten(F.array(*(tokens(F.col(c)) for c in text_cols))) if len(text_cols) > 1 else tokens(F.col(text_cols[0]))
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(term, id, tf, positions): an index table, to be written clustered by term."""
-    words = docs.select(F.col(id_col).alias("id"), F.posexplode(tokens(F.col(text_col))).alias("position", "term"))
-    return words.groupBy("term", "id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
+
+def postings(docs: DataFrame, id_col: str, text_col: str | list[str]) -> DataFrame:
+    """(term, id, len, tf, positions): an index table; len is the document's. To be written clustered by term."""
+    words = docs.select(F.col(id_col).alias("id"), words_of([text_col] if isinstance(text_col, str) else text_col).alias("words"))
+    words = words.select("id", F.size("words").alias("len"), F.posexplode("words").alias("position", "term"))
+    return words.groupBy("term", "id", "len").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
+
+
+@dataclass(frozen=True)
+class TextIndex:
+    """Stored postings, in files that are ranges of (term, id), so that a search reads those of its terms alone; and the
+    length of each document, searched or not."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    path: str
+
+    @classmethod
+    def write(cls, docs: DataFrame, id_col: str, text_cols: list[str], path: str) -> TextIndex:
+        rows = docs.select(F.col(id_col).alias("id"), *text_cols)
+        rows.select("id", F.size(words_of(text_cols)).alias("len")).write.mode("overwrite").parquet(f"{path}/lengths")
+        cls.cluster(postings(rows, "id", text_cols)).write.mode("overwrite").parquet(f"{path}/postings")
+        return cls.read(docs.sparkSession, path)
+
+    @staticmethod
+    def cluster(rows: DataFrame) -> DataFrame:
+        return rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> TextIndex:
+        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), path)
+
+    def updated(self, docs: DataFrame, id_col: str, text_cols: list[str], gone: DataFrame, path: str) -> TextIndex:
+        """A new index at path with docs in place of the documents with their ids, and without those of gone (id). Only
+        the texts of docs are read."""
+        rows = docs.select(F.col(id_col).alias("id"), *text_cols)
+        old = rows.select("id").unionByName(gone.select("id")).distinct()
+        keep = lambda df: df.join(old, "id", "left_anti").select(df.columns)
+        keep(self.lengths).unionByName(rows.select("id", F.size(words_of(text_cols)).alias("len"))).write.mode("overwrite").parquet(f"{path}/lengths")
+        new = postings(rows, "id", text_cols)
+        self.cluster(keep(self.postings).unionByName(new.select(self.postings.columns))).write.mode("overwrite").parquet(f"{path}/postings")
+        return self.read(docs.sparkSession, path)
+
+    def found(self, phrase: tuple[str, ...], prefix: bool) -> DataFrame:
+        """(id, len, tf) of the documents that have the phrase; with prefix, its last token may go on."""
+        out = None
+        for k, token in enumerate(phrase):
+            last = prefix and k == len(phrase) - 1
+            rows = self.postings.where(F.col("term").startswith(token) if last else F.col("term") == token)
+            if len(phrase) == 1:
+                return rows.groupBy("id", "len").agg(F.sum("tf").alias("tf")) if last else rows.select("id", "len", "tf")
+            # Where the phrase would begin for its word number k to stand here.
+            begins = F.transform("positions", lambda p: p - k)  # noqa: B023
+            rows = rows.groupBy("id", "len").agg(F.flatten(F.collect_list("positions")).alias("positions")) if last else rows
+            rows = rows.select("id", "len", begins.alias(f"at{k}"))
+            out = rows if out is None else out.join(rows.drop("len"), "id").withColumn("at0", F.array_intersect("at0", f"at{k}")).drop(f"at{k}").where(F.size("at0") > 0)
+        return out.select("id", "len", F.size("at0").cast("long").alias("tf"))  # type: ignore[union-attr]
+
+    def bm25(self, match: Match | None, among: DataFrame | None = None) -> DataFrame:
+        """What bm25() gives for the indexed documents; among: (id) that may be in the result."""
+        if match is None:
+            return self.lengths.limit(0).select("id", F.lit(0.0).alias("score"))
+        hits, stats = None, self.lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+        for i, phrase in enumerate(match.phrases):
+            rows = materialize(self.found(phrase, match.prefix).withColumnRenamed("tf", f"tf{i}"), "hits") if len(match.phrases) > 1 or among is not None else self.found(phrase, match.prefix).withColumnRenamed("tf", f"tf{i}")
+            stats = stats.crossJoin(F.broadcast(rows.agg(F.count("*").alias(f"df{i}"))))
+            hits = rows if hits is None else hits.join(rows.drop("len"), "id")
+        if among is not None:
+            hits = hits.join(among.select("id"), "id", "left_semi")
+        return scored(hits, stats, len(match.phrases))
 
 
 def cosine(vector: Column, query: list[float]) -> Column:
@@ -137,15 +212,15 @@ def vector_top(vectors: DataFrame, query: list[float], limit: int, id_col: str =
     return top(found.where("score is not null and not isnan(score)"), limit)
 
 
-def ranked(scored: DataFrame, limit: int) -> DataFrame:
+def ranked(rows: DataFrame, limit: int) -> DataFrame:
     """(id, score, position) of the first `limit`, counted from 1; the window sees no more rows than those."""
-    return top(scored, limit).withColumn("position", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+    return top(rows, limit).withColumn("position", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
 def rrf(lists: list[DataFrame], limit: int) -> DataFrame:
     """(id, score): the sum over lists of 1 / (RRF_K + position), each list's first `limit` taking part."""
     out = None
-    for scored in lists:
-        part = ranked(scored, limit).select("id", (1 / (RRF_K + F.col("position"))).alias("score"))
+    for rows in lists:
+        part = ranked(rows, limit).select("id", (1 / (RRF_K + F.col("position"))).alias("score"))
         out = part if out is None else out.unionByName(part)
     return top(out.groupBy("id").agg(F.sum("score").alias("score")), limit)  # type: ignore[union-attr]

@@ -10,6 +10,7 @@ from typing import Any, Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphmill.functions.text import TextIndex
 from graphmill.operators import traverse
 from graphmill.plans import planner
 from graphmill.plans.graph import PropertyGraph
@@ -47,6 +48,7 @@ class Context:
     root: str = "."
     communities: DataFrame | None = None
     processes: DataFrame | None = None
+    index: TextIndex | None = None
 
 
 class Tool(Protocol):
@@ -152,7 +154,7 @@ def _pick(args: dict[str, Any], context: Context, several: bool = False) -> tupl
 
 def query_tool(args: dict[str, Any], context: Context) -> ToolResult:
     limit = int(args.get("limit") or 20)
-    found = planner.query(context.graph, args["query"], limit, args.get("kind"), args.get("filePath"))
+    found = planner.query(context.graph, args["query"], limit, args.get("kind"), args.get("filePath"), index=context.index)
     rows = _rows(found.select("name", "kind", F.col("file_path").alias("file"), _lines().alias("lines"), "signature", F.round("score", 3).alias("score"), "exported"))
     return _json([{"rank": i, **r} for i, r in enumerate(rows, 1)]) if rows else ToolResult.of("No results found")
 

@@ -95,3 +95,24 @@ def test_unified_query(spark, nodes):
     assert {r["id"] for r in wide} == {"1", "2", "3"} and wide[0]["id"] == "1"
     strict = planner.query(g, "authenticateUser", kind="function", strict_filter=True, plan=planner.PLANS["impact"]).collect()
     assert {r["id"] for r in strict} == {"1", "3"}
+
+
+def test_index_equals_scan(spark, nodes, tmp_path):
+    columns = planner.TEXT_COLUMNS
+    rows = lambda df: sorted((r["id"], round(r["score"], 9)) for r in df.collect())
+    matches = [text.parse("token"), text.parse("p"), text.parse("cafe creme"), text.parse("auth*"), text.Match((("in", "the"),)), text.Match((("the", "in", "th"),), True), text.Match((("the",), ("end",))), text.parse("nonsense"), None]
+    index = text.TextIndex.write(nodes, "id", columns, str(tmp_path / "one"))
+    for match in matches:
+        assert rows(index.bm25(match)) == rows(text.bm25(nodes, match, "id", columns))
+    only = nodes.where("kind = 'function'").select("id")
+    assert rows(index.bm25(text.parse("p"), only)) == rows(text.bm25(nodes, text.parse("p"), "id", columns, F.col("kind") == "function"))
+    changed = spark.createDataFrame([("2", "class", "Parser", "/src/pay.ts", "class Parser in the end", None), ("4", "class", "Token", "/t", None, None)], nodes.schema)
+    gone = spark.createDataFrame([("1",)], "id string")
+    after = nodes.where("id = '3'").unionByName(changed)
+    index = index.updated(changed, "id", columns, gone, str(tmp_path / "two"))
+    for match in matches:
+        assert rows(index.bm25(match)) == rows(text.bm25(after, match, "id", columns))
+    plan = index.bm25(text.parse("token class"))._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(term" in text.TextIndex.read(spark, index.path).found(("token",), False)._jdf.queryExecution().executedPlan().toString() and plan
+    g = PropertyGraph.of(after, spark.createDataFrame([], "id string, source string, target string, kind string, confidence double"))
+    assert found(planner.search_text(g, "token", index=index)) == found(planner.search_text(g, "token")) == ["4"]
