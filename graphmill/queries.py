@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphmill.functions import text
-from graphmill.functions.extract import KEYWORDS, extract, parts
+from graphmill.functions.extract import extract, parts
 from graphmill.operators import communities as com
 from graphmill.operators import processes as proc
 from graphmill.operators import traverse
@@ -277,9 +277,46 @@ def communities(spark: SparkSession, d: str) -> DataFrame:
     return com.describe(*(lambda g: (g, com.detect_communities(g)))(star_graph(spark, d)))
 
 
+def invariants(g: PropertyGraph, assigned: DataFrame) -> DataFrame:
+    """One row that holds of any assignment: members, how often a node is assigned twice, numbers that are skipped, members'
+    edges that describe() counts, and members whose community is in another component."""
+    parts = com.components(g.nodes, com.undirected(g).select("a", "b"))
+    mixed = assigned.join(parts, "id").groupBy("community_id").agg(F.countDistinct("component").alias("k")).agg(F.count_if(F.col("k") > 1).alias("torn"))
+    sums = assigned.agg(F.count("*").alias("members"), (F.count("*") - F.countDistinct("id")).alias("twice"), (F.max("community_id") + 1 - F.countDistinct("community_id")).cast("long").alias("skipped"))
+    told = com.describe(g, assigned).agg(F.sum("member_count").alias("told"), F.count_if((F.col("cohesion") < 0) | (F.col("cohesion") > 1) | F.col("label").isNull()).alias("odd"))
+    return sums.crossJoin(mixed).crossJoin(told)
+
+
+INVARIANTS = graph_sql("SELECT (SELECT count(*) FROM nodes) AS members, 0::BIGINT AS twice, 0::BIGINT AS skipped, 0::BIGINT AS torn, (SELECT count(*) FROM nodes) AS told, 0::BIGINT AS odd")
+
+
+@query("community_invariants", INVARIANTS)
+def community_invariants(spark: SparkSession, d: str) -> DataFrame:
+    g = star_graph(spark, d)
+    return invariants(g, com.detect_communities(g))
+
+
 @query("spread_communities")
 def spread_communities(spark: SparkSession, d: str) -> DataFrame:
-    return com.spread_communities(star_graph(spark, d), 4)
+    return com.spread_communities(star_graph(spark, d))
+
+
+@query("spread_invariants", INVARIANTS)
+def spread_invariants(spark: SparkSession, d: str) -> DataFrame:
+    g = star_graph(spark, d)
+    return invariants(g, com.spread_communities(g))
+
+
+# Within 'contains' alone each region is a tree: local moving can't join two regions, and no node can gain by leaving.
+@query("community_regions", "SELECT 'r:' || r_regionkey AS region, 1::BIGINT AS components FROM region")
+def community_regions(spark: SparkSession, d: str) -> DataFrame:
+    g = star_graph(spark, d)
+    g = PropertyGraph(g.nodes.where("kind in ('module', 'file', 'class', 'interface')"), g.edges.where("kind = 'contains'"))
+    ties = com.undirected(g)
+    parts = com.components(g.nodes, ties.select("a", "b"))
+    mixed = com.detect_communities(g).join(parts, "id").groupBy("community_id").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    own = mixed.where("least = most").groupBy(F.col("least").alias("component")).agg(F.count("*").alias("communities"))
+    return parts.where("id like 'r:%'").join(own, "component").select(F.col("id").alias("region"), F.lit(1).cast("long").alias("components"))
 
 
 @query("connected_components", "WITH m AS (SELECT 'r:' || r_regionkey AS id, r_regionkey AS g FROM region UNION ALL SELECT 'n:' || n_nationkey, n_regionkey FROM nation UNION ALL SELECT 'c:' || c_custkey, n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT 's:' || s_suppkey, n_regionkey FROM supplier JOIN nation ON n_nationkey = s_nationkey) SELECT id, min(id) OVER (PARTITION BY g) AS component FROM m")
@@ -296,9 +333,12 @@ def flow_tree(spark: SparkSession, d: str) -> DataFrame:
     return traverse.flow(star_graph(spark, d), "r:1", 5, ("contains",)).select("seq", "id", "depth")
 
 
-@query("flow_trace")
+# Where no cycle is, depth first by line and edge id visits each node along the least of its paths.
+@query("flow_trace", graph_sql(
+    "SELECT CAST(row_number() OVER (ORDER BY ord) - 1 AS INTEGER) AS seq, id, edge_id, CAST(d AS INTEGER) AS depth FROM (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY id ORDER BY ord) = 1)",
+    "walk AS (SELECT 'c:5' AS id, NULL::VARCHAR AS edge_id, 0 AS d, []::VARCHAR[] AS ord UNION ALL SELECT e.target, e.id, w.d + 1, list_append(w.ord, lpad(coalesce(e.line, 0)::VARCHAR, 9, '0') || '|' || e.id) FROM walk w JOIN edges e ON e.source = w.id AND e.kind IN ('calls', 'imports') WHERE w.d < 10)", True))
 def flow_trace(spark: SparkSession, d: str) -> DataFrame:
-    return traverse.flow(star_graph(spark, d), "c:5", 10, ("calls", "imports"))
+    return traverse.flow(star_graph(spark, d), "c:5", 10, ("calls", "imports")).select("seq", "id", "edge_id", "depth")
 
 
 @query("rename_preview", graph_sql("SELECT (SELECT count(*) FROM edges WHERE target = 'p:5') AS refs, (SELECT string_agg(DISTINCT f, ',' ORDER BY f) FROM (SELECT n.file_path AS f FROM edges e JOIN nodes n ON n.id = e.source WHERE e.target = 'p:5' UNION SELECT file_path FROM nodes WHERE id = 'p:5')) AS files, coalesce((SELECT string_agg(id, ',' ORDER BY id) FROM nodes WHERE name = '1-URGENT' AND id <> 'p:5'), '') AS conflicts"))
@@ -389,11 +429,12 @@ def entry_points(spark: SparkSession, d: str) -> DataFrame:
     return proc.entry_points(nodes)
 
 
-@query("process_chains")
+# An order calls parts, which call nothing, so a walk of any strategy is the order and its parts by line, then edge id.
+@query("process_chains", graph_sql("SELECT 'process::' || n.id AS id, n.name, n.id AS entry_point, n.id || '>' || string_agg(e.target, '>' ORDER BY e.line, e.id) AS steps, 'custom' AS kind FROM nodes n JOIN edges e ON e.source = n.id AND e.kind = 'calls' WHERE n.name = '1-URGENT' AND n.kind IN ('function', 'method') GROUP BY n.id, n.name"))
 def process_chains(spark: SparkSession, d: str) -> DataFrame:
     g = star_graph(spark, d)
     urgent = (proc.EntryPattern("custom", "^1-URGENT$"),)
-    return proc.detect_processes(g, urgent, 20).select("id", "name", "entry_point", F.array_join("steps", ">").alias("steps"), "kind")
+    return proc.detect_processes(g, urgent).select("id", "name", "entry_point", F.array_join("steps", ">").alias("steps"), "kind")
 
 
 # Text
@@ -548,7 +589,17 @@ def classify_query(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(q, planner.classify(q)) for q in ASKED], "asked string, class string")
 
 
-@query("unified_query")
+HOME = "SELECT 'c:' || c_custkey AS id, c_nationkey AS community_id FROM customer UNION ALL SELECT 's:' || s_suppkey, s_nationkey FROM supplier UNION ALL SELECT 'n:' || n_nationkey, n_nationkey FROM nation"
+
+
+# The name is one customer's; its nation's first twenty members and all within three steps of it take part.
+@query("unified_query", reach_sql("'c:5'", f"{OUT} UNION ALL {IN}", 3, f""", home AS ({HOME}), own AS (SELECT community_id FROM home WHERE id = 'c:5'),
+    near AS (SELECT id, max(p) AS p FROM (
+        SELECT id, row_number() OVER (ORDER BY id) AS p FROM home WHERE community_id = (SELECT community_id FROM own) QUALIFY p <= 20
+        UNION ALL SELECT id, 100 + row_number() OVER (ORDER BY distance, id) FROM found WHERE distance > 0) GROUP BY id),
+    j AS (SELECT n.id, n.name, n.kind, 0.4::DOUBLE * CASE WHEN n.id = 'c:5' THEN 1 ELSE 0 END + 0.3::DOUBLE * coalesce(1.0::DOUBLE / (60 + near.p), 0) + 0.1::DOUBLE * CASE WHEN h.community_id = (SELECT community_id FROM own) THEN 1 ELSE 0 END AS score
+        FROM nodes n LEFT JOIN near ON near.id = n.id LEFT JOIN home h ON h.id = n.id WHERE near.id IS NOT NULL OR n.id = 'c:5')
+    SELECT id, name, kind, round(score, 7) AS score FROM j ORDER BY j.score DESC, id LIMIT 30"""))
 def unified_query(spark: SparkSession, d: str) -> DataFrame:
     g, _ = with_nations(star_graph(spark, d), spark, d)
     return planner.query(g, "Customer#000000005", 30, plan=planner.PLANS["impact"]).select("id", "name", "kind", seven("score").alias("score"))
@@ -557,13 +608,18 @@ def unified_query(spark: SparkSession, d: str) -> DataFrame:
 # Extraction and resolution
 
 
-@query("extract_symbols")
+@query("extract_symbols", "SELECT '/src/' || doc_id || '.py::function::body::0' AS id, 'function' AS kind, 'body' AS name, 1::INTEGER AS start_line, CAST(greatest(len(list_distinct(regexp_extract_all(text, '[A-Za-z]+'))), 1) + 2 AS INTEGER) AS end_line, 'def body()' AS signature, TRUE AS exported FROM documents WHERE text IS NOT NULL")
 def extract_symbols(spark: SparkSession, d: str) -> DataFrame:
     symbols, _, _ = parts(extract(pseudo_code(spark, d)))
     return symbols.select("id", "kind", "name", "start_line", "end_line", "signature", "exported")
 
 
-@query("extract_calls", f"SELECT '/src/' || doc_id || '.py' AS file_path, count(*) AS calls FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z]+'))) AS w FROM documents) WHERE w NOT IN ({', '.join(repr(k) for k in sorted(KEYWORDS))}) GROUP BY doc_id")
+# Words that are no callees, spelled out here so that the SQL doesn't depend on the library's own list.
+NO_CALLEES = """'if', 'else', 'for', 'while', 'do', 'switch', 'case', 'return', 'catch', 'throw', 'typeof', 'instanceof', 'new', 'delete', 'void', 'await', 'yield', 'in', 'of', 'with', 'finally', 'try',
+    'print', 'elif', 'except', 'lambda', 'assert', 'pass', 'raise', 'range', 'select', 'defer', 'go', 'match', 'loop', 'let', 'mut', 'ref', 'move', 'synchronized', 'extends', 'implements'"""
+
+
+@query("extract_calls", f"SELECT '/src/' || doc_id || '.py' AS file_path, count(*) AS calls FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z]+'))) AS w FROM documents) WHERE w NOT IN ({NO_CALLEES}) GROUP BY doc_id")
 def extract_calls(spark: SparkSession, d: str) -> DataFrame:
     _, calls, _ = parts(extract(pseudo_code(spark, d)))
     return calls.where("callee_name <> 'body'").groupBy("file_path").agg(F.count("*").alias("calls"))
@@ -576,6 +632,30 @@ def pseudo_code(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select(F.concat(F.lit("/src/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit("def body():\n"), body, F.lit("\n")).alias("content"))
 
 
+#: A file of each language by document: its suffix, its text with the document's number, and its symbols (kind, name, first
+#: and last line) in the clean mode.
+SAMPLES = [
+    ("ts", "export async function load%s(a) {\n  run(a);\n}\nexport class Box%s {\n}\nexport interface Shape%s {\n}\nexport type Pair%s = string;\n", [("function", "load", 1, 3), ("class", "Box", 4, 5), ("interface", "Shape", 6, 7), ("type_alias", "Pair", 8, 8)]),
+    ("js", "function load%s(a) {\n  const s = '}';\n  run(a);\n}\nclass Box%s {\n}\n", [("function", "load", 1, 4), ("class", "Box", 5, 6)]),
+    ("py", "def load%s(a):\n    run(a)\n\nclass Box%s:\n    pass\n", [("function", "load", 1, 3), ("class", "Box", 4, 6)]),
+    ("go", "package x\nfunc Load%s(a int) {\n\trun(a)\n}\ntype Box%s struct {\n}\n", [("function", "Load", 2, 4), ("type_alias", "Box", 5, 6)]),
+    ("rs", "pub fn load%s(a: i32) {\n    run(a);\n}\npub struct Box%s {\n}\npub trait Shape%s {\n}\nenum Kind%s {\n}\n", [("function", "load", 1, 3), ("class", "Box", 4, 5), ("interface", "Shape", 6, 7), ("enum", "Kind", 8, 9)]),
+    ("java", "public class Box%s {\n  public void load%s(int a) {\n    run(a);\n  }\n}\ninterface Shape%s {\n}\n", [("class", "Box", 1, 5), ("method", "load", 2, 4), ("interface", "Shape", 6, 7)]),
+]
+SAMPLE_ROWS = ", ".join(f"({k}, '{suffix}', '{kind}', '{name}', {a}, {b})" for k, (suffix, _, symbols) in enumerate(SAMPLES) for kind, name, a, b in symbols)
+
+
+@query("extract_languages", f"SELECT '/src/' || doc_id || '.' || suffix AS file_path, kind, name || doc_id AS name, start_line::INTEGER AS start_line, end_line::INTEGER AS end_line FROM documents JOIN (VALUES {SAMPLE_ROWS}) s(k, suffix, kind, name, start_line, end_line) ON s.k = doc_id % 6")
+def extract_languages(spark: SparkSession, d: str) -> DataFrame:
+    key, path, content = F.col("doc_id").cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, (suffix, said, _) in enumerate(SAMPLES):
+        mine = F.col("doc_id") % 6 == k
+        path = F.when(mine, F.concat(F.lit("/src/"), key, F.lit(f".{suffix}"))).otherwise(path)
+        content = F.when(mine, F.replace(F.lit(said), F.lit("%s"), key)).otherwise(content)
+    symbols, _, _ = parts(extract(docs(spark, d).select(path.alias("path"), content.alias("content")), mode="clean"))
+    return symbols.select("file_path", "kind", "name", "start_line", "end_line")
+
+
 @query("resolve_calls", """WITH s AS (SELECT p_name AS name, '/part/' || p_brand AS file_path, 'p:' || p_partkey AS id FROM part),
     c AS (SELECT 'o:' || l_orderkey AS caller_id, p.p_name AS callee_name, '/part/' || (SELECT min(p_brand) FROM part) AS file_path, l_linenumber AS line FROM lineitem JOIN part p ON p_partkey = l_partkey),
     r AS (SELECT c.*, coalesce(min(s.id) FILTER (WHERE s.file_path = c.file_path), min(s.id)) AS target, count(DISTINCT s.id) AS k FROM c JOIN s ON s.name = c.callee_name GROUP BY ALL)
