@@ -68,6 +68,11 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of x are in a sorted array."""
+    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
+
+
 @dataclass
 class Level:
     """A chunk's distinct n-grams of one order, sorted by history. known: hashes of histories, all of the order below;
@@ -85,16 +90,25 @@ class Level:
         """The n-grams' order by bucket, and their buckets in it; buckets, histories and lengths of the runs of n-grams of
         one bucket and history. A history's n-grams share a bucket, except a hot one's; other histories that a token has
         stand for an empty run at least."""
-        count = np.bincount(self.first, minlength=len(self.known))
-        asked = np.unique(self.past[self.past >= 0])
-        alone = asked[(count[asked] == 0) & ~np.isin(self.known[asked], hot)]
-        whose = np.concatenate([self.first, alone])
-        bucket = (self.known % np.uint64(buckets)).astype(np.int64)[whose]
-        spread = np.flatnonzero(np.isin(self.known, hot)[self.first])
-        bucket[spread] = (self.key[spread] % np.uint64(buckets)).astype(np.int64)
-        rank = np.empty(len(self.known), np.int64)
-        rank[np.argsort(self.known)] = np.arange(len(self.known))
-        order = np.argsort(bucket * len(self.known) + rank[whose], kind="stable")
+        filled, asked = np.zeros(len(self.known), bool), np.zeros(len(self.known), bool)
+        filled[self.first] = True
+        asked[self.past[self.past >= 0]] = True
+        used = np.flatnonzero(filled | asked)
+        history = self.known[used]
+        spread = among(history, hot)
+        # Of the histories that matter, their places in `used`, buckets, and order.
+        place = np.zeros(len(self.known), np.int32)
+        place[used] = np.arange(len(used), dtype=np.int32)
+        rank = np.empty(len(used), np.int64)
+        rank[np.argsort(history)] = np.arange(len(used))
+        home = (history % np.uint64(buckets)).astype(np.int64)
+        alone = np.flatnonzero(~filled[used] & ~spread)
+        at = np.concatenate([place[self.first], alone.astype(np.int32)])
+        bucket = home[at]
+        dealt = np.flatnonzero(spread[at[: len(self.first)]])
+        bucket[dealt] = (self.key[dealt] % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket * max(1, len(used)) + rank[at], kind="stable")
+        whose = used[at]
         bucket, whose = bucket[order], whose[order]
         real = order < len(self.first)
         begin = np.flatnonzero(np.r_[True, (np.diff(bucket) != 0) | (np.diff(whose) != 0)][: len(order)])
@@ -106,29 +120,30 @@ def levels(tokens: np.ndarray, hashes: np.ndarray, order: int, kept: dict[int, n
     words or more are kept, by order, put there before the next order is asked for; an n-gram with a part that isn't kept
     is left out, as it can't be more frequent than its parts."""
     at = np.flatnonzero(tokens != START)
-    word, before = tokens[at].astype(np.int64), tokens[at - 1].astype(np.int64)
-    past, known, key = np.zeros(len(at), np.int64), np.array([ROOT], np.uint64), hashes
+    word, before = tokens[at].astype(np.int32), tokens[at - 1].astype(np.int32)
+    past, known, key = np.zeros(len(at), np.int32), np.array([ROOT], np.uint64), hashes
     which = past
     for k in range(1, order + 1):
         if k == 2:
             past, known = before, hashes
         elif k > 2:
             known, shorter = key, which
-            past = np.where(before != START, np.r_[-1, which[:-1]], -1)
+            past = np.where(before != START, np.r_[np.int32(-1), which[:-1]], np.int32(-1))
             if k - 1 in kept:
                 good = np.r_[kept[k - 1], False]
-                past = np.where(good[past], past, -1)
-                shorter = np.where(good[which], which, -1)
+                past = np.where(good[past], past, np.int32(-1))
+                shorter = np.where(good[which], which, np.int32(-1))
             ok = (past >= 0) & (shorter >= 0)
         if k == 1:
             present = np.bincount(word, minlength=len(hashes)) > 0
-            distinct, which = np.flatnonzero(present), (np.cumsum(present) - 1)[word]
+            distinct, which = np.flatnonzero(present), (np.cumsum(present, dtype=np.int32) - np.int32(1))[word]
         else:
             if k == 2:
                 ok = np.ones(len(at), bool)
-            distinct, found = np.unique(past[ok] * len(hashes) + word[ok], return_inverse=True)
-            which = np.full(len(at), -1, np.int64)
+            distinct, found = np.unique(past[ok].astype(np.int64) * len(hashes) + word[ok], return_inverse=True)
+            which = np.full(len(at), -1, np.int32)
             which[ok] = found
+            del found
         first, last = np.divmod(distinct, len(hashes))
         key = mixed(known[first], hashes[last])
         yield Level(known, first, hashes[last], key, which, past)
@@ -159,7 +174,10 @@ def chunks_of(rows: DataFrame) -> DataFrame:
                 if not local:
                     local[END], local[START]
                 words = words_of(data)
-                tokens.append(np.array([START, *map(local.__getitem__, words), END], "<i4"))
+                ids_of = np.empty(len(words) + 2, "<i4")
+                ids_of[0], ids_of[-1] = START, END
+                ids_of[1:-1] = np.fromiter(map(local.__getitem__, words), np.int32, len(words))
+                tokens.append(ids_of)
                 ids.append(doc_id)
                 held.append(out)
                 lengths.append(len(words) + 1)
@@ -337,9 +355,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             kept[k] = counts >= KEPT
             follow, mass = np.zeros(len(level.known), np.int64), np.zeros(len(level.known), np.int64)
             follow[run], mass[run] = joined(mine.column("follow").to_pylist()), joined(mine.column("mass").to_pylist())
-            place = np.minimum(np.searchsorted(hot, level.known), len(hot) - 1)
-            spread = hot[place] == level.known
-            follow, mass = np.where(spread, after[place], follow), np.where(spread, heavy[place], mass)
+            spread = np.flatnonzero(among(level.known, hot))
+            place = np.searchsorted(hot, level.known[spread])
+            follow[spread], mass[spread] = after[place], heavy[place]
             # A history that training rows don't have, or not followed by a kept n-gram, leaves all to the shorter one.
             seen = np.maximum(by_word if k == 2 else below, 1)
             rest = 1 - (mass - DISCOUNT * follow) / seen
