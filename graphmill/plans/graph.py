@@ -181,6 +181,12 @@ class PropertyGraph:
         return replace(self, nodes=conform(self.nodes.drop(*names).join(values, "id", "left"), schema.NODES))
 
 
+def upsert_rows(old: DataFrame, new: DataFrame, into: T.StructType) -> DataFrame:
+    """A table of communities or processes with new rows in place of those with their ids."""
+    new = last_of_each(new, into)
+    return conform(old, into).join(new.select("id"), "id", "left_anti").unionByName(new)
+
+
 def pointers(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema("seq long, snapshot string, version int").json(f"{root}/current")
 

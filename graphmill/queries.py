@@ -21,7 +21,7 @@ from graphmill.operators import traverse
 from graphmill.operators.pagerank import pagerank
 from graphmill.operators.resolve import module_paths, resolve_calls, resolve_imports
 from graphmill.plans import planner
-from graphmill.plans.graph import PropertyGraph
+from graphmill.plans.graph import PropertyGraph, upsert_rows
 from graphmill.plans.pipeline import changed
 from graphmill.plans.sqltool import run_sql
 from graphmill.sources.files import page_links, parse_name_status
@@ -158,7 +158,7 @@ def delete_edges_from(spark: SparkSession, d: str) -> DataFrame:
         """SELECT 'node' AS what, kind, count(*) AS n, count(*) FILTER (WHERE name = 'again') AS again FROM (
             SELECT id, kind, CASE WHEN id = 's:1' THEN 'again' ELSE name END AS name FROM nodes WHERE id NOT IN (SELECT id FROM gone)) GROUP BY kind
         UNION ALL SELECT 'edge', kind, count(*), 0 FROM (
-            SELECT kind FROM edges WHERE source NOT IN (SELECT id FROM gone) AND target NOT IN (SELECT id FROM gone) AND source <> 's:1' AND target <> 's:1' AND NOT (source = 'o:2' AND kind = 'calls')
+            SELECT kind FROM edges WHERE source NOT IN (SELECT id FROM gone) AND target NOT IN (SELECT id FROM gone) AND source <> 's:1' AND target <> 's:1' AND NOT (source = 'o:2' AND kind = 'calls') AND id <> 'r:1->contains->n:1'
             UNION ALL SELECT 'uses') GROUP BY kind""",
         "gone AS (SELECT id FROM nodes WHERE file_path = '/nation/3/customer')",
     ),
@@ -169,12 +169,21 @@ def mutate_log(spark: SparkSession, d: str) -> DataFrame:
     g = star_graph(spark, d)
     node = ("s:1", "interface", "again", "/nation/1/supplier", *[None] * 12)
     edge = ("e:new", "o:2", "p:1", "uses", 1.0, None, None, None)
-    log = [(1, "upsert_edge", None, None, None, ("e:gone", "s:1", "p:1", "uses", 1.0, None, None, None)), (2, "delete_node", "s:1", None, None, None), (3, "upsert_node", None, None, node, None), (4, "delete_file_nodes", "/nation/3/customer", None, None, None), (5, "delete_edges_from", "o:2", "calls", None, None), (6, "upsert_edge", None, None, None, edge)]
+    log = [(1, "upsert_edge", None, None, None, ("e:gone", "s:1", "p:1", "uses", 1.0, None, None, None)), (2, "delete_node", "s:1", None, None, None), (3, "upsert_node", None, None, node, None), (4, "delete_file_nodes", "/nation/3/customer", None, None, None), (5, "delete_edges_from", "o:2", "calls", None, None), (6, "upsert_edge", None, None, None, edge), (7, "delete_edge", "r:1->contains->n:1", None, None, None)]
     after = g.mutate(spark.createDataFrame(log, MUTATIONS))
     nodes = after.nodes.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("name") == "again").alias("again")).select(F.lit("node").alias("what"), "kind", "n", "again")
     return nodes.unionByName(after.edges.groupBy("kind").agg(F.count("*").alias("n")).select(F.lit("edge").alias("what"), "kind", "n", F.lit(0).cast("long").alias("again")))
 
 
+@query("upsert_communities", "SELECT n_nationkey AS id, CASE WHEN n_nationkey < 3 THEN 'again' ELSE n_name END AS label, CASE WHEN n_nationkey < 3 THEN 0 ELSE n_regionkey END::BIGINT AS member_count FROM nation UNION ALL SELECT 99, 'new', 1")
+def upsert_communities(spark: SparkSession, d: str) -> DataFrame:
+    from graphmill.schema import COMMUNITIES
+
+    old = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("label"), F.col("n_regionkey").alias("member_count"))
+    new = old.where("id < 3").withColumns({"label": F.lit("again"), "member_count": F.lit(0)}).unionByName(spark.createDataFrame([(99, "new", 1)], "id int, label string, member_count int"))
+    return upsert_rows(old, new, COMMUNITIES).select("id", "label", "member_count")
+
+
 # Traversal
 
 
