@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphmill.functions.text import TextIndex
@@ -16,6 +16,7 @@ from graphmill.plans import planner
 from graphmill.plans.graph import PropertyGraph
 from graphmill.plans.sqltool import run_sql
 from graphmill.sources.files import git_changes
+from graphmill.sources.scratch import materialize
 
 _TYPES: dict[str, Callable[[Any], bool]] = {
     "string": lambda v: isinstance(v, str),
@@ -122,9 +123,18 @@ class Registry:
             return ToolResult.of(f'Tool "{name}" failed: {e}', error=True)
 
 
+#: Rows of a list that an answer holds; what is beyond is counted and told.
+MOST = 1000
+
+
 def _rows(df: DataFrame) -> list[dict[str, Any]]:
     """A result that a limit bounds, on the driver."""
-    return [r.asDict(recursive=True) for r in df.collect()]
+    return [r.asDict(recursive=True) for r in df.limit(MOST).collect()]
+
+
+def _told(rows: list[dict[str, Any]], df: DataFrame) -> dict[str, int]:
+    """What to say of a list that may be longer than MOST: nothing if it is whole."""
+    return {"shown": len(rows), "total": df.count()} if len(rows) == MOST else {}
 
 
 def _json(value: Any) -> ToolResult:
@@ -164,9 +174,12 @@ def context_tool(args: dict[str, Any], context: Context) -> ToolResult:
     if node is None:
         return other  # type: ignore[return-value]
     own = _rows(context.graph.node(node).select("id", "name", "kind", F.col("file_path").alias("file"), _lines().alias("lines"), "signature", "docstring", "exported", F.col("community_id").alias("community"), F.col("page_rank").alias("pageRank")))
-    related = _rows(traverse.context(context.graph, node, context.processes))
+    found = materialize(traverse.context(context.graph, node, context.processes), "context")
+    w = Window.partitionBy("relation").orderBy("id")
+    related = [r.asDict() for r in found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= MOST).drop("rank").collect()]
+    totals = {r["relation"]: r["n"] for r in found.groupBy("relation").agg(F.count("*").alias("n")).collect() if r["n"] > MOST}
     of = lambda relation: [{k: r[k] for k in ("id", "name", "kind", "file_path")} for r in related if r["relation"] == relation]
-    return _json({"symbol": own[0], "callers": of("callers"), "callees": of("callees"), "imports": of("imports"), "importedBy": of("imported_by"), "communitySiblings": of("community_siblings")[:10], "process": next(iter(of("process")), None)})
+    return _json({"symbol": own[0], "callers": of("callers"), "callees": of("callees"), "imports": of("imports"), "importedBy": of("imported_by"), "communitySiblings": of("community_siblings")[:10], "process": next(iter(of("process")), None), **({"totals": totals} if totals else {})})
 
 
 def impact_tool(args: dict[str, Any], context: Context) -> ToolResult:
@@ -185,11 +198,12 @@ def flow_tool(args: dict[str, Any], context: Context) -> ToolResult:
     node, other = _pick(args, context)
     if node is None:
         return other  # type: ignore[return-value]
-    found = traverse.flow(context.graph, node, min(int(args.get("maxDepth") or 10), traverse.FLOW_DEPTH))
+    found = materialize(traverse.flow(context.graph, node, min(int(args.get("maxDepth") or 10), traverse.FLOW_DEPTH)), "flow")
     named = found.join(context.graph.nodes, "id").orderBy("seq")
     rows = _rows(named.select("depth", F.repeat(F.lit("  "), F.col("depth")).alias("indent"), "name", "kind", F.col("file_path").alias("file"), F.col("start_line").alias("line"), "signature", F.when(F.col("depth") > 0, "calls").alias("edgeKind")))
     tree = "\n".join(f"{r['indent']}{'→ ' if r['depth'] else ''}{r['name']} ({r['kind']})" for r in rows)
-    return ToolResult.of(tree, _json(rows).text)
+    more = _told(rows, found)
+    return ToolResult.of(tree + (f"\n... {more['total'] - more['shown']} more" if more else ""), _json(rows).text)
 
 
 def rename_tool(args: dict[str, Any], context: Context) -> ToolResult:
@@ -198,9 +212,11 @@ def rename_tool(args: dict[str, Any], context: Context) -> ToolResult:
         return other  # type: ignore[return-value]
     preview = _rows(traverse.rename_preview(context.graph, node, args["newName"]))[0]
     details = _rows(context.graph.edges_to(node).select("source", "kind", "file_path", "line").orderBy("id").limit(100))
-    clash = preview["conflicts"] or None
+    clash = preview["conflicts"][:MOST] or None
+    files = preview["affected_files"]
     return _json({
-        "symbol": _rows(context.graph.node(node).select("id", "name", "kind", "file_path"))[0], "references": preview["references"], "affectedFiles": preview["affected_files"], "referenceDetails": details,
+        "symbol": _rows(context.graph.node(node).select("id", "name", "kind", "file_path"))[0], "references": preview["references"], "affectedFiles": files[:MOST], "affectedFileCount": len(files), "referenceDetails": details,
+        "referenceDetailsShown": len(details),
         "conflicts": clash, "warning": f"{len(clash)} symbol(s) are already named {args['newName']}" if clash else None,
     })
 
@@ -212,8 +228,9 @@ def detect_changes_tool(args: dict[str, Any], context: Context) -> ToolResult:
     rows = _rows(changed_symbols(context.graph, full))
     impact = None
     if args.get("includeImpact"):
-        files = sorted(r["file_path"] for r in _rows(traverse.change_impact(context.graph, full)))
-        impact = {"totalFilesImpacted": len(files), "files": files}
+        found = materialize(traverse.change_impact(context.graph, full), "impact")
+        files = [r["file_path"] for r in _rows(found.orderBy("file_path"))]
+        impact = {"totalFilesImpacted": found.count(), "files": files}
     return _json({"since": since, "changes": rows, "impact": impact})
 
 

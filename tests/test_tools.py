@@ -145,3 +145,38 @@ def test_sql_leaves_no_views_and_keeps_graphs_apart(spark, context):
 def test_sql_dialect(spark, context, statement, want):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert run_sql(context.graph, statement).first()["x"] == want
+
+
+def test_long_answers_say_so(spark, monkeypatch):
+    from graphmill.plans import tools
+
+    names = [f"n{i:02d}" for i in range(12)]
+    nodes = spark.createDataFrame([(n, "function", n, f"/s/{n}.ts") for n in names], "id string, kind string, name string, file_path string")
+    edges = spark.createDataFrame([(f"{a}->hub", a, "n00", "calls", 1.0) for a in names[1:]] + [(f"n00->{a}", "n00", a, "calls", 1.0) for a in names[1:]], "id string, source string, target string, kind string, confidence double")
+    c, run = Context(spark, PropertyGraph.of(nodes, edges), "/s"), builtin().execute
+    monkeypatch.setattr(tools, "MOST", 5)
+    said = json.loads(run("context", {"nodeId": "n00"}, c).text)
+    assert len(said["callers"]) == 5 and said["totals"] == {"callers": 11, "callees": 11}
+    assert "... 7 more" in run("flow", {"nodeId": "n00"}, c).content[0]["text"]
+    rename = json.loads(run("rename", {"nodeId": "n00", "newName": "x"}, c).text)
+    assert rename["affectedFileCount"] == 12 and len(rename["affectedFiles"]) == 5 and rename["references"] == 11
+    monkeypatch.setattr(tools, "MOST", 1000)
+    assert "totals" not in json.loads(run("context", {"nodeId": "n00"}, c).text)
+
+
+def test_installation_without_the_optional_parts(tmp_path):
+    """The library's entry, queries and tests do without the training-data subpackage, its tests and the pipeline."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    here = Path(driver.__file__).parent
+    for gone in ((), ("corpus_pipeline.py",)):
+        copy = tmp_path / str(len(gone))
+        shutil.copytree(here, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", *gone))
+        run = lambda *a: subprocess.run([sys.executable, *a], cwd=copy, capture_output=True, text=True, timeout=120)  # noqa: B023, E731
+        asked = run("-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), sum(k.startswith('op') or k == 'pipeline' for k in e.queries()))")
+        assert asked.returncode == 0, asked.stderr
+        assert asked.stdout.split()[2] == "0" and int(asked.stdout.split()[0]) > 60
+        assert run("-m", "pytest", "--collect-only", "-q").returncode == 0
