@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 #: A side is broadcast only if its counted rows times its row width stay below this; beyond it the join shuffles.
 BROADCAST_BYTES, ROW_BYTES = 8 << 20, 48
+#: The setting of a batch's bytes, and its value here.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 #: ASCII white space, the separators of words in every operator here.
 BLANKS = "[\\x20\\x09-\\x0D]+"
 
@@ -116,9 +118,17 @@ def settle() -> None:
         trim(0)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of the batches that Python workers get, unless the session's user has. By Spark's default of 64 MB
+    each task can hold several times that, in the JVM and again in Python."""
+    if not spark._jsparkSession.sessionState().conf().contains(BATCH):
+        spark.conf.set(BATCH, BATCH_BYTES)
+
+
 def map_rows(df: DataFrame, schema: str, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]]) -> DataFrame:
     """mapInArrow whose function yields columns as a dict of lists or arrays, in the order and types of the DDL schema."""
     into = arrow_schema(schema)
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in rows(batches):

@@ -52,4 +52,6 @@ def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     found, _ = points[0]
     for step, n in points[1:]:
         found = found.join(if_small(step.select(F.col("id").alias("to"), F.col("to").alias("next")), n, 32), "to", "left").select("id", F.coalesce("next", "to").alias("to"))
-    return scratch.write(found.withColumnRenamed("to", "root"), "roots")
+    roots = scratch.write(found.withColumnRenamed("to", "root"), "roots")
+    scratch.drop(f"edges-{k}", *(f"points-{i}" for i in range(k)))
+    return roots

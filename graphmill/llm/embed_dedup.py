@@ -369,6 +369,7 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     info = scratch.write(named.join(found, "node", "full").join(heavy, "node", "full").select("node", "least", (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(0))).alias("n_links")), "info")
     copies = scratch.write(nodes.where("weight > 1").select("v", "node"), "copies")
     width = copies.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.count("*")).first()
+    scratch.drop("nodes", "indices", "asked", "least", "roots")
     # Rows that can't link take no part in the joins, so they meet on no key.
     placed = rows.where("ok").join(if_small(copies, width[1], 8 * width[0] + 32), "v", "left").select("id", F.coalesce("node", "id").alias("node"))
     out = placed.join(if_small(info, info.count(), 48), "node", "left")

@@ -67,7 +67,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     single = hashed.where(~F.col("live")).withColumns({"keep_id": F.col("id"), "group_size": F.lit(1).cast("long")})
     several = hashed.where("live").join(groups.withColumn("found", F.lit(True)), "digest", "left")
     several = several.withColumns({"keep_id": F.when(F.col("found"), F.col("keep_id")).otherwise(F.col("id")), "group_size": F.coalesce("group_size", F.lit(1).cast("long"))})
-    scratch.drop("sig", "lengths")
+    scratch.drop("sig", "lengths", "cells", "bitmap")
     out = ["id", "keep_id", "group_size", "digest"]
     both = single.select(out).unionByName(several.select(out))
     return both.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")

@@ -271,5 +271,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lowest = joined.groupBy("root").agg(F.min("first").alias("lowest"))
     moved = scratch.write(joined.join(if_small(lowest, n, 32), "root").select("fp", "lowest"), "moved")
     called = scratch.write(nodes.select("fp", "first").join(if_small(moved, n, 32), "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id")), "named")
+    scratch.drop("nodes", "full", "live", "wanted", "ids", "sets", "pairs", "links", "labelled", "mixed", "mixed-cells", "split-dealt", "partners", "joining", "joined", "moved", "roots")
     out = prints.select("id", "fp").join(if_small(called, called.count(), 32), "fp")
     return out.select(F.col("id").alias(id_col), "fp", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -229,6 +229,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     else:
         goal = docs.sparkSession.createDataFrame(list(targets.items()), "name string, target double")
     owed = scratch.write(carries(tokens, scratch.write(goal, "targets")), "carries")
+    scratch.drop("targets")
 
     def fill(group: pa.Table, carry: pa.Table) -> pa.Table:
         sizes, ids, names = group.column("tokens").to_pylist(), group.column("ids"), group.column("id").to_pylist()

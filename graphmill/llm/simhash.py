@@ -229,5 +229,6 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = joined.groupBy("root").agg(F.min("first").alias("least"))
     moved = scratch.write(joined.join(if_small(least, n, 32), "root").select("fp", "least"), "moved")
     named = scratch.write(fps.join(if_small(moved, n, 32), "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "named")
+    scratch.drop("fps", "links", "joined", "moved", "roots")
     out = prints.join(if_small(named, named.count(), 32), "fp")
     return out.select(F.col("id").alias(id_col), "fp", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

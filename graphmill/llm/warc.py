@@ -84,9 +84,11 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", payload_col
     revisits of it. Null payloads are empty; a null id is written as the name "null" and never referred to; rows that
     repeat the first row's id are responses, too. An empty table writes no record.
     """
-    rows = plan_records(pages, Scratch(pages.sparkSession, "warc-plan"), id_col, payload_col)
+    scratch = Scratch(pages.sparkSession, "warc-plan")
+    rows = plan_records(pages, scratch, id_col, payload_col)
     records = rotated(rows.select(record_text(urn).alias("value")), archive_bytes)
     records.write.option("lineSep", BREAK).partitionBy("archive").text(path)
+    scratch.drop("digests", "firsts")
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
@@ -218,6 +220,7 @@ def archived_pages(pages: DataFrame, id_col: str = "page_id", payload_col: str =
         id_of("record_id").alias("id"), F.col("type").alias("record_type"), id_of("refers_to").alias("refers_to"), F.octet_length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("sha")
     )
     got = scratch.write(got, "records")
+    scratch.drop("archives")
     again, full = got.where("record_type = 'revisit'"), got.where("record_type = 'response'")
     asked = again.select(F.col("refers_to").alias("id")).distinct()
     targets = full.join(asked, "id", "left_semi").groupBy("id").agg(F.first("bytes").alias("bytes"), F.first("sha").alias("sha"))
