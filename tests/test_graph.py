@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import random
-from itertools import product
+from itertools import count, product
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,6 +26,18 @@ def graph(spark, edges, nodes=None, kind="calls", **columns):
     return PropertyGraph.of(nodes_df, spark.createDataFrame(links, "id string, source string, target string, kind string, confidence double, line int"))
 
 
+def modularity(weights: dict[str, dict[str, float]], home: dict[str, str]) -> float:
+    """Of an assignment, by its definition."""
+    twice = sum(w for row in weights.values() for w in row.values()) or 1.0
+    pull = {v: sum(row.values()) for v, row in weights.items()}
+    names = {c: i for c, i in zip(dict.fromkeys(home.values()), count(), strict=False)}
+    inside, mass = [0.0] * len(names), [0.0] * len(names)
+    for v, row in weights.items():
+        mass[names[home[v]]] += pull[v]
+        inside[names[home[v]]] += sum(w for u, w in row.items() if home[u] == home[v])
+    return sum(i / twice - (m / twice) ** 2 for i, m in zip(inside, mass, strict=True))
+
+
 def ids(df):
     return sorted(r["id"] for r in df.collect())
 
@@ -227,7 +239,7 @@ def test_local_moving_improves_modularity():
             weights[a][b] = weights[b][a] = 1.0
     total = sum(w for row in weights.values() for w in row.values()) / 2
     home = com.local_moving(weights, total)
-    assert com.modularity(weights, home) > max(0.3, com.modularity(weights, {v: v for v in names}))
+    assert modularity(weights, home) > max(0.3, modularity(weights, {v: v for v in names}))
 
 
 def test_components(spark):
@@ -245,3 +257,10 @@ def test_processes(spark):
         assert found["handleClick"]["steps"] == want and found["handleClick"]["kind"] == "api_route" and found["handleClick"]["name"] == "handleClick" and found["initApp"]["kind"] == "lifecycle"
     short = {r["entry_point"]: r["steps"] for r in proc.detect_processes(g, max_steps=2, strategy="bfs").collect()}
     assert short["handleClick"] == ["handleClick", "b"]
+    wide = graph(spark, [("main", f"n{i}") for i in range(6)] + [(f"n{i}", f"m{i}") for i in range(6)] + [(f"m{i}", f"z{i}") for i in range(6)])
+    for most in (1, 3, 7, 9, 30):
+        for strategy in ("bfs", "hybrid", "dfs"):
+            steps = [r["steps"] for r in proc.detect_processes(wide, max_steps=most, strategy=strategy).collect()]
+            calls = {"main": [f"n{i}" for i in range(6)]} | {f"n{i}": [f"m{i}"] for i in range(6)} | {f"m{i}": [f"z{i}"] for i in range(6)}
+            want = proc.trace("main", calls, most, strategy)
+            assert steps == ([want] if len(want) > 1 else [])
