@@ -180,3 +180,64 @@ def test_installation_without_the_optional_parts(tmp_path):
         assert asked.returncode == 0, asked.stderr
         assert asked.stdout.split()[2] == "0" and int(asked.stdout.split()[0]) > 60
         assert run("-m", "pytest", "--collect-only", "-q").returncode == 0
+
+
+def test_http(context):
+    import base64
+    import os
+    import socket
+    import threading
+    from urllib.error import HTTPError
+    from urllib.request import Request, urlopen
+
+    from graphmill.plans.server import HttpServer
+
+    server = HttpServer(builtin(), context, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    host, port = server.server_address[:2]
+
+    def ask(path, body=None):
+        try:
+            with urlopen(Request(f"http://{host}:{port}{path}", body if body is None or isinstance(body, bytes) else json.dumps(body).encode()), timeout=120) as r:
+                return r.status, r.read().decode()
+        except HTTPError as e:
+            return e.code, e.read().decode()
+
+    assert ask("/health")[0] == 200 and {t["name"] for t in json.loads(ask("/api/tools")[1])["tools"]} == set(builtin().names())
+    assert json.loads(ask("/api/stats")[1]) == {"nodes": 4, "edges": 2, "communities": 0, "processes": 1}
+    assert json.loads(ask("/api/nodes/alpha")[1])["name"] == "alpha" and ask("/api/nodes/none")[0] == 404 and ask("/nowhere")[0] == 404
+    assert [n["id"] for n in json.loads(ask("/api/files/%2Fs%2Fa.ts")[1])["nodes"]] == ["alpha"]
+    status, said = ask("/api/tools/impact", {"nodeId": "gamma"})
+    assert status == 200 and json.loads(json.loads(said)["content"][0]["text"])["totalAffected"] == 2
+    assert ask("/api/tools/impact", {"maxDepth": "x"})[0] == 400 and ask("/api/tools/nope", {})[0] == 400 and ask("/api/tools/impact", b"{")[0] == 400 and ask("/api/tools/impact", [1])[0] == 400
+    status, said = ask("/api/stream/query?q=alpha")
+    assert status == 200 and said.startswith("data: ") and said.endswith("event: done\ndata: {}\n\n") and ask("/api/stream/query")[0] == 400
+
+    def frame(data, kind=1):
+        mask = os.urandom(4)
+        return bytes([0x80 | kind, 0x80 | len(data)]) + mask + bytes(b ^ mask[i % 4] for i, b in enumerate(data))
+
+    with socket.create_connection((host, port), timeout=10) as s:
+        s.sendall(f"GET /ws HTTP/1.1\r\nHost: x\r\nUpgrade: websocket\r\nConnection: Upgrade\r\nSec-WebSocket-Key: {base64.b64encode(b'0' * 16).decode()}\r\n\r\n".encode())
+        f = s.makefile("rb")
+        while f.readline().strip():
+            pass
+        read = lambda: (lambda head: (head[0] & 15, f.read(head[1])))(f.read(2))
+        assert json.loads(read()[1])["type"] == "connected"
+        s.sendall(frame(b"junk") + frame(b'{"type": "ping"}') + frame(b"", 8))
+        assert json.loads(read()[1]) == {"type": "pong"} and read()[0] == 8
+    server.shutdown()
+
+
+def test_json_rpc(context):
+    import io
+
+    from graphmill.plans.server import serve_streams
+
+    asked = [{"id": 1, "method": "initialize", "params": {}}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "tools/call", "params": {"name": "sql", "arguments": {"query": "SELECT count(*) AS n FROM nodes"}}}, {"id": 4, "method": "tools/call", "params": {"name": "nope"}}, {"id": 5, "method": "other"}, [1]]
+    out = io.StringIO()
+    serve_streams(builtin(), context, io.StringIO("\n".join([*map(json.dumps, asked), "{", ""])), out)
+    said = {r["id"]: r for r in map(json.loads, out.getvalue().splitlines()) if r["id"]}
+    assert said[1]["result"]["serverInfo"]["name"] == "graphmill" and len(said[2]["result"]["tools"]) == 7
+    assert '"n": 4' in said[3]["result"]["content"][1]["text"] and not said[3]["result"]["isError"]
+    assert said[4]["result"]["isError"] and said[5]["error"]["code"] == -32601 and len(out.getvalue().splitlines()) == 7
