@@ -76,12 +76,12 @@ def among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 @dataclass
 class Level:
     """A chunk's distinct n-grams of one order, sorted by history. known: hashes of histories, all of the order below;
-    first: index of the history; word, key: hashes of the last word and of all; which: the n-gram at each token, -1 for
+    first: index of the history; last: the last word's local id; key: hash of all; which: the n-gram at each token, -1 for
     none; past: the history at each token, -1 where it is too short or can't have a kept n-gram."""
 
     known: np.ndarray
     first: np.ndarray
-    word: np.ndarray
+    last: np.ndarray
     key: np.ndarray
     which: np.ndarray
     past: np.ndarray
@@ -107,9 +107,8 @@ class Level:
         bucket = home[at]
         dealt = np.flatnonzero(spread[at[: len(self.first)]])
         bucket[dealt] = (self.key[dealt] % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket * max(1, len(used)) + rank[at], kind="stable")
-        whose = used[at]
-        bucket, whose = bucket[order], whose[order]
+        order = np.argsort(bucket * max(1, len(used)) + rank[at], kind="stable").astype(np.int32)
+        bucket, whose = bucket[order], used.astype(np.int32)[at[order]]
         real = order < len(self.first)
         begin = np.flatnonzero(np.r_[True, (np.diff(bucket) != 0) | (np.diff(whose) != 0)][: len(order)])
         return order[real], bucket[real], bucket[begin], whose[begin], np.add.reduceat(real.astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64)
@@ -122,6 +121,7 @@ def levels(tokens: np.ndarray, hashes: np.ndarray, order: int, kept: dict[int, n
     at = np.flatnonzero(tokens != START)
     word, before = tokens[at].astype(np.int32), tokens[at - 1].astype(np.int32)
     past, known, key = np.zeros(len(at), np.int32), np.array([ROOT], np.uint64), hashes
+    del at
     which = past
     for k in range(1, order + 1):
         if k == 2:
@@ -134,19 +134,23 @@ def levels(tokens: np.ndarray, hashes: np.ndarray, order: int, kept: dict[int, n
                 past = np.where(good[past], past, np.int32(-1))
                 shorter = np.where(good[which], which, np.int32(-1))
             ok = (past >= 0) & (shorter >= 0)
+            del shorter
         if k == 1:
             present = np.bincount(word, minlength=len(hashes)) > 0
             distinct, which = np.flatnonzero(present), (np.cumsum(present, dtype=np.int32) - np.int32(1))[word]
         else:
             if k == 2:
-                ok = np.ones(len(at), bool)
+                ok = np.ones(len(word), bool)
             distinct, found = np.unique(past[ok].astype(np.int64) * len(hashes) + word[ok], return_inverse=True)
-            which = np.full(len(at), -1, np.int32)
+            which = np.full(len(word), -1, np.int32)
             which[ok] = found
-            del found
-        first, last = np.divmod(distinct, len(hashes))
+            del found, ok
+        first, last = (x.astype(np.int32) for x in np.divmod(distinct, len(hashes)))
+        del distinct
         key = mixed(known[first], hashes[last])
-        yield Level(known, first, hashes[last], key, which, past)
+        # Nothing but the level itself stays while it is worked on.
+        yield (level := Level(known, first, last, key, which, past))
+        del level, first, last
 
 
 def chunks_of(rows: DataFrame) -> DataFrame:
@@ -206,7 +210,7 @@ def hot_histories(rows: DataFrame, texts: int, order: int) -> np.ndarray:
                 yield {"history": np.array([ROOT], np.uint64).view(np.int64), "n": [int(lengths.sum())]}
                 for k, level in enumerate(levels(tokens, hashes, order - 1, {}), 1):
                     n = np.bincount(level.which[level.which >= 0], minlength=len(level.key))
-                    yield {"history": (level.word if k == 1 else level.key)[n > 1].view(np.int64), "n": n[n > 1]}
+                    yield {"history": (hashes[level.last] if k == 1 else level.key)[n > 1].view(np.int64), "n": n[n > 1]}
                 yield {"history": hashes[START : START + 1].view(np.int64), "n": [len(lengths)]}
 
     part = rows.where(F.pmod(F.xxhash64("id", "data"), F.lit(max(1, texts // SAMPLE))) == 0).withColumn("data", F.substring("data", 1, LEAD))
@@ -244,10 +248,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chunks = scratch.write(chunks_of(rows), "chunks")
     total = chunks.agg(F.coalesce(F.sum("trained"), F.lit(0))).first()[0]
 
-    def message(row: dict, k: int, level: Level, train: np.ndarray) -> Iterator[dict]:
-        n = np.bincount(level.which[train & (level.which >= 0)], minlength=len(level.key))
+    def message(row: dict, hashes: np.ndarray, k: int, level: Level, train: np.ndarray) -> Iterator[dict]:
+        n = np.bincount(level.which[train & (level.which >= 0)], minlength=len(level.key)).astype(np.int32)
         by, bucket, run_bucket, run, long = level.dealt(hot, buckets)
-        n, word, history = n[by], level.word[by], level.known[run]
+        n, word, history = n[by], hashes[level.last[by]], level.known[run]
         named = np.unique(run_bucket)
         cuts, starts = np.searchsorted(bucket, np.r_[named, buckets]), np.searchsorted(run_bucket, np.r_[named, buckets])
         for j, b in enumerate(named.tolist()):
@@ -267,7 +271,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 tokens, hashes, held, lengths = opened(row)
                 train = np.repeat(~held, lengths)
                 for k, level in enumerate(levels(tokens, hashes, 2, {}), 1):
-                    for sent in message(row, k, level, train):
+                    for sent in message(row, hashes, k, level, train):
                         yield {c: [v] for c, v in sent.items()}
 
     def told_counts(told: pa.Table, k: int, level: Level) -> tuple[np.ndarray, np.ndarray, pa.Table]:
@@ -285,7 +289,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             sent: list[dict] = []
             for j, level in enumerate(levels(tokens, hashes, k, kept), 1):
                 if j == k:
-                    sent = list(message(row, k, level, np.repeat(~held, lengths)))
+                    sent = list(message(row, hashes, k, level, np.repeat(~held, lengths)))
                 elif j > 1:
                     kept[j] = told_counts(told, j, level)[0] >= KEPT
             settle()
@@ -340,7 +344,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         row = chunk.to_pylist()[0]
         tokens, hashes, held, lengths = opened(row)
         told, kept = answers.sort_by("bucket"), {}
-        owner = np.repeat(np.arange(len(lengths)), lengths)
+        owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         counts = by_word = prob = base = known = np.zeros(0)
         for k, level in enumerate(levels(tokens, hashes, order, kept), 1):
             below = counts
