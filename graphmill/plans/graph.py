@@ -16,9 +16,22 @@ from graphmill import schema
 
 
 def conform(df: DataFrame, into: T.StructType) -> DataFrame:
-    """df with exactly the columns and types of `into`; those it lacks are null, others go."""
-    have = set(df.columns)
-    return df.select(*((F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in into))
+    """df with exactly the columns and types of `into`; those it lacks are null, others go. Text is read as JSON where an
+    array or a map is wanted."""
+    have = {f.name: f.dataType for f in df.schema}
+
+    def column(f: T.StructField) -> Column:
+        if isinstance(f.dataType, T.ArrayType | T.MapType) and isinstance(have.get(f.name), T.StringType):
+            return F.from_json(f.name, f.dataType).alias(f.name)
+        return (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+
+    return df.select(*map(column, into))
+
+
+def as_json(df: DataFrame) -> DataFrame:
+    """df with its arrays and maps as JSON text, as conform reads it."""
+    wide = {f.name for f in df.schema if isinstance(f.dataType, T.ArrayType | T.MapType)}
+    return df.select(*(F.to_json(c).alias(c) if c in wide else F.col(c) for c in df.columns))
 
 
 def incident(edges: DataFrame, ids: DataFrame, keep: bool = False) -> DataFrame:
@@ -256,3 +269,38 @@ def load(spark: SparkSession, root: str) -> PropertyGraph:
     """The snapshot that was pointed at last."""
     found = tables_of(spark, root)
     return PropertyGraph.of(found["nodes"], found["edges"])
+
+
+class Transaction:
+    """Mutations of a store's graph that become visible together, by one snapshot when the block ends; an error in it
+    leaves the store as it was. Inside, reads see what the block has done.
+
+        with Transaction(spark, root) as tx:
+            tx.upsert_nodes(rows)
+            tx.delete_file("/src/a.ts")
+
+    Writers don't lock each other: of two that overlap, the later snapshot counts.
+    """
+
+    MUTATIONS = ("upsert_nodes", "upsert_edges", "delete_nodes", "delete_file", "delete_edges", "delete_edges_from", "mutate", "with_columns_of")
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.root, self.found = root, tables_of(spark, root, "communities", "processes")
+        self.graph = PropertyGraph.of(self.found["nodes"], self.found["edges"])
+
+    def __enter__(self) -> Transaction:
+        return self
+
+    def __getattr__(self, name: str) -> Any:
+        own = getattr(self.graph, name)
+        if name not in self.MUTATIONS:
+            return own
+
+        def act(*args: Any, **named: Any) -> None:
+            self.graph = own(*args, **named)
+
+        return act
+
+    def __exit__(self, kind: type | None, *_: Any) -> None:
+        if kind is None:
+            save(self.graph, self.root, {k: v for k, v in self.found.items() if k not in ("nodes", "edges")})

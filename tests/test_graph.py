@@ -15,7 +15,7 @@ from graphmill.operators import processes as proc
 from graphmill.operators import traverse
 from graphmill.operators.pagerank import pagerank
 from graphmill.plans import graph as store
-from graphmill.plans.graph import PropertyGraph, load, save, tables_of
+from graphmill.plans.graph import PropertyGraph, Transaction, as_json, conform, load, save, tables_of
 
 
 def graph(spark, edges, nodes=None, kind="calls", **columns):
@@ -126,6 +126,30 @@ def test_snapshots(spark, tmp_path):
         load(spark, str(tmp_path / "nowhere"))
 
 
+def test_transactions(spark, tmp_path):
+    save(graph(spark, [("a", "b")]), str(tmp_path), {"communities": spark.createDataFrame([(1, "c", 2, 0.5)], schema.COMMUNITIES)})
+    rows = lambda *names: spark.createDataFrame([(n, "function", n, "/x") for n in names], "id string, kind string, name string, file_path string")
+    with Transaction(spark, str(tmp_path)) as tx:
+        tx.upsert_nodes(rows("c"))
+        tx.upsert_nodes(rows("d"))
+        tx.delete_nodes(tx.node("a"))
+        assert tx.nodes.count() == 3 and load(spark, str(tmp_path)).nodes.count() == 2
+    assert ids(load(spark, str(tmp_path)).nodes) == ["b", "c", "d"] and load(spark, str(tmp_path)).edges.count() == 0
+    with pytest.raises(RuntimeError), Transaction(spark, str(tmp_path)) as tx:
+        tx.delete_nodes(tx.nodes)
+        raise RuntimeError
+    assert ids(load(spark, str(tmp_path)).nodes) == ["b", "c", "d"] and tables_of(spark, str(tmp_path), "communities")["communities"].count() == 1
+
+
+def test_json_columns(spark):
+    rows = spark.createDataFrame([("a", "file", "a", "/a", '{"k": "v"}', "[1, 2.5]"), ("b", "file", "b", "/b", None, "not json")], "id string, kind string, name string, file_path string, metadata string, embedding string")
+    nodes = PropertyGraph.of(rows, spark.createDataFrame([], schema.EDGES)).nodes
+    got = {r["id"]: (r["metadata"], r["embedding"]) for r in nodes.collect()}
+    assert got["a"] == ({"k": "v"}, [1.0, 2.5]) and got["b"][0] is None
+    text = {r["id"]: (r["metadata"], r["embedding"]) for r in as_json(nodes).collect()}
+    assert text["a"] == ('{"k":"v"}', "[1.0,2.5]") and conform(as_json(nodes), schema.NODES).where("id = 'a'").first()["metadata"] == {"k": "v"}
+
+
 def test_older_snapshots_are_migrated(spark, tmp_path, monkeypatch):
     save(graph(spark, [("a", "b")]), str(tmp_path))
     monkeypatch.setattr(schema, "VERSION", schema.VERSION + 1)
