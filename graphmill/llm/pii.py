@@ -213,11 +213,17 @@ def trained(rounds: int = 100, rate: float = 0.2, decay: float = 1e-4) -> Crf:
             index[i, j, : len(f)] = f
     inside = np.arange(steps)[None] < lengths[:, None]
     pairs = inside[:, 1:]
+    # Words by feature, so that a feature's gradient is one run of rows.
+    index = index[inside]
+    order = np.argsort(index, axis=None, kind="stable")
+    used, begin = np.unique(index.ravel()[order], return_index=True)
+    word = order // index.shape[1]
     weights = [np.zeros((len(names) + 1, k)), np.zeros((k, k))]
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     for n in range(1, rounds + 1):
         emit, move = weights
-        score = emit[index].sum(axis=2)
+        score = np.zeros((size, steps, k))
+        score[inside] = emit[index].sum(axis=1)
         ahead, behind = np.zeros_like(score), np.zeros_like(score)
         ahead[:, 0] = score[:, 0]
         for t in range(1, steps):
@@ -229,7 +235,7 @@ def trained(rounds: int = 100, rate: float = 0.2, decay: float = 1e-4) -> Crf:
         both = np.exp(ahead[:, :-1, :, None] + move + (score[:, 1:] + behind[:, 1:])[:, :, None] - total[:, None, None, None]) * pairs[..., None, None]
         miss = np.eye(k)[gold] * inside[..., None] - belief
         grads = [np.zeros_like(emit), -both.sum(axis=(0, 1)) / size]
-        np.add.at(grads[0], index, np.repeat(miss[:, :, None] / size, index.shape[2], axis=2))
+        grads[0][used] = np.add.reduceat(miss[inside][word] / size, begin, axis=0)
         np.add.at(grads[1], (gold[:, :-1][pairs], gold[:, 1:][pairs]), 1 / size)
         for w, g, a, b in zip(weights, grads, first, second, strict=True):
             g -= decay * w
