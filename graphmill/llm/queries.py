@@ -1,4 +1,4 @@
-"""The ten operators with production parameters over their whole tables, as the driver's queries, and their SQL."""
+"""The operators with production parameters over their whole tables, as the driver's queries, and their SQL."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphmill.llm import bpe, chat
+from graphmill.llm.collocations import mine_phrases
 from graphmill.llm.common import map_rows
 from graphmill.llm.embed_dedup import similar_vectors
 from graphmill.llm.exact_dedup import exact_dedup
@@ -109,6 +110,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mine_phrases(table(spark, sf_dir, "documents"), longest=3, least=10, share=50, top=2000)
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_embed_dedup": op2_embed_dedup,
@@ -120,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_pack": op9_pack,
     "op10_warc": op10_warc,
+    "op11_collocations": op11_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -169,4 +176,32 @@ ORACLE_SQL: dict[str, str] = {
         SELECT page_id, payload_bytes, payload_digest,
                CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to FROM f""",
+    "op11_collocations": r"""
+        WITH t AS (
+            SELECT row_number() OVER () AS i, coalesce(lang, 'und') AS lang,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        p AS (SELECT i, lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        k AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+        g AS (
+            SELECT lang, 1 AS k, w[i] AS phrase, count(*) AS f FROM k GROUP BY ALL
+            UNION ALL SELECT lang, 2, w[i] || ' ' || w[i + 1], count(*) FROM k WHERE i < len(w) GROUP BY ALL
+            UNION ALL SELECT lang, 3, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2], count(*) FROM k WHERE i + 1 < len(w) GROUP BY ALL),
+        c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE k > 1 AND f >= 10),
+        s AS (
+            SELECT c.*, j.j, x.f AS l, y.f AS r, CAST(1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+            FROM c, (VALUES (1), (2)) j(j), g x, g y
+            WHERE j.j < c.k AND x.lang = c.lang AND y.lang = c.lang AND x.k = j.j AND y.k = c.k - j.j
+              AND x.phrase = array_to_string(w[1:j.j], ' ') AND y.phrase = array_to_string(w[j.j + 1:], ' ')),
+        b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS cut FROM s),
+        o AS (
+            SELECT lang, phrase, max(f) AS over FROM (
+                SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a AS f FROM c WHERE k = 3
+                UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE k = 3) GROUP BY ALL),
+        n AS (SELECT lang, sum(f) AS n FROM g WHERE k = 1 GROUP BY lang),
+        r AS (
+            SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, score
+            FROM b LEFT JOIN o ON b.lang = o.lang AND b.phrase = o.phrase AND b.k = 2
+            WHERE cut = 1 AND (o.over IS NULL OR 100 * o.over < 50 * a))
+        SELECT r.lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM r JOIN n ON n.lang = r.lang WHERE rank <= 2000""",
 }
