@@ -19,6 +19,7 @@ from graphmill.llm.ngram_lm import score_texts
 from graphmill.llm.packing import pack
 from graphmill.llm.pii import KINDS, find_pii
 from graphmill.llm.simhash import simhash_dedup
+from graphmill.llm.turns import damage, repair_conversations, with_lost
 from graphmill.llm.warc import archived_pages
 
 
@@ -115,6 +116,11 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
+def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return with_lost(repair_conversations(damage(turns, parts=20)), turns)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_embed_dedup": op2_embed_dedup,
@@ -127,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pack": op9_pack,
     "op10_warc": op10_warc,
     "op11_collocations": op11_collocations,
+    "op12_turns": op12_turns,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -204,4 +211,63 @@ ORACLE_SQL: dict[str, str] = {
             FROM b LEFT JOIN o ON b.lang = o.lang AND b.phrase = o.phrase AND b.k = 2
             WHERE cut = 1 AND (o.over IS NULL OR 100 * o.over < 50 * a))
         SELECT r.lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM r JOIN n ON n.lang = r.lang WHERE rank <= 2000""",
+    "op12_turns": r"""
+        WITH RECURSIVE s AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   xor(list_reduce(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ord(x) AS BIGINT)),
+                       lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END), 4294967295::BIGINT), 4294967295) % 20 AS kind
+            FROM conversations),
+        d AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                   CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM s, range(CASE WHEN kind = 3 THEN 2 ELSE 1 END) WHERE kind <> 0),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+        f AS (
+            SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, left(role, 1) AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS two,
+                   CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                        WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault
+            FROM o),
+        c AS (
+            SELECT conv_id, n AS i, n, 0::BIGINT AS c0, 6::BIGINT AS c1, 3::BIGINT AS c2, 0::BIGINT AS c3, 0::BIGINT AS m, 0::BIGINT AS d0 FROM f GROUP BY conv_id, n
+            UNION ALL
+            SELECT conv_id, i - 1, n, least(b0, 3 + u), least(b1, 3 + u), u, least(b3, 3 + b2), m, 0 FROM (
+                SELECT *, least(b2, 3 + b3) AS u FROM (
+                    SELECT c.conv_id, c.i, c.n, CASE WHEN f.fault = 't' THEN 3 ELSE 0 END AS m,
+                           least(4 + c0, CASE WHEN f.fault IN ('b', 'd') THEN 1000000000 ELSE CASE WHEN r = 's' THEN least(c1, 3 + c2) WHEN r = 'u' THEN c2 ELSE 3 + c2 END + CASE WHEN f.fault = 't' THEN 3 ELSE 0 END END) AS b0,
+                           least(4 + c1, CASE WHEN f.fault IN ('b', 'd') THEN 1000000000 ELSE CASE WHEN r = 'u' THEN c2 ELSE 3 + c2 END + CASE WHEN f.fault = 't' THEN 3 ELSE 0 END END) AS b1,
+                           least(4 + c2, CASE WHEN f.fault IN ('b', 'd') THEN 1000000000 ELSE CASE WHEN r = 'a' THEN c3 ELSE 3 + c3 END + CASE WHEN f.fault = 't' THEN 3 ELSE 0 END END) AS b2,
+                           least(4 + c3, CASE WHEN f.fault IN ('b', 'd') THEN 1000000000 ELSE CASE WHEN r = 'u' THEN c2 ELSE 3 + c2 END + CASE WHEN f.fault = 't' THEN 3 ELSE 0 END END) AS b3
+                    FROM c JOIN f ON f.conv_id IS NOT DISTINCT FROM c.conv_id AND f.i = c.i))),
+        g AS (SELECT conv_id, i, n, [c0, c1, c2, c3] AS c FROM c),
+        w AS (
+            SELECT conv_id, 0::BIGINT AS i, n, 0 AS q, '' AS audit, []::VARCHAR[] AS said, false AS done FROM g WHERE i = 0
+            UNION ALL
+            SELECT conv_id, CASE WHEN e IN ('I', 'E') THEN i ELSE i + 1 END, n,
+                   CASE e WHEN 'D' THEN q WHEN 'E' THEN q WHEN 'K' THEN CASE r WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END ELSE x END,
+                   CASE WHEN e = 'E' THEN audit ELSE audit || e END,
+                   CASE e WHEN 'D' THEN said WHEN 'E' THEN said WHEN 'K' THEN list_append(said, role || ':' || text)
+                          WHEN 'I' THEN list_append(said, CASE x WHEN 2 THEN 'user:' ELSE 'assistant:' END) ELSE list_append(said, CASE x WHEN 2 THEN 'user:' ELSE 'assistant:' END || text) END, e = 'E'
+            FROM (
+                SELECT w.conv_id, w.i, w.n, w.q, w.audit, w.said, f.r, f.role, f.text, z.x,
+                       CASE WHEN w.i < w.n AND 4 + h.c[w.q + 1] = g.c[w.q + 1] THEN 'D'
+                            WHEN w.i = w.n AND w.q IN (0, 3) THEN 'E'
+                            WHEN 3 + g.c[z.x + 1] = g.c[w.q + 1] THEN 'I'
+                            WHEN (f.r = 's' AND w.q = 0 AND h.c[2] + CASE WHEN f.fault = 't' THEN 3 ELSE 0 END = g.c[w.q + 1])
+                              OR (f.r = CASE z.x WHEN 2 THEN 'u' ELSE 'a' END AND h.c[z.x + 1] + CASE WHEN f.fault = 't' THEN 3 ELSE 0 END = g.c[w.q + 1]) THEN 'K'
+                            ELSE 'R' END AS e
+                FROM w JOIN (VALUES (0, 2), (1, 2), (2, 3), (3, 2)) z(q, x) ON z.q = w.q
+                JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.i = w.i
+                LEFT JOIN g h ON h.conv_id IS NOT DISTINCT FROM w.conv_id AND h.i = w.i + 1
+                LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1
+                WHERE NOT w.done)),
+        t AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank,
+                   count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated, count(*) FILTER (WHERE i > 1 AND two NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM f GROUP BY conv_id)
+        SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+               coalesce(illegal, 0) AS illegal, coalesce(g.c[1], 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) a
+        LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM a.conv_id
+        LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM a.conv_id AND w.done
+        LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM a.conv_id AND g.i = 0""",
 }
