@@ -15,6 +15,7 @@ from graphmill.llm.common import map_rows
 from graphmill.llm.embed_dedup import similar_vectors
 from graphmill.llm.exact_dedup import exact_dedup
 from graphmill.llm.langid import identify
+from graphmill.llm.nearest import nearest
 from graphmill.llm.ngram_lm import score_texts
 from graphmill.llm.packing import pack
 from graphmill.llm.pii import KINDS, find_pii
@@ -121,6 +122,11 @@ def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_lost(repair_conversations(damage(turns, parts=20)), turns)
 
 
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0), keep=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_embed_dedup": op2_embed_dedup,
@@ -134,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
     "op11_collocations": op11_collocations,
     "op12_turns": op12_turns,
+    "op13_nearest": op13_nearest,
 }
 
 ORACLE_SQL: dict[str, str] = {
