@@ -21,7 +21,9 @@ from graphmill.llm.common import Scratch, arrow_schema, binary_slices, forget_fi
 from graphmill.llm.ngram_lm import packed, unpacked
 
 #: Tokens of a chunk; bytes of a text that are split at a time; parts that a language's candidates are ranked in at first.
-TOKENS, SLICE, PARTS = 1_000_000, 4 << 20, 64
+TOKENS, SLICE, PARTS = 1_000_000, 4 << 20, 16
+#: Bits of a local number, and of a chunk's number within its partition; a partition's number has the other 23.
+PLACES = 20
 #: What a table of a level has besides what its names are told apart by: a chunk's row has seq and echo, the others the rest.
 CHUNK = "chunk long, seq binary, echo int, local int, n long"
 #: Lower-cases A-Z; ends of pieces become line ends and tabs blanks.
@@ -50,7 +52,7 @@ def chunks_of(rows: DataFrame, longest: int) -> DataFrame:
     into = f"{CHUNK}, lang string, word string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        chunk = TaskContext.get().partitionId() << 24  # type: ignore[union-attr]
+        chunk = TaskContext.get().partitionId() << PLACES  # type: ignore[union-attr]
 
         def closed(seq: np.ndarray, echo: int, words: dict[str, dict[bytes, int]]) -> Iterator[dict]:
             yield {"chunk": [chunk], "seq": [packed(seq)], "echo": [echo], "local": [None], "n": [None], "lang": [None], "word": [None]}
@@ -91,11 +93,16 @@ def chunks_of(rows: DataFrame, longest: int) -> DataFrame:
 
 
 def named(pairs: DataFrame, keys: list[str], least: int, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
-    """A table of ids (from 1) and counts f of the keys that occur `least` times or more, and the ids as (chunk, local,
-    id) for the chunks that have them."""
-    kept = pairs.groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    kept = scratch.write(kept.withColumn("id", F.monotonically_increasing_id() + 1), name)
-    return kept, pairs.select("chunk", "local", *keys).join(kept.select("id", *keys), keys).select(F.col("chunk").alias("of"), F.col("local").alias("at"), "id")
+    """A table of ids and counts f of the keys that occur `least` times or more, and the ids as (of, at, id) for the chunks
+    and local numbers that have them. All chunks' rows of a key meet once, which counts it and names it by the least of
+    their places."""
+    together = Window.partitionBy(*keys)
+    place = F.shiftleft("chunk", PLACES) + F.col("local")
+    met = pairs.select("chunk", "local", *keys, F.sum("n").over(together).alias("f"), F.min(place).over(together).alias("id")).where(F.col("f") >= least)
+    own = F.col("id") == place
+    told = met.select(F.col("chunk").alias("of"), F.col("local").alias("at"), "id", *(F.when(own, F.col(c)).alias(c) for c in (*keys, "f")))
+    told = scratch.write(told, name)
+    return told.where(F.col("f").isNotNull()).select("id", *keys, "f"), told.select("of", "at", "id")
 
 
 def paired(seqs: DataFrame, told: DataFrame) -> DataFrame:
