@@ -18,6 +18,8 @@ from graphmill.llm.common import Scratch, arrow_schema, map_rows, settle
 
 #: Vectors of a list on average, rows of a block of a list, and queries that a block is scanned for at a time.
 LIST, BLOCK, TOGETHER = 1024, 4096, 256
+#: Rows after which a scan's bounds are brought up to date.
+STEP = 512
 #: Queries that are compared with everything, and the part of their neighbours that the lists to be read must hold.
 AUDITED, RECALL = 64, 0.98
 #: The sample that the lists' centres are fitted on: rows, bytes of doubles, and rounds. There are a sixteenth as many
@@ -84,34 +86,36 @@ def centres_of(sample: np.ndarray, k: int) -> np.ndarray:
 
 def scan(block: np.ndarray, queries: np.ndarray, far: np.ndarray, keep: int, columns: int = COLUMNS, width: float = WIDTH) -> tuple[np.ndarray, np.ndarray, int]:
     """Pairs (query, row) of rotated unit vectors that may be among each query's `keep` nearest of the block and within
-    far, its squared distance that counts, and how many numbers were compared. The first rows are compared in full, which
-    bounds far."""
+    far, its squared distance that counts, and how many numbers were compared. The first rows are compared in full, the
+    others STEP at a time, after each of which far is what the best so far allow."""
     n, dim = block.shape
-    head = min(n, max(4 * keep, 64))
-    near = np.maximum(2 - 2 * (queries @ block[:head].T), 0)
-    if head >= keep:
-        far = np.minimum(far, np.partition(near, keep - 1, axis=1)[:, keep - 1])
-    compared = near.size * dim
-    q, r = np.nonzero(near <= far[:, None] + CLOSE)
-    pairs = [(q, r)]
-    if head < n:
-        rest = block[head:]
-        to = min(columns, dim)
-        a, b = queries[:, :to], rest[:, :to]
+    best = np.full((len(queries), keep), np.inf)
+    pairs, compared, begin = [], 0, 0
+    while begin < n:
+        rows = block[begin : begin + (STEP if begin else max(4 * keep, 64))]
+        to = min(columns, dim) if begin else dim
+        a, b = queries[:, :to], rows[:, :to]
         part = np.einsum("ij,ij->i", a, a)[:, None] + np.einsum("ij,ij->i", b, b)[None, :] - 2 * (a @ b.T)
         compared += part.size * to
-        allowed = lambda t: far * (t / dim) * (1 + width / np.sqrt(t)) ** 2 if t < dim else far
-        q, r = np.nonzero(part <= allowed(to)[:, None] + CLOSE)
+        allowed = lambda t: (far if t == dim else far * (t / dim) * (1 + width / np.sqrt(t)) ** 2) + CLOSE  # noqa: E731, B023
+        q, r = np.nonzero(part <= allowed(to)[:, None])
         part = part[q, r]
         while to < dim and len(q):
             at, to = to, min(to + columns, dim)
-            gap = queries[q, at:to] - rest[r, at:to]
+            gap = queries[q, at:to] - rows[r, at:to]
             part += np.einsum("ij,ij->i", gap, gap)
             compared += gap.size
-            live = part <= allowed(to)[q] + CLOSE
+            live = part <= allowed(to)[q]
             q, r, part = q[live], r[live], part[live]
-        pairs.append((q, r + head))
-    return np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]), compared
+        found = np.full((len(queries), len(rows)), np.inf)
+        found[q, r] = np.maximum(part, 0)
+        best = np.partition(np.concatenate([best, found], axis=1), keep - 1, axis=1)[:, :keep]
+        far = np.minimum(far, best.max(axis=1))
+        pairs.append((q, r + begin, part))
+        begin += len(rows)
+    q, r, part = (np.concatenate([p[i] for p in pairs]) if pairs else np.zeros(0, np.int64) for i in range(3))
+    near = part <= far[q] + CLOSE
+    return q[near], r[near], compared
 
 
 def nearest(vectors: DataFrame, asked: DataFrame, keep: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL) -> DataFrame:
