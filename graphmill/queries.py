@@ -22,7 +22,7 @@ from graphmill.operators.pagerank import pagerank
 from graphmill.operators.resolve import module_paths, resolve_calls, resolve_imports
 from graphmill.plans import planner
 from graphmill.plans.graph import PropertyGraph, upsert_rows
-from graphmill.plans.pipeline import changed
+from graphmill.plans.pipeline import changed, index, reindex
 from graphmill.plans.sqltool import run_sql
 from graphmill.sources.files import page_links, parse_name_status
 from graphmill.sources.scratch import shared_root
@@ -735,6 +735,39 @@ def incremental_merge(spark: SparkSession, d: str) -> DataFrame:
     return after.groupBy((key % 5 == 0).alias("added"), (key % 3 == 0).alias("altered")).agg(F.count("*").alias("n"), F.countDistinct("content_hash").alias("hashes"))
 
 
+def modules_of(n: DataFrame, edited: bool) -> DataFrame:
+    """Documents as source files that define a function, call another and import a third; edited: with other calls, and
+    lines moved down in every third."""
+    key, text_length = F.col("doc_id").cast("string"), F.char_length(F.coalesce("text", F.lit("")))
+    called = text_length if edited else text_length + F.col("doc_id") % 3
+    moved = F.when(F.col("doc_id") % 3 == 1, "// moved\n").otherwise("") if edited else F.lit("")
+    after = F.col("doc_id") + 1
+    asked = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("f"), (after % 89).cast("string"))).otherwise("none")
+    content = F.concat(
+        moved, F.lit("import { "), asked, F.lit(" } from './"), after.cast("string"), F.lit("';\nexport function f"), (F.col("doc_id") % 89).cast("string"), F.lit("() {\n  f"), (called % 89).cast("string"), F.lit("();\n}\n"),
+    )
+    return n.select(F.concat(F.lit("/src/"), key, F.lit(".ts")).alias("path"), content.alias("content"), F.lit("typescript").alias("language"), F.sha2(content, 256).alias("content_hash"))
+
+
+@query("reindex_edges", """WITH v AS (
+        SELECT doc_id, '/src/' || doc_id || '.ts' AS path, 'f' || doc_id % 89 AS own, 'f' || length(coalesce(text, '')) % 89 AS called, CASE WHEN doc_id % 3 = 1 THEN 2 ELSE 1 END AS line,
+               '/src/' || (doc_id + 1) || '.ts' AS other, CASE WHEN doc_id % 2 = 0 THEN 'f' || (doc_id + 1) % 89 ELSE 'none' END AS asked
+        FROM documents WHERE doc_id % 11 <> 3),
+    s AS (SELECT *, path || '::function::' || own || '::' || line AS id FROM v),
+    n AS (SELECT own AS name, min(id) AS target, count(*) AS k FROM s GROUP BY own),
+    c AS (SELECT s.*, CASE WHEN called = own THEN id ELSE n.target END AS target, k FROM s JOIN n ON n.name = s.called)
+    SELECT path || '->contains->' || id AS id, path AS source, id AS target, 'contains' AS kind, 1.0::DOUBLE AS confidence, -1::INTEGER AS line FROM s
+    UNION ALL SELECT id || '->calls->' || target || '@' || (line + 2), id, target, 'calls', CASE WHEN k = 1 THEN 1.0 ELSE 0.7 END, line + 2 FROM c WHERE target <> id
+    UNION ALL SELECT s.path || '->imports->' || coalesce(t.id, 'external::./' || (s.doc_id + 1) || '::' || s.asked), s.path, coalesce(t.id, 'external::./' || (s.doc_id + 1) || '::' || s.asked), 'imports', 1.0, s.line
+        FROM s LEFT JOIN s t ON t.path = s.other AND t.own = s.asked""")
+def reindex_edges(spark: SparkSession, d: str) -> DataFrame:
+    n = docs(spark, d)
+    before = index(modules_of(n.where("doc_id % 5 <> 0"), False), "/src", "clean")
+    gone = n.where("doc_id % 11 = 3").select(F.concat(F.lit("/src/"), F.col("doc_id").cast("string"), F.lit(".ts")).alias("path"))
+    after = reindex(before, modules_of(n.where("doc_id % 11 <> 3"), True), gone, "/src", "clean")
+    return after.graph.edges.select("id", "source", "target", "kind", "confidence", F.coalesce("line", F.lit(-1)).alias("line"))
+
+
 @query("debounce_events", "SELECT user_id, event_type, epoch_us(ts) AS us FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS after FROM events) WHERE after IS NULL OR epoch_us(after) - epoch_us(ts) > 3600000000")
 def debounce_events(spark: SparkSession, d: str) -> DataFrame:
     found = debounce(table(spark, d, "events"), 3_600_000, "user_id", "ts", "event_type")

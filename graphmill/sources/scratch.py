@@ -30,3 +30,12 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
 def if_small(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
     """df marked for broadcast if its counted size allows, else as it is."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
+#: Rows of names or paths that a join may hold in memory: a row of up to a kilobyte takes at most BROADCAST_BYTES then.
+FEW = BROADCAST_BYTES >> 10
+
+
+def if_few(df: DataFrame, rows: int) -> DataFrame:
+    """df, of counted rows that hold paths or names, marked for broadcast if they are few, else as it is."""
+    return F.broadcast(df) if rows <= FEW else df
