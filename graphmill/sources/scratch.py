@@ -27,6 +27,15 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Deletes the files of tables that materialize wrote, once nothing reads them any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def if_small(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
     """df marked for broadcast if its counted size allows, else as it is."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

@@ -16,6 +16,7 @@ from graphmill.operators import traverse
 from graphmill.operators.pagerank import pagerank
 from graphmill.plans import graph as store
 from graphmill.plans.graph import PropertyGraph, Transaction, as_json, conform, load, save, tables_of
+from graphmill.sources.scratch import materialize
 
 
 def graph(spark, edges, nodes=None, kind="calls", **columns):
@@ -266,6 +267,28 @@ def test_local_moving_improves_modularity():
     assert modularity(weights, home) > max(0.3, modularity(weights, {v: v for v in names}))
 
 
+def test_parallel_moving_is_stable_and_as_good(spark):
+    """Blocks with a hub that all nodes of one block hang on, a self-loop, and nodes without ties."""
+    draw = random.Random(4)
+    names = [f"v{i:02}" for i in range(60)]
+    edges = [(f"e{a}{b}", a, b, draw.choice(["calls", "imports"]), draw.choice([0.5, 1.0])) for a, b in product(names, names) if a < b and draw.random() < (0.5 if int(a[1:]) // 15 == int(b[1:]) // 15 else 0.03)]
+    edges += [(f"h{i}", "v00", f"leaf{i}", "calls", 1.0) for i in range(40)] + [("self", "v01", "v01", "calls", 1.0)]
+    nodes = [(v, "function", v) for v in [*names, *(f"leaf{i}" for i in range(40)), "alone", "apart"]]
+    g = PropertyGraph.of(spark.createDataFrame(nodes, "id string, kind string, name string"), spark.createDataFrame(edges, "id string, source string, target string, kind string, confidence double"))
+    found = materialize(com.detect_communities(g))
+    home = {r["id"]: r["community_id"] for r in found.collect()}
+    assert sorted(home) == sorted(v for v, *_ in nodes) and len({home["alone"], home["apart"], home["v00"]}) == 3
+    mine, other = com.standing(g, found).first(), com.standing(g, com.sequential_communities(g)).first()
+    assert mine["gaining"] == 0 and mine["modularity"] >= 0.99 * other["modularity"] > 0.3
+    weights = {v: {} for v in home}
+    for r in com.undirected(g).collect():
+        weights[r["a"]][r["b"]] = r["weight"]
+    assert abs(modularity(weights, home) - mine["modularity"]) < 1e-9
+    none = PropertyGraph(g.nodes.limit(0), g.edges.limit(0))
+    assert com.detect_communities(none).count() == 0
+    assert com.detect_communities(PropertyGraph(g.nodes.limit(3), g.edges.limit(0))).count() == 3
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(0, 20)] + [("z", "y")], "a string, b string")
     nodes = spark.createDataFrame([(f"n{i:02}",) for i in range(21)] + [("y",), ("z",), ("alone",)], "id string")
