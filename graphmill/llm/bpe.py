@@ -166,11 +166,13 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 
 def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id, text) for every row: what the ids spell; bytes that are no UTF-8 become U+FFFD, null ids an empty text."""
+    """(id, text) for every row: what the ids spell; bytes that are no UTF-8 become U+FFFD, null arrays an empty text. Ids that
+    the vocabulary doesn't have, and nulls in an array, spell nothing. Repeated rows give rows of their own, an empty table
+    an empty result; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         code = codec(path)
         for batch in batches:
-            yield {"id": batch.column("id"), "text": [code.decode(x.as_py() or []) for x in batch.column("ids")]}
+            yield {"id": batch.column("id"), "text": [code.decode([i for i in x.as_py() or [] if i in code.bytes]) for x in batch.column("ids")]}
 
     return map_rows(rows.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids")), "id long, text string", run).withColumnRenamed("id", id_col)

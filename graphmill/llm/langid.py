@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphmill.llm.common import fresh, if_small, map_rows, pieces_of
@@ -17,6 +17,8 @@ from graphmill.llm.common import fresh, if_small, map_rows, pieces_of
 WINDOW, WIDTHS, FILTERS = 512, (2, 3, 4), 8
 #: Labelled texts that training draws for each language, and of all languages together, at most; one of each at least.
 PER_LANGUAGE, WINDOWS = 600, 300_000
+#: Labels that are learned at most.
+LANGUAGES = 10_000
 #: Positions that are convolved at a time, so that the activations stay in the processor's cache.
 BLOCK = 1 << 14
 UNDETERMINED = "und"
@@ -147,10 +149,12 @@ def held_out(id_col: str, folds: int) -> Column:
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> ByteConv | None:
     """A network for all languages of docs, from one window each of a bounded sample: of every language as many distinct
-    texts, up to PER_LANGUAGE, as come first by a hash. None if no row is labelled."""
+    texts, up to PER_LANGUAGE, as come first by a hash; WINDOWS in all. Of more than LANGUAGES labels the most frequent are
+    learned, ties by name. None if no row is labelled."""
     labelled = docs.where(F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     place = F.pmod(F.xxhash64("text", F.lit(2)), F.lit(1 << 40))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct(place).alias("n")).collect()}
+    known = labelled.groupBy("lang").agg(F.approx_count_distinct(place).alias("n"), F.count("*").alias("rows"))
+    counts = {r["lang"]: r["n"] for r in known.orderBy(F.desc("rows"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return None
     each = max(1, min(PER_LANGUAGE, WINDOWS // len(counts)))
@@ -161,9 +165,10 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Byte
     begin = F.pmod(F.xxhash64("text", F.lit(1)), spare + 1).cast("int") + 1
     drawn = labelled.join(bounds, "lang").where(place < F.col("bound")).select("lang", place.alias("h"), F.substring(data, begin, F.lit(WINDOW)).alias("window"))
     kept: dict[str, list[bytes]] = {k: [] for k in sorted(counts)}
-    for r in sorted(drawn.distinct().collect(), key=lambda r: (r["lang"], r["h"], bytes(r["window"]))):
-        if len(kept[r["lang"]]) < each:
-            kept[r["lang"]].append(bytes(r["window"]))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "window"))
+    first = drawn.distinct().withColumn("rank", rank).where(F.col("rank") <= each)
+    for r in sorted(first.collect(), key=lambda r: (r["lang"], r["h"], bytes(r["window"]))):
+        kept[r["lang"]].append(bytes(r["window"]))
     names = [k for k in kept if kept[k]]
     return train([w for k in names for w in kept[k]], np.repeat(np.arange(len(names)), [len(kept[k]) for k in names]), names)
 

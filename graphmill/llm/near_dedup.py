@@ -27,8 +27,8 @@ TIMES, PLUS = DRAWN[0] | np.uint32(1), DRAWN[1]
 #: Standard deviations by which a sketch's estimate may be too low.
 SLACK = 4.5
 #: Shingles of a cell that one task compares, and that a task takes on average; larger cells are dealt anew by their
-#: sketches up to LEVELS times, and what is still larger by pairs of blocks. Failed pairs that a task remembers.
-SHINGLES, LEVELS, FAILED = 1 << 20, 3, 1 << 20
+#: sketches up to LEVELS times, and what is still larger by pairs of blocks.
+SHINGLES, LEVELS = 1 << 20, 3
 
 
 def shingle_set(data: bytes, width: int = 5) -> np.ndarray:
@@ -105,19 +105,44 @@ def shingled(rows: DataFrame, width: int) -> DataFrame:
     return map_rows(rows, "fp long, held array<long>", run)
 
 
-def alike(sketch: np.ndarray, size: np.ndarray, comp: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i, j) of a cell's rows, of different components, whose estimate may reach `least`, and how many bytes of
-    their sketches agree."""
+def alike(sketch: np.ndarray, size: np.ndarray, comp: np.ndarray, least: float) -> np.ndarray:
+    """Which of a cell's rows have a partner of another component whose estimate may reach `least`."""
     low = MINIMA * (least - SLACK * sqrt(least * (1 - least) / MINIMA))
-    found = [(np.zeros(0, int),) * 3]
+    keep = np.zeros(len(sketch), bool)
     for i in range(len(sketch) - 1):
-        near = np.count_nonzero(sketch[i + 1 :] == sketch[i], axis=1)
         a, b = np.minimum(size[i + 1 :], size[i]), np.maximum(size[i + 1 :], size[i])
-        j = np.flatnonzero((near >= low) & (comp[i + 1 :] != comp[i]) & (a >= least * b))
-        if len(j):
-            found.append((np.full(len(j), i), j + i + 1, near[j]))
-    i, j, near = (np.concatenate(x) for x in zip(*found, strict=True))
-    return i, j, near
+        j = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & (a >= least * b))
+        j = j[np.count_nonzero(sketch[j] == sketch[i], axis=1) >= low]
+        keep[j] = True
+        keep[i] |= len(j) > 0
+    return keep
+
+
+def spanned(size: np.ndarray, comp: np.ndarray, bounds: np.ndarray, flat: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs of a cell's rows of similarity `least` or more that join all components which such pairs join. flat: the rows'
+    sets one after another, each row's from its bound to the next.
+
+    The rows that have each shingle are listed; adding up a row's lists gives what it shares with every other, exactly. So a
+    row costs what its lists hold, and no pair is held on to."""
+    rows = np.repeat(np.arange(len(size), dtype=np.int32), np.diff(bounds))
+    _, which, often = np.unique(flat, return_inverse=True, return_counts=True)
+    order = np.argsort(which, kind="stable")
+    lists, begin = rows[order], np.r_[0, np.cumsum(often)]
+    label = np.unique(comp, return_inverse=True)[1]
+    links = []
+    for x in range(len(size)):
+        if (label == label[x]).all():
+            break
+        mine = which[bounds[x] : bounds[x + 1]]
+        parts = [lists[begin[s] : begin[s + 1]] for s in mine[often[mine] > 1].tolist()]
+        if not parts:
+            continue
+        shared = np.bincount(np.concatenate(parts), minlength=len(size))[x + 1 :]
+        near = x + 1 + np.flatnonzero(shared >= least * (size[x] + size[x + 1 :] - shared))
+        while len(near := near[label[near] != label[x]]):
+            links.append((x, int(near[0])))
+            label[label == label[near[0]]] = label[x]
+    return links
 
 
 def cells_in(group: pa.Table) -> tuple[pa.Table, np.ndarray, Iterator[tuple[int, int]]]:
@@ -136,8 +161,7 @@ def with_partners(rows: DataFrame, least: float) -> DataFrame:
         size, comp = group.column("size").to_numpy(), group.column("comp").to_numpy()
         keep = np.zeros(len(group), bool)
         for at, end in cells:
-            i, j, _ = alike(sketch[at:end], size[at:end], comp[at:end], least)
-            keep[at + i] = keep[at + j] = True
+            keep[at:end] = alike(sketch[at:end], size[at:end], comp[at:end], least)
         out = group.filter(pa.array(keep)).drop_columns(["task"])
         settle()
         return out
@@ -147,16 +171,15 @@ def with_partners(rows: DataFrame, least: float) -> DataFrame:
 
 def joining(rows: DataFrame, least: float) -> DataFrame:
     """Links (a, b) of similarity `least` or more that join all components which pairs within cells of the rows (cell,
-    fp, size, comp, sketch, held) join. A pair's sets are compared only if nothing has joined its components before."""
+    fp, size, comp, sketch, held) join, see spanned."""
 
     def run(group: pa.Table) -> pa.Table:
-        group, sketch, cells = cells_in(group)
+        group, _, cells = cells_in(group)
         fp, size, comp = (group.column(c).to_numpy() for c in ("fp", "size", "comp"))
         held = group.column("held").combine_chunks()
         bounds, flat = held.offsets.to_numpy(), held.values.to_numpy()
-        root: dict[int, int] = {}
-        failed: set[tuple[int, int]] = set()
         links: list[tuple[int, int]] = []
+        root: dict[int, int] = {}
 
         def top(x: int) -> int:
             while (up := root.get(x, x)) != x:
@@ -164,19 +187,13 @@ def joining(rows: DataFrame, least: float) -> DataFrame:
             return x
 
         for at, end in cells:
-            i, j, near = alike(sketch[at:end], size[at:end], comp[at:end], least)
-            for k in np.argsort(-near, kind="stable").tolist():
-                x, y = at + int(i[k]), at + int(j[k])
-                a, b = top(int(comp[x])), top(int(comp[y]))
-                pair = (int(fp[x]), int(fp[y]))
-                if a == b or pair in failed:
-                    continue
-                shared = len(np.intersect1d(flat[bounds[x] : bounds[x + 1]], flat[bounds[y] : bounds[y + 1]], assume_unique=True))
-                if shared >= least * (size[x] + size[y] - shared):
-                    links.append(pair)
+            own = bounds[at : end + 1]
+            found = spanned(size[at:end], comp[at:end], own - own[0], flat[own[0] : own[-1]], least)
+            for i, j in found:
+                a, b = top(int(comp[at + i])), top(int(comp[at + j]))
+                if a != b:
                     root[max(a, b)] = min(a, b)
-                elif len(failed) < FAILED:
-                    failed.add(pair)
+                    links.append((int(fp[at + i]), int(fp[at + j])))
         settle()
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 

@@ -96,3 +96,36 @@ def test_whole_pipeline(spark, sample):
         return out + text[end:]
 
     check_pieces(rows, [(i, mask(t)) for i, t in kept.items()])
+
+
+@pytest.mark.parametrize(("least", "links"), [(0.8, 0), (0.7, 1499)])
+def test_families_below_the_threshold(least, links):
+    """1500 sets of 48 that share 40, a similarity of 0.71: no pair is held on to, and pairs that reach the threshold join all."""
+    import numpy as np
+
+    sets = [np.r_[np.arange(40), 1000 + 8 * i + np.arange(8)] for i in range(1500)]
+    bounds, flat = np.arange(1501) * 48, np.concatenate(sets)
+    found = near_dedup.spanned(np.full(1500, 48), np.arange(1500), bounds, flat, least)
+    assert len(found) == links and len(set(roots(range(1500), found).values())) == 1500 - links
+
+
+def test_spanned_against_brute_force():
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    for _ in range(30):
+        sets = [np.unique(draw.integers(0, 12, draw.integers(0, 9))) for _ in range(25)]
+        comp = draw.integers(0, 25, 25)
+        bounds = np.r_[0, np.cumsum([len(s) for s in sets])]
+        found = near_dedup.spanned(np.diff(bounds), comp, bounds, np.concatenate(sets), 0.6)
+        same = [(i, j) for i in range(25) for j in range(i) if comp[i] == comp[j]]
+        like = lambda a, b: len(a) and len(b) and len(np.intersect1d(a, b)) >= 0.6 * len(np.union1d(a, b))
+        assert roots(range(25), found + same) == roots(range(25), same + [(i, j) for i in range(25) for j in range(i) if like(sets[i], sets[j])])
+
+
+def test_languages_are_filled_in(spark):
+    draw = random.Random(5)
+    words = {"en": "the of and to in that is was he for it with as his on be at by had not".split(), "fr": "le la les des est une dans que pour qui sur pas avec tout mais nous vous elle".split()}
+    rows = [(i, " ".join(draw.choices(words[lang], k=60)), lang if i > 9 else None, "a", 1) for i in range(400) for lang in [("fr", "en")[i % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {(r["doc_id"] % 2, r["lang"]) for r in run_stage(spark, docs, "language_id").collect()} == {(1, "en"), (0, "fr")}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 from itertools import product
@@ -524,3 +525,22 @@ def test_warc_edges(spark):
     assert warc.archived_pages(df.limit(0)).count() == 0
     rows = df.where("page_id = 10").selectExpr("page_id", "html")
     assert warc.archived_pages(rows).first()["payload_bytes"] == len(LONG)
+
+
+def test_unknown_ids_spell_nothing(spark):
+    rows = spark.createDataFrame([(1, [15496, None, 99_999_999, -1, 995]), (2, None), (2, []), (None, [0])], "doc_id long, ids array<int>")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert sorted((str(r["doc_id"]), r["text"]) for r in bpe.decode(rows.where("doc_id = 2 or doc_id is null"), path).collect()) == [("2", ""), ("2", ""), ("None", "!")]
+    assert {r["doc_id"]: r["text"] for r in bpe.decode(rows.where("doc_id = 1"), path).collect()}[1] == bpe.codec(path).decode([15496, 995])
+    assert bpe.decode(rows.limit(0), path).count() == 0
+
+
+def test_long_runs_of_digits_are_read_once():
+    import time
+
+    began = time.process_time()
+    assert pii.base_spans("7" * 1_000_000) == [] and pii.base_spans("1." * 400_000 + "x")[0][0] == "ip"
+    assert time.process_time() - began < 5
+    for text in ("10.0.0.1", "9910.0.0.1", "1.2.3.4.5.6.7.8", "300.1.1.1.9", "a12.3.4.5b"):
+        want = [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+        assert [s for s in pii.base_spans(text) if s[0] == "ip"] == want
