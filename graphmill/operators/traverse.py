@@ -166,13 +166,21 @@ def flow_lines(found: DataFrame, nodes: DataFrame) -> DataFrame:
     return named.withColumn("text", F.concat(indent, "name", F.lit(" ("), "kind", F.lit(")"))).orderBy("seq")
 
 
-def rename_preview(graph: PropertyGraph, node_id: str, new_name: str) -> DataFrame:
-    """One row: how many edges refer to the node, the files that a rename touches, and other nodes named new_name."""
+def rename_parts(graph: PropertyGraph, node_id: str, new_name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a rename of the node touches, as tables of any length: the edges that refer to it (id), the files (file_path),
+    and other nodes named new_name (id)."""
     own = graph.node(node_id).select("file_path")
     refs = graph.edges.where(F.col("target") == node_id).join(graph.nodes.select(F.col("id").alias("source"), F.col("file_path").alias("path")), "source")
-    files = refs.select(F.col("path").alias("file_path")).unionByName(own).agg(F.array_sort(F.collect_set("file_path")).alias("affected_files"))
-    clash = graph.nodes.where((F.col("name") == new_name) & (F.col("id") != node_id)).agg(F.array_sort(F.collect_list("id")).alias("conflicts"))
-    return refs.agg(F.count("*").alias("references")).crossJoin(files).crossJoin(clash)
+    clash = graph.nodes.where((F.col("name") == new_name) & (F.col("id") != node_id)).select("id")
+    return refs.select("id"), refs.select(F.col("path").alias("file_path")).unionByName(own).where("file_path is not null").distinct(), clash
+
+
+def rename_preview(graph: PropertyGraph, node_id: str, new_name: str) -> DataFrame:
+    """One row: how many edges refer to the node, the files that a rename touches, and other nodes named new_name. For a node
+    with more of them than a row should hold see rename_parts."""
+    refs, files, clash = rename_parts(graph, node_id, new_name)
+    row = refs.agg(F.count("*").alias("references")).crossJoin(files.agg(F.array_sort(F.collect_set("file_path")).alias("affected_files")))
+    return row.crossJoin(clash.agg(F.array_sort(F.collect_list("id")).alias("conflicts")))
 
 
 def first_process(processes: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -45,28 +45,43 @@ def seq(items: Any) -> list[Any]:
     return [items.apply(i) for i in range(items.size())]
 
 
-def walk(node: Any) -> Iterator[Any]:
-    """A parsed plan's nodes and expressions, those of subqueries and common tables included."""
-    yield node
-    below = seq(node.children())
-    for part in ("expressions", "innerChildren"):
-        if hasattr(node.getClass(), "getName") and any(m.getName() == part for m in node.getClass().getMethods()):
-            below += seq(getattr(node, part)())
-    if node.getClass().getSimpleName() in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"):
-        below.append(node.plan())
-    for x in below:
-        yield from walk(x)
+def below(node: Any) -> list[Any]:
+    """A parsed plan's or expression's parts, those of subqueries included; common tables are left to their scope."""
+    out = seq(node.children())
+    names = {m.getName() for m in node.getClass().getMethods()}
+    out += seq(node.expressions()) if "expressions" in names else []
+    kind = node.getClass().getSimpleName()
+    if "innerChildren" in names and kind != "UnresolvedWith":
+        out += seq(node.innerChildren())
+    if kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"):
+        out.append(node.plan())
+    return out
+
+
+def walk(node: Any, own: frozenset[str] = frozenset()) -> Iterator[tuple[Any, frozenset[str]]]:
+    """A parsed plan's nodes and expressions, each with the common tables that it can see. A WITH's tables are seen by those
+    after them and by its own query, and nowhere else; a recursive one also sees itself."""
+    yield node, own
+    if node.getClass().getSimpleName() == "UnresolvedWith":
+        recursive = any(m.getName() == "allowRecursion" for m in node.getClass().getMethods()) and node.allowRecursion()
+        seen = own
+        for named in seq(node.cteRelations()):
+            name = named._1().lower()
+            yield from walk(named._2(), seen | {name} if recursive else seen)
+            seen |= {name}
+        yield from walk(node.child(), seen)
+        return
+    for part in below(node):
+        yield from walk(part, own)
 
 
 def check_plan(spark: SparkSession, statement: str, tables: set[str]) -> str:
-    """Raises unless the statement is a query of `tables`, by their plain names, and its own common tables, with nothing
-    but FUNCTIONS. Gives the name of the plan's root."""
+    """Raises unless the statement is a query of `tables`, by their plain names, and of common tables where these are seen,
+    with nothing but FUNCTIONS. Gives the name of the plan's root."""
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
-    nodes = list(walk(plan))
-    kinds = [n.getClass().getSimpleName() for n in nodes]
-    own = {r._1().lower() for n, k in zip(nodes, kinds, strict=True) if k == "UnresolvedWith" for r in seq(n.cteRelations())}
     logical = plan.getClass().getClassLoader().loadClass("org.apache.spark.sql.catalyst.plans.logical.LogicalPlan")
-    for n, kind in zip(nodes, kinds, strict=True):
+    for n, own in walk(plan):
+        kind = n.getClass().getSimpleName()
         if logical.isInstance(n) and kind not in PLANS:
             raise UnsafeQuery(f"only queries are allowed, not {kind}")
         if kind == "UnresolvedRelation":
@@ -77,7 +92,7 @@ def check_plan(spark: SparkSession, statement: str, tables: set[str]) -> str:
             parts = seq(n.nameParts() if kind == "UnresolvedFunction" else n.name()) if kind != "UnresolvedGenerator" else [n.name().funcName()]
             if len(parts) != 1 or parts[0].lower() not in FUNCTIONS:
                 raise UnsafeQuery(f"function {'.'.join(parts)} is not allowed")
-    return kinds[0]
+    return plan.getClass().getSimpleName()
 
 
 #: search('words'), neighbors('id', depth) and impact('id', depth) as tables in a FROM clause.
@@ -96,13 +111,39 @@ def call(graph: PropertyGraph, m: re.Match) -> DataFrame:
     return traverse.impact(graph, said, number or 5).select(*columns, "impact_score")
 
 
+def quoted(text: str) -> str:
+    """A string literal of exactly this text, whatever it holds."""
+    return "'" + "".join(c if c not in "\\'" else f"\\{c}" for c in text) + "'"
+
+
 def glob(pattern: str, text: str) -> str:
-    """A condition for a literal glob pattern."""
+    """A condition for a literal glob pattern: * and ?, and sets in brackets, of which a leading ^ takes the complement."""
     if not re.fullmatch(r"'(?:[^']|'')*'", pattern):
         raise UnsafeQuery("glob needs a literal pattern")
-    parts = re.findall(r"\[[^\]]*\]|.", pattern[1:-1].replace("''", "'"), re.DOTALL)
-    said = "".join({"*": ".*", "?": "."}.get(p, p.replace("[^", "[^") if len(p) > 1 else re.escape(p)) for p in parts)
-    return f"({text} RLIKE r'(?s)\\A{said}\\z')" if "'" not in said else f"({text} = '')"
+
+    def part(p: str) -> str:
+        if len(p) == 1:
+            return {"*": ".*", "?": "."}.get(p, re.escape(p))
+        inner = p[2:-1] if p[1] == "^" else p[1:-1]
+        return f"[{'^' if p[1] == '^' else ''}{re.sub(r'([^A-Za-z0-9 -])', lambda m: chr(92) + m[1], inner)}]"
+
+    parts = re.findall(r"\[\^?\]?[^\]]*\]|.", pattern[1:-1].replace("''", "'"), re.DOTALL)
+    return f"({text} RLIKE {quoted('(?s)' + chr(92) + 'A' + ''.join(map(part, parts)) + chr(92) + 'z')})"
+
+
+def extreme(name: str, *x: str) -> str:
+    """The least or greatest of several arguments, null if any is; of one, the aggregate."""
+    if len(x) == 1:
+        return f"{name}({x[0]})"
+    return f"(CASE WHEN {' OR '.join(f'({y}) IS NULL' for y in x)} THEN NULL ELSE {'least' if name == 'min' else 'greatest'}({', '.join(x)}) END)"
+
+
+def infix_glob(before: str, pattern: str) -> str:
+    """What stands before GLOB with its left side, a column or a call, put into a condition."""
+    m = re.search(r"((?:[A-Za-z_]\w*\.)?(?:[A-Za-z_]\w*|\"[^\"]*\"|`[^`]*`)(?:\([^()]*\))?)\s*(\bnot\s+)?\Z", before, re.IGNORECASE)
+    if not m or m[1].lower() == "not":
+        raise UnsafeQuery("GLOB needs a column or a call on its left; use glob(pattern, text)")
+    return f"{before[: m.start()]}{'NOT ' if m[2] else ''}{glob(pattern, m[1])}"
 
 
 def time_format(said: str, when: str = "now()") -> str:
@@ -132,8 +173,8 @@ DIALECT: dict[str, Callable[..., str]] = {
     "unixepoch": lambda t="now()": f"unix_timestamp(CAST({t} AS timestamp))",
     "strftime": time_format,
     "datetime": lambda t="now()": f"date_format(CAST({t} AS timestamp), 'yyyy-MM-dd HH:mm:ss')",
-    "min": lambda *x: f"least({', '.join(x)})" if len(x) > 1 else f"min({x[0]})",
-    "max": lambda *x: f"greatest({', '.join(x)})" if len(x) > 1 else f"max({x[0]})",
+    "min": lambda *x: extreme("min", *x),
+    "max": lambda *x: extreme("max", *x),
 }
 TOKEN = re.compile(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|/\*.*?\*/|[A-Za-z_]\w*|.", re.DOTALL)
 
@@ -142,6 +183,14 @@ def translated(statement: str) -> str:
     """The statement with calls of DIALECT's functions written as this engine has them."""
     tokens, at = TOKEN.findall(statement), 0
 
+    def literal() -> str:
+        """The next token but blanks."""
+        nonlocal at
+        while at < len(tokens) and not tokens[at].strip():
+            at += 1
+        at += 1
+        return tokens[at - 1] if at <= len(tokens) else ""
+
     def until(end: str | None) -> tuple[str, list[str]]:
         nonlocal at
         out, args = "", []
@@ -157,6 +206,11 @@ def translated(statement: str) -> str:
                 at += 1
                 inner = until(")")[1]
                 out += DIALECT[t.lower()](*inner)
+            elif t.lower() == "like":
+                # The embedded dialect's LIKE is blind to ASCII case.
+                out += "ilike"
+            elif t.lower() == "glob":
+                out = infix_glob(out, literal())
             elif t == "(":
                 out += "(" + ", ".join(until(")")[1]) + ")"
             else:

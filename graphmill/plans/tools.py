@@ -141,6 +141,14 @@ def _json(value: Any) -> ToolResult:
     return ToolResult.of(json.dumps(value, ensure_ascii=False, default=str, indent=2))
 
 
+def _listed(rows: list[dict[str, Any]], df: DataFrame, head: str | None = None) -> ToolResult:
+    """A list, after a line of how many of how many there are if it isn't whole, or after head if it is."""
+    more = _told(rows, df)
+    cut = more and more["total"] > more["shown"]
+    said = f"Shown: the first {more['shown']} of {more['total']} rows" if cut else head
+    return ToolResult.of(*([said] if said else []), _json(rows).text)
+
+
 def _schema(required: tuple[str, ...] = (), **properties: str | dict[str, Any]) -> dict[str, Any]:
     return {"type": "object", "required": list(required), "properties": {k: {"type": v} if isinstance(v, str) else v for k, v in properties.items()}}
 
@@ -166,7 +174,7 @@ def query_tool(args: dict[str, Any], context: Context) -> ToolResult:
     limit = int(args.get("limit") or 20)
     found = planner.query(context.graph, args["query"], limit, args.get("kind"), args.get("filePath"), index=context.index)
     rows = _rows(found.select("name", "kind", F.col("file_path").alias("file"), _lines().alias("lines"), "signature", F.round("score", 3).alias("score"), "exported"))
-    return _json([{"rank": i, **r} for i, r in enumerate(rows, 1)]) if rows else ToolResult.of("No results found")
+    return _listed([{"rank": i, **r} for i, r in enumerate(rows, 1)], found) if rows else ToolResult.of("No results found")
 
 
 def context_tool(args: dict[str, Any], context: Context) -> ToolResult:
@@ -210,14 +218,13 @@ def rename_tool(args: dict[str, Any], context: Context) -> ToolResult:
     node, other = _pick(args, context, several=True)
     if node is None:
         return other  # type: ignore[return-value]
-    preview = _rows(traverse.rename_preview(context.graph, node, args["newName"]))[0]
+    references, files, clashes = (materialize(t, "rename") for t in traverse.rename_parts(context.graph, node, args["newName"]))
     details = _rows(context.graph.edges_to(node).select("source", "kind", "file_path", "line").orderBy("id").limit(100))
-    clash = preview["conflicts"][:MOST] or None
-    files = preview["affected_files"]
+    conflicts, clash = clashes.count(), [r["id"] for r in _rows(clashes.orderBy("id"))] or None
     return _json({
-        "symbol": _rows(context.graph.node(node).select("id", "name", "kind", "file_path"))[0], "references": preview["references"], "affectedFiles": files[:MOST], "affectedFileCount": len(files), "referenceDetails": details,
-        "referenceDetailsShown": len(details),
-        "conflicts": clash, "warning": f"{len(clash)} symbol(s) are already named {args['newName']}" if clash else None,
+        "symbol": _rows(context.graph.node(node).select("id", "name", "kind", "file_path"))[0], "references": references.count(), "affectedFiles": [r["file_path"] for r in _rows(files.orderBy("file_path"))], "affectedFileCount": files.count(),
+        "referenceDetails": details, "referenceDetailsShown": len(details),
+        "conflicts": clash, "conflictCount": conflicts, "warning": f"{conflicts} symbol(s) are already named {args['newName']}" if clash else None,
     })
 
 
@@ -225,13 +232,15 @@ def detect_changes_tool(args: dict[str, Any], context: Context) -> ToolResult:
     since = args.get("since") or "HEAD~1"
     changes = git_changes(context.spark, context.root, since)
     full = changes.withColumn("file_path", F.concat(F.lit(context.root.rstrip("/") + "/"), "file_path"))
-    rows = _rows(changed_symbols(context.graph, full))
+    found = materialize(changed_symbols(context.graph, full), "changes")
+    rows = _rows(found.orderBy("file"))
     impact = None
     if args.get("includeImpact"):
-        found = materialize(traverse.change_impact(context.graph, full), "impact")
-        files = [r["file_path"] for r in _rows(found.orderBy("file_path"))]
-        impact = {"totalFilesImpacted": found.count(), "files": files}
-    return _json({"since": since, "changes": rows, "impact": impact})
+        hit = materialize(traverse.change_impact(context.graph, full), "impact")
+        files = [r["file_path"] for r in _rows(hit.orderBy("file_path"))]
+        impact = {"totalFilesImpacted": hit.count(), "files": files}
+    more = _told(rows, found)
+    return _json({"since": since, "changes": rows, **({"changesShown": more["shown"], "changesTotal": more["total"]} if more else {}), "impact": impact})
 
 
 def changed_symbols(graph: PropertyGraph, changes: DataFrame) -> DataFrame:
@@ -242,8 +251,9 @@ def changed_symbols(graph: PropertyGraph, changes: DataFrame) -> DataFrame:
 
 
 def sql_tool(args: dict[str, Any], context: Context) -> ToolResult:
-    rows = _rows(run_sql(context.graph, args["query"], int(args.get("limit") or 100), communities=context.communities, processes=context.processes))
-    return ToolResult.of(f"Query returned {len(rows)} rows", _json(rows).text)
+    found = run_sql(context.graph, args["query"], int(args.get("limit") or 100), communities=context.communities, processes=context.processes)
+    rows = _rows(found)
+    return _listed(rows, found, f"Query returned {len(rows)} rows")
 
 
 def builtin() -> Registry:

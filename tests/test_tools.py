@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from graphmill import schema
@@ -117,6 +118,8 @@ def test_driver_entry(spark):
     "SELECT count(*) FROM text.`/etc/passwd`", "SELECT * FROM parquet.`/tmp/x`", "SELECT * FROM default.nodes", "SELECT * FROM secrets", "SELECT input_file_name() FROM nodes", "SELECT id FROM nodes WHERE id = (SELECT reflect('a', 'b'))",
     "WITH x AS (SELECT version() AS v) SELECT * FROM x", "SELECT transform(array(1), x -> java_method('a', 'b', x))", "SET spark.x = 1", "SHOW TABLES", "DESCRIBE nodes", "INSERT INTO nodes SELECT * FROM nodes",
     "SELECT TRANSFORM(id) USING 'cat' FROM nodes", "SELECT 1) UNION (SELECT reflect('a', 'b')", "SELECT * FROM read_files('/etc')", "EXPLAIN SELECT 1", "CACHE TABLE x AS SELECT 1", "SELECT id FROM nodes ORDER BY (SELECT reflect('a', 'b'))",
+    "SELECT t.id FROM (WITH secrets AS (SELECT 1 AS x) SELECT x FROM secrets) u, secrets t", "WITH a AS (SELECT * FROM b), b AS (SELECT 1 AS x) SELECT * FROM a", "WITH a AS (SELECT * FROM a) SELECT * FROM a",
+    "SELECT (WITH secrets AS (SELECT 1 AS x) SELECT max(x) FROM secrets) FROM secrets", "WITH RECURSIVE a(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM secrets) SELECT * FROM a", "SELECT * FROM nodes WHERE id IN (SELECT id FROM secrets)",
     "SELECT raise_error('x')", "SELECT * FROM nodes JOIN LATERAL (SELECT reflect('a', 'b'))", "SELECT current_user()",
 ])
 def test_sql_reads_nothing_but_the_graph(context, statement):
@@ -126,6 +129,33 @@ def test_sql_reads_nothing_but_the_graph(context, statement):
         run_sql(context.graph, statement)
 
 
+@pytest.mark.parametrize(("statement", "want"), [
+    ("WITH RECURSIVE a(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM a WHERE n < 4) SELECT count(*) AS x FROM a", 4), ("WITH nodes AS (SELECT 7 AS x) SELECT x FROM nodes", 7),
+    ("WITH a AS (SELECT 1 AS x), b AS (SELECT x + 1 AS x FROM a) SELECT x FROM b", 2), ("WITH a AS (WITH b AS (SELECT 5 AS x) SELECT x FROM b), b AS (SELECT 6 AS x) SELECT a.x + b.x AS x FROM a, b", 11),
+    ("WITH a AS (SELECT 1 AS x) SELECT x FROM (WITH a AS (SELECT 2 AS x) SELECT x FROM a)", 2), ("WITH a AS (SELECT 3 AS x) SELECT (SELECT max(x) FROM a) AS x", 3),
+])
+def test_common_tables_are_seen_in_their_scope(context, statement, want):
+    assert run_sql(context.graph, statement).first()["x"] == want
+
+
+def test_cut_lists_are_told(spark, context, monkeypatch):
+    from graphmill.plans import tools as t
+
+    registry = t.builtin()
+    monkeypatch.setattr(t, "MOST", 2)
+    texts = lambda name, **args: [c["text"] for c in registry.execute(name, args, context).content]
+    assert texts("sql", query="SELECT id FROM nodes", limit=3)[0] == "Shown: the first 2 of 3 rows"
+    assert texts("sql", query="SELECT id FROM nodes LIMIT 2")[0] == "Query returned 2 rows"
+    many = spark.range(5).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("id"), F.lit("function").alias("kind"), F.lit("same").alias("name"), F.concat(F.lit("/m"), F.col("id").cast("string")).alias("file_path"))
+    g = context.graph.upsert_nodes(many).upsert_edges(many.select(F.concat("id", F.lit("->x")).alias("id"), F.col("id").alias("source"), F.lit("alpha").alias("target"), F.lit("calls").alias("kind")))
+    shown = json.loads(registry.execute("rename", {"nodeId": "alpha", "newName": "same"}, t.Context(spark, g)).content[0]["text"])
+    assert (shown["references"], shown["affectedFileCount"], len(shown["affectedFiles"]), shown["conflictCount"], len(shown["conflicts"])) == (5, 6, 2, 5, 2) and shown["warning"].startswith("5 ")
+    changes = spark.createDataFrame([(f"/m{i}", "modified") for i in range(5)], "file_path string, status string")
+    monkeypatch.setattr(t, "git_changes", lambda *_: changes)
+    shown = json.loads(registry.execute("detect_changes", {}, t.Context(spark, g, "/")).content[0]["text"])
+    assert (len(shown["changes"]), shown["changesShown"], shown["changesTotal"]) == (2, 2, 5)
+
+
 def test_sql_leaves_no_views_and_keeps_graphs_apart(spark, context):
     g = context.graph
     other = PropertyGraph.of(g.nodes.where("id = 'alpha'"), g.edges.limit(0))
@@ -140,6 +170,9 @@ def test_sql_leaves_no_views_and_keeps_graphs_apart(spark, context):
 @pytest.mark.parametrize(("statement", "want"), [
     ("SELECT group_concat(id, ';') AS x FROM (SELECT id FROM nodes ORDER BY id)", "alpha;beta;beta2;gamma"), ("SELECT group_concat(DISTINCT kind) AS x FROM nodes", "class,function"), ("SELECT total(line) AS x FROM edges WHERE id = 'none'", 0.0),
     ("SELECT json_extract('{\"a\": {\"b\": 5}}', '$.a.b') AS x", "5"), ("SELECT count(*) AS x FROM nodes WHERE glob('be*', id)", 2), ("SELECT count(*) AS x FROM nodes WHERE glob('[a-b]?*[^a]', name)", 0), ("SELECT iif(1 < 2, 'y', 'n') AS x", "y"), ("SELECT max(3, min(9, 7), 5) AS x", 7),
+    ("SELECT count(*) AS x FROM (SELECT 'it''s' AS n) WHERE glob('it''s*', n)", 1), ("SELECT count(*) AS x FROM nodes WHERE id GLOB 'be*'", 2), ("SELECT count(*) AS x FROM nodes WHERE id NOT GLOB 'be*'", 2), ("SELECT count(*) AS x FROM (SELECT 'a]b' AS n) t WHERE t.n GLOB 'a[]x]b'", 1),
+    ("SELECT count(*) AS x FROM (SELECT 'It''s' AS n) WHERE n LIKE 'IT%'", 1), ("SELECT count(*) AS x FROM nodes WHERE id NOT LIKE 'ALPHA'", 3), ("SELECT min(1, NULL) AS x", None), ("SELECT max(NULL, 2, 3) AS x", None), ("SELECT min(4, 2) AS x", 2), ("SELECT 'a like b' AS x", "a like b"),
+    ("SELECT count(*) AS x FROM (SELECT 'a.c' AS n) WHERE n GLOB 'a.?' AND n GLOB '*[^b]'", 1),
     ("SELECT strftime('%Y-%m-%dT%H', '2024-03-05 06:07:08') AS x", "2024-03-05T06"), ("SELECT julianday('2000-01-01 12:00:00') AS x", 2451545.0), ("SELECT 'min(1, 2)' AS x", "min(1, 2)"), ("SELECT max(line) AS x FROM edges", 2), ("SELECT unixepoch('1970-01-02') AS x", 86400),
 ])
 def test_sql_dialect(spark, context, statement, want):
