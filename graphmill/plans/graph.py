@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import os
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -138,7 +141,7 @@ class PropertyGraph:
 
     def upsert_edges(self, new: DataFrame) -> PropertyGraph:
         new = last_of_each(new, schema.EDGES)
-        return replace(self, edges=self.edges.join(new.select("id"), "id", "left_anti").unionByName(new))
+        return PropertyGraph(self.nodes, self.edges.join(new.select("id"), "id", "left_anti").unionByName(new))
 
     def delete_nodes(self, ids: DataFrame) -> PropertyGraph:
         """ids: a column id. Their edges go, too."""
@@ -152,11 +155,11 @@ class PropertyGraph:
         return self.delete_nodes(self.nodes.join(path.select("file_path"), "file_path", "left_semi"))
 
     def delete_edges(self, ids: DataFrame) -> PropertyGraph:
-        return replace(self, edges=self.edges.join(ids.select("id"), "id", "left_anti"))
+        return PropertyGraph(self.nodes, self.edges.join(ids.select("id"), "id", "left_anti"))
 
     def delete_edges_from(self, source: str, kind: str | None = None) -> PropertyGraph:
         gone: Column = F.col("source") == source
-        return replace(self, edges=self.edges.where(~(gone & (F.col("kind") == kind) if kind else gone)))
+        return PropertyGraph(self.nodes, self.edges.where(~(gone & (F.col("kind") == kind) if kind else gone)))
 
     def mutate(self, log: DataFrame) -> PropertyGraph:
         """Applies an operation log, see schema.MUTATIONS, as if one by one in the order of seq.
@@ -191,7 +194,7 @@ class PropertyGraph:
     def with_columns_of(self, values: DataFrame) -> PropertyGraph:
         """Node columns page_rank or community_id replaced by those of values (id, ...); null where it has no row."""
         names = [c for c in values.columns if c != "id"]
-        return replace(self, nodes=conform(self.nodes.drop(*names).join(values, "id", "left"), schema.NODES))
+        return PropertyGraph(conform(self.nodes.drop(*names).join(values, "id", "left"), schema.NODES), self.edges)
 
 
 def upsert_rows(old: DataFrame, new: DataFrame, into: T.StructType) -> DataFrame:
@@ -214,28 +217,151 @@ def current(spark: SparkSession, root: str) -> Any:
         return None
 
 
-def save(graph: PropertyGraph, root: str, tables: dict[str, DataFrame] | None = None, keep: int = 3) -> str:
-    """Writes a snapshot below root, then points root/current at it by the next number; readers see the old or the new
-    one, never a mix. tables are written along. The last `keep` snapshots stay, for readers that have begun."""
+class ConcurrentWrite(RuntimeError):
+    """Another writer has made a snapshot after the one that this one is derived from."""
+
+
+def point(spark: SparkSession, root: str, seq: int, name: str) -> None:
+    """Makes a snapshot the one of number seq; raises ConcurrentWrite if there is one. The pointer is a file that only one
+    writer can create; a store must grant that of creating without overwriting."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/current/{seq:012d}.json")
+    line = json.dumps({"seq": seq, "snapshot": name, "version": schema.VERSION}) + "\n"
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getScheme() == "file":
+        os.makedirs(os.path.dirname(local := path.toUri().getPath()), exist_ok=True)
+        try:
+            with open(local, "x") as out:
+                out.write(line)
+        except FileExistsError as taken:
+            raise ConcurrentWrite(f"snapshot {seq} of {root} exists") from taken
+        return
+    try:
+        out = fs.create(path, False)
+    except Py4JJavaError as taken:
+        if "AlreadyExists" not in str(taken.java_exception):
+            raise
+        raise ConcurrentWrite(f"snapshot {seq} of {root} exists") from taken
+    out.write(line.encode())
+    out.close()
+
+
+#: A snapshot's tables that lookups read: label to its table, columns and the column that it is clustered by.
+CLUSTERED = {
+    "nodes": ("nodes", None, "id"),
+    "edges": ("edges", None, "source"),
+    "edges_by_target": ("edges", None, "target"),
+    "nodes_by_name": ("nodes", ("name", "kind", "id"), "name"),
+    "nodes_by_file": ("nodes", ("file_path", "id"), "file_path"),
+}
+
+
+def cluster(graph: PropertyGraph, at: str) -> None:
+    """Writes CLUSTERED below `at`: dealt by ranges of the key and sorted, so that a key is in one file or a few; and ranges
+    (label, file, low, high), the keys that each file holds. Edges lie by kind besides."""
+    spark, ranges = graph.nodes.sparkSession, []
+    for label, (table, columns, key) in CLUSTERED.items():
+        df = getattr(graph, table)
+        df = df.select(*columns) if columns else df
+        first = ("kind", key) if label == "edges" else (key,)
+        out = df.repartitionByRange(*first).sortWithinPartitions(*first).write.option("compression", "zstd")
+        (out.partitionBy("kind") if label == "edges" else out).parquet(f"{at}/{label}")
+        held = spark.read.schema(df.schema).parquet(f"{at}/{label}").where(F.col(key).isNotNull())
+        ranges.append(held.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min(key).alias("low"), F.max(key).alias("high")).select(F.lit(label).alias("label"), "file", "low", "high"))
+    every = ranges[0]
+    for more in ranges[1:]:
+        every = every.unionByName(more)
+    every.write.parquet(f"{at}/ranges")
+
+
+@dataclass(frozen=True)
+class StoredGraph(PropertyGraph):
+    """A stored snapshot. Lookups by id, name, file, source and target read only files whose range of keys has the key;
+    mutations give plain graphs."""
+
+    at: str
+    ranges: DataFrame
+
+    def rows(self, label: str, *keys: str) -> DataFrame:
+        """The rows of a clustered table with one of these keys."""
+        table, columns, key = CLUSTERED[label]
+        wanted = None
+        for k in keys:
+            one = (F.col("low") <= k) & (F.col("high") >= k)
+            wanted = one if wanted is None else wanted | one
+        files = [] if wanted is None else [r["file"] for r in self.ranges.where((F.col("label") == label) & wanted).select("file").collect()]
+        into = schema.NODES if table == "nodes" else schema.EDGES
+        kind = T.StructType([into[c] for c in columns]) if columns else into
+        spark = self.nodes.sparkSession
+        if not files:
+            return spark.createDataFrame([], kind)
+        return spark.read.option("basePath", f"{self.at}/{label}").schema(kind).parquet(*files).select(kind.names).where(F.col(key).isin(*keys))
+
+    def node(self, node_id: str) -> DataFrame:
+        return self.rows("nodes", node_id)
+
+    def by_file(self, path: str) -> DataFrame:
+        return self.of_ids(self.rows("nodes_by_file", path)).where(F.col("file_path") == path)
+
+    def find(self, name: str, kind: str | None = None) -> DataFrame:
+        found = self.rows("nodes_by_name", name)
+        return self.of_ids(found.where(F.col("kind") == kind) if kind else found).orderBy("id")
+
+    def of_ids(self, found: DataFrame) -> DataFrame:
+        """The nodes of a column id: looked up if they are few, else joined."""
+        some = [r["id"] for r in found.select("id").limit(FEW_IDS + 1).collect()]
+        return self.rows("nodes", *some) if len(some) <= FEW_IDS else self.nodes.join(found.select("id"), "id", "left_semi").select(self.nodes.columns)
+
+    def edges_from(self, node_id: str, kind: str | None = None) -> DataFrame:
+        found = self.rows("edges", node_id)
+        return found.where(F.col("kind") == kind) if kind else found
+
+    def edges_to(self, node_id: str, kind: str | None = None) -> DataFrame:
+        found = self.rows("edges_by_target", node_id)
+        return found.where(F.col("kind") == kind) if kind else found
+
+
+#: Nodes that are looked up one by one.
+FEW_IDS = 100
+
+
+def save(graph: PropertyGraph, root: str, tables: dict[str, DataFrame] | None = None, keep: int = 3, after: int | None = None) -> str:
+    """Writes a snapshot below root, then makes it the one of the next number; readers see the old or the new one, never a
+    mix. after: the number of the snapshot that graph is derived from; if another has come since, ConcurrentWrite is raised
+    and nothing stays. tables are written along. The last `keep` snapshots stay, for readers that have begun."""
     spark, name = graph.nodes.sparkSession, uuid.uuid4().hex[:12]
-    for label, df in {"nodes": graph.nodes, "edges": graph.edges, **(tables or {})}.items():
-        out = df.write.option("compression", "zstd")
-        (out.partitionBy("kind") if label == "edges" else out).parquet(f"{root}/{name}/{label}")
-    last = current(spark, root)
-    row = spark.createDataFrame([(last["seq"] + 1 if last else 0, name, schema.VERSION)], "seq long, snapshot string, version int").coalesce(1)
-    row.write.mode("append").json(f"{root}/current")
+    cluster(graph, f"{root}/{name}")
+    for label, df in (tables or {}).items():
+        df.write.option("compression", "zstd").parquet(f"{root}/{name}/{label}")
+    while True:
+        seq = number(spark, root) + 1 if after is None else after + 1
+        try:
+            point(spark, root, seq, name)
+            break
+        except ConcurrentWrite:
+            if after is not None:
+                delete(spark, f"{root}/{name}")
+                raise
     delete_old(spark, root, keep)
     return f"{root}/{name}"
 
 
+def number(spark: SparkSession, root: str) -> int:
+    """That of the current snapshot; -1 if there is none."""
+    last = current(spark, root)
+    return last["seq"] if last else -1
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def delete_old(spark: SparkSession, root: str, keep: int) -> None:
     """Deletes all snapshots but the last `keep`, and their pointers."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     rows = pointers(spark, root).select("seq", "snapshot", F.col("_metadata.file_path").alias("file")).orderBy(F.desc("seq"), F.desc("snapshot")).offset(keep).collect()
     for row in rows:
-        for path in (f"{root}/{row['snapshot']}", row["file"]):
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+        delete(spark, f"{root}/{row['snapshot']}")
+        delete(spark, row["file"])
 
 
 #: How to bring a snapshot's tables from a version to the next: label to its change.
@@ -266,9 +392,12 @@ def tables_of(spark: SparkSession, root: str, *more: str) -> dict[str, DataFrame
 
 
 def load(spark: SparkSession, root: str) -> PropertyGraph:
-    """The snapshot that was pointed at last."""
-    found = tables_of(spark, root)
-    return PropertyGraph.of(found["nodes"], found["edges"])
+    """The snapshot that was pointed at last; a StoredGraph if it was written with ranges of keys and by this version."""
+    row, found = current(spark, root), tables_of(spark, root, "ranges")
+    graph = PropertyGraph.of(found["nodes"], found["edges"])
+    if row["version"] == schema.VERSION and "ranges" in found:
+        return StoredGraph(graph.nodes, graph.edges, f"{root}/{row['snapshot']}", found["ranges"])
+    return graph
 
 
 class Transaction:
@@ -279,13 +408,22 @@ class Transaction:
             tx.upsert_nodes(rows)
             tx.delete_file("/src/a.ts")
 
-    Writers don't lock each other: of two that overlap, the later snapshot counts.
+    Writers don't lock each other. If another has made a snapshot meanwhile, the block's mutations are made once more on
+    that one, so of two that overlap both take effect, one after the other; after ATTEMPTS such losses ConcurrentWrite is
+    raised. What a mutation was given from reads inside the block stays as it was read.
     """
 
     MUTATIONS = ("upsert_nodes", "upsert_edges", "delete_nodes", "delete_file", "delete_edges", "delete_edges_from", "mutate", "with_columns_of")
+    ATTEMPTS = 5
 
     def __init__(self, spark: SparkSession, root: str):
-        self.root, self.found = root, tables_of(spark, root, "communities", "processes")
+        self.spark, self.root = spark, root
+        self.done: list[tuple[str, tuple, dict[str, Any]]] = []
+        self.open()
+
+    def open(self) -> None:
+        self.seq = number(self.spark, self.root)
+        self.found = tables_of(self.spark, self.root, *KEPT)
         self.graph = PropertyGraph.of(self.found["nodes"], self.found["edges"])
 
     def __enter__(self) -> Transaction:
@@ -297,10 +435,25 @@ class Transaction:
             return own
 
         def act(*args: Any, **named: Any) -> None:
-            self.graph = own(*args, **named)
+            self.graph = getattr(self.graph, name)(*args, **named)
+            self.done.append((name, args, named))
 
         return act
 
     def __exit__(self, kind: type | None, *_: Any) -> None:
-        if kind is None:
-            save(self.graph, self.root, {k: v for k, v in self.found.items() if k not in ("nodes", "edges")})
+        if kind is not None:
+            return
+        for attempt in range(self.ATTEMPTS):
+            try:
+                save(self.graph, self.root, {k: v for k, v in self.found.items() if k not in ("nodes", "edges")}, after=self.seq)
+                return
+            except ConcurrentWrite:
+                if attempt == self.ATTEMPTS - 1:
+                    raise
+                self.open()
+                for name, args, named in self.done:
+                    self.graph = getattr(self.graph, name)(*args, **named)
+
+
+#: Tables of a snapshot that a transaction carries on.
+KEPT = ("communities", "processes", "source_files", "source_symbols", "source_calls", "source_imports")

@@ -21,7 +21,7 @@ from graphmill.operators import traverse
 from graphmill.operators.pagerank import pagerank
 from graphmill.operators.resolve import module_paths, resolve_calls, resolve_imports
 from graphmill.plans import planner
-from graphmill.plans.graph import PropertyGraph, upsert_rows
+from graphmill.plans.graph import PropertyGraph, load, save, upsert_rows
 from graphmill.plans.pipeline import changed, index, reindex
 from graphmill.plans.sqltool import run_sql
 from graphmill.sources.files import page_links, parse_name_status
@@ -118,6 +118,18 @@ def adjacency_in(spark: SparkSession, d: str) -> DataFrame:
     return star_graph(spark, d).edges_to("s:7").select("id", "source", "kind")
 
 
+@query("stored_lookups", graph_sql("""SELECT 'node' AS lookup, id, name AS more FROM nodes WHERE id = 's:7'
+    UNION ALL SELECT 'out', id, target FROM edges WHERE source = 'o:7' UNION ALL SELECT 'in', id, source FROM edges WHERE target = 's:7'
+    UNION ALL SELECT 'name', id, kind FROM nodes WHERE name = '1-URGENT' UNION ALL SELECT 'file', id, name FROM nodes WHERE file_path = '/nation/3/customer'"""))
+def stored_lookups(spark: SparkSession, d: str) -> DataFrame:
+    at = f"{shared_root(spark)}/stored-{uuid.uuid4().hex[:12]}"
+    save(star_graph(spark, d), at)
+    g = load(spark, at)
+    rows = lambda lookup, found, more: found.select(F.lit(lookup).alias("lookup"), "id", F.col(more).alias("more"))
+    out = rows("node", g.node("s:7"), "name").unionByName(rows("out", g.edges_from("o:7"), "target")).unionByName(rows("in", g.edges_to("s:7"), "source"))
+    return out.unionByName(rows("name", g.find("1-URGENT"), "kind")).unionByName(rows("file", g.by_file("/nation/3/customer"), "name"))
+
+
 @query("dead_code", graph_sql("SELECT id, name FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.target = n.id AND e.kind IN ('calls', 'imports'))"))
 def dead_code(spark: SparkSession, d: str) -> DataFrame:
     return star_graph(spark, d).unused("calls", "imports").select("id", "name")

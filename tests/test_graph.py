@@ -142,6 +142,56 @@ def test_transactions(spark, tmp_path):
     assert ids(load(spark, str(tmp_path)).nodes) == ["b", "c", "d"] and tables_of(spark, str(tmp_path), "communities")["communities"].count() == 1
 
 
+def test_overlapping_transactions_both_take_effect(spark, tmp_path):
+    save(graph(spark, [("a", "b")]), str(tmp_path))
+    rows = lambda *names: spark.createDataFrame([(n, "function", n, "/x") for n in names], "id string, kind string, name string, file_path string")
+    with Transaction(spark, str(tmp_path)) as first:
+        first.upsert_nodes(rows("c"))
+        with Transaction(spark, str(tmp_path)) as second:
+            second.upsert_nodes(rows("d"))
+            second.delete_nodes(rows("a"))
+    after = load(spark, str(tmp_path))
+    assert ids(after.nodes) == ["b", "c", "d"] and after.edges.count() == 0
+    assert store.number(spark, str(tmp_path)) == 2
+    # A snapshot derived from an older one is refused and leaves nothing behind.
+    folders = sorted(p.name for p in tmp_path.iterdir())
+    with pytest.raises(store.ConcurrentWrite):
+        save(after, str(tmp_path), after=1)
+    assert sorted(p.name for p in tmp_path.iterdir()) == folders and ids(load(spark, str(tmp_path)).nodes) == ["b", "c", "d"]
+    # Writers that start from nothing in particular take the next free number.
+    save(after, str(tmp_path))
+    assert store.number(spark, str(tmp_path)) == 3
+
+
+def test_lookups_read_few_files(spark, tmp_path):
+    key = F.lpad(F.col("id").cast("string"), 5, "0")
+    nodes = spark.range(2000).select(F.concat(F.lit("n"), key).alias("id"), F.when(F.col("id") % 2 == 0, "class").otherwise("function").alias("kind"), F.concat(F.lit("name"), F.col("id") % 700).alias("name"), F.concat(F.lit("/f"), F.col("id") % 90).alias("file_path"))
+    edges = spark.range(6000).select(F.concat(F.lit("e"), F.col("id").cast("string")).alias("id"), F.format_string("n%05d", F.col("id") % 2000).alias("source"), F.format_string("n%05d", F.col("id") * 7 % 1999).alias("target"), F.when(F.col("id") % 3 == 0, "calls").otherwise("imports").alias("kind"))
+    g = PropertyGraph.of(nodes, edges)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        save(g, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    stored = load(spark, str(tmp_path))
+    assert isinstance(stored, store.StoredGraph) and len(stored.nodes.inputFiles()) >= 4 and len(stored.edges.inputFiles()) >= 4
+    for plain, own, most in (
+        (g.node("n00777"), stored.node("n00777"), 1), (g.edges_from("n00777"), stored.edges_from("n00777"), 2), (g.edges_to("n00777", "calls"), stored.edges_to("n00777", "calls"), 1),
+        (g.find("name7", "class"), stored.find("name7", "class"), 4), (g.by_file("/f7"), stored.by_file("/f7"), 4), (g.node("none"), stored.node("none"), 1), (g.find("none"), stored.find("none"), 1), (g.edges_to("zzz"), stored.edges_to("zzz"), 0),
+    ):
+        assert sorted(map(str, own.collect())) == sorted(map(str, plain.collect())) and own.columns == plain.columns
+        assert len(own.inputFiles()) <= most
+    # A key's file is the only one that is opened.
+    read = stored.node("n00777")
+    read.collect()
+    metrics = read._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics()
+    assert metrics.apply("numFiles").value() == 1
+    # What is changed is no stored graph any more, so no lookup misses it.
+    more = stored.upsert_nodes(g.node("n00001").withColumn("id", F.lit("new")))
+    assert more.node("new").count() == 1 and not isinstance(more, store.StoredGraph)
+    assert stored.delete_edges(stored.edges_to("n00777")).edges_to("n00777").count() == 0
+
+
 def test_json_columns(spark):
     rows = spark.createDataFrame([("a", "file", "a", "/a", '{"k": "v"}', "[1, 2.5]"), ("b", "file", "b", "/b", None, "not json")], "id string, kind string, name string, file_path string, metadata string, embedding string")
     nodes = PropertyGraph.of(rows, spark.createDataFrame([], schema.EDGES)).nodes
