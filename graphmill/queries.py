@@ -466,6 +466,29 @@ def process_chains(spark: SparkSession, d: str) -> DataFrame:
     return proc.detect_processes(g, urgent).select("id", "name", "entry_point", F.array_join("steps", ">").alias("steps"), "kind")
 
 
+def step_graph(spark: SparkSession, d: str) -> PropertyGraph:
+    """Suppliers as functions that call others by number, in circles and over several levels; every tenth handles requests."""
+    s = table(spark, d, "supplier").select((F.col("s_suppkey") - 1).cast("long").alias("k"))
+    n = F.broadcast(s.agg(F.count("*").alias("n")))
+    name = lambda c: F.concat(F.lit("f:"), c.cast("string"))
+    nodes = s.select(name(F.col("k")).alias("id"), F.lit("function").alias("kind"), F.concat(F.when(F.col("k") % 10 == 0, "handle").otherwise("step"), F.col("k").cast("string")).alias("name"))
+    calls = s.crossJoin(n).select("k", F.explode(F.array(F.struct(((2 * F.col("k") + 1) % F.col("n")).alias("t"), F.lit(1).alias("line")), F.struct(((3 * F.col("k") + 2) % F.col("n")).alias("t"), F.lit(2).alias("line")), F.struct(((F.col("k") + 5) % F.col("n")).alias("t"), F.lit(3).alias("line")))).alias("e"))
+    calls = calls.where("e.line < 3 or k % 7 = 0").select(F.concat_ws("/", name(F.col("k")), F.col("e.line").cast("string")).alias("id"), name(F.col("k")).alias("source"), name(F.col("e.t")).alias("target"), F.lit("calls").alias("kind"), F.col("e.line").alias("line"))
+    return PropertyGraph.of(nodes, calls)
+
+
+# By distance, then by the least path of lines: what a walk by queue meets first, up to 30 steps.
+@query("process_levels", """WITH RECURSIVE v AS (SELECT s_suppkey - 1 AS k, count(*) OVER () AS n FROM supplier),
+    e AS (SELECT k, (2 * k + 1) % n AS t, 1 AS line FROM v UNION ALL SELECT k, (3 * k + 2) % n, 2 FROM v UNION ALL SELECT k, (k + 5) % n, 3 FROM v WHERE k % 7 = 0),
+    w AS (SELECT k AS entry, k AS node, []::INTEGER[] AS path FROM v WHERE k % 10 = 0 UNION ALL SELECT entry, t, list_append(path, line) FROM w JOIN e ON e.k = w.node WHERE len(path) < 11),
+    b AS (SELECT entry, node, len(path) AS d, path FROM w QUALIFY row_number() OVER (PARTITION BY entry, node ORDER BY len(path), path) = 1),
+    r AS (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY d, path) AS i FROM b)
+    SELECT 'f:' || entry AS entry_point, 'handle' || entry AS name, string_agg('f:' || node, '>' ORDER BY i) AS steps FROM r WHERE i <= 30 GROUP BY entry""")
+def process_levels(spark: SparkSession, d: str) -> DataFrame:
+    found = proc.detect_processes(step_graph(spark, d), (proc.EntryPattern("custom", "^handle"),), max_steps=30, strategy="bfs")
+    return found.select("entry_point", "name", F.array_join("steps", ">").alias("steps"))
+
+
 # Text
 
 
