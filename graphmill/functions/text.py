@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache, partial
@@ -169,6 +171,10 @@ class TextIndex:
         self.cluster(keep(self.postings).unionByName(new.select(self.postings.columns))).write.mode("overwrite").parquet(f"{path}/postings")
         return self.read(docs.sparkSession, path)
 
+    def totals(self) -> DataFrame:
+        """One row: the number of documents (n) and their mean length."""
+        return self.lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+
     def found(self, phrase: tuple[str, ...], prefix: bool) -> DataFrame:
         """(id, len, tf) of the documents that have the phrase; with prefix, its last token may go on."""
         out = None
@@ -188,7 +194,7 @@ class TextIndex:
         """What bm25() gives for the indexed documents; among: (id) that may be in the result."""
         if match is None:
             return self.lengths.limit(0).select("id", F.lit(0.0).alias("score"))
-        hits, stats = None, self.lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+        hits, stats = None, self.totals()
         for i, phrase in enumerate(match.phrases):
             rows = materialize(self.found(phrase, match.prefix).withColumnRenamed("tf", f"tf{i}"), "hits") if len(match.phrases) > 1 or among is not None else self.found(phrase, match.prefix).withColumnRenamed("tf", f"tf{i}")
             stats = stats.crossJoin(F.broadcast(rows.agg(F.count("*").alias(f"df{i}"))))
@@ -198,6 +204,106 @@ class TextIndex:
         return scored(hits, stats, len(match.phrases))
 
 
+@dataclass(frozen=True)
+class Segment:
+    """A part of a text index that is never changed. number: its place in the order of updates; count and length: of its
+    documents that are left."""
+
+    index: TextIndex
+    number: int
+    count: int
+    length: int
+
+
+@dataclass(frozen=True)
+class TextSegments(TextIndex):
+    """A text index that grows by segments: an update writes the postings of its own documents, and a list of the ids that
+    it replaces or removes, which are dead in all segments of lower numbers. Statistics are added up over segments. FANOUT
+    segments of like size are merged into one without what is dead, so a document is rewritten a number of times that
+    grows with the logarithm of their number."""
+
+    segments: tuple[Segment, ...] = ()
+    #: (number, ids that are dead in segments of lower numbers).
+    dead: tuple[tuple[int, DataFrame], ...] = ()
+
+    @classmethod
+    def start(cls, docs: DataFrame, id_col: str, text_cols: list[str], path: str) -> TextSegments:
+        """An index of docs, whose ids must be distinct, below path."""
+        none = cls(*cls._tables(docs.sparkSession, ()), path)
+        return none._grown(docs, id_col, text_cols, docs.select(F.col(id_col).alias("id")).limit(0))
+
+    @staticmethod
+    def _tables(spark: SparkSession, segments: tuple[Segment, ...]) -> tuple[DataFrame | None, DataFrame | None]:
+        """All segments' postings and lengths, dead ones included."""
+        both: list[DataFrame | None] = [None, None]
+        for s in segments:
+            for k, part in enumerate((s.index.postings, s.index.lengths)):
+                both[k] = part if both[k] is None else both[k].unionByName(part)
+        return both[0], both[1]
+
+    def alive(self, segment: Segment, rows: DataFrame) -> DataFrame:
+        """Of a segment's rows (id, ...) those that no later update has replaced."""
+        for number, ids in self.dead:
+            if number > segment.number:
+                rows = rows.join(ids, "id", "left_anti").select(rows.columns)
+        return rows
+
+    def updated(self, docs: DataFrame, id_col: str, text_cols: list[str], gone: DataFrame, path: str | None = None) -> TextSegments:
+        """The index with docs in place of the documents with their ids, and without those of gone (id). Written are docs'
+        postings, the ids, and now and then merged segments; path is that of start."""
+        return self._grown(docs, id_col, text_cols, gone)._merged()
+
+    def _grown(self, docs: DataFrame, id_col: str, text_cols: list[str], gone: DataFrame) -> TextSegments:
+        number = max((s.number for s in self.segments), default=-1) + 1
+        at = f"{self.path}/segment-{number}-{uuid.uuid4().hex[:8]}"
+        index = TextIndex.write(docs, id_col, text_cols, at)
+        index.lengths.select("id").unionByName(gone.select(F.col("id"))).distinct().write.parquet(f"{at}/dead")
+        ids = docs.sparkSession.read.parquet(f"{at}/dead")
+        kept = []
+        for s in self.segments:
+            lost = self.alive(s, s.index.lengths).join(ids, "id", "left_semi").agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
+            kept.append(Segment(s.index, s.number, s.count - lost[0], s.length - lost[1]))
+        n, length = index.lengths.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
+        segments = (*kept, Segment(index, number, n, length))
+        return TextSegments(*self._tables(docs.sparkSession, segments), self.path, segments, (*self.dead, (number, ids)))
+
+    def _merged(self) -> TextSegments:
+        """This, or with FANOUT segments of one tier as one."""
+        tiers: dict[int, list[Segment]] = {}
+        for s in self.segments:
+            tiers.setdefault(int(math.log(max(1, s.count), FANOUT)), []).append(s)
+        full = next((t for _, t in sorted(tiers.items()) if len(t) >= FANOUT), None)
+        if full is None:
+            return self
+        at = f"{self.path}/merged-{uuid.uuid4().hex[:12]}"
+        for label in ("postings", "lengths"):
+            rows = None
+            for s in full:
+                part = self.alive(s, getattr(s.index, label))
+                rows = part if rows is None else rows.unionByName(part)
+            (self.cluster(rows) if label == "postings" else rows).write.parquet(f"{at}/{label}")  # type: ignore[arg-type, union-attr]
+        spark = self.postings.sparkSession
+        one = Segment(TextIndex.read(spark, at), max(s.number for s in full), sum(s.count for s in full), sum(s.length for s in full))
+        segments = tuple(sorted((*(s for s in self.segments if s not in full), one), key=lambda s: s.number))
+        first = segments[0].number
+        return TextSegments(*self._tables(spark, segments), self.path, segments, tuple(d for d in self.dead if d[0] > first))._merged()
+
+    def totals(self) -> DataFrame:
+        n, length = sum(s.count for s in self.segments), sum(s.length for s in self.segments)
+        return self.postings.sparkSession.createDataFrame([(n, length / n if n else None)], "n long, mean double")
+
+    def found(self, phrase: tuple[str, ...], prefix: bool) -> DataFrame:
+        out = None
+        for s in self.segments:
+            rows = self.alive(s, s.index.found(phrase, prefix))
+            out = rows if out is None else out.unionByName(rows)
+        return out  # type: ignore[return-value]
+
+
+#: Segments of like size that are merged into one.
+FANOUT = 4
+
+
 def cosine(vector: Column, query: list[float]) -> Column:
     q = F.array(*(F.lit(float(x)) for x in query))
     v = F.transform(vector, lambda x: x.cast("double"))

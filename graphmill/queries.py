@@ -531,13 +531,15 @@ def one(word: str) -> str:
     return f"len(list_filter(w, lambda x: x = '{word}'))"
 
 
-#: Text indices that this process has written, by application and table.
-INDICES: dict[tuple[str, str], text.TextIndex] = {}
+#: Text indices that this process has written, by application, table and the state of the table's files.
+INDICES: dict[tuple[str, str, str], text.TextIndex] = {}
 
 
 def index_of(spark: SparkSession, d: str, name: str, id_col: str, text_col: str) -> text.TextIndex:
-    """The index of a whole table, written once for all searches of a session."""
-    key = (spark.sparkContext.applicationId, f"{d}/{name}")
+    """The index of a whole table, written once for all searches of a session, and anew if the table's files change."""
+    files = table(spark, d, name).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    state = files.distinct().select(F.xxhash64("*").cast("decimal(20,0)").alias("h")).agg(F.sum("h").alias("h")).first()
+    key = (spark.sparkContext.applicationId, f"{d}/{name}", str(state["h"]))
     if key not in INDICES:
         INDICES[key] = text.TextIndex.write(table(spark, d, name), id_col, [text_col], f"{shared_root(spark)}/text-index-{name}-{uuid.uuid4().hex[:12]}")
     return INDICES[key]
@@ -574,6 +576,22 @@ VECTOR = [1.0 if i % 3 else -0.5 for i in range(64)]
 VECTOR_SQL = f"list_cosine_similarity(embedding::DOUBLE[], {VECTOR}::DOUBLE[])"
 
 
+EDITED = "(SELECT doc_id, CASE WHEN doc_id % 17 = 4 THEN coalesce(text, '') || ' the end of it' ELSE text END AS text FROM documents WHERE doc_id % 23 <> 7)"
+
+
+# An index of all documents, of which then some change and others go, in several updates with merges between.
+@query("bm25_after_updates", bm25_sql([one("the"), one("end")], table_=EDITED))
+def bm25_after_updates(spark: SparkSession, d: str) -> DataFrame:
+    n = docs(spark, d).select("doc_id", "text")
+    later = n.where("doc_id % 17 = 4 and doc_id % 23 <> 7").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" the end of it")))
+    index = text.TextSegments.start(n, "doc_id", ["text"], f"{shared_root(spark)}/segments-{uuid.uuid4().hex[:12]}")
+    for k in range(5):
+        part = F.col("doc_id") % 5 == k
+        gone = n.where(part & (F.col("doc_id") % 23 == 7)).select(F.col("doc_id").alias("id"))
+        index = index.updated(later.where(part), "doc_id", ["text"], gone)
+    return index.bm25(text.parse("the end")).select("id", seven("score").alias("score"))
+
+
 @query("vector_topk", f"SELECT vec_id AS id, round({VECTOR_SQL}, 7) AS score FROM embeddings ORDER BY {VECTOR_SQL} DESC, vec_id LIMIT 25")
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return text.vector_top(table(spark, d, "embeddings"), VECTOR, 25, "vec_id").select("id", seven("score").alias("score"))

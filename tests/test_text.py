@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from math import log
 
 import pytest
@@ -116,3 +117,28 @@ def test_index_equals_scan(spark, nodes, tmp_path):
     assert "EqualTo(term" in text.TextIndex.read(spark, index.path).found(("token",), False)._jdf.queryExecution().executedPlan().toString() and plan
     g = PropertyGraph.of(after, spark.createDataFrame([], "id string, source string, target string, kind string, confidence double"))
     assert found(planner.search_text(g, "token", index=index)) == found(planner.search_text(g, "token")) == ["4"]
+
+
+def test_segments_equal_a_fresh_index(spark, tmp_path):
+    """After random updates, with merges; an update writes what it brings."""
+    rng = random.Random(3)
+    words = ["red", "green", "blue", "reddish", "grey"]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    now = {i: some(rng.randrange(12)) for i in range(60)}
+    frame = lambda texts: spark.createDataFrame(list(texts.items()), "id long, text string")
+    index = text.TextSegments.start(frame(now), "id", ["text"], str(tmp_path))
+    asked = [text.parse(q) for q in ("red", "green blue", "re*")] + [text.Match((("red", "green"),)), text.Match((("gre",),), True)]
+    for k in range(6):
+        new = {i: some(rng.randrange(9)) for i in rng.sample(range(80), 6)}
+        gone = rng.sample(range(60), 2)
+        index = index.updated(frame(new), "id", ["text"], spark.createDataFrame([(i,) for i in gone], "id long"))
+        if k == 0:
+            first, last = (s.index.postings.count() for s in index.segments)
+            assert last < 0.25 * first
+        now = {i: t for i, t in now.items() if i not in gone} | new
+        assert sum(s.count for s in index.segments) == len(now)
+    assert len(index.segments) < 6
+    fresh = text.TextIndex.write(frame(now), "id", ["text"], str(tmp_path / "fresh"))
+    for match in asked:
+        score = lambda found: {r["id"]: round(r["score"], 9) for r in found.collect()}
+        assert score(index.bm25(match)) == score(fresh.bm25(match)) and score(fresh.bm25(match))
