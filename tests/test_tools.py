@@ -213,6 +213,10 @@ def test_installation_without_the_optional_parts(tmp_path):
         assert asked.returncode == 0, asked.stderr
         assert asked.stdout.split()[2] == "0" and int(asked.stdout.split()[0]) > 60
         assert run("-m", "pytest", "--collect-only", "-q").returncode == 0
+    # Nor with a library missing that only the subpackage needs.
+    hidden = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; print(len(e.queries()), sum(k.startswith('op') or k == 'pipeline' for k in e.queries()))"
+    asked = subprocess.run([sys.executable, "-c", hidden], cwd=here, capture_output=True, text=True, timeout=120)
+    assert asked.returncode == 0 and asked.stdout.split()[1] == "0" and int(asked.stdout.split()[0]) > 60, asked.stderr
 
 
 def test_http(context):
