@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphmill.plans.graph import PropertyGraph
@@ -92,11 +92,58 @@ def change_impact(graph: PropertyGraph, changed_files: DataFrame, depth: int = 3
 
 
 def find_path(graph: PropertyGraph, start: str, end: str, max_depth: int = 10, kinds: Iterable[str] | None = None) -> DataFrame:
-    """(step, id, edge_id) of a shortest directed path, none if there is none; of several the least in edge ids."""
-    found = expand(graph.edges, _ids(graph, start), "out", kinds, max_depth, True, until=end).where(F.col("id") == end)
-    steps = found.select(F.posexplode("path").alias("step", "edge_id")).join(graph.edges.select(F.col("id").alias("edge_id"), F.col("target").alias("id")), "edge_id")
-    first = found.select(F.lit(0).alias("step"), F.lit(start).alias("id"), F.lit(None).cast("string").alias("edge_id"))
-    return first.unionByName(steps.select((F.col("step") + 1).alias("step"), "id", "edge_id")).orderBy("step")
+    """(step, id, edge_id) of a shortest directed path, none if there is none; of several the least in edge ids.
+
+    Frontiers grow from both ends, always the smaller one, until they meet, so each goes about half as deep. Then the nodes
+    before the meeting that lead to it are marked, level by level; after it every node of a level leads to the end. A walk
+    from the start takes the least edge into each next level, which gives the least path. Levels hold ids alone.
+    """
+    spark = graph.nodes.sparkSession
+    steps = adjacency(graph.edges, "out", kinds).select("at", "next", "edge_id").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        levels = _corridor(steps, spark, start, end, max_depth)
+        rows = [(0, start, None)] if levels is not None else []
+        for k, (level, n) in enumerate(levels or [], 1):
+            into = if_small(level.withColumnRenamed("id", "next"), n)
+            best = steps.where(F.col("at") == rows[-1][1]).join(into, "next", "left_semi").agg(F.min(F.struct("edge_id", "next")).alias("x")).first()["x"]
+            rows.append((k, best["next"], best["edge_id"]))
+    finally:
+        steps.unpersist()
+    return spark.createDataFrame(rows, "step int, id string, edge_id string")
+
+
+def _corridor(steps: DataFrame, spark: SparkSession, start: str, end: str, most: int) -> list[tuple[DataFrame, int]] | None:
+    """The levels that shortest paths pass, after the start's own, with their sizes; None if there is no path of `most` steps."""
+    if start == end:
+        return []
+    ways = {False: ("at", "next"), True: ("next", "at")}
+    sides = {}
+    for back, node in ((False, start), (True, end)):
+        first = materialize(spark.createDataFrame([(node,)], "id string"), "level")
+        sides[back] = ([(first, 1)], first)
+    while True:
+        back = sides[True][0][-1][1] < sides[False][0][-1][1]
+        (levels, seen), (others, known) = sides[back], sides[not back]
+        if not levels[-1][1] or len(levels) + len(others) - 2 >= most:
+            return None
+        near, far = ways[back]
+        level, n = levels[-1]
+        reached = steps.join(if_small(level.withColumnRenamed("id", near), n), near).select(F.col(far).alias("id")).distinct()
+        grown = materialize(reached.join(seen, "id", "left_anti"), "level")
+        levels.append((grown, grown.count()))
+        sides[back] = (levels, seen.unionByName(grown))
+        # Both sides hold all nodes of their levels, so they can only meet in the last level of each.
+        met = materialize(grown.join(others[-1][0], "id", "left_semi"), "met")
+        if n := met.count():
+            break
+    ahead, behind = sides[False][0], sides[True][0]
+    marked = [(met, n)]
+    for level, _ in ahead[-2:0:-1]:
+        later, m = marked[-1]
+        leads = steps.join(if_small(later.withColumnRenamed("id", "next"), m), "next").select(F.col("at").alias("id"))
+        before = materialize(level.join(leads, "id", "left_semi"), "marked")
+        marked.append((before, before.count()))
+    return marked[::-1] + behind[-2::-1]
 
 
 def context(graph: PropertyGraph, node_id: str, processes: DataFrame | None = None, siblings: int = 20) -> DataFrame:

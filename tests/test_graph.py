@@ -252,6 +252,23 @@ def test_paths_are_shortest(spark, seed):
     assert [r["id"] for r in traverse.find_path(g, "a", "a").collect()] == ["a"]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_least_of_the_shortest_paths(spark, seed):
+    """Layers with many paths of one length, and edges whose order is another than the nodes'."""
+    draw = random.Random(seed)
+    edges = [(f"e{draw.randrange(10**6):06}", f"{k}{x}", f"{k + 1}{y}") for k in range(5) for x in "abc" for y in "abc" if draw.random() < 0.6] + [("back", "3a", "0a"), ("self", "2b", "2b"), ("jump", "0a", "4z")]
+    g = PropertyGraph.of(spark.createDataFrame([(f"{k}{x}", "function", "n") for k in range(6) for x in "abc"], "id string, kind string, name string"), spark.createDataFrame([(*e, "calls") for e in edges], "id string, source string, target string, kind string"))
+    best = {"0a": []}
+    for _ in range(6):
+        for e, x, y in sorted(edges):
+            if x in best and (y not in best or (len(best[x]) + 1, [*best[x], e]) < (len(best[y]), best[y])):
+                best[y] = [*best[x], e]
+    for end in ("3b", "5a", "5c", "4z"):
+        rows = traverse.find_path(g, "0a", end).collect()
+        assert [r["edge_id"] for r in rows[1:]] == best.get(end, []) and [r["step"] for r in rows] == list(range(len(rows)))
+    assert traverse.find_path(g, "0a", "5a", max_depth=4).count() == 0 and traverse.find_path(g, "0a", "nowhere").count() == 0
+
+
 def test_flow_is_depth_first_by_line(spark):
     g = graph(spark, [("a", "c"), ("a", "b"), ("c", "d"), ("d", "a"), ("b", "d"), ("b", "gone")], nodes=set("abcd"))
     rows = traverse.flow(g, "a").collect()
