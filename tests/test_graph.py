@@ -298,6 +298,20 @@ def test_pagerank(spark):
     assert ranks(graph(spark, [("q", "q")], nodes=set()).delete_nodes(spark.createDataFrame([("q",)], "id string"))) == {}
 
 
+def test_pagerank_joins_only_what_still_flows(spark, monkeypatch):
+    from graphmill.operators import pagerank as module
+
+    written = []
+    monkeypatch.setattr(module, "materialize", lambda df, label="table": written.append(label) or materialize(df, label))
+    chain = ranks(graph(spark, [("a", "b"), ("b", "c"), ("a", "c")]), max_iterations=20, tolerance=None)
+    # By definition, 20 rounds.
+    r, out = dict.fromkeys("abc", 1 / 3), {"a": "bc", "b": "c", "c": ""}
+    for _ in range(20):
+        got = {v: sum(r[u] / len(t) for u, t in out.items() if v in t) for v in r}
+        r = {v: 0.15 / 3 + 0.85 * (got[v] + r["c"] / 3) for v in r}
+    assert chain == pytest.approx(r, abs=1e-12) and written.count("flow") <= 3
+
+
 def test_pagerank_by_definition(spark):
     edges = [("a", "b"), ("a", "b"), ("a", "c"), ("b", "c"), ("c", "ghost"), ("d", "a")]
     got = ranks(graph(spark, edges, nodes=set("abcd")), max_iterations=7, tolerance=None)
