@@ -392,3 +392,15 @@ def test_processes(spark):
             calls = {"main": [f"n{i}" for i in range(6)]} | {f"n{i}": [f"m{i}"] for i in range(6)} | {f"m{i}": [f"z{i}"] for i in range(6)}
             want = proc.trace("main", calls, most, strategy)
             assert steps == ([want] if len(want) > 1 else [])
+
+
+def test_rounds_of_moves_deal_no_ties(spark):
+    rows = [("a", "b"), ("b", "c"), ("c", "d")]
+    ties = spark.createDataFrame([(ord(x), ord(y), 1.0) for a, b in rows for x, y in ((a, b), (b, a))], "a long, b long, weight double")
+    home = spark.createDataFrame([(ord(v), ord(v), k) for v, k in zip("abcd", (1.0, 2.0, 2.0, 1.0), strict=True)], "v long, c long, k double")
+    kept = com.dealt(ties, 4)
+    best = com.best_moves(kept, home, 3.0, 1.0, 4)
+    plan = [x for x in best._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x and "REPARTITION_BY_NUM" not in x]
+    assert plan and not [x for x in plan if "hashpartitioning(a#" in x or "hashpartitioning(b#" in x]
+    assert {(r["v"], r["to"]) for r in best.collect()} >= {(ord("a"), ord("b")), (ord("d"), ord("c"))}
+    kept.unpersist()
