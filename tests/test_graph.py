@@ -404,3 +404,10 @@ def test_rounds_of_moves_deal_no_ties(spark):
     assert plan and not [x for x in plan if "hashpartitioning(a#" in x or "hashpartitioning(b#" in x]
     assert {(r["v"], r["to"]) for r in best.collect()} >= {(ord("a"), ord("b")), (ord("d"), ord("c"))}
     kept.unpersist()
+
+
+def test_walks_stream_instead_of_a_call_each(spark):
+    g = graph(spark, [("main", "b"), ("run", "c")])
+    found = proc.detect_processes(g)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["entry_point"]: list(r["steps"]) for r in found.collect()} == {"main": ["main", "b"], "run": ["run", "c"]}
