@@ -6,14 +6,18 @@ import math
 import re
 import unicodedata
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache, partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from graphmill.sources.scratch import materialize
+from graphmill.sources.scratch import drop, materialize
 
 # BM25 and rank-fusion constants, characters and words that queries lose.
 K1, B, RRF_K, LEAST_IDF = 1.2, 0.75, 60, 1e-6
@@ -129,11 +133,61 @@ def words_of(text_cols: list[str]) -> Column:
     return F.flatten(F.array(*(tokens(F.col(c)) for c in text_cols))) if len(text_cols) > 1 else tokens(F.col(text_cols[0]))
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str | list[str]) -> DataFrame:
-    """(term, id, len, tf, positions): an index table; len is the document's. To be written clustered by term."""
+#: Tokens that are grouped at a time; a longer document is grouped alone.
+AT_A_TIME = 1 << 20
+
+
+def occurring(ids: pa.Array, words: pa.ListArray, lengths: bool) -> list[pa.Array]:
+    """The columns of by_document() for some documents: tokens are numbered, and sorted by document and number."""
+    flat, lens = words.flatten().dictionary_encode(), np.diff(words.offsets.to_numpy())
+    doc = np.repeat(np.arange(len(lens)), lens)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
+    number = flat.indices.to_numpy()
+    order = np.argsort(doc * max(1, len(flat.dictionary)) + number, kind="stable")
+    doc, number = doc[order], number[order]
+    begin = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (number[1:] != number[:-1])][: len(doc)])
+    end, more = np.r_[begin[1:], len(doc)][: len(begin)], len(lens) if lengths else 0
+    rows = np.r_[doc[begin], np.arange(more)]
+    term = flat.dictionary.take(pa.array(np.r_[number[begin], np.zeros(more, np.int64)], mask=np.r_[np.zeros(len(begin), bool), np.ones(more, bool)]))
+    bounds = np.r_[0, end, np.full(more, len(doc))].astype(np.int32)
+    return [term, ids.take(pa.array(rows)), pa.array(lens[rows], pa.int32()), pa.array(np.r_[end - begin, np.zeros(more, np.int64)], pa.int64()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(place[order], pa.int32()))]
+
+
+def by_document(docs: DataFrame, id_col: str, text_col: str | list[str], lengths: bool = False) -> DataFrame:
+    """(term, id, len, tf, positions) of each row's text by itself, without a shuffle; with lengths, each row besides has one
+    without a term, from which its length can be read."""
     words = docs.select(F.col(id_col).alias("id"), words_of([text_col] if isinstance(text_col, str) else text_col).alias("words"))
-    words = words.select("id", F.size("words").alias("len"), F.posexplode("words").alias("position", "term"))
-    return words.groupBy("term", "id", "len").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
+    into = T.StructType([T.StructField("term", T.StringType()), T.StructField("id", words.schema["id"].dataType), *T.StructType.fromDDL("len int, tf long, positions array<int>")])
+    schema = to_arrow_schema(into)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, listed, at = batch.column("id"), batch.column("words"), 0
+            ends = np.cumsum(np.diff(listed.offsets.to_numpy()))
+            while at < batch.num_rows:
+                held = ends[at - 1] if at else 0
+                until = max(at + 1, int(np.searchsorted(ends, held + AT_A_TIME, "right")))
+                columns = occurring(ids.slice(at, until - at), listed.slice(at, until - at), lengths)
+                yield pa.RecordBatch.from_arrays([c if c.type == f.type else c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                at = until
+
+    return words.mapInArrow(run, into)
+
+
+def united(rows: DataFrame) -> DataFrame:
+    """Postings in which rows of one id and length are one document."""
+    return rows.groupBy("term", "id", "len").agg(F.sum("tf").alias("tf"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+
+
+def repeats(rows: DataFrame, *key: str) -> bool:
+    return not rows.groupBy(*key).count().where("count > 1").isEmpty()
+
+
+def postings(docs: DataFrame, id_col: str, text_col: str | list[str]) -> DataFrame:
+    """(term, id, len, tf, positions): an index table; len is the document's. To be written clustered by term. Only if ids
+    repeat, which is looked up at once, are tokens of several rows brought together."""
+    rows = by_document(docs, id_col, text_col)
+    return united(rows) if repeats(docs.select(F.col(id_col).alias("id")), "id") else rows
 
 
 @dataclass(frozen=True)
@@ -147,9 +201,12 @@ class TextIndex:
 
     @classmethod
     def write(cls, docs: DataFrame, id_col: str, text_cols: list[str], path: str) -> TextIndex:
-        rows = docs.select(F.col(id_col).alias("id"), *text_cols)
-        rows.select("id", F.size(words_of(text_cols)).alias("len")).write.mode("overwrite").parquet(f"{path}/lengths")
-        cls.cluster(postings(rows, "id", text_cols)).write.mode("overwrite").parquet(f"{path}/postings")
+        found = materialize(by_document(docs, id_col, text_cols, lengths=True), "by-document")
+        found.where("term is null").select("id", "len").write.mode("overwrite").parquet(f"{path}/lengths")
+        index = found.where("term is not null")
+        again = repeats(docs.sparkSession.read.parquet(f"{path}/lengths"), "id", "len")
+        cls.cluster(united(index) if again else index).write.mode("overwrite").parquet(f"{path}/postings")
+        drop(found)
         return cls.read(docs.sparkSession, path)
 
     @staticmethod

@@ -142,3 +142,22 @@ def test_segments_equal_a_fresh_index(spark, tmp_path):
     for match in asked:
         score = lambda found: {r["id"]: round(r["score"], 9) for r in found.collect()}
         assert score(index.bm25(match)) == score(fresh.bm25(match)) and score(fresh.bm25(match))
+
+
+def test_postings_are_grouped_in_their_document(spark, tmp_path, monkeypatch):
+    """No token is shuffled; rows that share an id and a length are one document, as a grouping of all tokens has it."""
+    monkeypatch.setattr(text, "AT_A_TIME", 5)
+    rows = [(1, "b a b Été"), (2, ""), (3, None), (4, "a"), (5, "c c c c c c b"), (None, "a b")]
+    plain = lambda df: sorted(df.collect(), key=str)
+    for more in ([], [(4, "b"), (None, "b a"), (5, "c")]):
+        df = spark.createDataFrame(rows + more, "id long, text string").repartition(2)
+        words = df.select("id", text.tokens(F.col("text")).alias("w")).select("id", F.size("w").alias("len"), F.posexplode("w").alias("position", "term"))
+        want = plain(words.groupBy("term", "id", "len").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions")))
+        found = text.postings(df, "id", "text")
+        assert plain(found) == want and found.columns == ["term", "id", "len", "tf", "positions"]
+        index = text.TextIndex.write(df, "id", ["text"], str(tmp_path / str(len(more))))
+        assert plain(index.postings) == want
+        assert plain(index.lengths) == plain(df.select("id", F.size(text.tokens(F.col("text"))).alias("len")))
+        if not more:
+            plan = text.postings(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan
