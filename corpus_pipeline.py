@@ -57,8 +57,9 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group that pairs link whose sets of five-word shingles have a
-    Jaccard similarity of 0.8 or more. Rows that share an id stay if one of them does."""
+    """One document, that with the smallest id, of each group that pairs link whose SimHash fingerprints differ in at most two
+    bits, found by a vantage-point tree, or whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Rows
+    that share an id stay if one of them does."""
     scratch = Scratch(spark, "pipeline-near")
     found = scratch.write(simhash_dedup(docs, width=5, similarity=0.8), "found")
     gone = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select("doc_id")

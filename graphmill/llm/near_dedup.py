@@ -1,7 +1,8 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles; candidates by bands of minima of hashes.
+"""Near-duplicates by SimHash fingerprints, and besides by exact Jaccard similarity of word shingles.
 
-This is the form of operator 6 for a similarity of 0.8: such pairs differ in about ten of 64 SimHash bits, a reach at
-which no vantage-point tree can prune."""
+This is the form of operator 6 with a similarity: fingerprints link by a vantage-point tree as they do without one. Pairs of
+similarity 0.8 may differ in about ten of 64 bits, a reach at which no tree can prune, so candidates for what the tree
+leaves apart come by bands of minima of hashes."""
 
 from __future__ import annotations
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from graphmill.llm.common import Scratch, binary_slices, if_small, map_rows, settle, text_bytes, without
 from graphmill.llm.components import connected_components
-from graphmill.llm.simhash import SEED, shingle_hashes, word_blocks
+from graphmill.llm.simhash import SEED, fingerprint, hamming_links, shingle_hashes, word_blocks
 
 #: A pair of similarity s shares a band with probability 1 - (1 - s ** DEEP) ** BANDS: 0.99994 at 0.8. A sketch has a
 #: byte for each of the minima.
@@ -76,22 +77,24 @@ def named(shingles: np.ndarray) -> int:
 
 
 def printed(rows: DataFrame, width: int) -> DataFrame:
-    """(id, fp, size, cells, sketch) of every row of (id, data)."""
+    """(id, fp, size, cells, sketch, print) of every row of (id, data); print is the SimHash fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 ids, fps, sizes, least = [], [], [], []
-                for i, found in sets_of(batch.slice(at, 512), width):
+                prints = np.fromiter((fingerprint(x) for x in binary_slices(part.column("data"))), np.uint64, part.num_rows)
+                for i, found in sets_of(part, width):
                     ids.append(i)
                     fps.append(named(found))
                     sizes.append(len(found))
                     least.append(minima(found))
                 table = np.array(least)
                 cells, sketches = cells_of(table).view(np.int64), sketches_of(table)
-                yield {"id": ids, "fp": fps, "size": sizes, "cells": [c if n else [] for c, n in zip(cells, sizes, strict=True)], "sketch": [s.tobytes() for s in sketches]}
+                yield {"id": ids, "fp": fps, "size": sizes, "cells": [c if n else [] for c, n in zip(cells, sizes, strict=True)], "sketch": [s.tobytes() for s in sketches], "print": prints.view(np.int64)}
 
-    return map_rows(rows, "id long, fp long, size long, cells array<long>, sketch binary", run)
+    return map_rows(rows, "id long, fp long, size long, cells array<long>, sketch binary, print long", run)
 
 
 def shingled(rows: DataFrame, width: int) -> DataFrame:
@@ -236,11 +239,26 @@ def dealt_anew(scratch: Scratch, rows: DataFrame, largest: int, name: str) -> Da
     return scratch.write(done.drop("n"), f"{name}-dealt")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
-    """(id, fp, component_id, kept) for every row of docs: component_id is the smallest id that links of Jaccard
-    similarity `least` (0.8 or more) between sets of word shingles reach, kept marks that row.
+def by_fingerprint(scratch: Scratch, prints: DataFrame, reach: int) -> DataFrame:
+    """Links (a, b) between values of fp in prints (fp, print) that join all whose fingerprints reach each other by steps of
+    at most `reach` bits: a star for each fingerprint, and the forests of the vantage-point tree between the stars."""
+    stars = scratch.write(prints.groupBy("print").agg(F.min("fp").alias("centre")), "stars")
+    n = stars.count()
+    tree = hamming_links(scratch, stars.select(F.col("print").alias("fp")), reach)
+    tree = scratch.write(tree, "tree")
+    centre = lambda c: if_small(stars.select(F.col("print").alias(c), F.col("centre").alias(f"{c}_at")), n, 16)
+    between = tree.join(centre("a"), "a").join(centre("b"), "b").select(F.col("a_at").alias("a"), F.col("b_at").alias("b"))
+    own = prints.select("fp", "print").distinct().join(if_small(stars, n, 16), "print").select(F.col("centre").alias("a"), F.col("fp").alias("b"))
+    return scratch.write(between.unionByName(own).where("a <> b"), "by-fingerprint")
 
-    Equal sets are one node. Nodes that share a band of minima are in a cell. First each node is compared with the
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, reach: int = 2) -> DataFrame:
+    """(id, fp, component_id, kept) for every row of docs: component_id is the smallest id that links reach, kept marks that
+    row. Links are pairs whose SimHash fingerprints differ in at most `reach` bits, found by a vantage-point tree, and pairs of
+    Jaccard similarity `least` (0.8 or more) between sets of word shingles. Texts without a word link by fingerprint alone.
+
+    Equal sets are one node; those that fingerprints join are compared no more. Nodes that share a band of minima are in a
+    cell. First each node is compared with the
     leader, first in a fixed order, of its cells, which joins most of any large group of near copies by one link a row.
     Then only cells that still hold several components matter: a task compares the sketches of a cell's rows, and a
     second one the sets of those rows that may be similar enough, the most similar pairs first; a pair is skipped only if
@@ -256,6 +274,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = scratch.write(printed(texts, width), "prints")
     nodes = prints.groupBy("fp").agg(F.min("id").alias("first"), F.first("size").alias("size"), F.first("cells").alias("cells"), F.first("sketch").alias("sketch"))
     nodes = scratch.write(nodes, "nodes")
+    close = by_fingerprint(scratch, prints, reach)
     cells = nodes.select("fp", "size", F.explode("cells").alias("cell"))
     leader = F.min(F.struct(F.xxhash64("fp").alias("h"), F.col("fp").alias("v"), F.col("size").alias("s"))).alias("leader")
     full = scratch.write(cells.groupBy("cell").agg(F.count("*").alias("n"), leader).where("n > 1").select("cell", "leader"), "full")
@@ -273,7 +292,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     led = live.groupBy("fp", "size").agg(F.min("leader").alias("leader")).select(F.col("leader.v").alias("a"), F.col("fp").alias("b"), F.col("leader.s").alias("s"), "size")
     led = led.where((F.col("a") != F.col("b")) & (F.least("s", "size") >= F.lit(least) * F.greatest("s", "size")))
-    links = verified(scratch.write(led.select("a", "b"), "pairs"), "links")
+    links = close.unionByName(verified(scratch.write(led.select("a", "b"), "pairs"), "similar"))
     roots = connected_components(scratch, links).withColumnRenamed("id", "fp")
     labelled = live.select("cell", "fp", "size").join(if_small(roots, roots.count(), 32), "fp", "left").withColumn("comp", F.coalesce("root", "fp")).drop("root")
     rows, largest = undecided(scratch, scratch.write(labelled, "labelled"), "mixed")
@@ -288,6 +307,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lowest = joined.groupBy("root").agg(F.min("first").alias("lowest"))
     moved = scratch.write(joined.join(if_small(lowest, n, 32), "root").select("fp", "lowest"), "moved")
     called = scratch.write(nodes.select("fp", "first").join(if_small(moved, n, 32), "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id")), "named")
-    scratch.drop("nodes", "full", "live", "wanted", "ids", "sets", "pairs", "links", "labelled", "mixed", "mixed-cells", "split-dealt", "partners", "joining", "joined", "moved", "roots")
+    scratch.drop("stars", "tree", "by-fingerprint", "similar", "nodes", "full", "live", "wanted", "ids", "sets", "pairs", "links", "labelled", "mixed", "mixed-cells", "split-dealt", "partners", "joining", "joined", "moved", "roots")
     out = prints.select("id", "fp").join(if_small(called, called.count(), 32), "fp")
     return out.select(F.col("id").alias(id_col), "fp", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

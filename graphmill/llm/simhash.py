@@ -209,8 +209,9 @@ def hamming_links(scratch: Scratch, fps: DataFrame, reach: int = 2) -> DataFrame
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, reach: int = 2, similarity: float | None = None) -> DataFrame:
     """(id, fp, component_id, kept) for every row of docs: component_id is the smallest id that links of at most
-    `reach` differing bits reach, kept marks that row. With `similarity`, links are pairs of that Jaccard similarity or
-    more instead, and fp tells sets of shingles apart: no reach that a tree can search covers 0.8, see near_dedup.
+    `reach` differing bits reach, kept marks that row. With `similarity`, pairs of that Jaccard similarity or more, between sets
+    of shingles of `width` words, are links besides, as no reach that a tree can search covers 0.8; fingerprints are of three
+    words then, and fp tells sets of shingles apart, see near_dedup.
 
     Exact copies share a fingerprint and are one node. Null and empty texts have fingerprint zero, which links like any
     other. Null ids belong to components but never name one, unless no other id is there: then component_id is null.
@@ -219,7 +220,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if similarity is not None:
         from graphmill.llm.near_dedup import near_dedup
 
-        return near_dedup(docs, id_col, text_col, width, similarity)
+        return near_dedup(docs, id_col, text_col, width, similarity, reach)
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.write(fingerprints(docs, id_col, text_col, width), "prints")
     fps = scratch.write(prints.groupBy("fp").agg(F.min("id").alias("first")), "fps")

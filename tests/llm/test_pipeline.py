@@ -129,3 +129,12 @@ def test_languages_are_filled_in(spark):
     rows = [(i, " ".join(draw.choices(words[lang], k=60)), lang if i > 9 else None, "a", 1) for i in range(400) for lang in [("fr", "en")[i % 2]]]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert {(r["doc_id"] % 2, r["lang"]) for r in run_stage(spark, docs, "language_id").collect()} == {(1, "en"), (0, "fr")}
+
+
+def test_near_copies_by_fingerprint(spark):
+    """Long texts that repeat the same words share a fingerprint, whatever their sets of shingles are."""
+    tail = lambda c: " ".join(f"{c}{i}" for i in range(20))
+    texts = [(1, "red green blue " * 300 + tail("x")), (2, "red green blue " * 300 + tail("y")), (3, tail("z")), (4, None)]
+    assert brute_kept([(i, t or "") for i, t in texts]) == [1, 2, 3, 4]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in run_stage(spark, df, "simhash_dedup").collect()) == [1, 3, 4]
