@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphmill import schema
+from graphmill.sources.scratch import FEW, if_few, is_light
 
 
 def conform(df: DataFrame, into: T.StructType) -> DataFrame:
@@ -48,6 +49,10 @@ def incident(edges: DataFrame, ids: DataFrame, keep: bool = False) -> DataFrame:
     return edges
 
 
+#: A number above all of an operation log; its negative is below them.
+LAST = 1 << 62
+
+
 def latest(rows: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
     """The last row of each key."""
     w = Window.partitionBy(key).orderBy(F.desc(order))
@@ -166,30 +171,42 @@ class PropertyGraph:
 
         What a row of the log or of the graph becomes depends only on the last upsert of its id and on deletions that
         come after, so the log is folded by key. An edge goes with a deletion of either end, of its file's nodes, or of
-        its source's edges, unless it is upserted again later.
+        its source's edges, unless it is upserted again later. Only the log's rows are put in order: the graph's are older
+        than all of them and stay unless the log touches them. What touches them is counted here: a little of it is
+        broadcast, much is shuffled and hashed, so that the graph is never sorted.
         """
-        old_nodes, old_edges = (t.withColumn("seq", F.lit(-1).cast("long")) for t in (self.nodes, self.edges))
-        put_nodes = log.where("op = 'upsert_node'").select("node.*", "seq").unionByName(old_nodes)
-        put_edges = latest(log.where("op = 'upsert_edge'").select("edge.*", "seq").unionByName(old_edges))
+        rows = log.limit(FEW + 1).count()
+        few = lambda t: if_few(t, rows)
+        put_nodes, put_edges = log.where("op = 'upsert_node'").select("node.*", "seq"), log.where("op = 'upsert_edge'").select("edge.*", "seq")
         gone = log.where("op = 'delete_node'").select(F.col("key").alias("id"), F.col("seq").alias("at"))
-        files = log.where("op = 'delete_file_nodes'").select(F.col("key").alias("file_path"), F.col("seq").alias("at"))
+        files = few(log.where("op = 'delete_file_nodes'").select(F.col("key").alias("file_path"), F.col("seq").alias("at")))
         # A file's deletion hits the nodes that are in it at that moment: versions that it ends, and nothing before it.
-        until = F.lead("seq").over(Window.partitionBy("id").orderBy("seq"))
-        versions = put_nodes.select("id", "file_path", "seq", F.coalesce(until, F.lit(1 << 62)).alias("until"))
-        by_file = versions.join(files, "file_path").where("at > seq and at < until").groupBy("id", "seq").agg(F.min("at").alias("at"))
-        sooner = by_file.join(gone.withColumnRenamed("at", "other"), "id").where("other > seq and other < at").select("id", "seq")
+        until = F.coalesce(F.lead("seq").over(Window.partitionBy("id").orderBy("seq")), F.lit(LAST))
+        hits = put_nodes.select("id", "file_path", "seq", until.alias("until")).join(files, "file_path").where("at > seq and at < until").select("id", "seq", "at")
+        first = put_nodes.groupBy("id").agg(F.min("seq").alias("until"))
+        old = self.nodes.select("id", "file_path").join(files, "file_path").join(few(first), "id", "left").where(F.col("until").isNull() | (F.col("at") < F.col("until")))
+        by_file = hits.unionByName(old.select("id", F.lit(-LAST).alias("seq"), "at")).groupBy("id", "seq").agg(F.min("at").alias("at"))
+        sooner = by_file.join(few(gone.withColumnRenamed("at", "other")), "id").where("other > seq and other < at").select("id", "seq")
         by_file = by_file.join(sooner, ["id", "seq"], "left_anti")
         gone = gone.unionByName(by_file.select("id", "at")).groupBy("id").agg(F.max("at").alias("at"))
-        nodes = latest(put_nodes).join(gone, "id", "left").where(F.col("at").isNull() | (F.col("at") < F.col("seq"))).drop("seq", "at")
+        light = rows <= FEW and is_light(gone, "id")
+        near = lambda t: F.broadcast(t) if light else t.hint("shuffle_hash")
+        of = lambda **names: near(gone.select(*(F.col(c).alias(n) for n, c in names.items())))
+
+        kept = self.nodes.join(near(gone.select("id").unionByName(first.select("id"))), "id", "left_anti")
+        put = latest(put_nodes).join(near(gone), "id", "left").where(F.col("at").isNull() | (F.col("at") < F.col("seq")))
+        nodes = kept.unionByName(conform(put, schema.NODES))
 
-        ends = put_edges.join(gone.select(F.col("id").alias("source"), F.col("at").alias("s")), "source", "left").join(gone.select(F.col("id").alias("target"), F.col("at").alias("t")), "target", "left")
         single = log.where("op = 'delete_edge'").groupBy(F.col("key").alias("id")).agg(F.max("seq").alias("e"))
         cut = log.where("op = 'delete_edges_from'")
-        cut_all = cut.where("edge_kind is null").groupBy(F.col("key").alias("source")).agg(F.max("seq").alias("f"))
-        cut_kind = cut.where("edge_kind is not null").groupBy(F.col("key").alias("source"), F.col("edge_kind").alias("kind")).agg(F.max("seq").alias("k"))
-        ends = ends.join(single, "id", "left").join(cut_all, "source", "left").join(cut_kind, ["source", "kind"], "left")
-        last = F.greatest(*(F.coalesce(c, F.lit(-2)) for c in "stefk"))
-        return PropertyGraph(conform(nodes, schema.NODES), conform(ends.where(last < F.col("seq")), schema.EDGES))
+        cut_all = few(cut.where("edge_kind is null").groupBy(F.col("key").alias("source")).agg(F.max("seq").alias("f")))
+        cut_kind = few(cut.where("edge_kind is not null").groupBy(F.col("key").alias("source"), F.col("edge_kind").alias("kind")).agg(F.max("seq").alias("k")))
+        kept = self.edges.join(few(single.select("id").unionByName(put_edges.select("id"))), "id", "left_anti").join(cut_all, "source", "left_anti").join(cut_kind, ["source", "kind"], "left_anti")
+        kept = kept.join(of(source="id"), "source", "left_anti").join(of(target="id"), "target", "left_anti").select(self.edges.columns)
+        put = latest(put_edges).join(of(source="id", s="at"), "source", "left").join(of(target="id", t="at"), "target", "left")
+        put = put.join(few(single), "id", "left").join(cut_all, "source", "left").join(cut_kind, ["source", "kind"], "left")
+        last = F.greatest(*(F.coalesce(c, F.lit(-LAST)) for c in "stefk"))
+        return PropertyGraph(nodes, kept.unionByName(conform(put.where(last < F.col("seq")), schema.EDGES)))
 
     def with_columns_of(self, values: DataFrame) -> PropertyGraph:
         """Node columns page_rank or community_id replaced by those of values (id, ...); null where it has no row."""

@@ -54,3 +54,20 @@ def dealt(df: DataFrame) -> DataFrame:
     """df kept from being broadcast. Paths and names take little room in files, and by that the planner would send hundreds of
     thousands of them through the driver."""
     return df.hint("merge")
+
+
+def is_light(df: DataFrame, text: str) -> bool:
+    """Whether rows of little but a text, counted with its length, may be broadcast."""
+    found = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")).first()
+    return found["n"] * 64 + found["bytes"] <= BROADCAST_BYTES
+
+
+#: Rows of a few numbers or short texts that one task sorts or gathers: about 100 MB.
+TASK_ROWS = 1 << 19
+
+
+def spread(df: DataFrame, rows: int, *by: str, most: int = TASK_ROWS) -> DataFrame:
+    """df, of counted rows, dealt by columns so that a task gets about `most` of them; as it is, if every core has fewer anyway.
+    Sizes in bytes, by which the planner makes tasks, say little about keys: 64 MB of a shuffle hold up to ten million."""
+    parts = -(-rows // most)
+    return df.repartition(parts, *by) if parts > df.sparkSession.sparkContext.defaultParallelism else df

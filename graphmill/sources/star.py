@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphmill.plans.graph import PropertyGraph
+from graphmill.sources.scratch import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,14 +37,17 @@ def star_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, source, target, kind, confidence, line)."""
     line = table(spark, sf_dir, "lineitem")
+    rows = line.count()
+    called = spread(line.select("l_orderkey", "l_partkey", "l_linenumber"), rows, "l_orderkey", "l_partkey")
+    supplied = spread(line.select("l_partkey", "l_suppkey"), rows, "l_partkey", "l_suppkey")
     no_line = F.lit(None).cast("int")
     parts = [
         (table(spark, sf_dir, "nation"), _key("r:", "n_regionkey"), _key("n:", "n_nationkey"), "contains", 1.0, no_line),
         (table(spark, sf_dir, "customer"), _key("n:", "c_nationkey"), _key("c:", "c_custkey"), "contains", 1.0, no_line),
         (table(spark, sf_dir, "supplier"), _key("n:", "s_nationkey"), _key("s:", "s_suppkey"), "contains", 1.0, no_line),
         (table(spark, sf_dir, "orders"), _key("c:", "o_custkey"), _key("o:", "o_orderkey"), "calls", 1.0, no_line),
-        (line.groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("n")), _key("o:", "l_orderkey"), _key("p:", "l_partkey"), "calls", 0.7, F.col("n")),
-        (line.select("l_partkey", "l_suppkey").distinct(), _key("p:", "l_partkey"), _key("s:", "l_suppkey"), "imports", 0.5, no_line),
+        (called.groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("n")), _key("o:", "l_orderkey"), _key("p:", "l_partkey"), "calls", 0.7, F.col("n")),
+        (supplied.distinct(), _key("p:", "l_partkey"), _key("s:", "l_suppkey"), "imports", 0.5, no_line),
     ]
     out = None
     for rows, source, target, kind, confidence, at in parts:

@@ -16,7 +16,7 @@ from graphmill.operators import traverse
 from graphmill.operators.pagerank import pagerank
 from graphmill.plans import graph as store
 from graphmill.plans.graph import PropertyGraph, Transaction, as_json, conform, load, save, tables_of
-from graphmill.sources.scratch import materialize
+from graphmill.sources.scratch import materialize, spread
 
 
 def graph(spark, edges, nodes=None, kind="calls", **columns):
@@ -411,3 +411,29 @@ def test_walks_stream_instead_of_a_call_each(spark):
     found = proc.detect_processes(g)
     assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r["entry_point"]: list(r["steps"]) for r in found.collect()} == {"main": ["main", "b"], "run": ["run", "c"]}
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_mutations_order_only_the_log(spark, monkeypatch, few):
+    seen, latest = [], store.latest
+    monkeypatch.setattr(store, "latest", lambda rows: seen.append(rows.count()) or latest(rows))
+    if not few:
+        monkeypatch.setattr(store, "is_light", lambda *_: False)
+        monkeypatch.setattr(store, "if_few", lambda t, _: t.hint("merge"))
+    g = graph(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("d", "e")])
+    blank = [None] * 12
+    log = [(0, "upsert_node", None, None, ("b", "class", "B", "/src/a.ts", *blank), None), (1, "delete_file_nodes", "/src/a.ts", None, None, None), (2, "upsert_node", None, None, ("a", "class", "again", "/x", *blank), None), (3, "delete_edges_from", "d", "calls", None, None), (4, "upsert_edge", None, None, None, ("new", "d", "c", "uses", 1.0, None, None, None))]
+    after = g.mutate(spark.createDataFrame(log, schema.MUTATIONS))
+    assert {(r["id"], r["name"]) for r in after.nodes.collect()} == {("a", "again"), ("c", "c"), ("d", "d"), ("e", "e")}
+    assert ids(after.edges) == ["c->calls->d@2", "new"]
+    # Two nodes and an edge are put; what the graph holds is not ordered, nor sorted where it is joined with little.
+    assert sorted(seen) == [1, 2]
+    joins = [x for x in after.edges._jdf.queryExecution().executedPlan().toString().splitlines() if "SortMergeJoin [source" in x or "SortMergeJoin [target" in x]
+    assert not few or not joins
+
+
+def test_lines_are_dealt_by_their_number(spark):
+    rows = spark.range(400).select((F.col("id") % 7).alias("a"), "id")
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(rows, 400, "a", most=1 << 19).rdd.getNumPartitions() == rows.rdd.getNumPartitions()
+    assert spread(rows, 400, "a", most=10).rdd.getNumPartitions() == 40 > cores
