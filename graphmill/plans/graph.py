@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphmill import schema
-from graphmill.sources.scratch import FEW, if_few, is_light
+from graphmill.sources.scratch import FEW, TASK_ROWS, if_few, is_light
 
 
 def conform(df: DataFrame, into: T.StructType) -> DataFrame:
@@ -274,13 +274,21 @@ CLUSTERED = {
 
 def cluster(graph: PropertyGraph, at: str) -> None:
     """Writes CLUSTERED below `at`: dealt by ranges of the key and sorted, so that a key is in one file or a few; and ranges
-    (label, file, low, high), the keys that each file holds. Edges lie by kind besides."""
+    (label, file, low, high), the keys that each file holds. Edges lie by kind besides. The graph is computed once, into plain
+    files that go again: to find ranges reads all rows, and to deal them reads them once more."""
     spark, ranges = graph.nodes.sparkSession, []
-    for label, (table, columns, key) in CLUSTERED.items():
+    plain, parts = {}, {}
+    for table in ("nodes", "edges"):
         df = getattr(graph, table)
+        df.write.parquet(f"{at}/plain/{table}")
+        plain[table] = spark.read.schema(df.schema).parquet(f"{at}/plain/{table}")
+        n = -(-plain[table].count() // TASK_ROWS)
+        parts[table] = (n,) if n > spark.sparkContext.defaultParallelism else ()
+    for label, (table, columns, key) in CLUSTERED.items():
+        df = plain[table]
         df = df.select(*columns) if columns else df
         first = ("kind", key) if label == "edges" else (key,)
-        out = df.repartitionByRange(*first).sortWithinPartitions(*first).write.option("compression", "zstd")
+        out = df.repartitionByRange(*parts[table], *first).sortWithinPartitions(*first).write.option("compression", "zstd")
         (out.partitionBy("kind") if label == "edges" else out).parquet(f"{at}/{label}")
         held = spark.read.schema(df.schema).parquet(f"{at}/{label}").where(F.col(key).isNotNull())
         ranges.append(held.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min(key).alias("low"), F.max(key).alias("high")).select(F.lit(label).alias("label"), "file", "low", "high"))
@@ -288,6 +296,7 @@ def cluster(graph: PropertyGraph, at: str) -> None:
     for more in ranges[1:]:
         every = every.unionByName(more)
     every.write.parquet(f"{at}/ranges")
+    delete(spark, f"{at}/plain")
 
 
 @dataclass(frozen=True)

@@ -437,3 +437,13 @@ def test_lines_are_dealt_by_their_number(spark):
     cores = spark.sparkContext.defaultParallelism
     assert spread(rows, 400, "a", most=1 << 19).rdd.getNumPartitions() == rows.rdd.getNumPartitions()
     assert spread(rows, 400, "a", most=10).rdd.getNumPartitions() == 40 > cores
+
+
+def test_a_stored_graph_is_computed_once(spark, tmp_path):
+    runs = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda s: runs.add(1) or s, "string")
+    g = graph(spark, [("a", "b"), ("b", "c"), ("c", "a", "uses")])
+    at = save(PropertyGraph(g.nodes, g.edges.withColumn("source", seen("source"))), str(tmp_path))
+    assert runs.value == 3 and not os.path.exists(f"{at}/plain")
+    stored = load(spark, str(tmp_path))
+    assert ids(stored.edges_from("c")) == ["c->uses->a@2"] and ids(stored.edges_to("b")) == ["a->calls->b@0"] and ids(stored.find("b")) == ["b"]
