@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from graphmill.operators import traverse
 from graphmill.plans import planner
 from graphmill.plans.graph import PropertyGraph
+from graphmill.sources.scratch import spread
 
 # Words that the strict text check rejects anywhere in a statement.
 UNSAFE = ("INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "ATTACH", "DETACH", "REINDEX", "ANALYZE", "VACUUM", "PRAGMA")
@@ -37,6 +38,13 @@ FUNCTIONS = frozenset(
 )
 
 
+#: What is run as a join of tables.
+JOINS = ("Join", "LateralJoin", "Exists", "ListQuery")
+
+#: Nodes that a task of a join gets, with their edges, which are several each: about 100 MB.
+TASK_NODES = 1 << 17
+
+
 class UnsafeQuery(ValueError):
     """Raised for anything but a query of the graph's tables."""
 
@@ -75,13 +83,15 @@ def walk(node: Any, own: frozenset[str] = frozenset()) -> Iterator[tuple[Any, fr
         yield from walk(part, own)
 
 
-def check_plan(spark: SparkSession, statement: str, tables: set[str]) -> str:
+def check_plan(spark: SparkSession, statement: str, tables: set[str]) -> tuple[str, bool]:
     """Raises unless the statement is a query of `tables`, by their plain names, and of common tables where these are seen,
-    with nothing but FUNCTIONS. Gives the name of the plan's root."""
+    with nothing but FUNCTIONS. Gives the name of the plan's root, and whether anything in it is joined."""
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
     logical = plan.getClass().getClassLoader().loadClass("org.apache.spark.sql.catalyst.plans.logical.LogicalPlan")
+    joined = False
     for n, own in walk(plan):
         kind = n.getClass().getSimpleName()
+        joined |= kind in JOINS
         if logical.isInstance(n) and kind not in PLANS:
             raise UnsafeQuery(f"only queries are allowed, not {kind}")
         if kind == "UnresolvedRelation":
@@ -92,7 +102,7 @@ def check_plan(spark: SparkSession, statement: str, tables: set[str]) -> str:
             parts = seq(n.nameParts() if kind == "UnresolvedFunction" else n.name()) if kind != "UnresolvedGenerator" else [n.name().funcName()]
             if len(parts) != 1 or parts[0].lower() not in FUNCTIONS:
                 raise UnsafeQuery(f"function {'.'.join(parts)} is not allowed")
-    return plan.getClass().getSimpleName()
+    return plan.getClass().getSimpleName(), joined
 
 
 #: search('words'), neighbors('id', depth) and impact('id', depth) as tables in a FROM clause.
@@ -225,7 +235,7 @@ def run_sql(graph: PropertyGraph, statement: str, limit: int | None = 100, compa
 
     The parsed plan decides what is a query: PLANS over the tables nodes, edges, communities and processes, calling
     FUNCTIONS; so common table expressions and columns named like commands are fine. Calls of DIALECT are translated.
-    compat applies the text checks besides. The tables are views of this statement alone, so graphs don't mix and no view
+    compat applies the text checks besides. Where tables are joined, nodes are counted and dealt by id, and so is what meets them. The tables are views of this statement alone, so graphs don't mix and no view
     stays.
     """
     statement = statement.strip().rstrip(";").strip()
@@ -241,7 +251,9 @@ def run_sql(graph: PropertyGraph, statement: str, limit: int | None = 100, compa
         return name
 
     statement = translated(CALL.sub(named, statement))
-    root = check_plan(spark, statement, set(tables))
+    root, joined = check_plan(spark, statement, set(tables))
+    if joined:
+        tables["nodes"] = spread(graph.nodes, graph.nodes.count(), "id", most=TASK_NODES)
     views = {name: f"{name}_{mark}_view" for name in tables}
     try:
         for name, view in views.items():

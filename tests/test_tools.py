@@ -278,3 +278,18 @@ def test_json_rpc(context):
     assert said[1]["result"]["serverInfo"]["name"] == "graphmill" and len(said[2]["result"]["tools"]) == 7
     assert '"n": 4' in said[3]["result"]["content"][1]["text"] and not said[3]["result"]["isError"]
     assert said[4]["result"]["isError"] and said[5]["error"]["code"] == -32601 and len(out.getvalue().splitlines()) == 7
+
+
+def test_joined_nodes_are_dealt_by_their_number(spark, monkeypatch):
+    from graphmill.plans import sqltool
+
+    monkeypatch.setattr(sqltool, "TASK_NODES", 4)
+    n = spark.range(100).select(F.concat(F.lit("n"), F.col("id")).alias("id"), F.lit("class").alias("kind"), F.lit("x").alias("name"), F.lit("/x").alias("file_path"))
+    e = spark.range(300).select(F.concat(F.lit("e"), F.col("id")).alias("id"), F.concat(F.lit("n"), F.col("id") % 100).alias("source"), F.concat(F.lit("n"), F.col("id") % 7).alias("target"), F.lit("calls").alias("kind"), F.lit(1.0).alias("confidence"))
+    g = PropertyGraph.of(n, e)
+    found = run_sql(g, "SELECT a.id, count(b.id) AS n, count(DISTINCT c.id) AS ends FROM nodes a LEFT JOIN edges b ON b.source = a.id FULL JOIN nodes c ON c.id = b.target GROUP BY a.id", None)
+    rows = {r["id"]: (r["n"], r["ends"]) for r in found.collect()}
+    assert len(rows) == 101 and rows.pop(None) == (0, 93) and all(r[0] == 3 for r in rows.values())
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [id" in plan(found) and ", 25" in plan(found)
+    assert "RepartitionByExpression" not in plan(run_sql(g, "SELECT count(*) FROM nodes", None))
