@@ -6,6 +6,7 @@ import os
 import random
 from itertools import count, product
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -394,6 +395,31 @@ def test_processes(spark):
             assert steps == ([want] if len(want) > 1 else [])
 
 
+@pytest.mark.parametrize(("home", "block", "task"), [(32 << 20, 200, 1 << 20), (0, 200, 0), (32 << 20, 20, 1 << 20)])
+def test_blocks_move_at_once_until_no_node_gains(spark, monkeypatch, home, block, task):
+    """Packed blocks, blocks that are dealt each round, and hubs of more ties than a block; the rounds by single moves, of which
+    there was one a move of a crowd, only follow hubs."""
+    written = []
+    monkeypatch.setattr(com, "materialize", lambda df, label="table": written.append(label) or materialize(df, label))
+    monkeypatch.setattr(com, "HOME_BYTES", home)
+    monkeypatch.setattr(com, "BLOCK_TIES", block)
+    monkeypatch.setattr(com, "TASK_TIES", task)
+    draw = random.Random(7)
+    names = [f"v{i:02}" for i in range(48)]
+    g = graph(spark, [(a, b) for a, b in product(names, names) if a < b and draw.random() < (0.6 if int(a[1:]) // 12 == int(b[1:]) // 12 else 0.05)] + [("v00", f"leaf{i}") for i in range(30)])
+    found = materialize(com.detect_communities(g))
+    assert found.count() == found.select("id").distinct().count() == 78
+    mine, other = com.standing(g, found).first(), com.standing(g, com.sequential_communities(g)).first()
+    assert mine["gaining"] == 0 and mine["modularity"] >= 0.99 * other["modularity"] > 0.3
+    assert "best" not in written or block < 30
+
+
+def test_a_crowd_of_moves_goes_as_far_as_it_gains():
+    k, here, to = np.array([4.0, 4.0, 4.0, 1.0]), np.array([0, 0, 1, 0]), np.array([2, 2, 2, 3])
+    # The first and the last leave room for themselves; what the second would gain, the first has taken.
+    assert com.uncrowded(k, here, to, np.array([0.5, 0.1, 0.3, 0.2]), 6.0, 1.0).tolist() == [True, False, True, True]
+
+
 def test_rounds_of_moves_deal_no_ties(spark):
     rows = [("a", "b"), ("b", "c"), ("c", "d")]
     ties = spark.createDataFrame([(ord(x), ord(y), 1.0) for a, b in rows for x, y in ((a, b), (b, a))], "a long, b long, weight double")
