@@ -420,6 +420,31 @@ def test_a_crowd_of_moves_goes_as_far_as_it_gains():
     assert com.uncrowded(k, here, to, np.array([0.5, 0.1, 0.3, 0.2]), 6.0, 1.0).tolist() == [True, False, True, True]
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_labels_that_go_round_are_those_of_the_last_round(spark, monkeypatch, few):
+    """Pairs whose ends are in one half swap labels forever: labels come back, and are those of all rounds in the end."""
+    written = []
+    monkeypatch.setattr(com, "materialize", lambda df, label="table": written.append(label) or materialize(df, label))
+    if not few:
+        monkeypatch.setattr(com, "small", lambda *_: False)
+    draw = random.Random(3)
+    names = [f"v{i:02}" for i in range(20)]
+    g = graph(spark, [(a, b) for a, b in product(names, names) if a < b and draw.random() < 0.2] + [(f"p{i}", f"q{i}") for i in range(6)])
+    half = {r["id"]: r["half"] for r in g.nodes.select("id", F.pmod(F.xxhash64("id"), F.lit(2)).alias("half")).collect()}
+    ties = {v: {} for v in half}
+    for r in com.undirected(g).where("a <> b").collect():
+        ties[r["a"]][r["b"]] = r["weight"]
+    for rounds in (50, 53):
+        want = {v: v for v in half}
+        for k in range(rounds):
+            votes = {v: {c: sum(w for u, w in ties[v].items() if want[u] == c) for c in {want[u] for u in ties[v]}} for v in ties}
+            want |= {v: min(votes[v], key=lambda c: (-votes[v][c], c)) for v in ties if half[v] == k % 2}  # noqa: B023
+        order = {c: i for i, c in enumerate(sorted(set(want.values())))}
+        written.clear()
+        assert {r["id"]: r["community_id"] for r in com.spread_communities(g, rounds).collect()} == {v: order[c] for v, c in want.items()}
+        assert written.count("labels") < 20
+
+
 def test_rounds_of_moves_deal_no_ties(spark):
     rows = [("a", "b"), ("b", "c"), ("c", "d")]
     ties = spark.createDataFrame([(ord(x), ord(y), 1.0) for a, b in rows for x, y in ((a, b), (b, a))], "a long, b long, weight double")
