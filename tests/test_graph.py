@@ -445,6 +445,22 @@ def test_labels_that_go_round_are_those_of_the_last_round(spark, monkeypatch, fe
         assert written.count("labels") < 20
 
 
+def test_assignments_share_their_ties(spark, monkeypatch):
+    """An assignment is written once and its ties are added up once, however many figures are read from them."""
+    from graphmill import queries
+
+    written = []
+    note = lambda df, label="table": written.append(label) or materialize(df, label)
+    monkeypatch.setattr(com, "materialize", note)
+    monkeypatch.setattr(queries, "materialize", note)
+    g = graph(spark, TRIANGLES)
+    monkeypatch.setattr(queries, "star_graph", lambda *_: g)
+    assert queries.spread_invariants(spark, "").first()["members"] == 6 and written.count("assigned") == 1
+    ties, at = materialize(com.undirected(g)), g.nodes.select("id", F.lit(0).alias("community_id"))
+    written.clear()
+    assert com.standing(g, at, ties=ties).first() == com.standing(g, at).first() and written.count("ties") == 1
+
+
 def test_rounds_of_moves_deal_no_ties(spark):
     rows = [("a", "b"), ("b", "c"), ("c", "d")]
     ties = spark.createDataFrame([(ord(x), ord(y), 1.0) for a, b in rows for x, y in ((a, b), (b, a))], "a long, b long, weight double")
